@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.chat_format import CONT, CONTROL, END, SEP, START, chat_digest
 from tessera.llm.license_scan import license_digest
+from tessera.llm.minhash_dedup import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.quality_classifier import classify_quality
 from tessera.llm.quality_rules import quality_rules
@@ -27,6 +28,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -54,6 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_packing": op2_packing,
     "op6_chat_format": op6_chat_format,
     "op7_sharding": op7_sharding,
