@@ -18,6 +18,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,21 @@ FINE = 64  #: shorter pieces are binned by their exact length
 END_ID = 1
 #: ASCII white space, which the tokenizer drops: ids of a text are those of the stretches between, in order.
 STRETCH = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+#: Further white space to str.split(), which isn't ASCII white space.
+ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 MARK = "<|endoftext|>"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 CACHE_ENTRIES = 600_000  #: stretches whose ids a worker remembers, over its tasks
 SLICE_CHARS = 1 << 20
 
 
 class Stretches:
-    """Ids of stretches of text, remembered: flat ids, and where those of each code begin."""
+    """Ids of stretches of text, remembered.
+
+    Most stretches are letters and then punctuation. The tokenizer splits there, so such a stretch is two parts, and
+    letters are remembered by their lower case. Flat ids of all parts lie in ``flat``, ``ends`` says where each ends;
+    a stretch is a first and a second part (part 0 is the end id, part 1 is empty).
+    """
 
     def __init__(self, tokenizer_path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,45 +56,88 @@ class Stretches:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.mark = self.tokenizer.token_to_id(MARK)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[k for word, k in vocabulary.items() if word.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
+        self.parts: dict[str, int] = {}
+        self.flat, self.ends = np.array([END_ID], np.uint32), np.array([1, 1])
+        self.forget()
+
+    def forget(self) -> None:
         self.codes: dict[str, int] = {}
-        self.flat, self.ends = np.array([END_ID], np.uint32), np.array([1])
+        self.first, self.second = np.array([0]), np.array([1])
 
-    def learn(self, new: list[str]) -> None:
-        """Encode new stretches: joined by a special token, which ends one as the end of a text does, or alone if they hold it."""
-        plain = [w for w in new if MARK not in w]
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def learn_parts(self, words: list[str], others: list[str]) -> None:
+        """words: letters only, each of which ends with a token that closes a word; others: anything."""
         got = []
-        for k in range(0, len(plain), 512):
+        for k in range(0, len(words), 512):
+            some = words[k : k + 512]
+            ids = self.encode(" ".join(some))
+            got.append((some, ids, np.diff(np.flatnonzero(self.closes[ids]), prepend=-1)))
+        plain = [w for w in others if MARK not in w]
+        for k in range(0, len(plain), 512):  # a special token ends a part as the end of a text does
             some = plain[k : k + 512]
-            ids = np.array(self.tokenizer.encode(MARK.join(some), add_special_tokens=False).ids, np.uint32)
-            got.append((some, ids[ids != self.mark], np.diff(np.concatenate([[-1], np.flatnonzero(ids == self.mark), [len(ids)]])) - 1))
-        for w in new:
+            ids = self.encode(MARK.join(some))
+            at = np.flatnonzero(ids == self.mark)
+            got.append((some, ids[ids != self.mark], np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1))
+        for w in others:
             if MARK in w:
-                ids = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
+                ids = self.encode(w)
                 got.append(([w], ids, np.array([len(ids)])))
         base = len(self.ends)
-        self.codes.update({w: base + k for k, w in enumerate(w for some, _, _ in got for w in some)})
+        self.parts.update({w: base + k for k, w in enumerate(w for some, _, _ in got for w in some)})
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate([size for _, _, size in got]))])
         self.flat = np.concatenate([self.flat, *(ids for _, ids, _ in got)])
 
+    def learn(self, new: list[str]) -> None:
+        split = []
+        for w in new:
+            letters = w.rstrip(PUNCTUATION)
+            if letters.isalpha() and max(letters) < "\u0250" and "\u0130" not in letters:  # letters that stay single letters in lower case and NFC
+                split.append((letters.lower(), w[len(letters) :]))
+            else:
+                split.append(("", w))
+        words = {a for a, _ in split}.difference(self.parts, ("",))
+        others = {b for _, b in split}.difference(self.parts, ("",))
+        if words or others:
+            self.learn_parts(list(words), list(others))
+        part = self.parts.get
+        base = len(self.first)
+        self.first = np.concatenate([self.first, np.fromiter((part(a, 1) for a, _ in split), np.int64, len(split))])
+        self.second = np.concatenate([self.second, np.fromiter((part(b, 1) for _, b in split), np.int64, len(split))])
+        self.codes.update(zip(new, range(base, base + len(new))))
+
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text closed by the end id, and where each text ends."""
-        split = [STRETCH.findall(t) for t in texts]
-        if len(self.codes) > CACHE_ENTRIES:
+        split = [STRETCH.findall(t) if ODD_SPACE.search(t) else t.split() for t in texts]
+        if len(self.parts) > CACHE_ENTRIES:
             self.clear()
-        new = set().union(*split).difference(self.codes)
-        if new:
-            self.learn(list(new))
-        flat, ends = self.flat, self.ends
-        code = self.codes
-        codes = np.fromiter((c for words in split for c in (*map(code.__getitem__, words), 0)), np.int64)
-        size = np.where(codes > 0, ends[codes] - ends[codes - 1], 1)
-        begin = np.where(codes > 0, ends[codes - 1], 0)
+        elif len(self.codes) > CACHE_ENTRIES:
+            self.forget()
+        n = np.fromiter(map(len, split), np.int64, len(split))
+        words = list(chain.from_iterable(split))
+        found = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(found < 0).tolist()
+        if unknown:
+            self.learn(list({words[k] for k in unknown}))
+            found[unknown] = [self.codes[words[k]] for k in unknown]
+        codes = np.zeros(len(words) + len(texts), np.int64)
+        inside = np.ones(len(codes), bool)
+        closing = np.cumsum(n + 1) - 1
+        inside[closing] = False
+        codes[inside] = found
+        parts = np.stack([self.first[codes], self.second[codes]], 1).ravel()
+        begin = np.where(parts > 0, self.ends[parts - 1], 0)
+        size = self.ends[parts] - begin
         total = np.cumsum(size)
         at = np.arange(total[-1] if len(total) else 0) - np.repeat(total - size - begin, size)
-        return flat[at], total[codes == 0]
+        return self.flat[at], total[1::2][closing]
 
 
 REMEMBERED: dict[str, Stretches | None] = {}
