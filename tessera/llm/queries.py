@@ -14,6 +14,7 @@ from tessera.llm.minhash_dedup import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.quality_classifier import classify_quality
 from tessera.llm.quality_rules import quality_rules
+from tessera.llm.sentencepiece import decode, encode
 from tessera.llm.sharding import shard_digest
 from tessera.llm.tables import table
 
@@ -37,6 +38,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    back = decode(encode(table(spark, sf_dir, "documents"), model), model)
+    return back.select("doc_id", "pieces", F.size("pieces").cast("long").alias("n_pieces"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -66,6 +73,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_packing": op2_packing,
+    "op3_sentencepiece": op3_sentencepiece,
     "op5_ann": op5_ann,
     "op6_chat_format": op6_chat_format,
     "op7_sharding": op7_sharding,
