@@ -16,6 +16,7 @@ from tessera.llm.quality_classifier import classify_quality
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.sentencepiece import decode, encode
 from tessera.llm.sharding import shard_digest
+from tessera.llm.suffix_dedup import suffix_digest
 from tessera.llm.tables import table
 
 
@@ -44,6 +45,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "pieces", F.size("pieces").cast("long").alias("n_pieces"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_packing": op2_packing,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_ann": op5_ann,
     "op6_chat_format": op6_chat_format,
     "op7_sharding": op7_sharding,
