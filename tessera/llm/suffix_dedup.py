@@ -307,6 +307,8 @@ def suffix_digest(docs: DataFrame) -> DataFrame:
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
-    """docs with their texts cut; characters that lose some of their bytes go whole."""
-    kept = remove_repeats(docs).withColumn("text", F.try_validate_utf8(F.col("kept").cast("string")))
-    return kept.select(*docs.columns)
+    """docs with their texts cut; characters that lose some of their bytes go whole (U+FFFD where a text has that already)."""
+    whole = F.make_valid_utf8(F.col("kept").cast("string"))
+    odd = F.lit("\ufffd")
+    text = F.when(F.contains("text", odd), whole).otherwise(F.replace(whole, odd, F.lit("")))
+    return remove_repeats(docs).withColumn("text", text).select(*docs.columns)
