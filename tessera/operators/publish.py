@@ -76,7 +76,7 @@ def batched(plan: DataFrame, budget: int = MOST_ROWS, prefix: int = 9) -> DataFr
         return pd.DataFrame({"record_id": frame["record_id"], "key": frame["key"], "batch": out})
 
     slim = rows.select("range", "record_id", "key", "cost")
-    starts = slim.groupBy("range").applyInPandas(followed, "range string, closed array<long>, fill array<long>").groupBy(F.lit(0)).applyInPandas(chained, "range string, done long, held long")
+    starts = slim.groupBy("range").applyInPandas(followed, "range string, closed array<long>, fill array<long>").withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(chained, "range string, done long, held long")
     numbered = slim.join(starts, "range").groupBy("range").applyInPandas(placed, "record_id string, key string, batch long")
     return plan.join(numbered, ["record_id", "key"])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,9 +66,6 @@ def matches_over(vectors: DataFrame, is_query: Column, threshold: float) -> Data
 
 def encode_base64(vectors: DataFrame) -> DataFrame:
     """vec_id and ``wire``: the vector as little-endian 32-bit floats in base64."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def raw(v: pd.Series) -> pd.Series:
         return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
@@ -76,9 +75,6 @@ def encode_base64(vectors: DataFrame) -> DataFrame:
 
 def decode_base64(wires: DataFrame) -> DataFrame:
     """vec_id and ``embedding``; null where the text isn't base64 of whole 32-bit floats."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def floats(raw: pd.Series) -> pd.Series:
         return raw.map(lambda x: None if x is None or len(x) % 4 else np.frombuffer(x, "<f4"))

@@ -18,8 +18,8 @@ def folder(spark: SparkSession, what: str) -> str:
 
 
 def change_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A stream over a table of changes (Parquet files)."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """A stream over a table of changes: one Parquet file or a folder of them (a pattern stands for either)."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def newest(changes: DataFrame) -> DataFrame:
