@@ -3,8 +3,9 @@
 A suffix sort by difference cover, cut to what 100-byte matches need. Sampled positions are those of a
 content-defined cover in the place of one by residues: the leftmost 50-byte string of smallest hash in each
 100-byte window. Equal windows have their sample at equal offsets, as the difference cover grants, with one
-sample in about 26 bytes. (1) Samples are named by their string's hash; names that occur once can't be
-part of a repeat, and a bitmap of the others drops them before any text is shuffled. (2) Windows hang on their
+sample in about 26 bytes. (1) Samples are named by their string's hash. With 25 bytes on its left or
+on its right a sample is part of each of its windows; such halves that occur once can't be part of a repeat,
+and a bitmap of the others drops or cuts units before any text is shuffled. (2) Windows hang on their
 sample: a unit is the windows of one sample. Units are brought together by name, and all windows of a name
 are merged in order of their position, equal prefixes of 100 bytes next to each other (3): all but the first are
 repeats. README.md says why a cover by residues and names for all suffixes don't fit the limits.
@@ -31,7 +32,8 @@ from tessera.llm.tables import stored
 
 LENGTH = 100  #: bytes of a repeat
 GRAM = 50  #: bytes of a sampled string
-NAME_BITS = 34  #: of a sample's name while names are counted
+SIDE = (LENGTH - GRAM) // 2  #: bytes beside a sample
+NAME_BITS = 34  #: of a name while names are counted
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30  #: of the bitmap of repeated names
 DOC_BITS = 1 << 24  #: of the bitmap of documents with repeats
 FLUSH = 1 << 19  #: units that a task gathers before it drops repeats among them
@@ -56,12 +58,12 @@ class Rolling:
         return mix((self.sums[end] - self.sums[start]) * Rolling.back[start] + (end - start).astype(_U))
 
 
-def units(t: Texts) -> tuple[Rolling, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Units of some texts: hashes, and of each unit its name, its text's number, its first and its end byte."""
+def units(t: Texts) -> tuple[Rolling, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Units of some texts: hashes, and of each unit its name, its text's number, its first and end byte, its sample."""
     roll = Rolling(t.data)
     none = np.zeros(0, np.int64)
     if len(t.data) < LENGTH:
-        return roll, none.astype(_U), none, none, none
+        return roll, none.astype(_U), none, none, none, none
     at = np.arange(len(t.data) - GRAM + 1)
     names = roll(at, at + GRAM)
     bits = max(21, int(len(t.data)).bit_length())
@@ -76,13 +78,22 @@ def units(t: Texts) -> tuple[Rolling, np.ndarray, np.ndarray, np.ndarray, np.nda
     doc = np.repeat(np.arange(t.n), np.diff(t.offsets))[:n]
     start = np.flatnonzero(np.arange(n) + LENGTH <= t.offsets[doc + 1])
     if not len(start):
-        return roll, none.astype(_U), none, none, none
+        return roll, none.astype(_U), none, none, none, none
     sample, doc = sample[start], doc[start]
     new = np.ones(len(start), bool)
     new[1:] = (sample[1:] != sample[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1
-    return roll, names[sample[first]], doc[first], start[first], start[last] + LENGTH
+    return roll, names[sample[first]], doc[first], start[first], start[last] + LENGTH, sample[first]
+
+
+def halves(roll: Rolling, start: np.ndarray, end: np.ndarray, sample: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The sample with ``SIDE`` bytes on its left, and with those on its right: which units have it, and its hash.
+
+    Each window of a unit holds one of them, so a window can only be repeated if one that it holds is.
+    """
+    left, right = np.flatnonzero(sample - start >= SIDE), np.flatnonzero(end - sample - GRAM >= SIDE)
+    return [(left, roll(sample[left] - SIDE, sample[left] + GRAM)), (right, roll(sample[right], sample[right] + GRAM + SIDE))]
 
 
 def prepared(docs: DataFrame) -> DataFrame:
@@ -113,7 +124,8 @@ def repeated_names(rows: DataFrame, parts: int) -> tuple[np.ndarray, int]:
 
         for batch in it:
             for t in text_slices(batch.column(0)):
-                held.append(units(t)[1])
+                roll, _, _, start, end, sample = units(t)
+                held.extend(name for _, name in halves(roll, start, end, sample))
                 if sum(map(len, held)) > 4 * FLUSH:
                     yield sent()
                     held.clear()
@@ -166,9 +178,14 @@ def repeats(docs: DataFrame) -> DataFrame:
         for batch in it:
             ord_, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for t in text_slices(batch.column(2)):
-                roll, name, doc, start, end = units(t)
-                place = (name >> _U(64 - log_bits)).astype(np.int64)
-                on = np.flatnonzero((marks[place >> 5] >> (place & 31).astype(np.uint32)) & 1)
+                roll, name, doc, start, end, sample = units(t)
+                twice = np.zeros((2, len(name)), bool)
+                for side, (own, half) in enumerate(halves(roll, start, end, sample)):
+                    place = (half >> _U(64 - log_bits)).astype(np.int64)
+                    twice[side, own] = (marks[place >> 5] >> (place & 31).astype(np.uint32)) & 1
+                start = np.where(twice[0], start, np.maximum(start, sample - SIDE))  # windows that hold a repeated half
+                end = np.where(twice[1], end, np.minimum(end, sample + GRAM + SIDE))
+                on = np.flatnonzero(twice.any(0))
                 name, doc, start, end = name[on], doc[on], start[on], end[on]
                 raw = t.data.tobytes()
                 texts = [raw[a:b] for a, b in zip(start.tolist(), end.tolist())]
