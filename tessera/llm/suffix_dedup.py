@@ -36,7 +36,7 @@ SIDE = (LENGTH - GRAM) // 2  #: bytes beside a sample
 NAME_BITS = 34  #: of a name while names are counted
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30  #: of the bitmap of repeated names
 DOC_BITS = 1 << 24  #: of the bitmap of documents with repeats
-FLUSH = 1 << 19  #: units that a task gathers before it drops repeats among them
+FLUSH = 1 << 18  #: units that a task gathers before it drops repeats among them
 BASE = 0xD6E8FEB86659FD93
 LAST_ID = (1 << 63) - 1
 _U = np.uint64
