@@ -198,15 +198,17 @@ def repeats(docs: DataFrame) -> DataFrame:
             yield sent(held)
 
     def sent(held: list[tuple]) -> pa.RecordBatch:
-        """The first of equal units with its bytes; the others as repeats."""
+        """The first of equal units with its bytes; the others as repeats. A unit that a repeated row gives again goes."""
         name, content, ord_, tag, start, end, text = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((start, tag, ord_, content))
+        same = np.zeros(len(order), bool)
+        same[1:] = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (content, ord_, tag, start)])
+        order = order[~same]
+        name, content, ord_, tag, start, end, text = (x[order] for x in (name, content, ord_, tag, start, end, text))
         again = np.zeros(len(order), bool)
-        again[1:] = content[order][1:] == content[order][:-1]
-        repeat = np.zeros(len(order), bool)
-        repeat[order[again]] = True
-        text[repeat] = None
-        name = np.where(repeat, mix(ord_.astype(_U)), name)  # repeats may go anywhere
+        again[1:] = content[1:] == content[:-1]
+        text[again] = None
+        name = np.where(again, mix(ord_.astype(_U)), name)  # repeats may go anywhere
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (name.view(np.int64), ord_, tag, start, end)] + [pa.array(text, pa.binary())], names=["name", "ord", "tag", "start", "end", "bytes"])
 
     def merged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,6 +228,9 @@ def repeats(docs: DataFrame) -> DataFrame:
         """Rows of whole names, ordered by name and position: stretches of windows whose prefix an earlier one has."""
         given = table.filter(pc.is_null(table.column("bytes")))
         table = table.filter(pc.is_valid(table.column("bytes")))
+        if len(table) > 1:  # repeated rows give the same units again
+            same = np.logical_and.reduce([x[1:] == x[:-1] for x in (table.column(c).to_numpy() for c in ("name", "ord", "tag", "start", "end"))])
+            table = table.filter(pa.array(np.append(True, ~same)))
         out = [[given.column(c).to_numpy() for c in ("ord", "tag", "start", "end")]]
         if len(table):
             column = one_array(table.column("bytes")).cast(pa.large_binary())

@@ -155,6 +155,18 @@ def test_repeats_real(spark):
     assert got == brute_repeats(sorted((r.doc_id, r.text) for r in some.select("doc_id", "text").collect()))
 
 
+def test_repeats_of_repeated_rows(spark):
+    rng = random.Random(9)
+    clean, odd, shared = (" ".join(str(rng.random()) for _ in range(30)) for _ in range(3))
+    rows = [(1, clean), (1, clean), (None, odd), (None, odd), (2, shared), (3, shared), (3, shared)]
+    want = brute_repeats([(1, clean), (None, odd), (2, shared)]) | {3: (len(shared), len(shared), 1, hashlib.sha256(b"").hexdigest())}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, len(rows)):  # repeated rows in one task, and each in its own
+        got = [(r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in suffix_digest(docs.repartition(parts)).collect()]
+        assert sorted(got, key=str) == sorted([(k, want[k]) for k, _ in rows], key=str)
+    assert Counter(r.text for r in cut_repeats(docs).collect()) == {clean: 2, odd: 2, shared: 1, "": 2}
+
+
 def test_nearest(spark):
     rows = {r.vec_id: np.array(r.embedding, float) for r in table(spark, SF, "embeddings").collect()}
     ids = np.array(sorted(rows))
