@@ -8,7 +8,8 @@ on its right a sample is part of each of its windows; such halves that occur onc
 and a bitmap of the others drops or cuts units before any text is shuffled. (2) Windows hang on their
 sample: a unit is the windows of one sample. Units are brought together by name, and all windows of a name
 are merged in order of their position, equal prefixes of 100 bytes next to each other (3): all but the first are
-repeats. README.md says why a cover by residues and names for all suffixes don't fit the limits.
+repeats. Units of frequent names (a line that many documents share, between bytes of their own) are split into their
+windows, which are brought together by their prefixes; of equal ones a task sends the first. README.md says why a cover by residues and names for all suffixes don't fit the limits.
 
 Texts are UTF-8 bytes; matches don't cross texts; order is that of doc_id, then of a hash of the text, then of the
 start. Defined cases: a null text is empty; texts under 100 bytes stay; null ids come last; rows of equal
@@ -37,6 +38,9 @@ NAME_BITS = 34  #: of a name while names are counted
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30  #: of the bitmap of repeated names
 DOC_BITS = 1 << 24  #: of the bitmap of documents with repeats
 FLUSH = 1 << 18  #: units that a task gathers before it drops repeats among them
+FREQUENT = 1 << 15  #: units of a name beyond which they are split into windows
+SEEN = 16  #: units of a name among those that a task gathers, from which on they are counted for that
+SPLIT = 1 << 14  #: units that are split at a time
 BASE = 0xD6E8FEB86659FD93
 LAST_ID = (1 << 63) - 1
 _U = np.uint64
@@ -102,33 +106,62 @@ def prepared(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("ord"), F.shiftrightunsigned(F.xxhash64(text), 33).alias("tag"), text.alias("text"))
 
 
-def repeated_names(rows: DataFrame, parts: int) -> tuple[np.ndarray, int]:
-    """A bitmap of names that occur twice or more, folded to a bounded number of bits, and the logarithm of that.
+def windows_of(names: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of units in order: unit, place in it, hash of name and bytes, whether an earlier window is equal."""
+    n = np.diff(offsets) - LENGTH + 1
+    row = np.repeat(np.arange(len(n)), n)
+    inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    at = offsets[row] + inside
+    prefix = Rolling(data)(at, at + LENGTH) ^ mix(names.view(_U))[row]
+    again = np.ones(len(row), bool)
+    again[np.unique(prefix, return_index=True)[1]] = False
+    return row, inside, prefix, again
 
-    Each task sends its sorted names, cut to ``NAME_BITS`` bits, in one stretch per range of names.
+
+def stretches(row: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last window of each run of repeats in a unit."""
+    begins = again & np.concatenate([[True], ~again[:-1] | (row[1:] != row[:-1])])
+    ends = again & np.concatenate([~again[1:] | (row[1:] != row[:-1]), [True]])
+    return np.flatnonzero(begins), np.flatnonzero(ends)
+
+
+def repeated_names(rows: DataFrame, parts: int, frequent: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """A bitmap of names that occur twice or more, folded to a bounded number of bits, the logarithm of that, and the
+    sorted names of over ``frequent`` units.
+
+    Each task sends its sorted names, cut to ``NAME_BITS`` bits, in one stretch per range of names. Units are counted
+    where a task gathers ``SEEN`` of a name or more, so a name has less than that for each gathering if it isn't found.
     """
     spread = 1 << NAME_BITS
+    seen = min(SEEN, frequent)
 
     def names(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        own: list[np.ndarray] = []
 
         def sent() -> pa.RecordBatch:
+            often, times = np.unique(np.concatenate(own), return_counts=True)
+            often, times = often[times >= seen], times[times >= seen].astype(_U)
+            whose = np.searchsorted(often >> _U(64 - NAME_BITS), (np.arange(parts + 1) * spread // parts).astype(_U))
             value, n = np.unique(np.concatenate(held) >> _U(64 - NAME_BITS), return_counts=True)
             cuts = np.searchsorted(value, (np.arange(parts + 1) * spread // parts).astype(_U))
-            out = []
+            out, counts = [], []
             for k in range(parts):
                 v, twice = value[cuts[k] : cuts[k + 1]], n[cuts[k] : cuts[k + 1]] > 1
                 steps = np.diff(v, prepend=_U(k * spread // parts)).astype("<u8").view(np.uint8).reshape(-1, 8)
                 out.append(zlib.compress(steps.T.tobytes(), 1) + np.packbits(twice).tobytes() + len(v).to_bytes(4, "little"))
-            return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(out, pa.binary())], names=["range", "names"])
+                counts.append(np.concatenate([x[whose[k] : whose[k + 1]] for x in (often, times)]).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(out, pa.binary()), pa.array(counts, pa.binary())], names=["range", "names", "counts"])
 
         for batch in it:
             for t in text_slices(batch.column(0)):
-                roll, _, _, start, end, sample = units(t)
+                roll, unit, _, start, end, sample = units(t)
+                own.append(unit)
                 held.extend(name for _, name in halves(roll, start, end, sample))
                 if sum(map(len, held)) > 4 * FLUSH:
                     yield sent()
                     held.clear()
+                    own.clear()
         if held:
             yield sent()
 
@@ -138,7 +171,9 @@ def repeated_names(rows: DataFrame, parts: int) -> tuple[np.ndarray, int]:
 
     def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        counts = []
         for batch in it:
+            counts.extend(np.frombuffer(x, _U).reshape(2, -1) for x in batch.column(2).to_pylist() if x)
             for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 n = int.from_bytes(blob[-4:], "little")
                 if n:
@@ -146,6 +181,10 @@ def repeated_names(rows: DataFrame, parts: int) -> tuple[np.ndarray, int]:
                     steps = np.frombuffer(zlib.decompress(blob[: len(blob) - 4 - marks]), np.uint8).reshape(8, n).T
                     value = np.cumsum(np.ascontiguousarray(steps).view("<u8").ravel().astype(_U)) + _U(k * spread // parts)
                     got.setdefault(k, []).append((value, np.unpackbits(np.frombuffer(blob[len(blob) - 4 - marks : -4], np.uint8), count=n).astype(bool)))
+        if counts:
+            unit, where = np.unique(np.concatenate([x[0] for x in counts]), return_inverse=True)
+            unit = unit[np.bincount(where, np.concatenate([x[1] for x in counts])) > frequent].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(np.zeros(len(unit), np.int64)), pa.array(np.ones(len(unit), bool))], names=["word", "mark", "frequent"])
         for blobs in got.values():
             value = np.concatenate([v for v, _ in blobs])
             twice = np.concatenate([m for _, m in blobs])
@@ -153,27 +192,30 @@ def repeated_names(rows: DataFrame, parts: int) -> tuple[np.ndarray, int]:
             some = np.unique(np.concatenate([order[1:][order[1:] == order[:-1]], value[twice]])) >> _U(fold)
             word, where = np.unique((some >> _U(5)).astype(np.int64), return_index=True)
             mark = np.bitwise_or.reduceat(np.uint32(1) << (some & _U(31)).astype(np.uint32), where) if len(some) else some
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mark.astype(np.int64))], names=["word", "mark"])
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mark.astype(np.int64)), pa.array(np.zeros(len(word), bool))], names=["word", "mark", "frequent"])
 
-    sent = rows.select("text").mapInArrow(names, "range int, names binary")
-    words = sent.repartition(parts, "range").mapInArrow(counted, "word long, mark long").groupBy("word").agg(F.bit_or("mark").alias("mark"))
+    sent = rows.select("text").mapInArrow(names, "range int, names binary, counts binary")
+    words = sent.repartition(parts, "range").mapInArrow(counted, "word long, mark long, frequent boolean").groupBy("word", "frequent").agg(F.bit_or("mark").alias("mark"))
     bitmap = np.zeros(bits >> 5, np.uint32)
-    table = words.toArrow()  # at most MOST_BITS / 32 rows
+    table = words.toArrow()  # at most MOST_BITS / 32 rows, and one for each ``frequent`` units
+    often = np.sort(table.filter(table["frequent"])["word"].to_numpy().view(_U))
+    table = table.filter(pc.invert(table["frequent"]))
     bitmap[table["word"].to_numpy()] = table["mark"].to_numpy().astype(np.uint32)
-    return bitmap, NAME_BITS - fold
+    return bitmap, NAME_BITS - fold, often
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """ord, tag, start, end: stretches of documents that are repeats; they may touch and overlap."""
+def unit_rows(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """name, ord, tag, start, end, bytes: units by name, windows of frequent names by their prefix (bytes is empty), and
+    stretches that are repeats (bytes is null)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = prepared(docs)
-    bitmap, log_bits = repeated_names(rows, parts)
-    shared = spark.sparkContext.broadcast(bitmap)  # at most MOST_BITS / 8 bytes
+    bitmap, log_bits, often = repeated_names(rows, parts, frequent)
+    shared = spark.sparkContext.broadcast((bitmap, often))  # at most MOST_BITS / 8 bytes, and a name for each ``frequent`` units
     kinds = "name long, ord long, tag long, start long, end long, bytes binary"
 
     def gathered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = shared.value
+        marks = shared.value[0]
         held: list[tuple] = []
         for batch in it:
             ord_, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -192,12 +234,15 @@ def repeats(docs: DataFrame) -> DataFrame:
                 first = t.offsets[doc]
                 held.append((name, roll(start, end), ord_[t.lo + doc], tag[t.lo + doc], start - first, end - first, np.array(texts, object)))
                 if sum(len(x[0]) for x in held) > FLUSH:
-                    yield sent(held)
+                    yield from sent(held)
                     held = []
         if held:
-            yield sent(held)
+            yield from sent(held)
+
+    def rows_of(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns[:-1]), pa.array(columns[-1], pa.binary())], names=["name", "ord", "tag", "start", "end", "bytes"])
 
-    def sent(held: list[tuple]) -> pa.RecordBatch:
+    def sent(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         """The first of equal units with its bytes; the others as repeats. A unit that a repeated row gives again goes."""
         name, content, ord_, tag, start, end, text = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((start, tag, ord_, content))
@@ -208,8 +253,31 @@ def repeats(docs: DataFrame) -> DataFrame:
         again = np.zeros(len(order), bool)
         again[1:] = content[1:] == content[:-1]
         text[again] = None
-        name = np.where(again, mix(ord_.astype(_U)), name)  # repeats may go anywhere
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (name.view(np.int64), ord_, tag, start, end)] + [pa.array(text, pa.binary())], names=["name", "ord", "tag", "start", "end", "bytes"])
+        split = ~again & np.isin(name, shared.value[1])
+        name = np.where(again, mix(ord_.astype(_U)), name).view(np.int64)  # repeats may go anywhere
+        yield rows_of(*(x[~split] for x in (name, ord_, tag, start, end, text)))
+        on = np.flatnonzero(split)
+        on = on[np.lexsort((start[on], tag[on], ord_[on], name[on]))]
+        for lo in range(0, len(on), SPLIT):
+            yield from singles(*(x[on[lo : lo + SPLIT]] for x in (name, ord_, tag, start, text)))
+
+    def singles(name: np.ndarray, ord_: np.ndarray, tag: np.ndarray, start: np.ndarray, text: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Units as windows: the first of equal ones by their prefix, the others as repeats."""
+        offsets = np.append(0, np.cumsum([len(x) for x in text]))
+        row, inside, prefix, again = windows_of(name, np.frombuffer(b"".join(text), np.uint8), offsets)
+        new = np.flatnonzero(~again)
+        own, begin = row[new], start[row[new]] + inside[new]
+        yield rows_of(prefix[new].view(np.int64), ord_[own], tag[own], begin, begin + LENGTH, np.full(len(new), b"", object))
+        first, last = stretches(row, again)
+        own = row[first]
+        yield rows_of(mix(ord_[own].astype(_U)).view(np.int64), ord_[own], tag[own], start[own] + inside[first], start[own] + inside[last] + LENGTH, np.full(len(own), None, object))
+
+    return rows.mapInArrow(gathered, kinds)
+
+
+def repeats(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """ord, tag, start, end: stretches of documents that are repeats; they may touch and overlap."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def merged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -232,37 +300,35 @@ def repeats(docs: DataFrame) -> DataFrame:
             same = np.logical_and.reduce([x[1:] == x[:-1] for x in (table.column(c).to_numpy() for c in ("name", "ord", "tag", "start", "end"))])
             table = table.filter(pa.array(np.append(True, ~same)))
         out = [[given.column(c).to_numpy() for c in ("ord", "tag", "start", "end")]]
+        single = pc.equal(pc.binary_length(table.column("bytes")), 0)
+        alone, table = table.filter(single), table.filter(pc.invert(single))
+        if len(alone) > 1:  # windows of frequent names
+            names = alone.column("name").to_numpy()
+            again = np.append(False, names[1:] == names[:-1])
+            out.append([alone.column(c).to_numpy()[again] for c in ("ord", "tag", "start", "end")])
         if len(table):
             column = one_array(table.column("bytes")).cast(pa.large_binary())
             offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
             data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
             offsets = offsets - offsets[0]
             names = table.column("name").to_numpy()
-            n = np.diff(offsets) - LENGTH + 1
-            row = np.repeat(np.arange(len(n)), n)
-            inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            at = offsets[row] + inside
-            prefix = Rolling(data)(at, at + LENGTH) ^ mix(names.view(_U))[row]
-            again = np.ones(len(row), bool)
-            again[np.unique(prefix, return_index=True)[1]] = False
-            begins = again & np.concatenate([[True], ~again[:-1] | (row[1:] != row[:-1])])
-            ends = again & np.concatenate([~again[1:] | (row[1:] != row[:-1]), [True]])
-            first, last = np.flatnonzero(begins), np.flatnonzero(ends)
+            row, inside, _, again = windows_of(names, data, offsets)
+            first, last = stretches(row, again)
             start = table.column("start").to_numpy()[row[first]]
             out.append([table.column(c).to_numpy()[row[first]] for c in ("ord", "tag")] + [start + inside[first], start + inside[last] + LENGTH])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["ord", "tag", "start", "end"])
 
-    found = rows.mapInArrow(gathered, kinds).repartition(parts, "name").sortWithinPartitions("name", "ord", "tag", "start")
+    found = unit_rows(docs, frequent).repartition(parts, "name").sortWithinPartitions("name", "ord", "tag", "start")
     return found.mapInArrow(merged, "ord long, tag long, start long, end long")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """docs with ``kept`` (binary: the bytes left), ``n_bytes`` (of the text) and ``spans`` (removed: array<struct<start, end>>)."""
     if clash := [c for c in docs.columns if c.lower() in ("kept", "n_bytes", "spans", "_ord", "_tag", "_start", "_end")]:
         raise ValueError(f"columns of the input clash with those made here: {clash}")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = stored(repeats(docs), "repeats")
+    runs = stored(repeats(docs, frequent), "repeats")
     bit = F.pmod(F.xxhash64("_ord", "_tag"), F.lit(DOC_BITS))
     words = runs.select(F.col("ord").alias("_ord"), F.col("tag").alias("_tag")).distinct().select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("mark")).toArrow()
     bitmap = np.zeros(DOC_BITS >> 5, np.uint32)
@@ -322,10 +388,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return untouched.unionByName(reduced)
 
 
-def suffix_digest(docs: DataFrame) -> DataFrame:
+def suffix_digest(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """One row per row of docs: what was removed, and a checksum of what is left."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return remove_repeats(docs.select("doc_id", "text")).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return remove_repeats(docs.select("doc_id", "text"), frequent).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from tessera.llm.quality_classifier import classify_quality
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.sentencepiece import decode, encode
 from tessera.llm.sharding import shard_digest
-from tessera.llm.suffix_dedup import cut_repeats, suffix_digest
+from tessera.llm.suffix_dedup import cut_repeats, suffix_digest, unit_rows
 from tessera.llm.tables import table
 
 SF = "/root/testdata/sf0.01"
@@ -167,6 +167,18 @@ def test_repeats_of_repeated_rows(spark):
     assert Counter(r.text for r in cut_repeats(docs).collect()) == {clean: 2, odd: 2, shared: 1, "": 2}
 
 
+def test_repeats_of_a_frequent_line(spark):
+    rng = random.Random(3)
+    own = lambda: " ".join(str(rng.random()) for _ in range(12))
+    line = own()[:98]
+    texts = [own() + line + rng.choice("ab") + rng.choice("cd") + own() for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    most = [unit_rows(docs, n).where("bytes is not null").groupBy("name").count().agg({"count": "max"}).first()[0] for n in (1000, 40)]
+    assert most[0] > 300 and most[1] <= 40
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_digest(docs, 40).collect()}
+    assert got == brute_repeats(enumerate(texts))
+
+
 def test_nearest(spark):
     rows = {r.vec_id: np.array(r.embedding, float) for r in table(spark, SF, "embeddings").collect()}
     ids = np.array(sorted(rows))
