@@ -4,7 +4,8 @@ Vectors get one more coordinate, sqrt(M^2 - |x|^2) with M the largest norm (0 fo
 inner product is the smallest Euclidean distance. ``PROJECTIONS`` Gaussian (2-stable) projections, cut into
 slabs of a width, make the buckets of a table; ``TABLES`` tables have their own. A query visits its own bucket
 and perturbed ones in the order of their estimated success (the squared distances from the query's
-projections to the buckets' slabs), until the visited ones hold ``COVERAGE`` of a table's rows. All visited
+projections to the buckets' slabs), until the visited ones hold ``COVERAGE`` of a table's distinct vectors, and more
+than k of them (or all). Copies share a bucket and count once, so many copies don't use up a query's share. All visited
 rows of all tables are candidates, and are ranked by their exact inner products in double precision.
 
 A bucket of many rows is dealt out in parts of about ``PART`` rows; each part returns at most k rows a query.
@@ -90,14 +91,15 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, coverage: float = COVERAG
     filed = stored(rows.mapInArrow(hashed, kinds), "hashed")
     buckets = None
     for t in range(TABLES):
-        one = filed.groupBy(F.lit(t).alias("table"), F.col(f"slab_{t}").alias("slab")).agg(F.count("*").alias("n"))
+        copies = filed.groupBy(F.col(f"slab_{t}").alias("slab"), F.xxhash64("v")).agg(F.count("*").alias("n"))
+        one = copies.groupBy(F.lit(t).alias("table"), "slab").agg(F.sum("n").alias("n"), F.count("*").alias("distinct"))
         buckets = one if buckets is None else buckets.unionByName(one)
     # occupied buckets: slabs of a few widths in each of PROJECTIONS directions, at most some thousands a table
-    known = [(r["table"], tuple(r["slab"]), r["n"]) for r in buckets.orderBy("table", "slab").collect()]
-    number = {(t, slab): k for k, (t, slab, _) in enumerate(known)}
+    known = [(r["table"], tuple(r["slab"]), r["n"], r["distinct"]) for r in buckets.orderBy("table", "slab").collect()]
+    number = {(t, slab): k for k, (t, slab, _, _) in enumerate(known)}
     tables = []
     for t in range(TABLES):
-        own = [(slab, n, number[t, slab]) for table, slab, n in known if table == t]
+        own = [(slab, distinct, number[t, slab]) for table, slab, _, distinct in known if table == t]
         tables.append(tuple(np.array(x) for x in zip(*own)))
 
     def probes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,12 +114,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, coverage: float = COVERAG
                         cost += np.maximum(0, np.maximum(low, -low - 1)) ** 2
                     order = np.argsort(cost, axis=1, kind="stable")
                     before = np.cumsum(n[order], axis=1) - n[order]
-                    q, at = np.nonzero(before < coverage * n.sum())
+                    q, at = np.nonzero(before < max(coverage * n.sum(), k + 1))
                     take = pa.array(q + lo)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(ident[order[q, at]])], names=["vec_id", "v", "bucket"])
 
     asked = rows.where(is_query).mapInArrow(probes, "vec_id long, v array<double>, bucket long")
-    names = spark.createDataFrame([(t, list(slab), k, max(1, math.ceil(n / PART))) for k, (t, slab, n) in enumerate(known)], "table int, slab array<int>, bucket long, parts int")
+    names = spark.createDataFrame([(t, list(slab), k, max(1, math.ceil(n / PART))) for k, (t, slab, n, _) in enumerate(known)], "table int, slab array<int>, bucket long, parts int")
     placed = None
     for t in range(TABLES):
         here = names.where(F.col("table") == t).select("slab", "bucket", "parts")

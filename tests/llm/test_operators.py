@@ -203,6 +203,29 @@ def test_nearest_odd_rows(spark):
     assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [(0, 1, 4), (0, 2, 5)]
 
 
+def test_nearest_of_few_rows(spark):
+    x = np.random.default_rng(4).normal(size=(12, 64))
+    docs = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = Counter(r.query_id for r in nearest(docs, "vec_id >= 0").collect())
+    assert got == {k: 11 for k in range(12)}
+
+
+def test_nearest_with_a_third_of_copies(spark):
+    x = np.random.default_rng(6).normal(size=(600, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x = np.concatenate([x, np.repeat(x[:1], 300, 0)])
+    queries_ = np.argsort(-(x[1:600] @ x[0]))[:30] + 1  # those that visit the copies early
+    docs = spark.createDataFrame([(k, v.tolist(), k in queries_) for k, v in enumerate(x)], "vec_id long, embedding array<double>, asks boolean")
+    # the copies may be a query's best; what is asked here is how many of its best others are found
+    found = defaultdict(set)
+    for r in nearest(docs, "asks", k=370).collect():
+        found[r.query_id].add(r.vec_id)
+    best = {q: [k for k in np.argsort(-(x[:600] @ x[q])) if k not in (0, q)][:20] for q in queries_}
+    share = sum(len(found[q] & set(best[q])) for q in queries_) / (20 * len(queries_))
+    print("recall with a third of copies:", share)
+    assert share >= 0.9
+
+
 def test_chat_equals_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{SF}/conversations.parquet')")
