@@ -12,7 +12,8 @@ UPLOAD_TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "
 #: What the orientation tag says.
 ORIENTATIONS = {1: "Normal", 2: "Mirrored", 3: "Rotated 180°", 4: "Mirrored, 180°", 5: "Mirrored, 90° CCW", 6: "Rotated 90° CW", 7: "Mirrored, 90° CW", 8: "Rotated 90° CCW"}
 
-WHITE = r"[\s   -     　﻿]+"
+#: White space of any kind: ASCII, no-break spaces, the Unicode space separators, line and paragraph ends, the byte order mark.
+WHITE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
 
 
 def trimmed(text: Column) -> Column:
@@ -133,6 +134,75 @@ def crop_rectangle(x: Column, y: Column, w: Column, h: Column, width: Column, he
 
 
 def version_struct(text: Column) -> Column:
-    """major.minor.patch as a struct that orders as versions do; missing parts are 0."""
-    part = F.split(F.regexp_extract(text, r"(\d+(?:\.\d+){0,2})", 1), r"\.")
-    return F.struct(*[F.coalesce(F.try_element_at(part, F.lit(k + 1)).try_cast("int"), F.lit(0)).alias(n) for k, n in enumerate(("major", "minor", "patch"))])
+    """major.minor.patch as a struct that orders as versions do, without what follows a hyphen; parts that don't start with digits are 0."""
+    part = F.split(F.substring_index(text, "-", 1), r"\.")
+    number = lambda k: F.regexp_extract(F.try_element_at(part, F.lit(k)), r"^\s*(\d+)", 1).try_cast("int")
+    return F.struct(*[F.coalesce(number(k + 1), F.lit(0)).alias(n) for k, n in enumerate(("major", "minor", "patch"))])
+
+
+def range_floor(text: Column) -> Column:
+    """The lowest version that a range like ^1.2.3 or >=1.2.3 takes; null for other forms."""
+    return F.nullif(F.regexp_extract(trimmed(text), r"^[\^~>=]*\s*(\d+\.\d+\.\d+)", 1), F.lit(""))
+
+
+def text_or_null(x: Column) -> Column:
+    """A text that isn't empty."""
+    return F.nullif(x, F.lit(""))
+
+
+def number_or_null(x: Column) -> Column:
+    """A finite number."""
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
+def utf16_units(text: Column) -> Column:
+    """The length of a text in UTF-16 units: 2 for code points over U+FFFF."""
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+
+
+def camera_text(make: Column, model: Column) -> Column:
+    """Maker and model; null without a maker."""
+    return F.when(make != "", trimmed(F.concat(make, F.lit(" "), F.coalesce(model, F.lit("")))))
+
+
+def aperture_text(f_number: Column) -> Column:
+    return F.concat(F.lit("f/"), number_text(f_number))
+
+
+def place_text(lat: Column, lon: Column) -> Column:
+    """Five digits after the point each; null unless both are there. Halves of the decimal value are rounded up."""
+    return F.when(lat.isNotNull() & lon.isNotNull(), F.format_string("%.5f, %.5f", lat, lon))
+
+
+def date_text(iso: Column) -> Column:
+    """A date and time to the second, with a space for the T."""
+    at = F.instr(iso, "T")
+    return F.substring(F.when(at > 0, F.concat(F.left(iso, at - 1), F.lit(" "), F.substr(iso, at + 1))).otherwise(iso), 1, 19)
+
+
+#: What the two slots for single files take.
+COVER_BYTES, GRAPHIC_BYTES = 20_000_000, 5_000_000
+GRAPHIC_TYPES = ("image/png", "image/jpeg", "image/webp", "image/gif")
+
+
+def slot_refusal(slot: Column, size: Column, content_type: Column) -> Column:
+    """Why a slot (cover or style-graphic) doesn't take a file: type, empty or size; null if it does."""
+    kind = F.trim(F.substring_index(F.coalesce(content_type, F.lit("")), ";", 1))
+    most = F.when(slot == "cover", COVER_BYTES).otherwise(GRAPHIC_BYTES)
+    return F.when((slot != "cover") & ~kind.isin(*GRAPHIC_TYPES), "type").when(size == 0, "empty").when(size > most, "size")
+
+
+def merged_config(patch: Column, base: dict) -> dict[str, Column]:
+    """The fields of a configuration after a JSON patch: each is taken if it is of the right type there, else from base."""
+    parsed = F.try_parse_json(patch)
+
+    def of(field: str, kinds: str, as_type: str) -> Column:
+        path = f"$.faces.{field}"
+        fits = F.schema_of_variant(F.try_variant_get(parsed, path, "variant")).rlike(kinds)
+        return F.when(fits, F.try_variant_get(parsed, path, as_type))
+
+    return {
+        "enabled": F.coalesce(of("enabled", "^BOOLEAN$", "boolean"), F.lit(base["enabled"])),
+        "threshold": clamped_threshold(of("threshold", "^(BIGINT|DOUBLE|DECIMAL.*)$", "double"), F.lit(base["threshold"])),
+        "publish": F.coalesce(of("publishLabels", "^BOOLEAN$", "boolean"), F.lit(base["publish"])),
+    }

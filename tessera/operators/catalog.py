@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.scalars import aperture_text, camera_text, content_key, date_text, place_text
+from tessera.operators.ranges import ranked
+
 KINDS = ("thumbnail", "crop")
 
 
@@ -94,15 +97,63 @@ def shown_original(records: DataFrame, chosen: DataFrame) -> DataFrame:
     return chosen.join(parents, F.col("parent_id") == F.col("p_id"), "left").select("id", F.coalesce("p_id", "id").alias("shown_id"))
 
 
-def lookup_batches(ids: DataFrame, records: DataFrame, size: int = 100, buckets: int = 64) -> DataFrame:
-    """Distinct ids that exist, with their object key, and the batch of a request: ``size`` distinct ids each, by id.
+def lookup_batches(ids: DataFrame, records: DataFrame, size: int = 100, ranges: int | None = None) -> DataFrame:
+    """Distinct ids that exist, with their object key, and the batch of a request: ``size`` distinct ids each, by id."""
+    numbered = ranked(ids.select("id").distinct(), "id", ranges).select("id", F.floor(F.col("rank") / size).alias("batch"))
+    return numbered.join(records.select("id", "content_hash"), "id").select("id", "batch", "content_hash")
+
+
+def requested(records: DataFrame, seen: DataFrame) -> DataFrame:
+    """Records that were asked for (id), once each."""
+    return records.join(seen.select("id"), "id", "left_semi")
+
+
+def app_row(enriched: DataFrame, record_id: str) -> DataFrame:
+    """The app's own row of a record, if there is one; of several the first by all columns."""
+    return enriched.where(F.col("record_id") == record_id).orderBy(*enriched.columns).limit(1)
+
+
+EXIF = ("captured_at", "camera_make", "camera_model", "f_number", "exposure_time", "iso", "lens_model", "gps_lat", "gps_lon", "orientation")
 
-    Ids are ranked by range: within ranges of their hash-free prefix first, then by counts of whole ranges.
+
+def app_images(records: DataFrame, labels: DataFrame, metadata: DataFrame, camera: DataFrame, enriched: DataFrame, app: str) -> DataFrame:
+    """Records as the app shows them: kind, size, ``exif`` (a struct, null fields where there is no metadata), names and dates.
+
+    mime_type defaults to image/jpeg, original_filename to the id, width and height to 0.
     """
-    asked = ids.select("id").distinct().withColumn("range", F.substring("id", 1, 9))
-    counted = asked.groupBy("range").agg(F.count("*").alias("n"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    starts = counted.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("range").orderBy("id")) - 1
-    numbered = asked.withColumn("rank", rank).join(starts, "range").withColumn("batch", F.floor((F.col("before") + F.col("rank")) / size))
-    return numbered.join(records.select("id", "content_hash"), "id").select("id", "batch", "content_hash")
+    typed = derived_kind(records, labels, app)
+    extra = metadata.join(camera, "record_id", "full_outer").withColumnRenamed("record_id", "m_id")
+    own = enriched.withColumnRenamed("record_id", "e_id")
+    joined = typed.join(extra, F.col("id") == F.col("m_id"), "left").join(own, (F.col("id") == F.col("e_id")) & F.col("parent_id").isNull(), "left")
+    return joined.select(
+        "id",
+        F.coalesce("mime_type", F.lit("image/jpeg")).alias("mime_type"),
+        content_key(F.col("type"), F.col("content_hash")).alias("object_key"),
+        "size_bytes",
+        "created_at",
+        "parent_id",
+        F.col("kind").alias("derived_kind"),
+        F.coalesce("width", F.lit(0)).alias("width"),
+        F.coalesce("height", F.lit(0)).alias("height"),
+        F.struct(*EXIF).alias("exif"),
+        F.coalesce("original_filename", "id").alias("original_filename"),
+        F.coalesce("date_taken_override", "captured_at", "created_at").alias("effective_date"),
+        "caption",
+        "date_taken_override",
+    )
+
+
+def info_panel(images: DataFrame) -> DataFrame:
+    """The texts of the info panel of app_images; null where there is nothing to show."""
+    exif = F.col("exif")
+    return images.select(
+        "id",
+        "original_filename",
+        F.concat(F.col("width").cast("string"), F.lit(" × "), F.col("height").cast("string"), F.lit("px")).alias("dimensions"),
+        date_text(F.col("effective_date")).alias("date_taken"),
+        camera_text(exif["camera_make"], exif["camera_model"]).alias("camera"),
+        aperture_text(exif["f_number"]).alias("aperture"),
+        F.nullif(exif["exposure_time"], F.lit("")).alias("exposure"),
+        exif["iso"].alias("iso"),
+        place_text(exif["gps_lat"], exif["gps_lon"]).alias("place"),
+    )

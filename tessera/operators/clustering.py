@@ -6,51 +6,71 @@ image group): each scope is a group of its own, in the order of record and face
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.scalars import trimmed
 from tessera.operators.vectors import mean_vectors, normalized
 
 
-def online_clusters(faces: DataFrame, scope: str, threshold: float = 0.45) -> DataFrame:
-    """scope, vec_id, cluster (number within the scope, by creation), size and score at assignment (null for a founder).
+def online_clusters(faces: DataFrame, scope: str, threshold: float = 0.45, roster: DataFrame | None = None) -> DataFrame:
+    """scope, vec_id, cluster, size and score at assignment (null for a founder) of the faces that have no person yet.
 
     A face joins the centroid of largest inner product if that is at least ``threshold``, of equals the newest;
-    the centroid becomes the normalised running mean in 32-bit floats. Null vectors and ids take no part.
+    the centroid becomes the normalised running mean in 32-bit floats. Centroids of another length don't count. ``roster``
+    (the scope's column, person_id, face_count, centroid) is where a scope starts from: its people are clusters
+    0, 1, ... in the order of person_id; new clusters follow by creation. Faces whose ``person_id`` isn't null, null
+    vectors and null ids take no part. A scope is folded in one task, so it has to be bounded.
     """
 
-    def assign(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["record_id", "face_index", "vec_id"], kind="stable")
-        held = np.zeros((0, 0), np.float32)
+    def assign(key: tuple, frame: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        held: dict[int, np.ndarray] = {}  # by length: the centroids, in the order of their numbers
+        numbers: dict[int, list[int]] = {}
         sizes: list[int] = []
-        out: Iterator | list = []
-        for row in frame.itertuples(index=False):
+        out = []
+
+        def seed(v: np.ndarray, size: int) -> None:
+            n, block = len(numbers.setdefault(len(v), [])), held.setdefault(len(v), np.zeros((8, len(v)), np.float32))
+            if n == len(block):
+                held[len(v)] = block = np.concatenate([block, np.zeros_like(block)])
+            block[n] = v
+            numbers[len(v)].append(len(sizes))
+            sizes.append(size)
+
+        for row in known.sort_values("person_id").itertuples(index=False):
+            seed(np.asarray(row.centroid, np.float32), int(row.face_count))
+        for row in frame.sort_values(["record_id", "face_index", "vec_id"], kind="stable").itertuples(index=False):
             v = np.asarray(row.embedding, np.float32)
-            if not sizes:
-                held = np.zeros((8, len(v)), np.float32)
-            scores = held[: len(sizes)].astype(np.float64) @ v.astype(np.float64)
+            own = numbers.get(len(v), [])
+            scores = held[len(v)][: len(own)].astype(np.float64) @ v.astype(np.float64) if own else np.zeros(0)
             best = len(scores) - 1 - int(np.argmax(scores[::-1])) if len(scores) else -1
             if best >= 0 and scores[best] >= threshold:
-                mean = ((held[best].astype(np.float64) * sizes[best] + v) / (sizes[best] + 1)).astype(np.float32)
+                centroid, number = held[len(v)][best], own[best]
+                mean = ((centroid.astype(np.float64) * sizes[number] + v) / (sizes[number] + 1)).astype(np.float32)
                 length = float(np.sqrt((mean.astype(np.float64) ** 2).sum()))
-                held[best] = mean / length if length else mean
-                sizes[best] += 1
-                out.append((row.scope, row.vec_id, best, sizes[best], float(scores[best])))
+                held[len(v)][best] = mean / length if length else mean
+                sizes[number] += 1
+                out.append((key[0], row.vec_id, number, sizes[number], float(scores[best])))
             else:
-                if len(sizes) == len(held):
-                    held = np.concatenate([held, np.zeros_like(held)])
-                held[len(sizes)] = v
-                sizes.append(1)
-                out.append((row.scope, row.vec_id, len(sizes) - 1, 1, None))
+                out.append((key[0], row.vec_id, len(sizes), 1, None))
+                seed(v, 1)
         return pd.DataFrame(out, columns=["scope", "vec_id", "cluster", "size", "score"])
 
-    rows = faces.where("embedding is not null and vec_id is not null").select(F.col(scope).alias("scope"), "record_id", "face_index", "vec_id", "embedding")
+    free = faces.where("person_id is null") if "person_id" in faces.columns else faces
+    rows = free.where("embedding is not null and vec_id is not null").select(F.col(scope).alias("scope"), "record_id", "face_index", "vec_id", "embedding")
     kind = rows.schema["scope"].dataType.simpleString()
-    return rows.groupBy("scope").applyInPandas(assign, f"scope {kind}, vec_id long, cluster long, size long, score double")
+    if roster is None:
+        start = faces.sparkSession.createDataFrame([], f"scope {kind}, person_id string, face_count long, centroid array<float>")
+    else:
+        start = roster.where("centroid is not null").select(F.col(scope).alias("scope"), "person_id", "face_count", F.col("centroid").cast("array<float>").alias("centroid"))
+    return rows.groupBy("scope").cogroup(start.groupBy("scope")).applyInPandas(assign, f"scope {kind}, vec_id long, cluster long, size long, score double")
+
+
+def reclustered(faces: DataFrame, scope: str, threshold: float) -> DataFrame:
+    """All faces assigned anew, from no clusters at all."""
+    return online_clusters(faces.drop("person_id"), scope, threshold)
 
 
 def reconciled(people: DataFrame, faces: DataFrame) -> DataFrame:
@@ -70,7 +90,7 @@ def merged(people: DataFrame, target: str, sources: list[str]) -> DataFrame:
     sums = some.select(F.posexplode("centroid").alias("pos", "x"), weight.alias("w")).groupBy("pos").agg((F.sum(F.col("x").cast("double") * F.col("w")) / F.sum("w")).alias("x"))
     centroid = sums.agg(normalized(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"])).alias("centroid"))
     order = F.struct(F.col("person_id") != target, "person_id")
-    named = F.when(F.trim("name") != "", F.struct(order.alias("o"), "name"))
+    named = F.when(trimmed(F.col("name")) != "", F.struct(order.alias("o"), "name"))
     one = some.agg(F.lit(target).alias("person_id"), F.coalesce(F.min(named)["name"], F.lit("")).alias("name"), F.sum(F.greatest(F.lit(0), F.col("face_count"))).alias("face_count"))
     whole = one.crossJoin(centroid).crossJoin(known).select("person_id", "name", "face_count", "centroid")  # one row each
     rest = people.join(F.broadcast(known), F.lit(True), "left").where(~inside | F.col("known").isNull())
@@ -82,6 +102,13 @@ def repointed(faces: DataFrame, target: str, sources: list[str]) -> DataFrame:
     return faces.withColumn("person_id", F.when(F.col("person_id").isin(sources), target).otherwise(F.col("person_id")))
 
 
+def merged_with_faces(people: DataFrame, faces: DataFrame, target: str, sources: list[str]) -> tuple[DataFrame, DataFrame]:
+    """People and faces after sources went into the target; both as they were if the target is unknown."""
+    if people.where(F.col("person_id") == target).isEmpty():
+        return people.select("person_id", "name", "face_count", "centroid"), faces
+    return merged(people, target, sources), repointed(faces, target, sources)
+
+
 def split_off(people: DataFrame, faces: DataFrame, moved: DataFrame, new_id: str) -> tuple[DataFrame, DataFrame]:
     """People and faces after ``moved`` (record_id, face_index; each counts once) went to a new person.
 
@@ -98,7 +125,7 @@ def split_off(people: DataFrame, faces: DataFrame, moved: DataFrame, new_id: str
 
 
 def renamed(people: DataFrame, person_id: str, name: str) -> DataFrame:
-    return people.withColumn("name", F.when(F.col("person_id") == person_id, name.strip()).otherwise(F.col("name")))
+    return people.withColumn("name", F.when(F.col("person_id") == person_id, trimmed(F.lit(name))).otherwise(F.col("name")))
 
 
 def members(people: DataFrame, faces: DataFrame, extra: list[Column] = []) -> DataFrame:

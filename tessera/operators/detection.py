@@ -1,7 +1,9 @@
-"""Detector post-processing: anchors, boxes, overlap, suppression, similarity fits, as column expressions."""
+"""Detector post-processing: anchors, boxes, overlap, suppression, similarity fits, as column expressions; pixels in Arrow batches."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,13 +24,52 @@ def anchor_grid(spark: SparkSession, side: int = SIDE, strides: tuple[int, ...]
 
 
 def decode_boxes(raw: DataFrame, anchors: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """raw (img, stride, anchor, score, l, t, r, b) with boxes x1, y1, x2, y2, of scores from ``least_score`` on.
+    """raw (img, stride, anchor, score, l, t, r, b, kps) with boxes x1, y1, x2, y2 and ``landmarks``, of scores from ``least_score`` on.
 
-    The anchors are a constant table of 16,800 rows at most.
+    kps are five pairs of distances, landmarks their places. A row beyond the anchors of its stride is an error. The
+    anchors are a constant table of 16,800 rows at most.
     """
     s = F.col("stride")
-    near = raw.where(F.col("score") >= least_score).join(F.broadcast(anchors), ["stride", "anchor"])
-    return near.select("img", "stride", "anchor", "score", *[(F.col(c) + sign * F.col(d) * s).alias(n) for n, c, sign, d in (("x1", "cx", -1, "l"), ("y1", "cy", -1, "t"), ("x2", "cx", 1, "r"), ("y2", "cy", 1, "b"))])
+    near = raw.where(F.col("score") >= least_score).join(F.broadcast(anchors), ["stride", "anchor"], "left")
+    cx = F.when(F.col("cx").isNull(), F.raise_error(F.concat(F.lit("no anchor "), F.col("anchor").cast("string"), F.lit(" at stride "), s.cast("string")))).otherwise(F.col("cx"))
+    near = near.withColumn("cx", cx.cast("double"))
+    marks = F.transform("kps", lambda d, k: F.when(k % 2 == 0, F.col("cx")).otherwise(F.col("cy")) + d * s)
+    own = [c for c in raw.columns if c not in ("stride", "anchor", "score", "l", "t", "r", "b", "kps", "img")]
+    return near.select("img", "stride", "anchor", "score", *[(F.col(c) + sign * F.col(d) * s).alias(n) for n, c, sign, d in (("x1", "cx", -1, "l"), ("y1", "cy", -1, "t"), ("x2", "cx", 1, "r"), ("y2", "cy", 1, "b"))], marks.alias("landmarks"), *own)
+
+
+def detections(raw: DataFrame, anchors: DataFrame, least_score: float = 0.5, threshold: float = 0.4) -> DataFrame:
+    """Decoded boxes of all strides after one suppression across them: img, vec_id, place (from 0)."""
+    return suppressed_boxes(decode_boxes(raw, anchors, least_score), threshold)
+
+
+def tensor_kind(dims: Column, side: int = SIDE) -> dict[str, Column]:
+    """What a detector's output is, by its shape (rows, columns; a leading 1 is dropped): kind and stride, null if unknown."""
+    two = F.when((F.size(dims) == 3) & (F.get(dims, F.lit(0)) == 1), F.slice(dims, 2, 2)).otherwise(dims)
+    fits = F.size(two) == 2
+    rows, wide = F.get(two, F.lit(0)), F.get(two, F.lit(1))
+    kind = F.when(wide == 1, "score").when(wide == 4, "box").when(wide == 10, "landmarks")
+    stride = F.coalesce(*[F.when(rows == (-(-side // s)) ** 2 * ANCHORS, F.lit(s)) for s in STRIDES])
+    return {"kind": F.when(fits, kind), "stride": F.when(fits, stride)}
+
+
+def grouped_heads(tensors: DataFrame) -> DataFrame:
+    """img, stride, score, box, landmarks: the ids of the tensors (img, tensor_id, dims) by stride and kind.
+
+    A tensor of unknown shape and a stride without all three kinds are errors.
+    """
+    known = tensor_kind(F.col("dims"))
+    typed = tensors.select("img", "tensor_id", known["kind"].alias("kind"), known["stride"].alias("stride"))
+    odd = F.when(F.col("kind").isNull() | F.col("stride").isNull(), F.raise_error(F.lit("a tensor of unknown shape"))).otherwise(F.col("kind"))
+    wide = typed.withColumn("kind", odd.cast("string")).groupBy("img", "stride").pivot("kind", ["score", "box", "landmarks"]).agg(F.min("tensor_id"))
+    whole = F.col("score").isNotNull() & F.col("box").isNotNull() & F.col("landmarks").isNotNull()
+    return wide.withColumn("score", F.when(whole, F.col("score")).otherwise(F.raise_error(F.lit("an incomplete stride")).cast("long")))
+
+
+def unletterboxed(boxes: DataFrame, scale: Column) -> DataFrame:
+    """Boxes x1, y1, x2, y2 of the detector's square as x, y, w, h in the picture."""
+    x1, y1, x2, y2 = (F.col(c) / scale for c in ("x1", "y1", "x2", "y2"))
+    return boxes.withColumns({"x": x1, "y": y1, "w": x2 - x1, "h": y2 - y1}).drop("x1", "y1", "x2", "y2")
 
 
 def intersection_over_union(a: Column, b: Column) -> Column:
@@ -76,8 +117,13 @@ def suppressed(boxes: DataFrame, threshold: float = 0.4) -> DataFrame:
     Best score first, ties by vec_id; a box goes if its overlap with a kept one is over the threshold. A group is the
     boxes of one image, as many as a detector has anchors at most.
     """
+    return suppressed_boxes(corners(boxes), threshold)
+
+
+def suppressed_boxes(boxes: DataFrame, threshold: float) -> DataFrame:
+    """``suppressed`` for boxes given as x1, y1, x2, y2."""
     one = F.struct((-F.col("score")).alias("back"), "vec_id", "x1", "y1", "x2", "y2")
-    ordered = corners(boxes).groupBy("img").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    ordered = boxes.groupBy("img").agg(F.array_sort(F.collect_list(one)).alias("all"))
     none = F.filter("all", lambda b: F.lit(False))
     kept = F.aggregate("all", none, lambda acc, b: F.when(F.exists(acc, lambda k: intersection_over_union(k, b) > threshold), acc).otherwise(F.concat(acc, F.array(b))))
     return ordered.select("img", F.posexplode(kept).alias("place", "b")).select("img", F.col("b.vec_id").alias("vec_id"), "place")
@@ -99,6 +145,46 @@ def similarity_fit(points: DataFrame, key: str) -> DataFrame:
     return p.select(key, "a", "b", "c", "d", (F.col("mdx") - F.col("a") * F.col("msx") - F.col("b") * F.col("msy")).alias("tx"), (F.col("mdy") - F.col("c") * F.col("msx") - F.col("d") * F.col("msy")).alias("ty"), "n")
 
 
+def template_fit(landmarks: DataFrame, key: str) -> DataFrame:
+    """``similarity_fit`` that brings five landmarks (key, landmarks: ten numbers) to the places of an upright face."""
+    at = F.array(*[F.struct(F.lit(2 * k).alias("k"), F.lit(x).alias("dx"), F.lit(y).alias("dy")) for k, (x, y) in enumerate(TEMPLATE)])
+    points = landmarks.select(key, "landmarks", F.explode(at).alias("p"))
+    return similarity_fit(points.select(key, F.get("landmarks", F.col("p.k")).alias("sx"), F.get("landmarks", F.col("p.k") + 1).alias("sy"), "p.dx", "p.dy"), key)
+
+
+def warped(images: DataFrame, side: int = 112) -> DataFrame:
+    """id and ``crop``: the square that an affine map takes from an image (id, width, height, rgb, t: from the image to the square).
+
+    Bilinear, pixel centres at halves, edges repeated, rounded to bytes; null if the map has no inverse.
+    """
+
+    @F.pandas_udf("binary")
+    def crop(width: pd.Series, height: pd.Series, rgb: pd.Series, inverse: pd.DataFrame) -> pd.Series:
+        out = []
+        for w, h, raw, a, b, c, d, tx, ty in zip(width, height, rgb, *(inverse[k] for k in ("a", "b", "c", "d", "tx", "ty"))):
+            if raw is None or pd.isna(a):
+                out.append(None)
+                continue
+            pixels = np.frombuffer(raw, np.uint8).reshape(h, w, 3).astype(float)
+            x, y = np.meshgrid(np.arange(side) + 0.5, np.arange(side) + 0.5)
+            sx, sy = a * x + b * y + tx - 0.5, c * x + d * y + ty - 0.5
+            x0, y0 = np.floor(sx), np.floor(sy)
+            fx, fy = (sx - x0)[..., None], (sy - y0)[..., None]
+            at = lambda yy, xx: pixels[np.clip(yy, 0, h - 1).astype(int), np.clip(xx, 0, w - 1).astype(int)]
+            top = at(y0, x0) * (1 - fx) + at(y0, x0 + 1) * fx
+            low = at(y0 + 1, x0) * (1 - fx) + at(y0 + 1, x0 + 1) * fx
+            out.append(np.floor(top * (1 - fy) + low * fy + 0.5).clip(0, 255).astype(np.uint8).tobytes())
+        return pd.Series(out)
+
+    return images.select("id", crop("width", "height", "rgb", inverted(F.col("t"))).alias("crop"))
+
+
+def planes(pixels: Column, mean: float, std: float) -> Column:
+    """An array of interleaved channels (r, g, b, r, ...) as planes of (value - mean) / std."""
+    one = lambda k: F.transform(F.filter(pixels, lambda p, i: i % 3 == k), lambda p: (p - F.lit(mean)) / F.lit(std))
+    return F.concat(one(0), one(1), one(2))
+
+
 def applied(t: Column, x: Column, y: Column) -> tuple[Column, Column]:
     """A point under an affine map with fields a, b, c, d, tx, ty."""
     return t["a"] * x + t["b"] * y + t["tx"], t["c"] * x + t["d"] * y + t["ty"]

@@ -15,10 +15,12 @@ def latest_child(children: DataFrame) -> DataFrame:
 
 
 def display_list(images: DataFrame) -> DataFrame:
-    """Tiles: the newest child of each parent, whatever its kind, and originals without a child; newest first, then by id."""
-    tiles = latest_child(images)
-    bare = images.where("parent_id is null").join(tiles.select(F.col("parent_id").alias("id")), "id", "left_anti").select(*images.columns)
-    return tiles.unionByName(bare).orderBy(F.desc("effective_date"), "id")
+    """Tiles: the newest child of each parent, whatever its kind, and originals without a child; newest first, then by id.
+
+    An original and its children are one group of a single window; children come first there.
+    """
+    order = Window.partitionBy(F.coalesce("parent_id", "id")).orderBy(F.col("parent_id").isNull(), F.desc("created_at"), "id")
+    return images.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n").orderBy(F.desc("effective_date"), "id")
 
 
 def display_list_typed(images: DataFrame, labels: DataFrame, app: str) -> DataFrame:

@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import trimmed
+from tessera.operators.ranges import ranged
 
 MOST_BYTES, MOST_VALUES, MOST_ROWS = 128, 32, 2000
 
 
-def publish_plan(faces: DataFrame, people: DataFrame) -> DataFrame:
-    """record_id, key, values: for each record its names (sorted, the first 32) and the number of its faces."""
+def publish_plan(faces: DataFrame, people: DataFrame, processed: DataFrame | None = None) -> DataFrame:
+    """record_id, key, values: for each record its names (sorted, the first 32) and the number of its faces.
+
+    ``processed`` (record_id): further records; those without faces get two empty sets.
+    """
     name = trimmed(F.col("name"))
     named = people.select("person_id", F.when((F.octet_length(name) <= MOST_BYTES) & (name != ""), name).alias("name"))
     joined = faces.select("record_id", "person_id").join(named, "person_id", "left")
     own = joined.groupBy("record_id").agg(F.slice(F.array_sort(F.collect_set("name")), 1, MOST_VALUES).alias("names"), F.array(F.count("*").cast("string")).alias("counts"))
+    if processed is not None:
+        none = F.array().cast("array<string>")
+        own = own.join(processed.select("record_id").distinct(), "record_id", "full_outer").select("record_id", F.coalesce("names", none).alias("names"), F.coalesce("counts", none).alias("counts"))
     return own.select("record_id", F.expr("stack(2, 'faceCount', counts, 'faces', names) as (key, values)"))
 
 
@@ -43,27 +52,20 @@ def next_fit(costs: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
     return closed[group] + offset, fill[group]
 
 
-def batched(plan: DataFrame, budget: int = MOST_ROWS, prefix: int = 9) -> DataFrame:
+def batched(plan: DataFrame, budget: int = MOST_ROWS, ranges: int | None = None) -> DataFrame:
     """plan with ``batch`` (from 0): next-fit by record_id and key; a write costs its values, at least 1.
 
-    A batch closes when the next write doesn't fit; a write over the budget has a batch of its own. Ranges of
-    record ids (by a prefix) are followed for every filling they may start with, then joined by one row each.
+    A batch closes when the next write doesn't fit; a write over the budget has a batch of its own. Ranges of record ids
+    of nearly equal counts are followed for every filling they may start with. What such a range does to a filling
+    is constant over runs of fillings, of which few are left after some writes; these runs are chained, range by range.
     """
-    rows = plan.withColumn("range", F.substring("record_id", 1, prefix)).withColumn("cost", F.greatest(F.lit(1), F.size("values")))
+    slim = ranged(plan.select("record_id", "key", F.greatest(F.lit(1), F.size("values")).alias("cost")), "record_id", ranges)
 
     def followed(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["record_id", "key"])
         closed, fill = next_fit(frame["cost"].to_numpy(), budget)
-        same = len(np.unique(fill)) == 1 and len(np.unique(closed)) == 1
-        return pd.DataFrame({"range": [frame["range"].iloc[0]], "closed": [closed[:1] if same else closed], "fill": [fill[:1] if same else fill]})
-
-    def chained(frame: pd.DataFrame) -> pd.DataFrame:
-        done, held, out = 0, 0, []
-        for row in frame.sort_values("range").itertuples(index=False):
-            out.append((row.range, done, held))
-            at = min(held, len(row.fill) - 1)
-            done, held = done + int(row.closed[at]), int(row.fill[at])
-        return pd.DataFrame(out, columns=["range", "done", "held"])
+        begins = np.flatnonzero(np.append(True, (np.diff(closed) != 0) | (np.diff(fill) != 0)))
+        return pd.DataFrame({"range": frame["range"].iloc[0], "from": begins, "closed": closed[begins], "fill": fill[begins]})
 
     def placed(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["record_id", "key"])
@@ -75,9 +77,15 @@ def batched(plan: DataFrame, budget: int = MOST_ROWS, prefix: int = 9) -> DataFr
             fill += c
         return pd.DataFrame({"record_id": frame["record_id"], "key": frame["key"], "batch": out})
 
-    slim = rows.select("range", "record_id", "key", "cost")
-    starts = slim.groupBy("range").applyInPandas(followed, "range string, closed array<long>, fill array<long>").withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(chained, "range string, done long, held long")
-    numbered = slim.join(starts, "range").groupBy("range").applyInPandas(placed, "record_id string, key string, batch long")
+    # a few runs for each range, and as many ranges as a shuffle has partitions: bounded, whatever the plan's size
+    runs = sorted(slim.groupBy("range").applyInPandas(followed, "range int, from int, closed long, fill long").collect())
+    starts, done, held = [], 0, 0
+    for number, own in groupby(runs, key=lambda r: r["range"]):
+        starts.append((number, done, held))
+        last = [r for r in own if r["from"] <= min(held, budget)][-1]
+        done, held = done + last["closed"], last["fill"]
+    begin = F.broadcast(plan.sparkSession.createDataFrame(starts, "range int, done long, held long"))
+    numbered = slim.join(begin, "range").groupBy("range").applyInPandas(placed, "record_id string, key string, batch long")
     return plan.join(numbered, ["record_id", "key"])
 
 

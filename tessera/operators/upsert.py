@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import content_key
+from tessera.functions.scalars import content_key, crop_rectangle, utf16_units
 
 MOST_CAPTION = 2000
 
@@ -24,9 +24,9 @@ def upserted(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
 def patched(existing: DataFrame, patches: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """existing after patches: a column c changes only where ``has_c`` is true; rows of unknown keys are added.
 
-    Empty texts become null; a patch with a text of over 2000 characters is refused whole.
+    Empty texts become null; a patch with a text of over 2000 UTF-16 units is refused whole.
     """
-    fits = [F.coalesce(~F.col(f"has_{c}") | (F.length(c) <= MOST_CAPTION), F.lit(True)) for c in columns]
+    fits = [F.coalesce(~F.col(f"has_{c}") | (utf16_units(F.col(c)) <= MOST_CAPTION), F.lit(True)) for c in columns]
     good = patches
     for f in fits:
         good = good.where(f)
@@ -52,6 +52,20 @@ def thumbnails_due(kinds: DataFrame) -> DataFrame:
     return kinds.where("kind is null or kind <> 'thumbnail'").join(has, "id", "left_anti").select(F.col("id").alias("target_id"), F.concat(F.lit("thumb-"), "id").alias("thumbnail_id"))
 
 
+def crop_records(boxes: DataFrame, width: Column, height: Column, app: str) -> DataFrame:
+    """A new record for each box (record_id, face_index, x, y, w, h): its id, parent, type, label, and size as metadata."""
+    r = crop_rectangle(*[F.col(c) for c in "xywh"], width, height)
+    return boxes.select(
+        F.concat(F.lit("crop-"), "record_id", F.lit("-"), F.col("face_index").cast("string")).alias("id"),
+        F.col("record_id").alias("parent_id"),
+        F.lit("image/jpeg").alias("type"),
+        F.lit(app).alias("app_id"),
+        F.lit("crop").alias("key"),
+        r["width"].alias("width"),
+        r["height"].alias("height"),
+    )
+
+
 def metadata_writes(metadata: DataFrame, columns: list[str]) -> DataFrame:
     """record_id, field, value: the fields that aren't null; rows without any aren't written."""
     pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns])

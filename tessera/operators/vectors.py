@@ -34,32 +34,43 @@ def mean_vectors(vectors: DataFrame, key: str) -> DataFrame:
     return whole.select(key, "n", normalized(F.col("mean")).alias("centroid"))
 
 
+def met_with_blocks(rows: DataFrame, entries: DataFrame, key: str, entry: Column, n_bytes: int, n: int, salts: int) -> DataFrame:
+    """rows (with an id in ``key``) beside every block of entries, as the array ``entries``.
+
+    Blocks are broadcast only if they are known to take no more than ``BROADCAST_BYTES``; else rows meet them by a salted
+    join. So a row meets blocks, not entries, and none of them is a cross join.
+    """
+    blocks = max(1, -(-n // ROSTER_BLOCK))
+    held = entries.select(F.pmod(F.xxhash64(entry), F.lit(blocks)).alias("block"), entry.alias("entry")).groupBy("block").agg(F.collect_list("entry").alias("entries"))
+    asked = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    if n_bytes <= BROADCAST_BYTES:
+        return asked.join(F.broadcast(held), "block")
+    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    return asked.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).join(held.withColumn("salt", salt), ["block", "salt"])
+
+
 def best_match(vectors: DataFrame, roster: DataFrame, threshold: float, salts: int = 64) -> DataFrame:
     """vec_id, person_id, score: the best roster entry (person_id, centroid) of each vector, from ``threshold`` on.
 
-    Of equal scores the greater person_id wins. The roster goes in blocks; it is broadcast only if it is known to
-    take no more than ``BROADCAST_BYTES``, else vectors meet its blocks by a salted join.
+    Of equal scores the greater person_id wins; entries of another length don't count.
     """
     n, wide = roster.agg(F.count("*"), F.coalesce(F.max(F.size("centroid")), F.lit(0))).first()
-    blocks = max(1, -(-n // ROSTER_BLOCK))
-    held = roster.select(F.pmod(F.xxhash64("person_id"), F.lit(blocks)).alias("block"), F.struct("person_id", F.col("centroid").cast("array<double>").alias("centroid")).alias("entry")).groupBy("block").agg(F.collect_list("entry").alias("entries"))
-    asked = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    if n * wide * 8 <= BROADCAST_BYTES:
-        met = asked.join(F.broadcast(held), "block")
-    else:
-        salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        met = asked.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int")).join(held.withColumn("salt", salt), ["block", "salt"])
+    entry = F.struct("person_id", F.col("centroid").cast("array<double>").alias("centroid"))
+    asked = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    met = met_with_blocks(asked, roster, "vec_id", entry, n * wide * 8, n, salts)
     scored = F.array_max(F.transform("entries", lambda e: F.struct(dot(F.col("v"), e["centroid"]).alias("score"), e["person_id"].alias("person_id"))))
     best = met.select("vec_id", scored.alias("m")).groupBy("vec_id").agg(F.max("m").alias("m"))
     return best.where(F.col("m.score") >= threshold).select("vec_id", "m.person_id", "m.score")
 
 
-def matches_over(vectors: DataFrame, is_query: Column, threshold: float) -> DataFrame:
+def matches_over(vectors: DataFrame, is_query: Column, threshold: float, salts: int = 64) -> DataFrame:
     """query_id, vec_id, score: for a stated set of queries, all other rows of at least this similarity."""
-    queries = vectors.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    blocks = queries.groupBy(F.floor(F.col("query_id") / 10_000).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
-    met = vectors.select("vec_id", "embedding").crossJoin(blocks)  # rows by blocks of queries, not by rows
-    hits = F.transform("queries", lambda e: F.struct(e["query_id"].alias("query_id"), dot(F.col("embedding"), e["q"]).alias("score")))
+    queries = vectors.where(is_query)
+    n, wide = queries.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    entry = F.struct(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    met = met_with_blocks(rows, queries, "vec_id", entry, n * wide * 8, n, salts)
+    hits = F.transform("entries", lambda e: F.struct(e["query_id"].alias("query_id"), dot(F.col("v"), e["q"]).alias("score")))
     own = F.filter(hits, lambda h: (h["score"] >= threshold) & (h["query_id"] != F.col("vec_id")))
     return met.select("vec_id", F.explode(own).alias("h")).select("h.query_id", "vec_id", "h.score")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars as fn
 from tessera.operators import catalog, clustering, detection, gallery, publish, store, upsert, vectors
 from tessera.sources import adapters as src
+from tessera.sources import sidecars as files
 from tessera.streaming import freshness
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +41,11 @@ def roster(spark: SparkSession, d: str) -> DataFrame:
     return src.people(spark, d).join(means, "person_id").select("person_id", "name", "face_count", "centroid")
 
 
+def spelt(people: DataFrame, *columns: str) -> DataFrame:
+    """People with a row for each component of their centroids."""
+    return people.select(*columns, F.posexplode("centroid").alias("pos", "x")).withColumn("x", F.round("x", 5))
+
+
 TILE = ("id", "parent_id", "effective_date", "width", "height")
 
 
@@ -191,7 +197,7 @@ def upsert_merge(spark, d):
 @query
 def partial_upsert(spark, d):
     k = F.col("doc_id")
-    patches = src.table(spark, d, "documents").where(k % 7 == 0).select(src.rid("doc_id").alias("record_id"), F.when(k % 2 == 0, F.concat(F.lit("new "), k.cast("string"))).otherwise("").alias("caption"), (k % 3 != 0).alias("has_caption"), F.lit(None).cast("string").alias("date_taken_override"), (k % 5 == 0).alias("has_date_taken_override"))
+    patches = src.table(spark, d, "documents").where(k % 7 == 0).select(src.rid("doc_id").alias("record_id"), F.when(k % 11 == 0, F.repeat(F.lit("x"), (F.lit(2000) + k % 2).cast("int"))).when(k % 2 == 0, F.concat(F.lit("new "), k.cast("string"))).otherwise("").alias("caption"), (k % 3 != 0).alias("has_caption"), F.lit(None).cast("string").alias("date_taken_override"), (k % 5 == 0).alias("has_date_taken_override"))
     return upsert.patched(src.enriched(spark, d), patches, "record_id", ["caption", "date_taken_override"])
 
 
@@ -220,6 +226,136 @@ def delete_records(spark, d):
     return upsert.deleted(src.records(spark, d), scan_set(spark, d)).select("id")
 
 
+@query
+def app_row(spark, d):
+    return catalog.app_row(src.enriched(spark, d), "rec-00000056")
+
+
+def app_image_rows(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.app_images(src.listed(spark, d), src.labels(spark, d), src.metadata(spark, d), src.camera(spark, d), src.enriched(spark, d), APP)
+
+
+@query
+def app_images(spark, d):
+    return app_image_rows(spark, d).select("*", "exif.*").drop("exif")
+
+
+@query
+def info_panel(spark, d):
+    return catalog.info_panel(app_image_rows(spark, d))
+
+
+@query
+def requested_urls(spark, d):
+    return catalog.requested(src.records(spark, d), src.faces(spark, d).select(F.col("record_id").alias("id"))).select("id", fn.content_key(F.col("type"), F.col("content_hash")).alias("object_key"))
+
+
+@query
+def crop_records(spark, d):
+    return upsert.crop_records(src.faces(spark, d), F.lit(640).cast("long"), F.lit(420).cast("long"), APP)
+
+
+@query
+def slot_guards(spark, d):
+    k = F.col("doc_id")
+    kind = F.element_at(F.array(*map(F.lit, ("image/png", "image/svg+xml", "image/gif; q=1", "text/x", "", " image/webp "))), (k % 6 + 1).cast("int"))
+    slot = F.when(k % 4 < 2, "cover").otherwise("style-graphic")
+    return src.records(spark, d).select("id", slot.alias("slot"), fn.slot_refusal(slot, F.when(k % 9 == 0, 0).otherwise(k * 25_000), kind).alias("refused"))
+
+
+@query
+def sidecar_reads(spark, d):
+    read = files.parsed(src.sidecar_bodies(spark, d))
+    return read.select("record_id", "v", "model", F.size("faces").cast("long").alias("n_faces"), store.is_current(F.col("v"), F.col("model")).alias("current"))
+
+
+@query
+def sidecar_status(spark, d):
+    return store.files_status(files.parsed(src.sidecar_bodies(spark, d)))
+
+
+@query
+def sidecar_pending(spark, d):
+    return store.pending_files(scan_set(spark, d), files.parsed(src.sidecar_bodies(spark, d))).select("id")
+
+
+@query
+def sidecar_publish_plan(spark, d):
+    done = files.parsed(src.sidecar_bodies(spark, d)).where(store.is_current(F.col("v"), F.col("model")))
+    found = done.select("record_id", F.explode("faces").alias("f")).select("record_id", F.col("f.personId").alias("person_id"))
+    return publish.publish_plan(found, src.people(spark, d), done).select("record_id", "key", F.array_join("values", "|").alias("shown"), F.size("values").cast("long").alias("n_values"))
+
+
+def model_files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Expected files and those on disk, some of them cut short or missing."""
+    k = F.col("p_partkey")
+    expected = src.table(spark, d, "part").select(F.concat(F.lit("model-"), k.cast("string")).alias("name"), F.col("p_size").cast("long").alias("size"), "p_partkey")
+    return expected, expected.where(k % 15 != 0).withColumn("size", F.when(k % 10 == 0, F.col("size") - 1).otherwise(F.col("size")))
+
+
+@query
+def missing_models(spark, d):
+    return store.missing_files(*model_files(spark, d)).select("name", "size")
+
+
+@query
+def model_totals(spark, d):
+    expected, found = model_files(spark, d)
+    return store.file_totals(expected, store.missing_files(expected, found))
+
+
+@query
+def verified_files(spark, d):
+    k = F.col("doc_id")
+    given = src.table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"), F.sha2(F.when(k % 3 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("sha256"))
+    return store.verified(given).select("doc_id")
+
+
+@query
+def enabled_tasks(spark, d):
+    tasks = src.table(spark, d, "region").select(F.col("r_name").alias("task"), "r_regionkey")
+    return store.enabled_tasks(tasks, tasks.select("task", (F.col("r_regionkey") % 2 == 0).alias("enabled")))
+
+
+@query
+def manifest_keys(spark, d):
+    k = F.col("doc_id")
+    return store.key_differences(src.records(spark, d).where(k % 3 > 0).select(F.col("id").alias("key")), src.records(spark, d).where(k % 5 > 0).select(F.col("id").alias("key")))
+
+
+@query
+def isolated_failures(spark, d):
+    k = F.col("doc_id")
+    text = F.when(k % 8 == 0, F.concat(F.lit("bad "), F.col("created_at"))).otherwise(F.substring("created_at", 1, 10))
+    return store.isolated(src.records(spark, d).select("id", text.alias("text")), F.try_to_date("text", "yyyy-MM-dd"), "day").select("id", "day", "failed")
+
+
+@query
+def exif_coercion(spark, d):
+    k = F.col("event_id")
+    text = F.when(k % 4 == 0, "").when(k % 4 == 1, F.col("event_type"))
+    number = F.when(k % 5 == 0, F.lit(float("nan"))).when(k % 5 == 1, F.lit(float("-inf"))).when(k % 5 > 2, F.col("value"))
+    return src.changes(spark, d).select("event_id", fn.text_or_null(text).alias("make"), fn.number_or_null(number).alias("iso"))
+
+
+@query
+def version_checks(spark, d):
+    k = F.col("p_partkey")
+    version = F.concat((k % 3).cast("string"), F.lit("."), (k % 13).cast("string"), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("."), (k % 5).cast("string"))), F.when(k % 6 == 0, "-rc.9").otherwise(""))
+    given = F.element_at(F.array(*map(F.lit, ("^1.2.3", ">= 1.10.0", "1.2.2", "latest", " ~2.0.1 "))), (k % 5 + 1).cast("int"))
+    floor = fn.range_floor(given)
+    return src.table(spark, d, "part").select("p_partkey", floor.alias("floor"), F.when(floor.isNotNull(), fn.version_struct(version) < fn.version_struct(floor)).alias("older"))
+
+
+@query
+def merged_config(spark, d):
+    k = F.col("event_id")
+    patch = F.element_at(F.array(*map(F.lit, (
+        '{"faces":{"enabled":false,"threshold":0.5}}', '{"faces":{"enabled":"no","threshold":2,"publishLabels":true}}', '{"faces":{"threshold":"0.5","publishLabels":1}}', '{"faces":[1]}', "{}", "oops", '{"faces":{"threshold":-1e300,"enabled":null}}',
+    ))), (k % 7 + 1).cast("int"))
+    return src.changes(spark, d).select("event_id", *[c.alias(n) for n, c in fn.merged_config(patch, {"enabled": True, "threshold": 0.45, "publish": False}).items()])
+
+
 def plan(spark: SparkSession, d: str) -> DataFrame:
     return publish.publish_plan(store.current(src.faces(spark, d)), src.people(spark, d))
 
@@ -265,7 +401,8 @@ def vector_best_match(spark, d):
 
 @query
 def vector_norms(spark, d):
-    return src.table(spark, d, "embeddings").select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"), F.round(vectors.normalized(F.col("embedding"))[0], 6).alias("first"))
+    unit = F.posexplode(vectors.normalized(F.col("embedding"))).alias("pos", "x")
+    return src.table(spark, d, "embeddings").select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"), unit).withColumn("x", F.round("x", 6))
 
 
 @query
@@ -276,18 +413,20 @@ def centroid_by_label(spark, d):
 
 @query
 def base64_roundtrip(spark, d):
-    back = vectors.decode_base64(vectors.encode_base64(src.table(spark, d, "embeddings")))
-    return back.select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"))
+    wires = vectors.encode_base64(src.table(spark, d, "embeddings"))
+    cut = F.when(F.col("vec_id") % 50 == 0, F.lit("AAAA")).when(F.col("vec_id") % 50 == 1, F.lit("?")).otherwise(F.col("wire"))  # three bytes, and no base64
+    back = vectors.decode_base64(wires.withColumn("wire", cut))
+    return back.select("vec_id", F.posexplode_outer("embedding").alias("pos", "x"))
 
 
 @query
 def online_clusters(spark, d):
-    return clustering.online_clusters(src.faces(spark, d), "img", 0.3).withColumn("score", F.round("score", 5))
+    return clustering.online_clusters(src.faces(spark, d).drop("person_id"), "img", 0.3).withColumn("score", F.round("score", 5))
 
 
 @query
 def people_ranked(spark, d):
-    return clustering.members(src.people(spark, d), src.faces(spark, d).where("vec_id % 3 > 0"))
+    return clustering.members(src.people(spark, d), src.faces(spark, d))
 
 
 @query
@@ -305,20 +444,39 @@ def face_projection(spark, d):
 @query
 def merge_people(spark, d):
     done = clustering.merged(roster(spark, d), "1", ["2", "5", "none"])
-    return done.select("person_id", "name", "face_count", F.round(F.col("centroid")[0], 5).alias("first"))
+    return spelt(done, "person_id", "name", "face_count")
 
 
 @query
 def split_people(spark, d):
     gone = src.faces(spark, d).where("vec_id % 4 = 0").select("record_id", "face_index")
     people, _ = clustering.split_off(roster(spark, d), src.faces(spark, d), gone, "new")
-    return people.select("person_id", "face_count", F.round(F.col("centroid")[0], 5).alias("first"))
+    return spelt(people, "person_id", "face_count")
+
+
+@query
+def split_faces(spark, d):
+    gone = src.faces(spark, d).where("vec_id % 4 = 0").select("record_id", "face_index")
+    _, faces = clustering.split_off(roster(spark, d), src.faces(spark, d), gone, "new")
+    return faces.select("vec_id", "person_id")
+
+
+@query
+def merge_people_faces(spark, d):
+    _, faces = clustering.merged_with_faces(roster(spark, d), src.faces(spark, d), "1", ["2", "5", "none"])
+    return faces.select("vec_id", "person_id")
+
+
+@query
+def recluster_all(spark, d):
+    found = clustering.reclustered(src.faces(spark, d), "img", 0.2)
+    return found.groupBy("scope").agg(F.count("*").alias("n"), F.countDistinct("cluster").alias("clusters"))
 
 
 @query
 def reconcile_people(spark, d):
     kept = src.faces(spark, d).where("person_id <> '3' and v = 1")
-    return clustering.reconciled(src.people(spark, d), kept).select("person_id", "face_count", F.round(F.col("centroid")[0], 5).alias("first"))
+    return spelt(clustering.reconciled(src.people(spark, d), kept), "person_id", "face_count")
 
 
 @query
@@ -333,12 +491,63 @@ def anchor_grid(spark, d):
 
 def raw_boxes(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("vec_id")
-    return src.faces(spark, d).select("img", F.lit(16).alias("stride"), (k * 7 % 3200).alias("anchor"), "score", *[(k % n / 2).cast("double").alias(c) for c, n in (("l", 5), ("t", 7), ("r", 3), ("b", 4))])
+    stride = F.element_at(F.array(*map(F.lit, detection.STRIDES)), (k % 3 + 1).cast("int"))
+    distances = [(k % n / 2).cast("double").alias(c) for c, n in (("l", 5), ("t", 7), ("r", 3), ("b", 4))]
+    kps = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: ((k + i) % 9 - 4) / 4.0)
+    return src.faces(spark, d).select("img", "vec_id", stride.alias("stride"), (k * 7 % 800).alias("anchor"), "score", *distances, kps.alias("kps"))
 
 
 @query
 def decode_boxes(spark, d):
-    return detection.decode_boxes(raw_boxes(spark, d), detection.anchor_grid(spark), 0.6)
+    found = detection.decode_boxes(raw_boxes(spark, d), detection.anchor_grid(spark), 0.6)
+    return found.select("img", "stride", "anchor", "score", "x1", "y1", "x2", "y2", F.array_join(F.transform("landmarks", lambda x: x.cast("int").cast("string")), ",").alias("landmarks"))
+
+
+@query
+def detect_faces(spark, d):
+    return detection.detections(raw_boxes(spark, d), detection.anchor_grid(spark), 0.6, 0.1)
+
+
+def tensors(spark: SparkSession, d: str) -> DataFrame:
+    """Outputs of a detector for each nation: three kinds at three strides, some with a leading 1."""
+    k, shape = F.col("n_nationkey"), F.explode(F.array(*[F.struct(F.lit(2 * (640 // s) ** 2).alias("rows"), F.lit(w).alias("wide")) for s in (32, 8, 16) for w in (10, 1, 4)]))
+    made = src.table(spark, d, "nation").select(k.alias("img"), shape.alias("s"))
+    dims = F.when(F.col("img") % 2 == 0, F.array("s.rows", "s.wide")).otherwise(F.array(F.lit(1), F.col("s.rows"), F.col("s.wide")))
+    return made.select("img", (F.col("s.rows") * 100 + F.col("s.wide")).cast("long").alias("tensor_id"), dims.alias("dims"))
+
+
+@query
+def tensor_kinds(spark, d):
+    odd = src.table(spark, d, "region").select(F.col("r_regionkey").alias("img"), F.lit(0).cast("long").alias("tensor_id"), F.array(F.lit(77), F.lit(3)).alias("dims"))
+    known = detection.tensor_kind(F.col("dims"))
+    return tensors(spark, d).unionByName(odd).select("img", "tensor_id", known["kind"].alias("kind"), known["stride"].alias("stride"))
+
+
+@query
+def grouped_heads(spark, d):
+    return detection.grouped_heads(tensors(spark, d))
+
+
+@query
+def unletterboxed(spark, d):
+    boxes = detection.decode_boxes(raw_boxes(spark, d), detection.anchor_grid(spark), 0.6)
+    wide = F.col("vec_id") % 5 * 100 + 640
+    back = detection.unletterboxed(boxes, fn.letterbox_scale(wide, F.lit(480)))
+    return back.select("vec_id", *[F.round(c, 6).alias(c) for c in "xywh"])
+
+
+@query
+def template_fit(spark, d):
+    k = F.col("vec_id")
+    upright = F.transform(F.array(*[F.lit(v) for point in detection.TEMPLATE for v in point]), lambda v, i: v * (k % 3 + 1) + F.when(i % 2 == 0, k % 7).otherwise(k % 5))
+    marks = src.faces(spark, d).select("vec_id", upright.alias("landmarks"))
+    return detection.template_fit(marks, "vec_id").select("vec_id", "n", *[F.round(c, 5).alias(c) for c in ("a", "b", "c", "d", "tx", "ty")])
+
+
+@query
+def pixel_planes(spark, d):
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: ((F.col("n_nationkey") * 31 + i * 17) % 256).cast("double"))
+    return src.table(spark, d, "nation").select("n_nationkey", F.posexplode(detection.planes(pixels, 127.5, 128.0)).alias("pos", "x"))
 
 
 @query
@@ -362,9 +571,9 @@ def umeyama_fit(spark, d):
 def affine_roundtrip(spark, d):
     t = F.struct(*[F.lit(v).alias(n) for n, v in (("a", 2.0), ("b", -0.5), ("c", 0.5), ("d", 2.0), ("tx", 3.0), ("ty", -1.0))])
     both = src.faces(spark, d).select("vec_id", "x", "y", t.alias("t")).withColumn("i", detection.inverted(F.col("t")))
-    x, y = detection.applied(F.col("t"), F.col("x"), F.col("y"))
-    x, y = detection.applied(F.col("i"), x, y)
-    return both.select("vec_id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+    u, v = detection.applied(F.col("i"), F.col("x"), F.col("y"))
+    x, y = detection.applied(F.col("i"), *detection.applied(F.col("t"), F.col("x"), F.col("y")))
+    return both.select("vec_id", *[F.round(c, 6).alias(n) for n, c in (("u", u), ("v", v), ("x", x), ("y", y))])
 
 
 @query

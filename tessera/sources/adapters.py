@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.store import MODEL
+
 APP = "gallery"
 
 
@@ -71,6 +73,37 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """records with what a listing may leave out: mime_type and original_filename."""
+    d = F.col("doc_id")
+    return records(spark, sf_dir).withColumns({"mime_type": F.when(d % 6 != 0, F.col("type")), "original_filename": F.when(d % 9 != 0, F.col("filename"))})
+
+
+def camera(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """record_id, camera_make, camera_model, f_number, exposure_time, iso, lens_model, gps_lat, gps_lon."""
+    d = F.col("doc_id")
+    return table(spark, sf_dir, "documents").where(d % 5 != 0).select(
+        rid("doc_id").alias("record_id"),
+        F.when(d % 4 == 0, "").when(d % 4 != 3, F.concat(F.lit(" Maker "), (d % 3).cast("string"))).alias("camera_make"),
+        F.when(d % 3 != 0, F.concat(F.lit("M"), (d % 7).cast("string"), F.lit(" "))).alias("camera_model"),
+        F.when(d % 2 == 0, (d % 9).cast("double") / 2 + 1).alias("f_number"),
+        F.when(d % 8 != 1, F.concat(F.lit("1/"), (d % 500 + 1).cast("string"), F.lit("s"))).alias("exposure_time"),
+        F.when(d % 11 != 0, (d % 40 * 100).cast("int")).alias("iso"),
+        F.when(d % 13 == 0, "wide").alias("lens_model"),
+        F.when(d % 3 == 1, (d % 180).cast("double") - 90 + 0.125).alias("gps_lat"),
+        F.when(d % 6 != 4, (d % 360).cast("double") - 180.0625).alias("gps_lon"),
+    )
+
+
+def sidecar_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """record_id and body: JSON side files, current and stale ones, without faces, and such that can't be read."""
+    d = F.col("doc_id")
+    face = F.concat(F.lit('{"score":0.5,"personId":"'), (d % 10).cast("string"), F.lit('"}'))
+    head = F.concat(F.lit('{"v":'), F.when(d % 14 == 0, "0").otherwise("1"), F.lit(',"model":"'), F.when(d % 21 == 0, "other").otherwise(MODEL), F.lit('","faces":'))
+    body = F.when(d % 7 == 1, F.lit("not json")).when(d % 7 == 2, F.lit('{"v":1,"faces":{}}')).when(d % 7 == 3, F.concat(head, F.lit("[]}"))).when(d % 7 == 4, F.concat(head, F.lit("["), face, F.lit(","), face, F.lit("]}"))).otherwise(F.concat(head, F.lit("["), face, F.lit("]}")))
+    return table(spark, sf_dir, "documents").where(d % 2 == 0).select(rid("doc_id").alias("record_id"), body.alias("body"))
+
+
 def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections: vec_id, record_id, face_index, v, score, x, y, w, h, img, person_id, embedding."""
     k = F.col("vec_id")
@@ -115,6 +148,13 @@ SQL = {
   CASE WHEN doc_id % 16 = 11 THEN 'roll/.hidden' ELSE 'roll.1/img-' || doc_id || (['.JPG', '.png', '.heic', '', '.', '.tar.gz', '.webp', '.bmp'])[doc_id % 8 + 1] END AS filename,
   CASE WHEN doc_id % 7 = 0 THEN 'image/png' WHEN doc_id % 11 = 0 THEN 'video/mp4' ELSE 'image/jpeg' END AS type
   FROM documents)""",
+    "listed": """listed AS (SELECT *, CASE WHEN doc_id % 6 <> 0 THEN type END AS mime_type, CASE WHEN doc_id % 9 <> 0 THEN filename END AS original_filename FROM records)""",
+    "camera": """camera AS (SELECT 'rec-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS record_id, CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 <> 3 THEN ' Maker ' || (doc_id % 3) END AS camera_make,
+  CASE WHEN doc_id % 3 <> 0 THEN 'M' || (doc_id % 7) || ' ' END AS camera_model, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 9 AS DOUBLE) / 2 + 1 END AS f_number, CASE WHEN doc_id % 8 <> 1 THEN '1/' || (doc_id % 500 + 1) || 's' END AS exposure_time,
+  CASE WHEN doc_id % 11 <> 0 THEN CAST(doc_id % 40 * 100 AS INTEGER) END AS iso, CASE WHEN doc_id % 13 = 0 THEN 'wide' END AS lens_model,
+  CASE WHEN doc_id % 3 = 1 THEN CAST(doc_id % 180 AS DOUBLE) - 90 + 0.125 END AS gps_lat, CASE WHEN doc_id % 6 <> 4 THEN CAST(doc_id % 360 AS DOUBLE) - 180.0625 END AS gps_lon FROM documents WHERE doc_id % 5 <> 0)""",
+    "sidecars": f"""sidecars AS (SELECT 'rec-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS record_id, doc_id, CASE WHEN doc_id % 14 = 0 THEN 0 ELSE 1 END AS v, CASE WHEN doc_id % 21 = 0 THEN 'other' ELSE '{MODEL}' END AS model,
+  CASE doc_id % 7 WHEN 3 THEN 0 WHEN 4 THEN 2 ELSE 1 END AS n_faces, CAST(doc_id % 10 AS VARCHAR) AS person_id FROM documents WHERE doc_id % 2 = 0 AND doc_id % 7 NOT IN (1, 2))""",
     "rlabels": """rlabels AS (SELECT 'rec-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS record_id, app_id, key, value FROM (
   SELECT doc_id, 'gallery' AS app_id, CASE WHEN doc_id % 4 = 1 THEN 'thumbnail' ELSE 'crop' END AS key, '' AS value FROM documents WHERE doc_id % 4 IN (1, 2) AND doc_id % 20 <> 9
   UNION ALL SELECT doc_id, 'gallery', 'crop', '' FROM documents WHERE doc_id % 16 = 3

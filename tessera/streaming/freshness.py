@@ -5,15 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.upsert import latest
 
+BUCKETS = 64  #: of a snapshot, by the hash of the id
+
 
 def folder(spark: SparkSession, what: str) -> str:
-    """A new place in the folder that the cluster shares; where none is named (tests), a local one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+    """A new place in the folder that the cluster shares (spark.checkpoint.dir); a local master may do without one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
     return f"{shared.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -27,26 +34,41 @@ def newest(changes: DataFrame) -> DataFrame:
     return latest(changes, "id", [F.desc("ts"), F.desc("event_id")])
 
 
-def fresh_snapshot(changes: DataFrame, place: str) -> DataFrame:
-    """Run the stream over what is there; each micro-batch is merged into the snapshot and a new one is written.
+def fresh_snapshot(changes: DataFrame, place: str, buckets: int = BUCKETS) -> DataFrame:
+    """Run the stream over what is there; each micro-batch is merged into the buckets of the snapshot that it touches.
 
-    A snapshot is a folder named by its batch, so that a batch that is run again writes the same one.
+    A batch writes its buckets under its own number, and a list of them. A bucket's last batch holds its rows. So a batch that
+    is run again writes the same, and buckets that it doesn't touch aren't read or written.
     """
     spark = changes.sparkSession
+    kind = changes.schema
+    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+
+    def held(below: int = 1 << 31) -> dict[int, int]:
+        try:
+            lists = spark.read.parquet(f"{place}/lists")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return {}
+        return {r["bucket"]: r["batch"] for r in lists.where(F.col("batch") < below).groupBy("bucket").agg(F.max("batch").alias("batch")).collect()}
+
+    def read(which: dict[int, int]) -> DataFrame:
+        if not which:
+            return spark.createDataFrame([], kind)
+        return spark.read.schema(kind).parquet(*[f"{place}/batch-{b}/bucket={k}" for k, b in sorted(which.items())])
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = newest(batch)
-        if number:
-            new = newest(spark.read.parquet(f"{place}/snapshot-{number - 1}").unionByName(new))
-        new.write.mode("overwrite").parquet(f"{place}/snapshot-{number}")
+        own = batch.withColumn("bucket", bucket).persist()
+        touched = [r["bucket"] for r in own.select("bucket").distinct().collect()]  # ``buckets`` at most
+        old = read({k: b for k, b in held(number).items() if k in touched}).withColumn("bucket", bucket)
+        newest(old.unionByName(own)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{place}/batch-{number}")
+        spark.createDataFrame([(k, number) for k in touched], "bucket int, batch int").coalesce(1).write.mode("overwrite").parquet(f"{place}/lists/number={number}")
+        own.unpersist()
 
     query = changes.writeStream.foreachBatch(merge).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress
-    number = last["batchId"] if last else 0
-    if last and not last["numInputRows"] and number:
-        number -= 1
-    return spark.read.parquet(f"{place}/snapshot-{number}")
+    return read(held())
 
 
 def since(changes: DataFrame, cursor) -> DataFrame:
