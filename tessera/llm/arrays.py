@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+KNOWN_BYTES = 8 << 20  #: of strings that a worker remembers (``Known``), each with 16 bytes besides
+LONGEST = 64  #: bytes of a string that is remembered for long
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
 
@@ -44,6 +46,15 @@ def powers(n: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def texts_of(batch: pa.RecordBatch, inside: int | None) -> pa.Array:
+    """The texts of a batch: its second column, or the field ``inside`` of its first one, a whole row as a struct."""
+    return batch.column(1) if inside is None else pc.struct_field(batch.column(0), [inside])
+
+
+def place_of_text(columns: list[str]) -> int:
+    return [c.lower() for c in columns].index("text")
+
+
 @dataclass
 class Texts:
     """Some whole texts: rows ``lo`` to ``hi`` of the batch, their bytes and their offsets in these."""
@@ -140,3 +151,47 @@ def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The sum of values[first[i]:first[i+1]] for each text."""
     total = np.concatenate([[0], np.cumsum(values)])
     return total[first[1:]] - total[first[:-1]]
+
+
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], ..., begin[0] + size[0] - 1, begin[1], ..."""
+    total = np.cumsum(size)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(begin - (total - size), size)
+
+
+def text_batches(column: pa.Array, limit: int) -> Iterator[tuple[int, pa.Array]]:
+    """Whole texts of a column, about ``limit`` bytes at a time, and the number of the first; null is ''."""
+    column = pc.fill_null(one_array(column), "").cast(pa.large_string())
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right")))
+        yield lo, column.slice(lo, hi - lo)
+        lo = hi
+
+
+class Known:
+    """Strings with a number each, and how often each was asked for."""
+
+    def __init__(self) -> None:
+        self.strings, self.uses = pa.array([""], pa.large_string()), np.zeros(1, np.int64)
+
+    def find(self, asked: pa.Array) -> np.ndarray:
+        """The number of each string, -1 where it isn't known."""
+        return pc.fill_null(pc.index_in(asked, value_set=self.strings), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def add(self, more: pa.Array) -> None:
+        self.strings = pa.concat_arrays([self.strings, more])
+        self.uses = np.append(self.uses, np.zeros(len(more), np.int64))
+
+    def often(self) -> np.ndarray:
+        """Numbers of those to keep when there are too many: the most used, up to half of the bytes; '' is number 0."""
+        size = pc.binary_length(self.strings).to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.lexsort((np.arange(len(size)), -self.uses, size > LONGEST))
+        order = order[order > 0]
+        order = order[(size[order] <= LONGEST) & (np.cumsum(size[order] + 16) <= KNOWN_BYTES // 2)]
+        return np.append(0, np.sort(order))
+
+    @property
+    def full(self) -> bool:
+        return self.strings.nbytes + 16 * len(self.strings) > KNOWN_BYTES

@@ -13,147 +13,171 @@ own; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.arrays import one_array
-from tessera.llm.tables import stored
+from tessera.llm.arrays import Known, spread, text_batches
+from tessera.llm.tables import in_arrow, stored
 
 WINDOW = 2048
 STEP = 16  #: lengths from FINE up are rounded up to multiples of this
 FINE = 64  #: shorter pieces are binned by their exact length
 END_ID = 1
-#: ASCII white space, which the tokenizer drops: ids of a text are those of the stretches between, in order.
-STRETCH = re.compile(r"[^ \t\n\r\x0b\x0c]+")
-#: Further white space to str.split(), which isn't ASCII white space.
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+SLICE_BYTES = 2 << 20
 MARK = "<|endoftext|>"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-CACHE_ENTRIES = 600_000  #: stretches whose ids a worker remembers, over its tasks
-SLICE_CHARS = 1 << 20
+#: Letters that stay single letters in lower case and in NFC.
+LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
+#: What a tokenizer file has to say for its ids to be those of the stretches between ASCII white space, in
+#: order, where a stretch of letters and then punctuation is two parts and letters count by their lower case.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
-class Stretches:
-    """Ids of stretches of text, remembered.
+def splits_at_spaces(tokenizer_path: str) -> bool:
+    """Does the tokenizer drop white space, and split letters from punctuation, as ``Stretches`` takes it to?"""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        made = json.load(f)
+    first = ((made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    split = first.get("type") == "Split" and first.get("pattern") == {"Regex": SPLIT_PATTERN} and first.get("behavior") == "Removed" and first.get("invert") is True
+    specials = [t["content"] for t in made.get("added_tokens", [])]
+    return made.get("normalizer") == NORMALIZER and split and made["model"].get("end_of_word_suffix") == "</w>" and MARK in specials and not any(c.isspace() for t in specials for c in t)
 
-    Most stretches are letters and then punctuation. The tokenizer splits there, so such a stretch is two parts, and
-    letters are remembered by their lower case. Flat ids of all parts lie in ``flat``, ``ends`` says where each ends;
-    a stretch is a first and a second part (part 0 is the end id, part 1 is empty).
-    """
+
+class Whole:
+    """Ids of whole texts, for any tokenizer."""
 
     def __init__(self, tokenizer_path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each text closed by the end id, and where each text ends."""
+        got = [np.append(self.encode(t), np.uint32(END_ID)) for t in texts.to_pylist()]
+        return np.concatenate(got), np.cumsum([len(x) for x in got])
+
+
+class Stretches(Whole):
+    """Ids of texts by their stretches between white space; frequent stretches and parts are remembered.
+
+    Most stretches are letters and then punctuation. The tokenizer splits there, so such a stretch is two parts, and
+    letters are remembered by their lower case. Flat ids of all parts lie in ``flat``, ``ends`` says where each ends;
+    a stretch is a first and a second part (part 0 is the empty one). What is remembered is bounded (``Known``).
+    """
+
+    def __init__(self, tokenizer_path: str) -> None:
+        super().__init__(tokenizer_path)
         self.mark = self.tokenizer.token_to_id(MARK)
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[k for word, k in vocabulary.items() if word.endswith("</w>")]] = True
-        self.clear()
-
-    def clear(self) -> None:
-        self.parts: dict[str, int] = {}
-        self.flat, self.ends = np.array([END_ID], np.uint32), np.array([1, 1])
-        self.forget()
-
-    def forget(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.first, self.second = np.array([0]), np.array([1])
+        self.stretches, self.parts = Known(), Known()
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.first, self.second = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-
-    def learn_parts(self, words: list[str], others: list[str]) -> None:
-        """words: letters only, each of which ends with a token that closes a word; others: anything."""
-        got = []
+    def learn_parts(self, words: pa.Array, others: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The new parts' numbers. words: letters only, each of which ends with a token that closes a word; others: anything."""
+        ids, sizes = [self.flat], [np.diff(self.ends, prepend=0)]
         for k in range(0, len(words), 512):
-            some = words[k : k + 512]
-            ids = self.encode(" ".join(some))
-            got.append((some, ids, np.diff(np.flatnonzero(self.closes[ids]), prepend=-1)))
-        plain = [w for w in others if MARK not in w]
-        for k in range(0, len(plain), 512):  # a special token ends a part as the end of a text does
-            some = plain[k : k + 512]
-            ids = self.encode(MARK.join(some))
-            at = np.flatnonzero(ids == self.mark)
-            got.append((some, ids[ids != self.mark], np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1))
-        for w in others:
-            if MARK in w:
-                ids = self.encode(w)
-                got.append(([w], ids, np.array([len(ids)])))
+            got = self.encode(" ".join(words.slice(k, 512).to_pylist()))
+            ids.append(got)
+            sizes.append(np.diff(np.flatnonzero(self.closes[got]), prepend=-1))
+        held = pc.match_substring(others, MARK).to_numpy(zero_copy_only=False)
+        order = np.argsort(held, kind="stable")
+        others, n_plain = others.take(pa.array(order)), int((~held).sum())
+        for k in range(0, n_plain, 512):  # a special token ends a part as the end of a text does
+            got = self.encode(MARK.join(others.slice(k, min(512, n_plain - k)).to_pylist()))
+            at = np.flatnonzero(got == self.mark)
+            ids.append(got[got != self.mark])
+            sizes.append(np.diff(np.concatenate([[-1], at, [len(got)]])) - 1)
+        for one in others.slice(n_plain).to_pylist():
+            ids.append(self.encode(one))
+            sizes.append(np.array([len(ids[-1])]))
         base = len(self.ends)
-        self.parts.update({w: base + k for k, w in enumerate(w for some, _, _ in got for w in some)})
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate([size for _, _, size in got]))])
-        self.flat = np.concatenate([self.flat, *(ids for _, ids, _ in got)])
-
-    def learn(self, new: list[str]) -> None:
-        split = []
-        for w in new:
-            letters = w.rstrip(PUNCTUATION)
-            if letters.isalpha() and max(letters) < "\u0250" and "\u0130" not in letters:  # letters that stay single letters in lower case and NFC
-                split.append((letters.lower(), w[len(letters) :]))
-            else:
-                split.append(("", w))
-        words = {a for a, _ in split}.difference(self.parts, ("",))
-        others = {b for _, b in split}.difference(self.parts, ("",))
-        if words or others:
-            self.learn_parts(list(words), list(others))
-        part = self.parts.get
-        base = len(self.first)
-        self.first = np.concatenate([self.first, np.fromiter((part(a, 1) for a, _ in split), np.int64, len(split))])
-        self.second = np.concatenate([self.second, np.fromiter((part(b, 1) for _, b in split), np.int64, len(split))])
-        self.codes.update(zip(new, range(base, base + len(new))))
-
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, each text closed by the end id, and where each text ends."""
-        split = [STRETCH.findall(t) if ODD_SPACE.search(t) else t.split() for t in texts]
-        if len(self.parts) > CACHE_ENTRIES:
-            self.clear()
-        elif len(self.codes) > CACHE_ENTRIES:
-            self.forget()
-        n = np.fromiter(map(len, split), np.int64, len(split))
-        words = list(chain.from_iterable(split))
-        found = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
-        unknown = np.flatnonzero(found < 0).tolist()
-        if unknown:
-            self.learn(list({words[k] for k in unknown}))
-            found[unknown] = [self.codes[words[k]] for k in unknown]
-        codes = np.zeros(len(words) + len(texts), np.int64)
-        inside = np.ones(len(codes), bool)
-        closing = np.cumsum(n + 1) - 1
-        inside[closing] = False
-        codes[inside] = found
+        self.flat, self.ends = np.concatenate(ids), np.cumsum(np.concatenate(sizes))
+        self.parts.add(pa.concat_arrays([words, others]))
+        numbers = np.empty(len(others), np.int64)
+        numbers[order] = base + len(words) + np.arange(len(others))
+        return base + np.arange(len(words)), numbers
+
+    def learn(self, new: pa.Array) -> None:
+        letters = pc.utf8_rtrim(new, characters=PUNCTUATION)
+        wordlike = pc.match_substring_regex(letters, LETTERS)
+        tails = [x[n:] for x, n in zip(new.to_pylist(), pc.utf8_length(letters).to_pylist())]
+        front = pc.if_else(wordlike, pc.utf8_lower(letters), pa.scalar("", pa.large_string()))
+        back = pc.if_else(wordlike, pa.array(tails, pa.large_string()), new)
+        both = pa.concat_arrays([front, back]).dictionary_encode()
+        number = self.parts.find(both.dictionary)
+        unknown = np.flatnonzero(number < 0)
+        words = pc.is_in(both.dictionary.take(pa.array(unknown)), value_set=front).to_numpy(zero_copy_only=False)
+        number[unknown[words]], number[unknown[~words]] = self.learn_parts(*(both.dictionary.take(pa.array(unknown[x])) for x in (words, ~words)))
+        first, second = number[both.indices.to_numpy(zero_copy_only=False)].reshape(2, -1)
+        self.first, self.second = np.append(self.first, first), np.append(self.second, second)
+        self.stretches.add(new)
+
+    def forget(self) -> None:
+        """Only frequent stretches and their parts stay, if too many are remembered."""
+        if not (self.stretches.full or self.parts.full):
+            return
+        on = self.stretches.often()
+        used, where = np.unique(np.concatenate([[0], self.first[on], self.second[on]]), return_inverse=True)
+        self.first, self.second = where[1 : len(on) + 1], where[len(on) + 1 :]
+        sizes = np.diff(self.ends, prepend=0)
+        begin = (self.ends - sizes)[used]
+        self.flat = self.flat[spread(begin, sizes[used])]
+        self.ends = np.cumsum(sizes[used])
+        self.parts.strings, self.parts.uses = self.parts.strings.take(pa.array(used)), np.zeros(len(used), np.int64)
+        self.stretches.strings, self.stretches.uses = self.stretches.strings.take(pa.array(on)), self.stretches.uses[on] // 2
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.ascii_split_whitespace(texts)
+        n = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = split.flatten()
+        self.forget()
+        codes = self.stretches.find(words)
+        unknown = np.flatnonzero(codes < 0)
+        if len(unknown):
+            missed = words.take(pa.array(unknown)).dictionary_encode()
+            base = len(self.stretches.strings)
+            self.learn(missed.dictionary)
+            codes[unknown] = base + missed.indices.to_numpy(zero_copy_only=False)
+        self.stretches.uses += np.bincount(codes, minlength=len(self.stretches.uses))
         parts = np.stack([self.first[codes], self.second[codes]], 1).ravel()
-        begin = np.where(parts > 0, self.ends[parts - 1], 0)
-        size = self.ends[parts] - begin
+        sizes = np.diff(self.ends, prepend=0)
+        size = sizes[parts]
         total = np.cumsum(size)
-        at = np.arange(total[-1] if len(total) else 0) - np.repeat(total - size - begin, size)
-        return self.flat[at], total[1::2][closing]
+        stops = np.concatenate([[0], total])[2 * np.cumsum(n)]  # where each text's own ids end
+        ends = stops + np.arange(1, len(n) + 1)
+        out = np.full(int(ends[-1]) if len(ends) else 0, END_ID, np.uint32)
+        inside = np.ones(len(out), bool)
+        inside[ends - 1] = False
+        out[inside] = self.flat[spread((self.ends - sizes)[parts], size)]
+        return out, ends
 
 
-REMEMBERED: dict[str, Stretches | None] = {}
+WORKER: dict[str, Whole] = {}  #: of one tokenizer at most
 
 
-def text_batches(column: pa.Array, limit: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """Whole texts of a column, about ``limit`` characters at a time, and the number of the first; null is ''."""
-    lo, size, held = 0, 0, []
-    for k, value in enumerate(one_array(column)):
-        held.append(value.as_py() or "")
-        size += len(held[-1])
-        if size >= limit:
-            yield lo, held
-            lo, size, held = k + 1, 0, []
-    if held:
-        yield lo, held
+def encoder(tokenizer_path: str) -> Whole:
+    """This worker's encoder, kept over its tasks."""
+    if tokenizer_path not in WORKER:
+        WORKER.clear()
+        WORKER[tokenizer_path] = Stretches(tokenizer_path) if splits_at_spaces(tokenizer_path) else Whole(tokenizer_path)
+    return WORKER[tokenizer_path]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
@@ -162,11 +186,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, kee
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stretches = REMEMBERED.setdefault(tokenizer_path, None) or Stretches(tokenizer_path)
-        REMEMBERED[tokenizer_path] = stretches
+        own = encoder(tokenizer_path)
         for batch in it:
-            for lo, texts in text_batches(batch.column(1)):
-                ids, ends = stretches.ids(texts)
+            for lo, texts in text_batches(batch.column(1), SLICE_BYTES):
+                ids, ends = own.ids(texts)
                 begins = np.concatenate([[0], ends[:-1]])
                 n = -(-(ends - begins) // window)
                 doc = np.repeat(np.arange(len(texts)), n)
@@ -181,7 +204,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, kee
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kinds = f"doc_id {key}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
-    return docs.select("doc_id", "text").mapInArrow(batches, kinds)
+    return in_arrow(docs.select("doc_id", "text"), batches, kinds)
 
 
 def rounded(length: int, fine: int = FINE, step: int = STEP) -> int:
