@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.arrays import one_array
-from tessera.llm.tables import stored
+from tessera.llm.tables import in_arrow, stored
 
 TABLES = 2
 PROJECTIONS = 5
@@ -88,7 +88,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, coverage: float = COVERAG
             yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=["vec_id", "v", *(f"slab_{t}" for t in range(TABLES))])
 
     kinds = "vec_id long, v array<double>, " + ", ".join(f"slab_{t} array<int>" for t in range(TABLES))
-    filed = stored(rows.mapInArrow(hashed, kinds), "hashed")
+    filed = stored(in_arrow(rows, hashed, kinds), "hashed")
     buckets = None
     for t in range(TABLES):
         copies = filed.groupBy(F.col(f"slab_{t}").alias("slab"), F.xxhash64("v")).agg(F.count("*").alias("n"))
@@ -118,7 +118,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, coverage: float = COVERAG
                     take = pa.array(q + lo)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(ident[order[q, at]])], names=["vec_id", "v", "bucket"])
 
-    asked = rows.where(is_query).mapInArrow(probes, "vec_id long, v array<double>, bucket long")
+    asked = in_arrow(rows.where(is_query), probes, "vec_id long, v array<double>, bucket long")
     names = spark.createDataFrame([(t, list(slab), k, max(1, math.ceil(n / PART))) for k, (t, slab, n, _) in enumerate(known)], "table int, slab array<int>, bucket long, parts int")
     placed = None
     for t in range(TABLES):
@@ -165,7 +165,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, coverage: float = COVERAG
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     both = placed.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True))).select("bucket", "part", "asks", "vec_id", "v")
-    found = both.repartition(parts, "bucket", "part").sortWithinPartitions("bucket", "part", "asks").mapInArrow(ranked, "query_id long, vec_id long, score double")
+    found = in_arrow(both.repartition(parts, "bucket", "part").sortWithinPartitions("bucket", "part", "asks"), ranked, "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

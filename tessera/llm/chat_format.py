@@ -37,22 +37,33 @@ def unescaped(text: Column) -> Column:
     return reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), (("&lt;", "<"), ("&lsqb;", "["), ("&amp;", "&")), text)
 
 
-def merged_turns(turns: Column) -> Column:
-    """Sorted turns as blocks: array<struct<role, texts>>, adjacent turns of a role merged."""
-    kind = "array<struct<role:string,texts:array<string>>>"
-    state = F.struct(F.array().cast(kind).alias("done"), F.lit(None).cast("string").alias("role"), F.array().cast("array<string>").alias("texts"))
+def merged_turns(chats: DataFrame) -> DataFrame:
+    """chats (conv_id, turns: sorted) with ``blocks``: array<struct<role, texts>>, adjacent turns of a role merged.
 
-    def closed(acc: Column) -> Column:
-        block = F.struct(acc["role"].alias("role"), acc["texts"].alias("texts"))
-        return F.when(acc["role"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(block)))
+    Blocks are cut at the places where the role changes, so that work grows with the turns alone. Arrays that are read
+    inside lambdas are columns of their own, which are referred to twice, so that Spark doesn't compute them again and again.
+    """
+    turns, opens = F.col("turns"), F.col("_opens")
+    n = F.size(turns)
+
+    def block(i: Column, k: Column) -> Column:
+        stop = F.coalesce(F.get(opens, k + 1), n)
+        return F.struct(F.get(turns, i)["role"].alias("role"), F.transform(F.slice(turns, i + 1, stop - i), lambda t: t["text"]).alias("texts"))
+
+    changes = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(turns, i)["role"] != F.get(turns, i - 1)["role"]))
+    return chats.withColumn("_opens", changes).select("conv_id", F.transform(opens, block).alias("blocks"))
+
+
+def sums_before(values: Column, group: int = 256) -> Column:
+    """For each of a column of numbers in arrays the sum of those before it; in groups, so that no long array is grown by one."""
 
-    def add(acc: Column, t: Column) -> Column:
-        same = F.coalesce(acc["role"] == t["role"], F.lit(False))
-        more = F.struct(acc["done"].alias("done"), acc["role"].alias("role"), F.concat(acc["texts"], F.array(t["text"])).alias("texts"))
-        new = F.struct(closed(acc).alias("done"), t["role"].alias("role"), F.array(t["text"]).alias("texts"))
-        return F.when(same, more).otherwise(new)
+    def running(some: Column, start: Column) -> Column:
+        state = F.struct(start.cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(some, state, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
 
-    return F.aggregate(turns, state, add, closed)
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / group).cast("int")), lambda g: F.slice(values, g * group + 1, F.lit(group)))
+    starts = running(F.transform(groups, lambda g: F.aggregate(g, F.lit(0).cast("long"), lambda s, x: s + x)), F.lit(0))
+    return F.flatten(F.zip_with(groups, starts, running))
 
 
 def format_chats(conversations: DataFrame, train_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -65,40 +76,49 @@ def format_chats(conversations: DataFrame, train_roles: tuple[str, ...] = ("assi
         escaped(F.coalesce("role", F.lit(""))).alias("role"),
         escaped(F.coalesce("text", F.lit(""))).alias("text"),
     )
-    blocks = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns")).select("conv_id", merged_turns(F.col("turns")).alias("blocks"))
-    pieces = F.flatten(  # every piece of the output, in order, and whether the loss counts it
-        F.transform(
-            "blocks",
-            lambda b: F.concat(
-                F.array(F.struct(F.concat(F.lit(START), b["role"], F.lit(SEP)).alias("piece"), F.lit(False).alias("loss"))),
-                F.flatten(
-                    F.transform(
-                        b["texts"],
-                        lambda t, k: F.concat(
-                            F.when(k > 0, F.array(F.struct(F.lit(CONT).alias("piece"), F.lit(False).alias("loss")))).otherwise(F.array().cast("array<struct<piece:string,loss:boolean>>")),
-                            F.array(F.struct(t.alias("piece"), b["role"].isin(*train_roles).alias("loss"))),
-                        ),
-                    )
-                ),
-                F.array(F.struct(F.lit(END).alias("piece"), F.lit(False).alias("loss"))),
-            ),
-        )
-    )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-
-    def place(acc: Column, p: Column) -> Column:
-        size = F.length(p["piece"]).cast("long")
-        span = F.array(F.struct(acc["at"].alias("start"), size.alias("length")))
-        return F.struct((acc["at"] + size).alias("at"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    return blocks.select("conv_id", F.size("blocks").cast("long").alias("n_blocks"), pieces.alias("pieces")).select(
+    chats = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    blocks = merged_turns(chats)
+
+    def piece(text: Column, loss: Column) -> Column:
+        return F.struct(text.alias("piece"), loss.alias("loss"))
+
+    def written(b: Column) -> Column:
+        """The pieces of a block: what opens it, then each text and what stands behind it."""
+        learnt, no = b["role"].isin(*[escape_plain(r) for r in train_roles]), F.lit(False)
+        texts = F.transform(b["texts"], lambda t, k: F.array(piece(t, learnt), piece(F.when(k + 1 < F.size(b["texts"]), CONT).otherwise(END), no)))
+        return F.concat(F.array(piece(F.concat(F.lit(START), b["role"], F.lit(SEP)), no)), F.flatten(texts))
+
+    pieces = blocks.select("conv_id", F.size("blocks").cast("long").alias("n_blocks"), F.flatten(F.transform("blocks", written)).alias("pieces"))
+    placed = pieces.withColumn("sizes", F.transform("pieces", lambda p: F.length(p["piece"]).cast("long"))).withColumn("at", sums_before(F.col("sizes")))
+    spans = F.filter(F.zip_with("pieces", "at", lambda p, at: F.struct(at.alias("start"), F.length(p["piece"]).cast("long").alias("length"), p["loss"].alias("loss"))), lambda s: s["loss"])
+    return placed.select(
         "conv_id",
         "n_blocks",
         F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("formatted"),
-        F.aggregate("pieces", start, place, lambda acc: acc["spans"]).alias("loss_spans"),
+        F.transform(spans, lambda s: F.struct(s["start"], s["length"])).alias("loss_spans"),
     )
 
 
+def escape_plain(text: str) -> str:
+    """``escaped`` of a constant."""
+    return reduce(lambda x, pair: x.replace(*pair), (("&", "&amp;"), *CONTROL), text)
+
+
+def with_masked_text(chats: DataFrame, chunk: int = 1 << 15) -> DataFrame:
+    """chats (formatted, loss_spans) with ``learnt``: the unescaped texts under the spans, joined.
+
+    The text is cut into chunks first, so that a span is sought in its own chunks only.
+    """
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.length("formatted") / chunk).cast("int")), lambda k: F.substr(F.col("formatted"), k * chunk + 1, F.lit(chunk)))
+
+    def cut(s: Column) -> Column:
+        first, last = F.floor(s["start"] / chunk).cast("int"), F.floor((s["start"] + s["length"]) / chunk).cast("int")
+        here = F.concat(F.get("_chunks", first), F.array_join(F.slice("_chunks", first + 2, last - first), ""))
+        return unescaped(F.substr(here, (s["start"] % chunk + 1).cast("int"), s["length"].cast("int")))
+
+    return chats.withColumn("_chunks", chunks).withColumn("learnt", F.array_join(F.transform("loss_spans", cut), "")).drop("_chunks")
+
+
 def read_turns(formatted: Column) -> Column:
     """The turns of a formatted conversation: array<struct<role, text>>, unescaped, in order."""
     blocks = F.filter(F.split(formatted, r"<\|end\|>\n", -1), lambda b: b != "")
@@ -113,13 +133,13 @@ def read_turns(formatted: Column) -> Column:
 
 def chat_digest(conversations: DataFrame, train_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """Per conversation what is read back from the formatted text: its turns, and the text under the loss mask."""
-    back = format_chats(conversations, train_roles).select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), read_turns(F.col("formatted")).alias("turns"))
-    learnt = F.array_join(F.transform(F.filter("turns", lambda t: t["role"].isin(*train_roles)), lambda t: t["text"]), "")
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return back.select(
+    back = with_masked_text(format_chats(conversations, train_roles))
+    return back.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), read_turns(F.col("formatted")).alias("turns"), "learnt").select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(whole, 256).alias("turns_sha256"),
-        learnt.alias("learnt"),
+        F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"),
         "formatted_chars",
-    ).select("conv_id", "n_turns", "turns_sha256", F.length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"), "formatted_chars")
+    )

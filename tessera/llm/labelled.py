@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, keep=None) -> tuple[list[str], np.ndarray, float]:
-    """At most ``per_class`` rows of each class 0 and 1: texts, labels, and the share of 1 among all labelled rows.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, keep=None, n_chars: bool = False) -> tuple[list[str], list[float | None], np.ndarray, float]:
+    """At most ``per_class`` rows of each class 0 and 1: texts, their n_chars, labels, and the share of 1 among all labelled rows.
 
     Rows are those with the smallest hashed doc_id, so a sample depends on ids alone. Null labels and ids
-    take no part; a doc_id labelled both ways counts as 0. ``keep``: a condition on doc_id.
+    take no part; a doc_id labelled both ways counts as 0; of rows of one doc_id the smallest text counts. ``keep``: a
+    condition on doc_id. n_chars are null unless ``n_chars``, which says that docs have that column.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     if keep is not None:
@@ -19,20 +20,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
     share = known.agg(F.avg("y")).first()[0]
     if share is None:
-        return [], np.zeros(0), 0.5
+        return [], [], np.zeros(0), 0.5
     picked = None
     for y in (0, 1):
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = some if picked is None else picked.unionByName(some)
+    length = F.col("n_chars").cast("double") if n_chars else F.lit(None).cast("double")
     rows = (  # at most 2 * per_class rows are broadcast and collected
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        docs.select("doc_id", F.struct(F.coalesce("text", F.lit("")).alias("text"), length.alias("n_chars")).alias("d"))
         .join(F.broadcast(picked), "doc_id")
         .groupBy("doc_id", "y")
-        .agg(F.min("text").alias("text"))
+        .agg(F.min("d").alias("d"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .select("d.text", "d.n_chars", "y")
         .collect()
     )
-    return [r["text"] for r in rows], np.array([r["y"] for r in rows], float), float(share)
+    return [r["text"] for r in rows], [r["n_chars"] for r in rows], np.array([r["y"] for r in rows], float), float(share)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

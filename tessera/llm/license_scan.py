@@ -1,8 +1,8 @@
 """License scans: ordered signature rules over a text's words, as Spark expressions only.
 
 A text is lower-cased (A-Z) and brought to words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``, each between two spaces.
-A rule is a regular expression over such words with a label, a priority, a confidence and a keyword phrase;
-it runs only on texts that hold its keyword. Each match is an interval of words. An interval that lies
+A rule is a hand-written regular expression over such words with a label, a priority, a confidence and a keyword
+phrase; it runs only on texts that hold its keyword. Each match is an interval of words. An interval that lies
 inside another one whose priority is as good or better is suppressed (equal intervals: better priority, then
 smaller rule number). Base rules are never suppressed. There is no join and no shuffle: a row is scanned alone.
 
@@ -23,37 +23,269 @@ from pyspark.sql import functions as F
 #: Phrases and labels that are always reported.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Signatures of licences: label, keyword words, name. In a name, a word may list alternatives (a|b) and be optional (a?).
-FAMILIES = (
-    ("apache-2.0", "apache", "apache software? license|licence? version|v? 2|v2 0?"),
-    ("apache-1.1", "apache", "apache software? license|licence? version|v? 1 1"),
+#: Signatures, written by hand: label, keyword, words. Among the words, ``a|b`` are alternatives, ``a?`` may be missing, and
+#: ``*4`` stands for up to four words of any kind. A rule is tried on texts that hold its keyword.
+#: Tags of machine-readable identifiers.
+SPDX = (
+    ("mit", "spdx", "spdx license identifier mit"),
+    ("mit-0", "spdx", "spdx license identifier mit 0"),
+    ("isc", "spdx", "spdx license identifier isc"),
+    ("0bsd", "spdx", "spdx license identifier 0bsd"),
+    ("bsd-2-clause", "spdx", "spdx license identifier bsd 2 clause"),
+    ("bsd-3-clause", "spdx", "spdx license identifier bsd 3 clause"),
+    ("bsd-4-clause", "spdx", "spdx license identifier bsd 4 clause"),
+    ("apache-2.0", "spdx", "spdx license identifier apache 2 0"),
+    ("apache-1.1", "spdx", "spdx license identifier apache 1 1"),
+    ("gpl-2.0-only", "spdx", "spdx license identifier gpl 2 0 only?"),
+    ("gpl-2.0-or-later", "spdx", "spdx license identifier gpl 2 0 or later"),
+    ("gpl-3.0-only", "spdx", "spdx license identifier gpl 3 0 only?"),
+    ("gpl-3.0-or-later", "spdx", "spdx license identifier gpl 3 0 or later"),
+    ("lgpl-2.1-only", "spdx", "spdx license identifier lgpl 2 1 only?"),
+    ("lgpl-2.1-or-later", "spdx", "spdx license identifier lgpl 2 1 or later"),
+    ("lgpl-3.0-only", "spdx", "spdx license identifier lgpl 3 0 only?"),
+    ("lgpl-3.0-or-later", "spdx", "spdx license identifier lgpl 3 0 or later"),
+    ("agpl-3.0-only", "spdx", "spdx license identifier agpl 3 0 only?"),
+    ("agpl-3.0-or-later", "spdx", "spdx license identifier agpl 3 0 or later"),
+    ("mpl-1.1", "spdx", "spdx license identifier mpl 1 1"),
+    ("mpl-2.0", "spdx", "spdx license identifier mpl 2 0"),
+    ("epl-1.0", "spdx", "spdx license identifier epl 1 0"),
+    ("epl-2.0", "spdx", "spdx license identifier epl 2 0"),
+    ("cddl-1.0", "spdx", "spdx license identifier cddl 1 0"),
+    ("eupl-1.2", "spdx", "spdx license identifier eupl 1 2"),
+    ("artistic-2.0", "spdx", "spdx license identifier artistic 2 0"),
+    ("boost-1.0", "spdx", "spdx license identifier bsl 1 0"),
+    ("zlib", "spdx", "spdx license identifier zlib"),
+    ("unlicense", "spdx", "spdx license identifier unlicense"),
+    ("wtfpl", "spdx", "spdx license identifier wtfpl"),
+    ("ofl-1.1", "spdx", "spdx license identifier ofl 1 1"),
+    ("python-2.0", "spdx", "spdx license identifier python|psf 2 0"),
+    ("gfdl-1.3", "spdx", "spdx license identifier gfdl 1 3 only|or? later?"),
+    ("cc0-1.0", "spdx", "spdx license identifier cc0 1 0"),
+    ("cc-by-4.0", "spdx", "spdx license identifier cc by 4 0"),
+    ("cc-by-3.0", "spdx", "spdx license identifier cc by 3 0"),
+    ("cc-by-sa-4.0", "spdx", "spdx license identifier cc by sa 4 0"),
+    ("cc-by-sa-3.0", "spdx", "spdx license identifier cc by sa 3 0"),
+    ("cc-by-nc-4.0", "spdx", "spdx license identifier cc by nc 4 0"),
+    ("cc-by-nc-sa-4.0", "spdx", "spdx license identifier cc by nc sa 4 0"),
+    ("cc-by-nc-nd-4.0", "spdx", "spdx license identifier cc by nc nd 4 0"),
+    ("cc-by-nd-4.0", "spdx", "spdx license identifier cc by nd 4 0"),
+)
+#: Sentences of the licences' own texts and standard notices.
+TEXTS = (
+    ("mit", "hereby  granted", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files? the? software? to deal in the software without restriction"),
+    ("mit", "hereby  granted", "permission is hereby granted free of charge"),
+    ("mit", "above  copyright", "the above copyright notice and this permission notice including? the? next? paragraph? shall be included in all copies or substantial portions of the software"),
+    ("mit", "noninfringement", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("x11", "advertising", "except as contained in this notice the name|names of *8 shall not be used in advertising or otherwise to promote the sale use or other dealings"),
+    ("isc", "hereby  granted", "permission to use copy modify and or? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", "hereby  granted", "permission to use copy modify and or? distribute this software for any purpose with or without fee is hereby granted"),
+    ("hpnd", "hereby  granted", "permission to use copy modify and distribute this software and its documentation for any purpose *4 is hereby granted"),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification"),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms"),
+    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials"),
+    ("bsd-3-clause", "endorse", "neither the name|names of *12 nor the names of its|their|any contributors may be used to endorse or promote products derived from this software"),
+    ("bsd-3-clause", "endorse", "the name of the author may not be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("0bsd", "hereby  granted", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("apache-2.0", "apache", "licensed under the apache license version 2 0 the license"),
+    ("apache-2.0", "compliance", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2.0", "distributed", "distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache-2.0", "contributor", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
+    ("apache-1.1", "apache", "this product includes software developed by the apache software foundation"),
+    ("gpl-1.0-or-later", "general  public", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl-2.0-only", "general  public", "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation"),
+    ("gpl-2.0-or-later", "general  public", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-3.0-or-later", "general  public", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-3.0-only", "general  public", "under the terms of the gnu general public license as published by the free software foundation version 3 of the license"),
+    ("gpl-2.0-only", "general  public", "under the terms of the gnu general public license as published by the free software foundation version 2 of the license"),
+    ("gpl-1.0-or-later", "general  public", "you should have received a copy of the gnu general public license along with"),
+    ("gpl-2.0", "share", "the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-3.0", "copyleft", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl-1.0-or-later", "verbatim", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("lgpl-2.0-or-later", "library", "under the terms of the gnu library general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("lgpl-2.1-or-later", "lesser", "under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl-3.0-or-later", "lesser", "under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl-2.1", "lesser", "under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("lgpl-2.1", "lesser", "you should have received a copy of the gnu lesser general public license along with"),
+    ("agpl-3.0-or-later", "affero", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl-3.0", "affero", "under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("agpl-3.0", "affero", "you should have received a copy of the gnu affero general public license along with"),
+    ("gfdl", "documentation", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license version 1 1|2|3"),
+    ("gfdl", "invariant", "with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2.0", "mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-1.0", "mozilla", "the contents of this file are subject to the mozilla public license version 1 0"),
+    ("epl-1.0", "eclipse", "made available under the terms of the eclipse public license v1|v 1? 0 which accompanies this distribution"),
+    ("epl-2.0", "eclipse", "made available under the terms of the eclipse public license 2 0 which is available at"),
+    ("cddl-1.0", "development", "subject to the terms of the common development and distribution license"),
+    ("cddl-1.0", "cddl", "the contents of this file are subject to the terms of the common development and distribution license *6 cddl"),
+    ("boost-1.0", "boost", "distributed under the boost software license version 1 0"),
+    ("boost-1.0", "hereby  granted", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("zlib", "implied  warranty", "this software is provided as is without any express or implied warranty in no event will|shall the author|authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "altered", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("libpng", "png", "the png reference library is supplied as is"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("wtfpl", "want  to", "do what the fuck you want to public license"),
+    ("artistic-1.0", "perl", "under the same terms as perl itself"),
+    ("artistic-2.0", "artistic", "this is free software you can redistribute it and or modify it under the terms of the artistic license 2 0"),
+    ("artistic-1.0", "perl", "this library|module|program is free software you can redistribute it and or modify it under the same terms as perl itself"),
+    ("ofl-1.1", "font", "this font software is licensed under the sil open font license version 1 1"),
+    ("ofl-1.1", "font", "reserved font name|names"),
+    ("python-2.0", "python", "this license agreement is between the python software foundation psf and the individual or organization licensee"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("ssleay", "eric  young", "this product includes cryptographic software written by eric young"),
+    ("beerware", "beer", "if we meet some day and you think this stuff is worth it you can buy me a beer in return"),
+    ("curl", "hereby  granted", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided"),
+    ("ncsa", "ncsa", "developed under the university of illinois ncsa open source license"),
+    ("postgresql", "written  agreement", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("ijg", "jpeg", "this software is based in part on the work of the independent jpeg group"),
+    ("freetype", "freetype", "portions of this software are copyright *6 the freetype project"),
+    ("w3c", "w3c", "this work is being provided by the copyright holders under the following license *6 w3c"),
+    ("unicode", "unicode", "permission is hereby granted free of charge to any person obtaining a copy of the unicode data files and any associated documentation"),
+    ("ms-pl", "accompanying", "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("cc0-1.0", "waived", "to the extent possible under law *8 has|have waived all copyright and related or neighboring rights to"),
+    ("cc-by-4.0", "creative  commons", "this work is licensed under a|the creative commons attribution 4 0 international license"),
+    ("cc-by-3.0", "creative  commons", "this work is licensed under a|the creative commons attribution 3 0 unported|united? states? license"),
+    ("cc-by-sa-4.0", "creative  commons", "this work is licensed under a|the creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-sa-3.0", "creative  commons", "this work is licensed under a|the creative commons attribution share? sharealike|alike 3 0 unported? license"),
+    ("cc-by-nc-4.0", "creative  commons", "this work is licensed under a|the creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-nc-sa-4.0", "creative  commons", "this work is licensed under a|the creative commons attribution noncommercial sharealike 4 0 international license"),
+    ("cc-by-nc-nd-4.0", "creative  commons", "this work is licensed under a|the creative commons attribution noncommercial noderivatives 4 0 international license"),
+    ("cc-by-nd-4.0", "creative  commons", "this work is licensed under a|the creative commons attribution noderivatives 4 0 international license"),
+    ("cc-by-sa", "contributions", "you must distribute your contributions under the same license as the original"),
+    ("odbl-1.0", "database", "this *6 database is made available under the open database license"),
+    ("public-domain", "public  domain", "this|the work|file|code|software|program is in the public domain"),
+    ("public-domain", "public  domain", "released|placed|dedicated|put|donated in|into|to the public domain"),
+    ("public-domain", "public  domain", "hereby|has been? placed|releases|dedicates *4 in|into|to the public domain"),
+    ("public-domain", "public  domain", "public domain dedication"),
+    ("proprietary", "confidential", "this software|document|file contains confidential and proprietary information of"),
+    ("proprietary", "proprietary", "proprietary and confidential"),
+    ("proprietary", "unauthorized", "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", "prior  written", "may not be reproduced *8 without the prior written permission|consent of"),
+)
+#: Wordings that put something under a licence by its name.
+NOTICES = (
+    ("mit", "mit", "licensed|released|distributed|available|published|provided under the? terms? of? the? mit license|licence"),
+    ("mit", "mit", "licensed|released|distributed under mit"),
+    ("mit", "mit", "license|licence mit"),
+    ("isc", "isc", "licensed|released|distributed|available under the? terms? of? the? isc license|licence"),
+    ("bsd", "bsd", "licensed|released|distributed|available under the? terms? of? the|a bsd style? license|licence"),
+    ("bsd-2-clause", "bsd", "licensed|released|distributed|available under the? terms? of? the? 2|two clause bsd license|licence"),
+    ("bsd-3-clause", "bsd", "licensed|released|distributed|available under the? terms? of? the? 3|three clause bsd license|licence"),
+    ("bsd-3-clause", "bsd", "licensed|released|distributed|available under the? terms? of? the? bsd 3 clause license|licence?"),
+    ("bsd-2-clause", "bsd", "licensed|released|distributed|available under the? terms? of? the? bsd 2 clause license|licence?"),
+    ("apache-2.0", "apache", "licensed|released|distributed|available|published|provided under the? terms? of? the? apache software? license|licence version|v? 2|v2 0?"),
+    ("apache-2.0", "apache", "licensed|released|distributed under apache 2 0?"),
+    ("apache-2.0", "apache", "license|licence apache 2 0?"),
+    ("gpl-2.0", "general  public", "licensed|released|distributed|available|redistributed under the? terms? of? the? gnu? general public license|licence version|v? 2|v2 0?"),
+    ("gpl-3.0", "general  public", "licensed|released|distributed|available|redistributed under the? terms? of? the? gnu? general public license|licence version|v? 3|v3 0?"),
+    ("gpl-2.0", "gpl", "licensed|released|distributed|available under the? terms? of? the? gnu? gpl version|v? 2|v2 0?"),
+    ("gpl-3.0", "gpl", "licensed|released|distributed|available under the? terms? of? the? gnu? gpl version|v? 3|v3 0?"),
+    ("gpl", "general  public", "licensed|released|distributed|available|redistributed under the? terms? of? the? gnu general public license|licence"),
+    ("gpl", "gpl", "licensed|released|distributed|available under the? terms? of? the? gnu? gpl"),
+    ("lgpl", "lgpl", "licensed|released|distributed|available under the? terms? of? the? gnu? lgpl"),
+    ("lgpl", "lesser", "licensed|released|distributed|available under the? terms? of? the? gnu? lesser general public license|licence"),
+    ("agpl-3.0", "affero", "licensed|released|distributed|available under the? terms? of? the? gnu? affero general public license|licence"),
+    ("agpl-3.0", "agpl", "licensed|released|distributed|available under the? terms? of? the? gnu? agpl"),
+    ("mpl-2.0", "mozilla", "licensed|released|distributed|available|subject under|to the? terms? of? the? mozilla public license|licence version|v? 2 0"),
+    ("mpl-2.0", "mpl", "licensed|released|distributed under the? mpl 2 0"),
+    ("epl", "eclipse", "licensed|released|distributed|available under the? terms? of? the? eclipse public license|licence"),
+    ("cddl-1.0", "cddl", "licensed|released|distributed|available under the? terms? of? the? cddl"),
+    ("eupl", "eupl", "licensed under the eupl"),
+    ("eupl", "union", "licensed under the european union public licence"),
+    ("artistic", "artistic", "licensed|released|distributed|available under the? terms? of? the? artistic license|licence"),
+    ("boost-1.0", "boost", "licensed|released|distributed|available under the? terms? of? the? boost software license|licence"),
+    ("zlib", "zlib", "licensed|released|distributed|available under the? terms? of? the? zlib libpng? license|licence"),
+    ("unlicense", "unlicense", "licensed|released|distributed|available under the? unlicense"),
+    ("wtfpl", "wtfpl", "licensed|released|distributed under the? wtfpl"),
+    ("ofl-1.1", "font", "licensed|released|distributed|available under the? terms? of? the? sil? open font license|licence"),
+    ("gfdl", "documentation", "licensed|released|distributed|available under the? terms? of? the? gnu? free documentation license|licence"),
+    ("cc0-1.0", "cc0", "licensed|released|dedicated|available under the? terms? of? the? cc0"),
+    ("cc-by", "cc  by", "licensed|released|distributed|available|published under the? terms? of? the|a? cc by license|licence?"),
+    ("cc-by-sa", "cc  by", "licensed|released|distributed|available|published under the? terms? of? the|a? cc by sa"),
+    ("cc-by-nc", "cc  by", "licensed|released|distributed|available|published under the? terms? of? the|a? cc by nc"),
+    ("cc-by", "creative  commons", "licensed|released|distributed|available|published under the? terms? of? the|a? creative commons attribution license|licence"),
+    ("cc-by-sa", "creative  commons", "licensed|released|distributed|available|published under the? terms? of? the|a? creative commons attribution share? sharealike|alike license|licence"),
+    ("odbl-1.0", "database", "licensed|released|available under the? terms? of? the? open database license|licence"),
+    ("proprietary", "proprietary", "licensed under a|the proprietary license|licence"),
+)
+#: Names of licences alone.
+NAMES = (
     ("mit", "mit", "mit license|licence"),
+    ("mit", "expat", "expat license|licence"),
     ("isc", "isc", "isc license|licence"),
-    ("bsd-2-clause", "bsd", "simplified|freebsd|2? clause? bsd license|licence 2? clause?"),
-    ("bsd-3-clause", "bsd", "new|revised|modified|3? clause? bsd license|licence 3 clause"),
+    ("bsd-2-clause", "bsd", "bsd 2 clause license|licence?"),
+    ("bsd-2-clause", "bsd", "2|two clause bsd license|licence?"),
+    ("bsd-2-clause", "bsd", "simplified bsd license|licence"),
+    ("bsd-2-clause", "freebsd", "freebsd license|licence"),
+    ("bsd-3-clause", "bsd", "bsd 3 clause license|licence?"),
+    ("bsd-3-clause", "bsd", "3|three clause bsd license|licence?"),
+    ("bsd-3-clause", "bsd", "new|revised|modified bsd license|licence"),
+    ("bsd-4-clause", "bsd", "bsd 4 clause license|licence?"),
+    ("bsd-4-clause", "bsd", "4|four clause|original bsd license|licence"),
+    ("bsd", "bsd", "bsd style? license|licence"),
+    ("0bsd", "0bsd", "0bsd"),
+    ("apache-2.0", "apache", "apache software? license|licence version|v? 2|v2 0?"),
+    ("apache-2.0", "apache", "apache 2 0 license|licence?"),
+    ("apache-1.1", "apache", "apache software? license|licence version|v? 1 1"),
+    ("apache", "apache", "apache license|licence"),
     ("gpl-2.0", "general  public", "gnu? general public license|licence version|v? 2|v2 0?"),
     ("gpl-3.0", "general  public", "gnu? general public license|licence version|v? 3|v3 0?"),
+    ("gpl-2.0-or-later", "general  public", "gnu? general public license|licence version|v? 2|v2 0? or any? later"),
+    ("gpl-3.0-or-later", "general  public", "gnu? general public license|licence version|v? 3|v3 0? or any? later"),
+    ("gpl-2.0-only", "gpl", "gnu? gpl 2 0 only"),
+    ("gpl-2.0-or-later", "gpl", "gnu? gpl version|v? 2|v2 0? or any? later"),
+    ("gpl-3.0-only", "gpl", "gnu? gpl 3 0 only"),
+    ("gpl-3.0-or-later", "gpl", "gnu? gpl version|v? 3|v3 0? or any? later"),
     ("gpl-2.0", "gpl", "gnu? gpl version|v? 2|v2 0?"),
     ("gpl-3.0", "gpl", "gnu? gpl version|v? 3|v3 0?"),
     ("gpl-2.0", "gplv2", "gplv2"),
+    ("gpl-2.0-or-later", "gplv2", "gplv2 or later"),
     ("gpl-3.0", "gplv3", "gplv3"),
-    ("lgpl", "lesser", "gnu? lesser|library general public license|licence version|v? 2|3? 0|1?"),
-    ("lgpl", "lgpl", "gnu? lgpl version|v? 2|3? 0|1?"),
+    ("gpl-3.0-or-later", "gplv3", "gplv3 or later"),
+    ("gpl", "gpl", "gnu gpl"),
+    ("lgpl-2.1", "lesser", "gnu? lesser general public license|licence version|v? 2 1"),
+    ("lgpl-3.0", "lesser", "gnu? lesser general public license|licence version|v? 3 0?"),
+    ("lgpl-2.0", "library", "gnu? library general public license|licence version|v? 2 0?"),
+    ("lgpl", "lesser", "gnu? lesser general public license|licence"),
+    ("lgpl-2.1-or-later", "lgpl", "lgpl version|v? 2 1 or any? later"),
+    ("lgpl-2.1", "lgpl", "lgpl version|v? 2 1 only?"),
+    ("lgpl-3.0-or-later", "lgpl", "lgpl version|v? 3 0? or any? later"),
+    ("lgpl-3.0", "lgpl", "lgpl version|v? 3 0? only?"),
+    ("lgpl-3.0", "lgplv3", "lgplv3"),
     ("agpl-3.0", "affero", "gnu? affero general public license|licence version|v? 3? 0?"),
-    ("agpl-3.0", "agpl", "gnu? agpl version|v? 3? 0?"),
+    ("agpl-3.0-or-later", "agpl", "agpl version|v? 3 0? or any? later"),
+    ("agpl-3.0", "agpl", "agpl version|v? 3 0? only?"),
     ("gfdl", "documentation", "gnu? free documentation license|licence version|v? 1? 1|2|3?"),
-    ("mpl-2.0", "mozilla", "mozilla public license|licence version|v? 2? 0?"),
-    ("mpl-2.0", "mpl", "mpl version|v? 2 0?"),
-    ("epl", "eclipse", "eclipse public license|licence version|v? 1|2? 0?"),
-    ("cddl", "cddl", "cddl version|v? 1? 0?"),
-    ("cddl", "common  development", "common development and distribution license|licence version|v? 1? 0?"),
-    ("artistic-2.0", "artistic", "artistic license|licence version|v? 2? 0?"),
+    ("mpl-2.0", "mozilla", "mozilla public license|licence version|v? 2 0"),
+    ("mpl-1.1", "mozilla", "mozilla public license|licence version|v? 1 1"),
+    ("mpl", "mozilla", "mozilla public license|licence"),
+    ("mpl-2.0", "mpl", "mpl version|v? 2 0"),
+    ("epl-2.0", "eclipse", "eclipse public license|licence version|v? 2|v2 0?"),
+    ("epl-1.0", "eclipse", "eclipse public license|licence version|v? 1|v1 0?"),
+    ("epl", "eclipse", "eclipse public license|licence"),
+    ("cddl-1.0", "cddl", "cddl version|v? 1? 0?"),
+    ("cddl-1.0", "development", "common development and distribution license|licence"),
+    ("cpl-1.0", "common  public", "common public license|licence version|v? 1? 0?"),
+    ("artistic-2.0", "artistic", "artistic license|licence version|v? 2 0?"),
+    ("artistic-1.0", "artistic", "artistic license|licence"),
     ("boost-1.0", "boost", "boost software license|licence version|v? 1? 0?"),
-    ("zlib", "zlib", "zlib libpng? license|licence?"),
-    ("unlicense", "unlicense", "unlicense"),
+    ("zlib", "zlib", "zlib libpng? license|licence"),
+    ("unlicense", "unlicense", "the unlicense"),
     ("wtfpl", "wtfpl", "wtfpl"),
-    ("eupl", "eupl", "eupl version|v? 1? 1|2?"),
-    ("cc0", "cc0", "cc0 1? 0? universal?"),
+    ("eupl-1.2", "eupl", "eupl version|v? 1 2"),
+    ("eupl-1.1", "eupl", "eupl version|v? 1 1"),
+    ("eupl", "union", "european union public licence|license"),
+    ("ms-pl", "microsoft", "microsoft public license"),
+    ("ms-rl", "microsoft", "microsoft reciprocal license"),
+    ("ncsa", "ncsa", "ncsa open source license"),
+    ("postgresql", "postgresql", "postgresql license|licence"),
+    ("cc0-1.0", "cc0", "cc0 1? 0? universal?"),
     ("cc-by-4.0", "cc  by", "cc by version? 4 0"),
     ("cc-by-3.0", "cc  by", "cc by version? 3 0"),
     ("cc-by-sa", "cc  by", "cc by sa version? 2|3|4? 0|5?"),
@@ -61,28 +293,26 @@ FAMILIES = (
     ("cc-by-nc", "cc  by", "cc by nc version? 2|3|4? 0|5?"),
     ("cc-by-nc-sa", "cc  by", "cc by nc sa version? 2|3|4? 0|5?"),
     ("cc-by-nc-nd", "cc  by", "cc by nc nd version? 2|3|4? 0|5?"),
-    ("cc-by", "creative  commons", "creative commons attribution license|licence? version|v? 2|3|4? 0|5?"),
-    ("cc-by-sa", "creative  commons", "creative commons attribution share sharealike|alike license|licence? 2|3|4? 0|5?"),
-    ("cc-by-nc", "creative  commons", "creative commons attribution non? commercial|noncommercial license|licence? 2|3|4? 0|5?"),
-    ("odbl", "database", "open database license|licence version|v? 1? 0?"),
+    ("cc-by", "creative  commons", "creative commons attribution license|licence? 2|3|4? 0|5?"),
+    ("cc-by-sa", "creative  commons", "creative commons attribution share? sharealike|alike license|licence? 2|3|4? 0|5?"),
+    ("cc-by-nc", "creative  commons", "creative commons attribution non? noncommercial|commercial license|licence? 2|3|4? 0|5?"),
+    ("cc-by-nd", "creative  commons", "creative commons attribution no? noderivatives|noderivs|derivatives license|licence? 2|3|4? 0|5?"),
+    ("odbl-1.0", "database", "open database license|licence version|v? 1? 0?"),
     ("ofl-1.1", "font", "sil? open font license|licence version|v? 1? 1?"),
-    ("python-2.0", "python  software", "python software foundation license|licence version|v? 2?"),
-    ("public-domain", "public  domain", "public domain"),
-    ("proprietary", "proprietary", "proprietary and? confidential?"),
+    ("python-2.0", "python", "python software foundation license|licence version|v? 2?"),
+    ("openssl", "openssl", "openssl license|licence"),
 )
-
-#: Wordings around a name: priority (1 is best), confidence, words before, words after.
-WORDINGS = (
-    (1, 1.0, "spdx license identifier", ""),
-    (2, 0.97, "licensed under the? terms? of? the?", ""),
-    (2, 0.96, "released|distributed|published|available|provided|redistributed under the? terms? of? the?", ""),
-    (3, 0.9, "under the? terms and conditions of the?", ""),
-    (3, 0.88, "subject to the? terms? of? the?", ""),
-    (3, 0.85, "dedicated|placed to|in|into the", ""),
-    (4, 0.8, "a? copy of the", ""),
-    (4, 0.75, "", "applies|governs|covers"),
-    (5, 0.6, "", ""),
+#: Lines that claim rights.
+CLAIMS = (
+    ("copyright", "copyright", "copyright c? (?:19|20)[0-9][0-9]"),
+    ("copyright", "copyrighted", "copyrighted material"),
+    ("no-derivatives", "derivative", "no derivative works"),
+    ("non-commercial", "commercial", "for non commercial use only"),
+    ("non-commercial", "noncommercial", "for noncommercial use only"),
+    ("evaluation", "evaluation", "for evaluation purpose|purposes only"),
 )
+#: Kinds of signatures: priority (1 is best) and confidence.
+KINDS = ((SPDX, 1, 1.0), (TEXTS, 2, 0.98), (NOTICES, 3, 0.9), (NAMES, 4, 0.7), (CLAIMS, 5, 0.4))
 
 
 @dataclass(frozen=True)
@@ -99,21 +329,24 @@ class Rule:
 
 
 def words_regex(text: str) -> str:
-    """``a b|c d?`` as an expression over ' a ', ' b ' or ' c ', and perhaps ' d '."""
+    """``a b|c d? *2`` as an expression over ' a ', ' b ' or ' c ', perhaps ' d ', and up to two words more."""
     out = []
     for word in text.split():
-        options = word.rstrip("?")
+        if word.startswith("*"):
+            out.append(f"(?: [^ ]+ ){{0,{word[1:]}}}")
+            continue
+        options = word.removesuffix("?")
         one = f" (?:{options}) " if "|" in options else f" {options} "
-        out.append(f"(?:{one})?" if word.endswith("?") else one)
+        out.append(f"(?:{one})?" if options != word else one)
     return "".join(out)
 
 
 def signature_rules() -> list[Rule]:
-    """The base rules, then every family in every wording."""
+    """The base rules, then the signatures of every kind."""
     rules = [Rule(k, label, 0, 0.9, f" {phrase.replace(' ', '  ')} ", words_regex(phrase), True) for k, (phrase, label) in enumerate(BASE)]
-    for label, keyword, name in FAMILIES:
-        for priority, confidence, before, after in WORDINGS:
-            rules.append(Rule(len(rules), label, priority, confidence, f" {keyword} ", words_regex(f"{before} {name} {after}"), False))
+    for signatures, priority, confidence in KINDS:
+        for label, keyword, words in signatures:
+            rules.append(Rule(len(rules), label, priority, confidence, f" {keyword} ", words_regex(words), False))
     return rules
 
 
@@ -132,17 +365,39 @@ def n_words(spaced: Column) -> Column:
     return ((F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.lit(" "), F.lit("")))) / 2).cast("long")
 
 
+FOUND = "array<struct<start:bigint,end:bigint,rule:int,label:string,priority:int,confidence:double,base:boolean>>"
+KEPT = "array<struct<rule:int,label:string,start:bigint,end:bigint,priority:int,confidence:double,base:boolean>>"
+HITS = "array<struct<rule:int,between:array<string>,hits:array<string>>>"
+
+
 def rules_literal(rules: list[Rule]) -> Column:
-    """The rules as one constant array."""
-    kind = "array<struct<number:int,label:string,priority:int,confidence:double,keyword:string,regex:string,base:boolean>>"
-    return F.from_json(F.lit(json.dumps([asdict(r) for r in rules])), kind)
+    """What a detection takes from its rule, as one constant array; a rule's number is its place."""
+    kind = "array<struct<number:int,label:string,priority:int,confidence:double,base:boolean>>"
+    return F.from_json(F.lit(json.dumps([{k: v for k, v in asdict(r).items() if k not in ("keyword", "regex")} for r in rules])), kind)
+
+
+def hits_of(spaced: Column, rules: list[Rule]) -> Column:
+    """For each rule that matches: its number, the stretches between its matches, and the matches.
+
+    Expressions are constants, so that each is compiled once; those of one keyword run only on texts that hold it.
+    """
+    groups: dict[str, list[Rule]] = {}
+    for r in rules:
+        groups.setdefault(r.keyword, []).append(r)
+
+    def one(r: Rule) -> Column:
+        regex = F.lit(r.regex)
+        return F.when(F.rlike(spaced, regex), F.struct(F.lit(r.number).alias("rule"), F.split(spaced, regex, -1).alias("between"), F.regexp_extract_all(spaced, regex, F.lit(0)).alias("hits")))
+
+    none = F.array().cast(HITS)
+    tried = [F.when(F.contains(spaced, F.lit(k)), F.array(*map(one, some))).otherwise(none) for k, some in groups.items()]
+    return F.filter(F.flatten(F.array(*tried)), lambda h: h.isNotNull())
 
 
-def matches(spaced: Column, rule: Column) -> Column:
-    """The intervals of words that a rule matches, as array<struct<start, end, ...>>; end is after the last word."""
-    between, hits = F.split(spaced, rule["regex"], -1), F.regexp_extract_all(spaced, rule["regex"], F.lit(0))
-    kind = "array<struct<start:bigint,end:bigint,rule:int,label:string,priority:int,confidence:double,base:boolean>>"
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("found"))
+def intervals(hit: Column, rules: Column) -> Column:
+    """The intervals of words that a rule matches; end is after the last word."""
+    rule = F.get(rules, hit["rule"])
+    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(FOUND).alias("found"))
 
     def add(acc: Column, pair: Column) -> Column:
         start = acc["at"] + n_words(pair["gap"])
@@ -150,8 +405,8 @@ def matches(spaced: Column, rule: Column) -> Column:
         one = F.struct(start.alias("start"), end.alias("end"), rule["number"].alias("rule"), rule["label"].alias("label"), rule["priority"].alias("priority"), rule["confidence"].alias("confidence"), rule["base"].alias("base"))
         return F.struct(end.alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
 
-    pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
-    return F.when(F.size(hits) > 0, F.aggregate(pairs, empty, add, lambda acc: acc["found"])).otherwise(F.array().cast(kind))
+    pairs = F.arrays_zip(F.slice(hit["between"], F.lit(1), F.size(hit["hits"])).alias("gap"), hit["hits"].alias("hit"))
+    return F.aggregate(pairs, empty, add, lambda acc: acc["found"])
 
 
 def unsuppressed(found: Column, levels: int) -> Column:
@@ -175,26 +430,22 @@ def scan_licenses(docs: DataFrame, text: str = "text", rules: list[Rule] | None
     A detection is struct<rule, label, start, end, priority, confidence, base>, with start and end in words.
     """
     rules = signature_rules() if rules is None else rules
-    made = ["license_words", "licenses", "_spaced", "_rules"]
+    made = ["license_words", "licenses", "_spaced", "_hits"]
     if clash := [c for c in docs.columns if c.lower() in made]:
         raise ValueError(f"columns of the input clash with those made here: {clash}")
-    keywords = sorted({r.keyword for r in rules})
     by_letter: dict[str, list[str]] = {}
-    for k in keywords:
+    for k in sorted({r.keyword for r in rules}):
         by_letter.setdefault(k[1], []).append(re.escape(k[2:]))
     some = F.rlike(F.col("_spaced"), F.lit(" (?:" + "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in by_letter.items()) + ")"))
-    held = F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.col("_spaced"), k))
-    gate = F.when(some, held).otherwise(F.array().cast("array<string>"))
-    none = "array<struct<start:bigint,end:bigint,rule:int,label:string,priority:int,confidence:double,base:boolean>>"
-    due = F.filter(rules_literal(rules), lambda r: F.array_contains(F.col("_rules"), r["keyword"]))
-    found = F.flatten(F.transform(due, lambda r: matches(F.col("_spaced"), r)))
+    constants = rules_literal(rules)
+    found = F.flatten(F.transform("_hits", lambda h: intervals(h, constants)))
     levels = max(r.priority for r in rules) + 1
     return (
         docs.withColumn("_spaced", spaced_words(F.col(text)))
-        .withColumn("_rules", gate)
+        .withColumn("_hits", F.when(some, hits_of(F.col("_spaced"), rules)).otherwise(F.array().cast(HITS)))
         .withColumn("license_words", n_words(F.col("_spaced")))
-        .withColumn("licenses", unsuppressed(F.when(F.size("_rules") > 0, found).otherwise(F.array().cast(none)), levels))
-        .drop("_spaced", "_rules")
+        .withColumn("licenses", F.when(F.size("_hits") > 0, unsuppressed(found, levels)).otherwise(F.array().cast(KEPT)))
+        .drop("_spaced", "_hits")
     )
 
 

@@ -18,12 +18,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from tessera.llm.arrays import SPACE, Texts, hash_runs, lower_ascii, mix, per_text, runs, text_slices
+from tessera.llm.arrays import SPACE, Texts, hash_runs, lower_ascii, mix, per_text, place_of_text, runs, text_slices, texts_of
 from tessera.llm.labelled import calibrate, labelled_sample, sigmoid
+from tessera.llm.tables import in_arrow
 
 BITS, RANK = 15, 8
 UPPER, DIGIT, MARK, SYMBOL = (np.zeros(256, bool) for _ in range(4))
@@ -154,37 +155,38 @@ def held_out(folds: int = 5):
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, per_class: int = 1000, label: str = "quality", keep=None) -> tuple[FactorModel | None, float]:
     """The model, fitted on at most ``per_class`` labelled rows of each class that meet ``keep``, and the share of 1."""
-    sized = docs if "n_chars" in docs.columns else docs.withColumn("n_chars", F.lit(None).cast("long"))
-    texts, y, share = labelled_sample(sized, labels, label, per_class, keep)
-    return fit(texts, np.array([len(x) for x in texts], float), y, share), share
+    texts, given, y, share = labelled_sample(docs, labels, label, per_class, keep, has_length(docs))
+    n_chars = np.array([len(x) if n is None or n != n else n for x, n in zip(texts, given)], float)
+    return fit(texts, n_chars, y, share), share
 
 
-def score_classifier(docs: DataFrame, model: tuple[FactorModel | None, float], carry: str = "doc_id") -> DataFrame:
-    """One row per row of docs: the column ``carry`` (or all, for "*") and ``score``, the calibrated probability of label 1."""
+def has_length(docs: DataFrame) -> bool:
+    """Is there a column of numbers n_chars?"""
+    return any(f.name.lower() == "n_chars" and isinstance(f.dataType, NumericType) for f in docs.schema)
+
+
+def score_classifier(docs: DataFrame, model: tuple[FactorModel | None, float], whole: bool = False) -> DataFrame:
+    """One row per row of docs: its doc_id (or all its columns, as the struct ``row``) and ``score``, the calibrated probability of label 1."""
     fitted, share = model
-    names = [c for c in docs.columns if c != "score"] if carry == "*" else [carry]
-    given = "n_chars" in docs.columns
-    sources = docs.select(*dict.fromkeys([*names, "text", *["n_chars"] * given]))
+    length = F.length(F.coalesce("text", F.lit("")))
+    n_chars = (F.coalesce(F.nullif(F.col("n_chars").cast("double"), F.lit(float("nan"))), length) if has_length(docs) else length).cast("double").alias("n_chars")
+    sources = docs.select(F.struct("*").alias("row"), n_chars) if whole else docs.select("doc_id", "text", n_chars)
+    inside = place_of_text(docs.columns) if whole else None
+    carry = sources.columns[0]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            text = batch.column(batch.schema.get_field_index("text"))
-            chars = pc.fill_null(pc.utf8_length(text), 0)
-            if given:
-                chars = pc.coalesce(batch.column(batch.schema.get_field_index("n_chars")).cast(pa.float64(), safe=False), chars.cast(pa.float64()))
-            chars = chars.to_numpy(zero_copy_only=False).astype(float)
-            for t in text_slices(text):
+            chars = batch.column(batch.num_columns - 1).to_numpy()
+            for t in text_slices(texts_of(batch, inside)):
                 if fitted is None:
                     score = np.full(t.n, share)
                 else:
                     doc, bucket, tf, stats = describe(t, chars[t.lo : t.hi])
                     stats = fitted.centre + np.clip((stats - fitted.centre) / fitted.spread, -5, 5) * fitted.spread
                     score = sigmoid(fitted.scale[0] * raw_scores(doc, bucket, tf, stats, fitted) + fitted.scale[1])
-                cut = batch.slice(t.lo, t.n)
-                yield pa.RecordBatch.from_arrays([*(cut.column(cut.schema.get_field_index(c)) for c in names), pa.array(score)], names=[*names, "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.lo, t.n), pa.array(score)], names=[carry, "score"])
 
-    kinds = ", ".join(f"`{c}` {sources.schema[c].dataType.simpleString()}" for c in names)
-    return sources.mapInArrow(batches, f"{kinds}, score double")
+    return in_arrow(sources, batches, f"{carry} {sources.schema[0].dataType.simpleString()}, score double")
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1000, threshold: float = 0.3) -> DataFrame:
@@ -194,6 +196,6 @@ def classify_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1000,
 
 
 def keep_predicted_good(docs: DataFrame, labels: DataFrame, per_class: int = 1000, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs whose score reaches the threshold, with their own columns."""
+    """The rows of docs whose score reaches the threshold, with their own columns, whatever their names."""
     model = fit_classifier(docs, labels, per_class)
-    return score_classifier(docs, model, "*").where(F.col("score") >= threshold).select(*docs.columns)
+    return score_classifier(docs, model, True).where(F.col("score") >= threshold).select("row.*")

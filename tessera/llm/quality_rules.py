@@ -6,7 +6,8 @@ quarter of that sample that the fit doesn't see, and scored in Arrow batches aga
 
 Defined cases: a null text counts as empty; an empty text has no words, so the counting rules reject it;
 repeated rows and null ids are scored row by row; without labelled rows of both classes only the counting
-rules decide; an empty table gives an empty result; further columns of the input are ignored.
+rules decide; an empty table gives an empty result; further columns of the input are ignored, and
+``reject_low_quality`` gives them back as they were, also those named like columns made here.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrays import SPACE, Texts, hash_runs, mix, per_text, runs, text_slices, windows
+from tessera.llm.arrays import SPACE, Texts, hash_runs, mix, per_text, place_of_text, runs, text_slices, texts_of, windows
 from tessera.llm.labelled import calibrate, labelled_sample, sigmoid
+from tessera.llm.tables import in_arrow
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -148,22 +150,22 @@ def fit(texts: list[str], y: np.ndarray, share: float, rounds: int = 80, rate: f
 
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1000, label: str = "quality") -> QualityModel | None:
     """Fit on at most ``per_class`` labelled rows of each class."""
-    return fit(*labelled_sample(docs, labels, label, per_class))
+    texts, _, y, share = labelled_sample(docs, labels, label, per_class)
+    return fit(texts, y, share)
 
 
-def score_quality(docs: DataFrame, model: QualityModel | None, reject_below: float = 0.2, carry: str = "doc_id") -> DataFrame:
-    """One row per row of docs: the column ``carry`` (or all columns, for "*"), the counts, ``quality`` and ``kept``.
+def score_quality(docs: DataFrame, model: QualityModel | None, reject_below: float = 0.2, inside: int | None = None) -> DataFrame:
+    """One row per row of docs: its doc_id (or the struct ``row``, which has the text at ``inside``), the counts, ``quality`` and ``kept``.
 
     ``quality`` is the calibrated probability of label 1 (null without a model); a row is kept unless the
     counting rules fail or quality is under ``reject_below``.
     """
-    names = [c for c in docs.columns if c not in COLUMNS.replace(",", "").split()[::2]] if carry == "*" else [carry]
-    sources = docs.select(*dict.fromkeys([*names, "text"]))
+
+    carry = ["doc_id", "text"] if inside is None else ["row"]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            text = batch.column(batch.schema.get_field_index("text"))
-            for t in text_slices(text):
+            for t in text_slices(texts_of(batch, inside)):
                 got, parts = counts(t)
                 fine = ~got["base_failed"]
                 if model is None:
@@ -173,11 +175,10 @@ def score_quality(docs: DataFrame, model: QualityModel | None, reject_below: flo
                     got["quality"] = p
                     fine &= p >= reject_below
                 got["kept"] = fine
-                cut = batch.slice(t.lo, t.n)
-                yield pa.RecordBatch.from_arrays([*(cut.column(cut.schema.get_field_index(c)) for c in names), *(pa.array(x) for x in got.values())], names=[*names, *got])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.lo, t.n), *(pa.array(x) for x in got.values())], names=[carry[0], *got])
 
-    kinds = ", ".join(f"`{c}` {sources.schema[c].dataType.simpleString()}" for c in names)
-    return sources.mapInArrow(batches, f"{kinds}, {COLUMNS}")
+    sources = docs.select(*carry)
+    return in_arrow(sources, batches, f"{carry[0]} {sources.schema[0].dataType.simpleString()}, {COLUMNS}")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, per_class: int = 1000, reject_below: float = 0.2) -> DataFrame:
@@ -186,5 +187,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame, per_class: int = 1000, rej
 
 
 def reject_low_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1000, reject_below: float = 0.2) -> DataFrame:
-    """The rows of docs that the rules keep, with their own columns."""
-    return score_quality(docs, fit_quality(docs, labels, per_class), reject_below, "*").where("kept").select(*docs.columns)
+    """The rows of docs that the rules keep, with their own columns, whatever their names."""
+    whole = docs.select(F.struct("*").alias("row"))
+    return score_quality(whole, fit_quality(docs, labels, per_class), reject_below, place_of_text(docs.columns)).where("kept").select("row.*")

@@ -15,9 +15,9 @@ from tessera.llm.packing import pack
 from tessera.llm.quality_classifier import classify_quality
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.sentencepiece import decode, encode
-from tessera.llm.sharding import shard_digest
+from tessera.llm.sharding import shard_digest, shuffle_into_shards, write_shards
 from tessera.llm.suffix_dedup import suffix_digest
-from tessera.llm.tables import table
+from tessera.llm.tables import new_place, table
 
 
 #: Two turns that consist of another template's control strings.
@@ -60,7 +60,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_digest(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return shard_digest(write_shards(shuffle_into_shards(docs), new_place(spark, "shards")))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

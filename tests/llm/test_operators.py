@@ -19,7 +19,7 @@ from tessera.llm.packing import pack
 from tessera.llm.quality_classifier import classify_quality
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.sentencepiece import decode, encode
-from tessera.llm.sharding import shard_digest
+from tessera.llm.sharding import shard_digest, shuffle_into_shards
 from tessera.llm.suffix_dedup import cut_repeats, suffix_digest, unit_rows
 from tessera.llm.tables import table
 
@@ -237,7 +237,7 @@ def test_chat_equals_sql(spark):
 
 
 def test_shards(docs, texts):
-    got = shard_digest(docs).collect()
+    got = shard_digest(shuffle_into_shards(docs)).collect()
     slots = defaultdict(list)
     for r in got:
         raw = (texts[r.doc_id] or "").encode()
@@ -290,7 +290,7 @@ def test_quality_counts(docs, spark, texts):
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], LABELS)
     bpe, piece = queries.tokenizer_path("word_bpe_49k.json"), queries.tokenizer_path("piece_bpe_32k.model")
-    made = (near_duplicates(empty), pack(empty, bpe), decode(encode(empty, piece), piece), suffix_digest(empty), shard_digest(empty), classify_quality(empty, labels), license_digest(empty), quality_rules(empty, labels))
+    made = (near_duplicates(empty), pack(empty, bpe), decode(encode(empty, piece), piece), suffix_digest(empty), shard_digest(shuffle_into_shards(empty)), classify_quality(empty, labels), license_digest(empty), quality_rules(empty, labels))
     chats = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
     for df in (*made, chat_digest(chats), nearest(vectors, __import__("pyspark").sql.functions.expr("vec_id % 20 = 0"))):
@@ -302,7 +302,7 @@ def test_null_ids_and_repeated_rows(spark):
     docs = spark.createDataFrame([(None, long, None, None, None), (None, None, None, None, None), (7, long, "a", "b", 1), (7, long, "a", "b", 1)], DOCS)
     labels = spark.createDataFrame([(None, 1, 0), (7, None, 1), (7, 1, None)], LABELS)
     bpe, piece = queries.tokenizer_path("word_bpe_49k.json"), queries.tokenizer_path("piece_bpe_32k.model")
-    for df in (near_duplicates(docs), suffix_digest(docs), shard_digest(docs), classify_quality(docs, labels), license_digest(docs), quality_rules(docs, labels), decode(encode(docs, piece), piece)):
+    for df in (near_duplicates(docs), suffix_digest(docs), shard_digest(shuffle_into_shards(docs)), classify_quality(docs, labels), license_digest(docs), quality_rules(docs, labels), decode(encode(docs, piece), piece)):
         assert df.count() == 4
     assert pack(docs, bpe).count() >= 4
 
