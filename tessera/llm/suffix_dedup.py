@@ -1,402 +1,483 @@
 """Removal of repeated passages: every byte covered by a 100-byte string that also starts earlier.
 
-A suffix sort by difference cover, cut to what 100-byte matches need. Sampled positions are those of a
-content-defined cover in the place of one by residues: the leftmost 50-byte string of smallest hash in each
-100-byte window. Equal windows have their sample at equal offsets, as the difference cover grants, with one
-sample in about 26 bytes. (1) Samples are named by their string's hash. With 25 bytes on its left or
-on its right a sample is part of each of its windows; such halves that occur once can't be part of a repeat,
-and a bitmap of the others drops or cuts units before any text is shuffled. (2) Windows hang on their
-sample: a unit is the windows of one sample. Units are brought together by name, and all windows of a name
-are merged in order of their position, equal prefixes of 100 bytes next to each other (3): all but the first are
-repeats. Units of frequent names (a line that many documents share, between bytes of their own) are split into their
-windows, which are brought together by their prefixes; of equal ones a task sends the first. README.md says why a cover by residues and names for all suffixes don't fit the limits.
+A distributed suffix sort by a difference cover, cut to what prefixes of 100 bytes need. Sampled positions of a text are those
+whose residue modulo 57 is in a perfect difference set: of any two positions, some 0 to 56 bytes on, both are sampled at
+once, and of two equal 100-byte strings at least 44 equal bytes follow there.
+
+(1) Sampled strings of 44 bytes (``NAME``) are named by their hashes, and the names are sorted and counted; those that occur
+once drop out. (2) The names that are left go on with their neighbourhoods (up to 56 bytes before and 100 bytes after
+the start): these are named and sorted in turn, and of equal ones only the first goes on; all 100-byte strings in the others are
+repeats. (3) What is left, different neighbourhoods of one name, is merged: all suffixes that start in them are sorted by
+their prefixes of 100 bytes, and equal ones stand next to each other; all but the first are repeats. Neighbours are
+compared byte by byte. A name of over ``FREQUENT`` places (a line between bytes of each text's own) isn't
+merged in one place: its 100-byte strings are named one by one in step 2.
+
+Texts are dealt into blocks of about ``BLOCK_BYTES``, by one shuffle that all steps read. A block sends its sorted names to
+their ranges, packed, one row a range, and gets back bits in the same order; no names and no texts go
+through the driver. Texts that are equal as a whole are found by 128 bits of hash first; of them the first is looked at alone.
 
 Texts are UTF-8 bytes; matches don't cross texts; order is that of doc_id, then of a hash of the text, then of the
 start. Defined cases: a null text is empty; texts under 100 bytes stay; null ids come last; rows of equal
-id and text are one document and get equal results; an empty table gives an empty result; extra columns stay.
+id and text are one document and get equal results; an empty table gives an empty result; extra columns stay, whatever
+their names. A long text is looked at in overlapping stretches, so that memory follows the block and not the text's arrays.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrays import BYTE_VALUE, Texts, mix, one_array, powers, text_slices
-from tessera.llm.tables import stored
+from tessera.llm.arrays import BYTE_VALUE, mix, one_array, place_of_text, powers, spread
+from tessera.llm.tables import give_back, in_arrow, stored, whole_row, with_row
 
 LENGTH = 100  #: bytes of a repeat
-GRAM = 50  #: bytes of a sampled string
-SIDE = (LENGTH - GRAM) // 2  #: bytes beside a sample
-NAME_BITS = 34  #: of a name while names are counted
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30  #: of the bitmap of repeated names
-DOC_BITS = 1 << 24  #: of the bitmap of documents with repeats
-FLUSH = 1 << 18  #: units that a task gathers before it drops repeats among them
-FREQUENT = 1 << 15  #: units of a name beyond which they are split into windows
-SEEN = 16  #: units of a name among those that a task gathers, from which on they are counted for that
-SPLIT = 1 << 14  #: units that are split at a time
-BASE = 0xD6E8FEB86659FD93
+MODULUS = 57
+#: A perfect difference set; each residue modulo 57 is the difference of two of these.
+COVER = (0, 1, 3, 13, 32, 36, 43, 52)
+NAME = LENGTH - MODULUS + 1  #: bytes that surely follow a common sample of two equal strings
+BEFORE = MODULUS - 1  #: bytes before a sample at which a string that holds its name may start
+BLOCK_BYTES = 8 << 20
+STRETCH = MODULUS << 14  #: bytes of a text that are looked at together
+SLICE_BYTES = 1 << 20
+FREQUENT = 1 << 15  #: places of a name beyond which its strings are named one by one
+SPARE_BITS = 7  #: by which names are longer than their number needs; one in 2**7 unique names goes on for nothing
 LAST_ID = (1 << 63) - 1
+COPIES, SEEN, FIRST, SPANS, STREAM = range(5)  #: kinds of rows that go between blocks and ranges
+ROW = "range int, block int, kind int, place int, data binary"
 _U = np.uint64
+IN_COVER = np.isin(np.arange(MODULUS), COVER)
 
 
 class Rolling:
     """Hashes of stretches of some bytes."""
 
-    forth = powers(1 << 10, BASE)
-    back = powers(1 << 10, pow(BASE, -1, 1 << 64))
+    forth = powers(1 << 10)
+    back = powers(1 << 10, pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
     def __init__(self, data: np.ndarray) -> None:
         if len(data) >= len(Rolling.forth):
-            Rolling.forth = powers(2 * len(data), BASE)
-            Rolling.back = powers(2 * len(data), pow(BASE, -1, 1 << 64))
+            Rolling.forth = powers(2 * len(data))
+            Rolling.back = powers(2 * len(data), pow(0xD6E8FEB86659FD93, -1, 1 << 64))
         self.sums = np.concatenate([[_U(0)], np.cumsum(BYTE_VALUE[data] * Rolling.forth[: len(data)], dtype=_U)])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * Rolling.back[start] + (end - start).astype(_U))
 
 
-def units(t: Texts) -> tuple[Rolling, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Units of some texts: hashes, and of each unit its name, its text's number, its first and end byte, its sample."""
-    roll = Rolling(t.data)
-    none = np.zeros(0, np.int64)
-    if len(t.data) < LENGTH:
-        return roll, none.astype(_U), none, none, none, none
-    at = np.arange(len(t.data) - GRAM + 1)
-    names = roll(at, at + GRAM)
-    bits = max(21, int(len(t.data)).bit_length())
-    low = _U((1 << bits) - 1)
-    key = (names & ~low) | at.astype(_U)  # the smallest hash, and of these the leftmost
-    width = LENGTH - GRAM + 1
-    blocks = np.concatenate([key, np.full(-len(key) % width, ~_U(0))]).reshape(-1, width)
-    front = np.minimum.accumulate(blocks, 1).ravel()
-    tail = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
-    n = len(t.data) - LENGTH + 1
-    sample = (np.minimum(tail[:n], front[width - 1 : width - 1 + n]) & low).astype(np.int64)
-    doc = np.repeat(np.arange(t.n), np.diff(t.offsets))[:n]
-    start = np.flatnonzero(np.arange(n) + LENGTH <= t.offsets[doc + 1])
-    if not len(start):
-        return roll, none.astype(_U), none, none, none, none
-    sample, doc = sample[start], doc[start]
-    new = np.ones(len(start), bool)
-    new[1:] = (sample[1:] != sample[:-1]) | (doc[1:] != doc[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(start)) - 1
-    return roll, names[sample[first]], doc[first], start[first], start[last] + LENGTH, sample[first]
-
-
-def halves(roll: Rolling, start: np.ndarray, end: np.ndarray, sample: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The sample with ``SIDE`` bytes on its left, and with those on its right: which units have it, and its hash.
-
-    Each window of a unit holds one of them, so a window can only be repeated if one that it holds is.
+def pack(*columns: np.ndarray) -> bytes:
+    """Arrays of one length, byte plane by byte plane, deflated."""
+    n = len(columns[0])
+    planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(n, -1).T.tobytes() for c in columns) if n else b""
+    return n.to_bytes(4, "little") + zlib.compress(planes, 1)
+
+
+def unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
+    n, raw, at, out = int.from_bytes(blob[:4], "little"), np.frombuffer(zlib.decompress(blob[4:]), np.uint8), 0, []
+    for kind in kinds:
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(kind).ravel())
+        at += n * size
+    return out
+
+
+def steps(ordered: np.ndarray) -> np.ndarray:
+    """Ordered numbers as differences, which pack well."""
+    return np.diff(ordered, prepend=ordered.dtype.type(0))
+
+
+def rows_of(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows)) if rows else [[]] * 5
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["range", "block", "kind", "place", "data"])
+
+
+class Block:
+    """The texts of a block, and what is known about them from the steps before."""
+
+    def __init__(self, docs: pa.Table, side: pa.Table, inside: int) -> None:
+        """docs: ord, tag, more, row; ``inside``: the text's place in row. side: rows that came back to this block."""
+        ord_, tag = (docs.column(c).to_numpy() for c in ("ord", "tag"))
+        self.text = pc.fill_null(pc.struct_field(one_array(docs.column("row")), [inside]), "").cast(pa.large_binary())
+        order = np.lexsort((tag, ord_))
+        new = np.append(True, (ord_[order][1:] != ord_[order][:-1]) | (tag[order][1:] != tag[order][:-1])) if len(order) else np.zeros(0, bool)
+        self.of = np.empty(len(order), np.int64)  # each row's document
+        self.of[order] = np.cumsum(new) - 1
+        self.row = order[new]  # a row of each document
+        self.ord, self.tag = ord_[self.row], tag[self.row]
+        self.size = pc.binary_length(self.text).to_numpy(zero_copy_only=False).astype(np.int64)[self.row]
+        kinds, places, data = (side.column(c).to_pylist() for c in ("kind", "place", "data"))
+        self.flags = {k: b"".join(zlib.decompress(x) for _, x in sorted((p, x) for p, kind, x in zip(places, kinds, data) if kind == k)) for k in (SEEN, FIRST)}
+        self.spans = [x for kind, x in zip(kinds, data) if kind == SPANS]
+        self.copies = b"".join(x for kind, x in zip(kinds, data) if kind == COPIES)
+        known = {(a, b): first for a, b, first in np.frombuffer(self.copies, ">i8").reshape(-1, 3).tolist()}
+        more = docs.column("more").to_numpy()[self.row].tolist()
+        self.copy = np.array([o > known.get((t, m), LAST_ID) for o, t, m in zip(self.ord.tolist(), self.tag.tolist(), more)], bool)
+
+    def slices(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Some bytes, and of each sample in them its place, its stretch's first and end place, its document, and what to add to a place to have it in the document."""
+        parts, size = [], 0
+        for k in np.flatnonzero(~self.copy & (self.size >= LENGTH)).tolist():
+            raw = np.frombuffer(self.text[int(self.row[k])].as_buffer(), np.uint8)
+            for core in range(0, len(raw), STRETCH):
+                lo, hi = max(0, core - BEFORE), min(len(raw), core + STRETCH + LENGTH)
+                parts.append((k, core, lo, raw[lo:hi], len(raw)))
+                size += hi - lo
+                if size >= SLICE_BYTES:
+                    yield self.samples(parts)
+                    parts, size = [], 0
+        if parts:
+            yield self.samples(parts)
+
+    def samples(self, parts: list[tuple]) -> tuple[np.ndarray, ...]:
+        data = np.concatenate([p[3] for p in parts])
+        sizes = np.array([len(p[3]) for p in parts])
+        first = np.cumsum(sizes) - sizes
+        doc, core, lo, whole = (np.array([p[c] for p in parts]) for c in (0, 1, 2, 4))
+        part = np.repeat(np.arange(len(parts)), sizes)
+        at = np.arange(len(data)) - np.repeat(first - lo, sizes)  # in the document
+        on = np.flatnonzero(IN_COVER[at % MODULUS] & (at >= core[part]) & (at < core[part] + STRETCH) & (at + NAME <= whole[part]))
+        own = part[on]
+        return data, on, first[own], (first + sizes)[own], doc[own], (lo - first)[own]
+
+    def names(self, bits: int) -> np.ndarray:
+        """The names of all samples, in the order of ``slices``, cut to some bits."""
+        out = [np.zeros(0, _U)]
+        for data, at, *_ in self.slices():
+            out.append(Rolling(data)(at, at + NAME) >> _U(64 - bits))
+        return np.concatenate(out)
+
+    def neighbourhoods(self, bits: int) -> Iterator[tuple[np.ndarray, Rolling, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each slice the samples of repeated names: bytes, hashes, and of each its place, first and end place of its
+        neighbourhood, document, what to add to places, and 2 for a frequent name, else 1."""
+        names = self.names(bits)
+        once = np.unique(names)
+        seen = np.frombuffer(self.flags[SEEN], np.uint8)
+        done = 0
+        for data, at, first, end, doc, add in self.slices():
+            mark = seen[np.searchsorted(once, names[done : done + len(at)])]
+            done += len(at)
+            on = np.flatnonzero(mark)
+            if len(on):
+                at, first, end, doc, add, mark = (x[on] for x in (at, first, end, doc, add, mark))
+                start, stop = np.maximum(at - BEFORE, first), np.minimum(at + LENGTH, end)
+                yield data, Rolling(data), at, start, stop, doc, add, mark
+
+    def entries(self, bits: int) -> "Entries":
+        """Neighbourhoods, and the single strings of frequent names."""
+        parts = [[np.zeros(0, _U)] + [np.zeros(0, np.int64)] * 3]
+        for _, roll, _, start, stop, doc, add, mark in self.neighbourhoods(bits):
+            single = mark == 2
+            n = np.where(single, stop - start - LENGTH + 1, 1)
+            own = np.repeat(np.arange(len(n)), n)
+            lo = spread(start, n)
+            hi = np.where(single[own], lo + LENGTH, stop[own])
+            parts.append([roll(lo, hi), doc[own], lo + add[own], hi + add[own]])
+        return Entries(*(np.concatenate(x) for x in zip(*parts)))
+
+
+class Entries:
+    """Hashed strings of a block with their documents and places, in the order of ``neighbourhoods``; ``once``: of equal ones the first."""
+
+    def __init__(self, name: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        self.name, self.doc, self.start, self.end = name, doc, start, end
+        order = np.lexsort((start, doc, name))
+        new = np.append(True, name[order][1:] != name[order][:-1]) if len(order) else np.zeros(0, bool)
+        self.once = order[new]
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+
+    def again(self, flags: bytes) -> np.ndarray:
+        """Which are repeats: those that stand elsewhere than the first of equal ones, and all if flags say it of the first."""
+        first = self.once[self.of]
+        return (self.doc != self.doc[first]) | (self.start != self.start[first]) | (np.frombuffer(flags, np.uint8)[self.of] > 0)
+
+
+def cut_at(ordered: np.ndarray, bits: int, ranges: int) -> np.ndarray:
+    """Where the ranges of numbers of some bits begin in ordered ones."""
+    edges = np.array([(k << bits) // ranges for k in range(ranges)], _U)
+    return np.append(np.searchsorted(ordered, edges), len(ordered))
+
+
+def in_ranges(number: int, ordered: np.ndarray, bits: int, ranges: int, packed: Callable[[slice], bytes]) -> list[tuple]:
+    """Rows that bring the parts of ordered numbers to their ranges."""
+    cuts = cut_at(ordered, bits, ranges).tolist()
+    return [(k, number, STREAM, k, packed(slice(a, b))) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+
+
+def passed_on(number: int, block: Block, ranges: int, *kinds: int) -> list[tuple]:
+    """Rows that come back to the block with what it knows already."""
+    out = [(number % ranges, number, k, 0, zlib.compress(block.flags[k], 1)) for k in kinds]
+    return out + [(number % ranges, number, COPIES, 0, block.copies)] * bool(block.copies)
+
+
+def sends_names(number: int, block: Block, bits: int, ranges: int) -> list[tuple]:
+    once, times = np.unique(block.names(bits), return_counts=True)
+    times = np.minimum(times, 0xFFFF).astype(np.uint16)
+    return in_ranges(number, once, bits, ranges, lambda s: pack(steps(once[s]), times[s])) + passed_on(number, block, ranges)
+
+
+def sends_entries(number: int, block: Block, bits: int, ranges: int) -> list[tuple]:
+    e = block.entries(bits)
+    name, doc, start = e.name[e.once], e.doc[e.once], e.start[e.once].astype(np.uint32)
+    tag = (block.tag[doc].view(_U) >> _U(32)).astype(np.uint32)
+    return in_ranges(number, name, 64, ranges, lambda s: pack(steps(name[s]), block.ord[doc[s]], tag[s], start[s])) + passed_on(number, block, ranges, SEEN)
+
+
+def sends_units(number: int, block: Block, bits: int, ranges: int) -> list[tuple]:
+    """Neighbourhoods that aren't repeats, by name, with their bytes."""
+    again, done = block.entries(bits).again(block.flags[FIRST]), 0
+    held: list[list[np.ndarray]] = []
+    texts: list[bytes] = []
+    for data, roll, at, start, stop, doc, add, mark in block.neighbourhoods(bits):
+        n = np.where(mark == 2, stop - start - LENGTH + 1, 1)
+        first = done + np.cumsum(n) - n
+        done += int(n.sum())
+        on = np.flatnonzero((mark == 1) & (stop - start >= LENGTH) & ~again[first])
+        raw = data.tobytes()
+        held.append([roll(at[on], at[on] + NAME) & ~_U(0xFFFF), doc[on], (start + add)[on]])
+        texts.extend(raw[a:b] for a, b in zip(start[on].tolist(), stop[on].tolist()))
+    if not texts:
+        return passed_on(number, block, ranges, SEEN, FIRST)
+    name, doc, start = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((start, doc, name))
+    name, doc, start = name[order], doc[order], start[order]
+    texts = [texts[k] for k in order.tolist()]
+    tag = (block.tag[doc].view(_U) >> _U(32)).astype(np.uint32)
+    size = np.array([len(x) for x in texts], np.uint8)
+
+    def packed(s: slice) -> bytes:
+        numbers = pack(steps(name[s]), block.ord[doc[s]], tag[s], doc[s].astype(np.uint32), start[s].astype(np.uint32), size[s])
+        return len(numbers).to_bytes(4, "little") + numbers + zlib.compress(b"".join(texts[s]), 1)
+
+    return in_ranges(number, name, 64, ranges, packed) + passed_on(number, block, ranges, SEEN, FIRST)
+
+
+def counted_names(rows: list[tuple[int, int, bytes]], frequent: int) -> list[tuple]:
+    """For each block's names of a range: 0 if a name occurs once in all, 2 if over ``frequent`` times, else 1."""
+    got = [unpack(data, _U, np.uint16) for _, _, data in rows]
+    sizes = np.cumsum([len(g[0]) for g in got])[:-1]
+    name, where = np.unique(np.concatenate([np.cumsum(g[0], dtype=_U) for g in got]), return_inverse=True)
+    total = np.bincount(where, np.concatenate([g[1] for g in got]), len(name))
+    flag = ((total > 1).astype(np.uint8) + (total > frequent).astype(np.uint8))[where]
+    return [(0, block, SEEN, place, zlib.compress(own.tobytes(), 1)) for (block, place, _), own in zip(rows, np.split(flag, sizes))]
+
+
+def first_entries(rows: list[tuple[int, int, bytes]]) -> list[tuple]:
+    """For each block's strings of a range: 1 if an equal one stands earlier, else 0."""
+    got = [unpack(data, _U, np.int64, np.uint32, np.uint32) for _, _, data in rows]
+    sizes = np.cumsum([len(g[0]) for g in got])[:-1]
+    name = np.concatenate([np.cumsum(g[0], dtype=_U) for g in got])
+    ord_, tag, start = (np.concatenate([g[k] for g in got]) for k in (1, 2, 3))
+    order = np.lexsort((start, tag, ord_, name))
+    flag = np.zeros(len(order), np.uint8)
+    flag[order[1:]] = name[order][1:] == name[order][:-1]
+    return [(0, block, FIRST, place, zlib.compress(own.tobytes(), 1)) for (block, place, _), own in zip(rows, np.split(flag, sizes))]
+
+
+MERGED = 1 << 14  #: neighbourhoods that are merged at a time, in whole names
+
+
+def merged_units(rows: list[tuple[int, int, bytes]]) -> list[tuple]:
+    """Stretches of repeats among the neighbourhoods of a range, by block."""
+    columns, texts = [], []
+    for block, _, data in rows:
+        n = int.from_bytes(data[:4], "little")
+        step, *more = unpack(data[4 : 4 + n], _U, np.int64, np.uint32, np.uint32, np.uint32, np.uint8)
+        columns.append([np.cumsum(step, dtype=_U), *more, np.full(len(step), block, np.int64)])
+        texts.append(zlib.decompress(data[4 + n :]))
+    name, ord_, tag, doc, start, size, block = (np.concatenate(x) for x in zip(*columns))
+    size, start = size.astype(np.int64), start.astype(np.int64)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    begin = np.cumsum(size) - size
+    order = np.lexsort((start, tag, ord_, name))
+    found = []
+    lo = 0
+    while lo < len(order):
+        hi = min(lo + MERGED, len(order))
+        hi = int(np.searchsorted(name[order], name[order[hi - 1]], "right"))
+        own = order[lo:hi]
+        lo = hi
+        if len(own) > 1:
+            some = data[spread(begin[own], size[own])]
+            _, rank = np.unique(np.stack([ord_[own], tag[own].astype(np.int64)], 1), axis=0, return_inverse=True)
+            row, first, last = repeated_windows(name[own], some, size[own], (rank.ravel() << 32) + start[own])
+            found.append([block[own[row]], doc[own[row]].astype(np.uint32), (start[own[row]] + first).astype(np.uint32), (start[own[row]] + last + LENGTH).astype(np.uint32)])
+    if not found:
+        return []
+    block, doc, begin, end = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(block, kind="stable")
+    blocks, first = np.unique(block[order], return_index=True)
+    return [(0, b, SPANS, rows[0][1], pack(doc[o], begin[o], end[o])) for b, o in zip(blocks.tolist(), np.split(order, first[1:]))]
+
+
+def repeated_windows(name: np.ndarray, data: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings of ``LENGTH`` bytes that an earlier one of the same name equals, as stretches: neighbourhood, first and last string.
+
+    ``place``: of each neighbourhood, in the order of all texts. A string may be in several neighbourhoods. Strings are
+    sorted by the hashes of their bytes, then by their places; each is compared with the first of its kind, whole or,
+    where both go on as those before them do, by its last byte.
     """
-    left, right = np.flatnonzero(sample - start >= SIDE), np.flatnonzero(end - sample - GRAM >= SIDE)
-    return [(left, roll(sample[left] - SIDE, sample[left] + GRAM)), (right, roll(sample[right], sample[right] + GRAM + SIDE))]
-
-
-def prepared(docs: DataFrame) -> DataFrame:
-    """ord (the id, null last), tag (31 bits of the text's hash), text; the key of a document is (ord, tag)."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("ord"), F.shiftrightunsigned(F.xxhash64(text), 33).alias("tag"), text.alias("text"))
-
-
-def windows_of(names: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of units in order: unit, place in it, hash of name and bytes, whether an earlier window is equal."""
-    n = np.diff(offsets) - LENGTH + 1
+    n = size - LENGTH + 1
     row = np.repeat(np.arange(len(n)), n)
     inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    at = offsets[row] + inside
-    prefix = Rolling(data)(at, at + LENGTH) ^ mix(names.view(_U))[row]
-    again = np.ones(len(row), bool)
-    again[np.unique(prefix, return_index=True)[1]] = False
-    return row, inside, prefix, again
-
-
-def stretches(row: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first and the last window of each run of repeats in a unit."""
+    at = (np.cumsum(size) - size)[row] + inside
+    here = place[row] + inside
+    prefix = Rolling(data)(at, at + LENGTH) ^ mix(name)[row]
+    order = np.lexsort((here, prefix))
+    new = np.append(True, prefix[order][1:] != prefix[order][:-1])
+    lead = np.empty(len(order), np.int64)
+    lead[order] = order[new][np.cumsum(new) - 1]
+    again = here != here[lead]
+    other = at[lead]
+    goes_on = np.zeros(len(at), bool)
+    goes_on[1:] = again[1:] & again[:-1] & (row[1:] == row[:-1]) & (other[1:] == other[:-1] + 1)
+    equal = data[at + LENGTH - 1] == data[other + LENGTH - 1]
+    whole = np.flatnonzero(again & ~goes_on)
+    for k in range(0, len(whole), 1 << 15):
+        w = whole[k : k + (1 << 15)]
+        inner = np.arange(LENGTH)
+        equal[w] = (data[at[w][:, None] + inner] == data[other[w][:, None] + inner]).all(1)
+    odd = again & ~equal  # hashes that are equal by chance: what goes on from there doesn't count either
+    wrong = np.cumsum(odd)
+    head = np.maximum.accumulate(np.where(goes_on, 0, np.arange(len(at))))
+    again &= wrong == (wrong - odd)[head]
     begins = again & np.concatenate([[True], ~again[:-1] | (row[1:] != row[:-1])])
     ends = again & np.concatenate([~again[1:] | (row[1:] != row[:-1]), [True]])
-    return np.flatnonzero(begins), np.flatnonzero(ends)
-
-
-def repeated_names(rows: DataFrame, parts: int, frequent: int) -> tuple[np.ndarray, int, np.ndarray]:
-    """A bitmap of names that occur twice or more, folded to a bounded number of bits, the logarithm of that, and the
-    sorted names of over ``frequent`` units.
-
-    Each task sends its sorted names, cut to ``NAME_BITS`` bits, in one stretch per range of names. Units are counted
-    where a task gathers ``SEEN`` of a name or more, so a name has less than that for each gathering if it isn't found.
-    """
-    spread = 1 << NAME_BITS
-    seen = min(SEEN, frequent)
-
-    def names(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        own: list[np.ndarray] = []
-
-        def sent() -> pa.RecordBatch:
-            often, times = np.unique(np.concatenate(own), return_counts=True)
-            often, times = often[times >= seen], times[times >= seen].astype(_U)
-            whose = np.searchsorted(often >> _U(64 - NAME_BITS), (np.arange(parts + 1) * spread // parts).astype(_U))
-            value, n = np.unique(np.concatenate(held) >> _U(64 - NAME_BITS), return_counts=True)
-            cuts = np.searchsorted(value, (np.arange(parts + 1) * spread // parts).astype(_U))
-            out, counts = [], []
-            for k in range(parts):
-                v, twice = value[cuts[k] : cuts[k + 1]], n[cuts[k] : cuts[k + 1]] > 1
-                steps = np.diff(v, prepend=_U(k * spread // parts)).astype("<u8").view(np.uint8).reshape(-1, 8)
-                out.append(zlib.compress(steps.T.tobytes(), 1) + np.packbits(twice).tobytes() + len(v).to_bytes(4, "little"))
-                counts.append(np.concatenate([x[whose[k] : whose[k + 1]] for x in (often, times)]).tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(out, pa.binary()), pa.array(counts, pa.binary())], names=["range", "names", "counts"])
-
-        for batch in it:
-            for t in text_slices(batch.column(0)):
-                roll, unit, _, start, end, sample = units(t)
-                own.append(unit)
-                held.extend(name for _, name in halves(roll, start, end, sample))
-                if sum(map(len, held)) > 4 * FLUSH:
-                    yield sent()
-                    held.clear()
-                    own.clear()
-        if held:
-            yield sent()
-
-    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << math.ceil(math.log2(max(1, n_bytes // 6)))))
-    fold = NAME_BITS - int(math.log2(bits))
-
-    def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        counts = []
-        for batch in it:
-            counts.extend(np.frombuffer(x, _U).reshape(2, -1) for x in batch.column(2).to_pylist() if x)
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n = int.from_bytes(blob[-4:], "little")
-                if n:
-                    marks = -(-n // 8)
-                    steps = np.frombuffer(zlib.decompress(blob[: len(blob) - 4 - marks]), np.uint8).reshape(8, n).T
-                    value = np.cumsum(np.ascontiguousarray(steps).view("<u8").ravel().astype(_U)) + _U(k * spread // parts)
-                    got.setdefault(k, []).append((value, np.unpackbits(np.frombuffer(blob[len(blob) - 4 - marks : -4], np.uint8), count=n).astype(bool)))
-        if counts:
-            unit, where = np.unique(np.concatenate([x[0] for x in counts]), return_inverse=True)
-            unit = unit[np.bincount(where, np.concatenate([x[1] for x in counts])) > frequent].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(np.zeros(len(unit), np.int64)), pa.array(np.ones(len(unit), bool))], names=["word", "mark", "frequent"])
-        for blobs in got.values():
-            value = np.concatenate([v for v, _ in blobs])
-            twice = np.concatenate([m for _, m in blobs])
-            order = np.sort(value)
-            some = np.unique(np.concatenate([order[1:][order[1:] == order[:-1]], value[twice]])) >> _U(fold)
-            word, where = np.unique((some >> _U(5)).astype(np.int64), return_index=True)
-            mark = np.bitwise_or.reduceat(np.uint32(1) << (some & _U(31)).astype(np.uint32), where) if len(some) else some
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mark.astype(np.int64)), pa.array(np.zeros(len(word), bool))], names=["word", "mark", "frequent"])
-
-    sent = rows.select("text").mapInArrow(names, "range int, names binary, counts binary")
-    words = sent.repartition(parts, "range").mapInArrow(counted, "word long, mark long, frequent boolean").groupBy("word", "frequent").agg(F.bit_or("mark").alias("mark"))
-    bitmap = np.zeros(bits >> 5, np.uint32)
-    table = words.toArrow()  # at most MOST_BITS / 32 rows, and one for each ``frequent`` units
-    often = np.sort(table.filter(table["frequent"])["word"].to_numpy().view(_U))
-    table = table.filter(pc.invert(table["frequent"]))
-    bitmap[table["word"].to_numpy()] = table["mark"].to_numpy().astype(np.uint32)
-    return bitmap, NAME_BITS - fold, often
-
-
-def unit_rows(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """name, ord, tag, start, end, bytes: units by name, windows of frequent names by their prefix (bytes is empty), and
-    stretches that are repeats (bytes is null)."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = prepared(docs)
-    bitmap, log_bits, often = repeated_names(rows, parts, frequent)
-    shared = spark.sparkContext.broadcast((bitmap, often))  # at most MOST_BITS / 8 bytes, and a name for each ``frequent`` units
-    kinds = "name long, ord long, tag long, start long, end long, bytes binary"
-
-    def gathered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = shared.value[0]
-        held: list[tuple] = []
-        for batch in it:
-            ord_, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for t in text_slices(batch.column(2)):
-                roll, name, doc, start, end, sample = units(t)
-                twice = np.zeros((2, len(name)), bool)
-                for side, (own, half) in enumerate(halves(roll, start, end, sample)):
-                    place = (half >> _U(64 - log_bits)).astype(np.int64)
-                    twice[side, own] = (marks[place >> 5] >> (place & 31).astype(np.uint32)) & 1
-                start = np.where(twice[0], start, np.maximum(start, sample - SIDE))  # windows that hold a repeated half
-                end = np.where(twice[1], end, np.minimum(end, sample + GRAM + SIDE))
-                on = np.flatnonzero(twice.any(0))
-                name, doc, start, end = name[on], doc[on], start[on], end[on]
-                raw = t.data.tobytes()
-                texts = [raw[a:b] for a, b in zip(start.tolist(), end.tolist())]
-                first = t.offsets[doc]
-                held.append((name, roll(start, end), ord_[t.lo + doc], tag[t.lo + doc], start - first, end - first, np.array(texts, object)))
-                if sum(len(x[0]) for x in held) > FLUSH:
-                    yield from sent(held)
-                    held = []
-        if held:
-            yield from sent(held)
-
-    def rows_of(*columns: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns[:-1]), pa.array(columns[-1], pa.binary())], names=["name", "ord", "tag", "start", "end", "bytes"])
-
-    def sent(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        """The first of equal units with its bytes; the others as repeats. A unit that a repeated row gives again goes."""
-        name, content, ord_, tag, start, end, text = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((start, tag, ord_, content))
-        same = np.zeros(len(order), bool)
-        same[1:] = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (content, ord_, tag, start)])
-        order = order[~same]
-        name, content, ord_, tag, start, end, text = (x[order] for x in (name, content, ord_, tag, start, end, text))
-        again = np.zeros(len(order), bool)
-        again[1:] = content[1:] == content[:-1]
-        text[again] = None
-        split = ~again & np.isin(name, shared.value[1])
-        name = np.where(again, mix(ord_.astype(_U)), name).view(np.int64)  # repeats may go anywhere
-        yield rows_of(*(x[~split] for x in (name, ord_, tag, start, end, text)))
-        on = np.flatnonzero(split)
-        on = on[np.lexsort((start[on], tag[on], ord_[on], name[on]))]
-        for lo in range(0, len(on), SPLIT):
-            yield from singles(*(x[on[lo : lo + SPLIT]] for x in (name, ord_, tag, start, text)))
-
-    def singles(name: np.ndarray, ord_: np.ndarray, tag: np.ndarray, start: np.ndarray, text: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Units as windows: the first of equal ones by their prefix, the others as repeats."""
-        offsets = np.append(0, np.cumsum([len(x) for x in text]))
-        row, inside, prefix, again = windows_of(name, np.frombuffer(b"".join(text), np.uint8), offsets)
-        new = np.flatnonzero(~again)
-        own, begin = row[new], start[row[new]] + inside[new]
-        yield rows_of(prefix[new].view(np.int64), ord_[own], tag[own], begin, begin + LENGTH, np.full(len(new), b"", object))
-        first, last = stretches(row, again)
-        own = row[first]
-        yield rows_of(mix(ord_[own].astype(_U)).view(np.int64), ord_[own], tag[own], start[own] + inside[first], start[own] + inside[last] + LENGTH, np.full(len(own), None, object))
-
-    return rows.mapInArrow(gathered, kinds)
-
-
-def repeats(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """ord, tag, start, end: stretches of documents that are repeats; they may touch and overlap."""
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends)
+    return row[first], inside[first], inside[last]
+
+
+def removed_runs(block: Block, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal removed runs of a block: document, start, end, in order."""
+    e = block.entries(bits)
+    again = e.again(block.flags[FIRST]) & (e.end - e.start >= LENGTH)
+    copies = np.flatnonzero(block.copy)
+    parts = [[e.doc[again], e.start[again], e.end[again]], [copies, np.zeros(len(copies), np.int64), block.size[copies]]]
+    parts += [[x.astype(np.int64) for x in unpack(data, np.uint32, np.uint32, np.uint32)] for data in block.spans]
+    doc, start, end = (np.concatenate(x) for x in zip(*parts))
+    base = np.cumsum(block.size + 1) - block.size - 1  # documents side by side, never touching
+    order = np.argsort(base[doc] + start, kind="stable")
+    doc, start, end = doc[order], (base[doc] + start)[order], (base[doc] + end)[order]
+    reach = np.maximum.accumulate(end) if len(end) else end
+    new = np.flatnonzero(np.append(True, start[1:] > reach[:-1])) if len(end) else np.zeros(0, np.int64)
+    last = np.append(new[1:], len(end)) - 1 if len(new) else new
+    return doc[new], start[new] - base[doc[new]], reach[last] - base[doc[new]]
+
+
+SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+
+
+def cut_block(docs: pa.Table, block: Block, bits: int) -> pa.Table:
+    """Each row, the bytes that are left of its text, the text's size and the removed runs."""
+    doc, start, end = removed_runs(block, bits)
+    first = np.searchsorted(doc, np.arange(len(block.row) + 1))
+    kept = []
+    for k, row in enumerate(block.row.tolist()):
+        raw = block.text[row].as_py()
+        a, b = first[k], first[k + 1]
+        stops = [0, *np.stack([start[a:b], end[a:b]], 1).ravel().tolist(), len(raw)]
+        kept.append(raw if a == b else b"".join(raw[x:y] for x, y in zip(stops[::2], stops[1::2])))
+    runs = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(end, pa.int64())], fields=list(SPAN)))
+    of = pa.array(block.of)
+    columns = [docs.column("row"), pa.array(kept, pa.binary()).take(of), pa.array(block.size).take(of), runs.take(of)]
+    return pa.Table.from_arrays(columns, names=["row", "kept", "n_bytes", "spans"])
+
+
+def cut_docs(docs: DataFrame, frequent: int = FREQUENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``row`` (a row of docs as a struct), ``kept`` (binary: the bytes left), ``n_bytes`` (of the text) and ``spans`` (removed: array<struct<start, end>>)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def merged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in it:
-            table = pa.Table.from_batches([batch])
-            rest = table if rest is None else pa.concat_tables([rest, table])
-            names = rest.column("name").to_numpy()
-            cut = int(np.flatnonzero(names != names[-1])[-1]) + 1 if len(names) and names[0] != names[-1] else 0
-            if cut:
-                yield windows(rest.slice(0, cut))
-                rest = rest.slice(cut)
-        if rest is not None and len(rest):
-            yield windows(rest)
-
-    def windows(table: pa.Table) -> pa.RecordBatch:
-        """Rows of whole names, ordered by name and position: stretches of windows whose prefix an earlier one has."""
-        given = table.filter(pc.is_null(table.column("bytes")))
-        table = table.filter(pc.is_valid(table.column("bytes")))
-        if len(table) > 1:  # repeated rows give the same units again
-            same = np.logical_and.reduce([x[1:] == x[:-1] for x in (table.column(c).to_numpy() for c in ("name", "ord", "tag", "start", "end"))])
-            table = table.filter(pa.array(np.append(True, ~same)))
-        out = [[given.column(c).to_numpy() for c in ("ord", "tag", "start", "end")]]
-        single = pc.equal(pc.binary_length(table.column("bytes")), 0)
-        alone, table = table.filter(single), table.filter(pc.invert(single))
-        if len(alone) > 1:  # windows of frequent names
-            names = alone.column("name").to_numpy()
-            again = np.append(False, names[1:] == names[:-1])
-            out.append([alone.column(c).to_numpy()[again] for c in ("ord", "tag", "start", "end")])
-        if len(table):
-            column = one_array(table.column("bytes")).cast(pa.large_binary())
-            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-            data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-            offsets = offsets - offsets[0]
-            names = table.column("name").to_numpy()
-            row, inside, _, again = windows_of(names, data, offsets)
-            first, last = stretches(row, again)
-            start = table.column("start").to_numpy()[row[first]]
-            out.append([table.column(c).to_numpy()[row[first]] for c in ("ord", "tag")] + [start + inside[first], start + inside[last] + LENGTH])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["ord", "tag", "start", "end"])
-
-    found = unit_rows(docs, frequent).repartition(parts, "name").sortWithinPartitions("name", "ord", "tag", "start")
-    return found.mapInArrow(merged, "ord long, tag long, start long, end long")
+    text = F.coalesce("text", F.lit(""))
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(n_bytes / block_bytes), min(parts, n_bytes >> 20))
+    # a stream of names from a block to a range should hold some names at least
+    ranges = max(1, min(max(parts, blocks), block_bytes * len(COVER) // MODULUS // 16))
+    bits = min(60, math.ceil(math.log2(max(2, n_bytes * len(COVER) // MODULUS))) + SPARE_BITS)
+    inside = place_of_text(docs.columns)
+    keyed = docs.select(
+        F.coalesce(F.col("doc_id").try_cast("long"), F.lit(LAST_ID)).alias("ord"),
+        F.xxhash64(text).alias("tag"),
+        F.xxhash64(F.lit(1), text).alias("more"),
+        whole_row(docs),
+    ).withColumn("block", F.pmod(F.xxhash64("ord", "tag"), F.lit(blocks)).cast("int"))
+
+    def word(column: str) -> Column:
+        return F.unhex(F.lpad(F.hex(column), 16, "0"))
+
+    # whole texts that stand earlier: a row for each such text and block, whatever the number of copies
+    slim = keyed.where(F.octet_length("row.text") >= LENGTH).groupBy("tag", "more", "block").agg(F.min("ord").alias("least"), F.max("ord").alias("most"))
+    known = slim.groupBy("tag", "more").agg(F.min("least").alias("first"), F.max("most").alias("last")).where("first < last").select("tag", "more", "first")
+    side = slim.join(known, ["tag", "more"]).where("most > first").select(F.lit(0).alias("range"), "block", F.lit(COPIES).alias("kind"), F.lit(0).alias("place"), F.concat(word("tag"), word("more"), word("first")).alias("data"))
+    side = stored(side, "copies")
+
+    def step(side: DataFrame, sends: Callable, gathers: Callable) -> DataFrame:
+        """Blocks send rows to their ranges, and get back what is found there."""
+
+        def sent(docs: pa.Table, side: pa.Table) -> pa.Table:
+            if not len(docs):
+                return rows_of([])
+            try:
+                return rows_of(sends(docs.column("block")[0].as_py(), Block(docs, side, inside), bits, ranges))
+            finally:
+                give_back()
+
+        def gathered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            here, held = None, []
+            for batch in it:
+                out = []
+                for range_, block, kind, place, data in zip(*(c.to_pylist() for c in batch.columns)):
+                    if kind != STREAM:
+                        out.append((0, block, kind, place, data))
+                        continue
+                    if range_ != here and held:
+                        out.extend(gathers(held))
+                        held = []
+                    here = range_
+                    held.append((block, place, data))
+                yield from rows_of(out).to_batches()
+            if held:
+                yield from rows_of(gathers(held)).to_batches()
+
+        rows = keyed.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(sent, ROW)
+        return in_arrow(rows.repartition(parts, "range").sortWithinPartitions("range", "block"), gathered, ROW)
+
+    side = step(side, sends_names, lambda rows: counted_names(rows, frequent))
+    side = step(side, sends_entries, first_entries)
+    side = step(side, sends_units, merged_units)
+
+    def cut(docs: pa.Table, side: pa.Table) -> pa.Table:
+        try:
+            return cut_block(docs, Block(docs, side, inside), bits)
+        finally:
+            give_back()
+
+    kinds = with_row(docs, "kept binary, n_bytes long, spans array<struct<start:bigint,end:bigint>>")
+    return keyed.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(cut, kinds)
 
 
 def remove_repeats(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """docs with ``kept`` (binary: the bytes left), ``n_bytes`` (of the text) and ``spans`` (removed: array<struct<start, end>>)."""
-    if clash := [c for c in docs.columns if c.lower() in ("kept", "n_bytes", "spans", "_ord", "_tag", "_start", "_end")]:
+    if clash := [c for c in docs.columns if c.lower() in ("kept", "n_bytes", "spans")]:
         raise ValueError(f"columns of the input clash with those made here: {clash}")
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = stored(repeats(docs, frequent), "repeats")
-    bit = F.pmod(F.xxhash64("_ord", "_tag"), F.lit(DOC_BITS))
-    words = runs.select(F.col("ord").alias("_ord"), F.col("tag").alias("_tag")).distinct().select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("mark")).toArrow()
-    bitmap = np.zeros(DOC_BITS >> 5, np.uint32)
-    bitmap[words["word"].to_numpy()] = words["mark"].to_numpy().astype(np.uint32)
-    shared = spark.sparkContext.broadcast(bitmap)  # DOC_BITS / 8 bytes
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_ord"), F.shiftrightunsigned(F.xxhash64(text), 33).alias("_tag")).withColumn("_bit", bit)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    names = docs.columns
-
-    def chosen(marked: bool):
-        def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            marks = shared.value
-            for batch in it:
-                at = batch.column(batch.num_columns - 1).to_numpy()
-                on = ((marks[at >> 5] >> (at & 31).astype(np.uint32)) & 1).astype(bool)
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(on == marked)) for c in batch.columns], schema=batch.schema)
-
-        return batches
-
-    full = f"{kinds}, _ord long, _tag long, _bit long"
-    spans = "array<struct<start:bigint,end:bigint>>"
-    untouched = keyed.mapInArrow(chosen(False), full).select(*names, F.encode(text, "UTF-8").alias("kept"), F.octet_length(text).cast("long").alias("n_bytes"), F.array().cast(spans).alias("spans"))
-    touched = keyed.mapInArrow(chosen(True), full).drop("_bit").withColumns({"_start": F.lit(-1).cast("long"), "_end": F.lit(-1).cast("long")})
-    marks = runs.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema), F.col("ord").alias("_ord"), F.col("tag").alias("_tag"), F.col("start").alias("_start"), F.col("end").alias("_end"))
-    order = ("_ord", "_tag")
-    together = marks.unionByName(touched).repartition(parts, *order).sortWithinPartitions(*order, F.col("_start") < 0, "_start")
-
-    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by document: first its repeats by their start, then its text, once for each row of it."""
-        key, spans = None, []
-        for batch in it:
-            own = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("_ord", "_tag", "_start", "_end")]
-            texts = batch.column(batch.schema.get_field_index("text"))
-            rows, kept, size, removed = [], [], [], []
-            for k, (o, t, a, b) in enumerate(zip(*(x.tolist() for x in own))):
-                if (o, t) != key:
-                    key, spans = (o, t), []
-                if a >= 0:
-                    if spans and a <= spans[-1][1]:
-                        spans[-1][1] = max(b, spans[-1][1])
-                    else:
-                        spans.append([a, b])
-                    continue
-                raw = (texts[k].as_py() or "").encode()
-                stops = [0, *(x for s in spans for x in s), len(raw)]
-                rows.append(k)
-                kept.append(b"".join(raw[x:y] for x, y in zip(stops[::2], stops[1::2])))
-                size.append(len(raw))
-                removed.append([{"start": x, "end": y} for x, y in spans])
-            some = batch.take(pa.array(rows, pa.int64()))
-            columns = [some.column(some.schema.get_field_index(c)) for c in names]
-            extra = [pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays(columns + extra, names=[*names, "kept", "n_bytes", "spans"])
-
-    reduced = together.mapInArrow(cut, f"{kinds}, kept binary, n_bytes long, spans {spans}")
-    return untouched.unionByName(reduced)
+    return cut_docs(docs, frequent).select("row.*", "kept", "n_bytes", "spans")
 
 
 def suffix_digest(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """One row per row of docs: what was removed, and a checksum of what is left."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return remove_repeats(docs.select("doc_id", "text"), frequent).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return cut_docs(docs.select("doc_id", "text"), frequent).select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """docs with their texts cut; characters that lose some of their bytes go whole (U+FFFD where a text has that already)."""
     whole = F.make_valid_utf8(F.col("kept").cast("string"))
     odd = F.lit("\ufffd")
-    text = F.when(F.contains("text", odd), whole).otherwise(F.replace(whole, odd, F.lit("")))
-    return remove_repeats(docs).withColumn("text", text).select(*docs.columns)
+    text = F.when(F.col("row.text").isNotNull(), F.when(F.contains("row.text", odd), whole).otherwise(F.replace(whole, odd, F.lit(""))))
+    given = [text.alias(c) if c.lower() == "text" else F.col(f"row.`{c}`") for c in docs.columns]
+    return cut_docs(docs).select(*given)

@@ -20,7 +20,7 @@ from tessera.llm.quality_classifier import classify_quality
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.sentencepiece import decode, encode
 from tessera.llm.sharding import shard_digest, shuffle_into_shards
-from tessera.llm.suffix_dedup import cut_repeats, suffix_digest, unit_rows
+from tessera.llm.suffix_dedup import STRETCH, cut_repeats, repeated_windows, suffix_digest
 from tessera.llm.tables import table
 
 SF = "/root/testdata/sf0.01"
@@ -173,10 +173,31 @@ def test_repeats_of_a_frequent_line(spark):
     line = own()[:98]
     texts = [own() + line + rng.choice("ab") + rng.choice("cd") + own() for _ in range(400)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    most = [unit_rows(docs, n).where("bytes is not null").groupBy("name").count().agg({"count": "max"}).first()[0] for n in (1000, 40)]
-    assert most[0] > 300 and most[1] <= 40
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_digest(docs, 40).collect()}
-    assert got == brute_repeats(enumerate(texts))
+    for frequent in (1 << 15, 10):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_digest(docs, frequent).collect()}
+        assert got == brute_repeats(enumerate(texts))
+
+
+def test_repeats_in_periodic_and_long_texts(spark):
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = ["x" * n for n in (99, 100, 101, 155, 156, 157, 300)] + [word(k) * 40 for k in (1, 3, 7, 56, 57, 58, 100)] + ["ab" * 200 + word(30) + "ab" * 200]
+    shared = word(5000)
+    texts += [word(n) + shared[a:b] + word(m) for n, m, a, b in ((0, 0, 0, 5000), (17, 3, 100, 400), (58, 0, 4000, 5000), (5, 5, 0, 99), (5, 5, 0, 100), (3, 4, 77, 178))]
+    long = word(STRETCH + 5000)
+    texts += [long, long[STRETCH - 300 : STRETCH + 300] + word(20), word(41) + long[STRETCH - 50 : STRETCH + 50]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    for frequent in (1 << 15, 3):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_digest(docs, frequent).collect()}
+        want = brute_repeats(enumerate(texts))
+        assert {k: v for k, v in got.items() if v != want[k]} == {}
+
+
+def test_strings_of_equal_hashes_are_compared():
+    data = np.frombuffer(bytes(range(1, 131)) + bytes(range(1, 121)) + b"?" + bytes(range(122, 131)), np.uint8)
+    name, size, place = np.array([5, 5], np.uint64), np.array([130, 130]), np.array([0, 1 << 32])
+    row, first, last = repeated_windows(name, data, size, place)
+    assert (row.tolist(), first.tolist(), last.tolist()) == ([1], [0], [20])
 
 
 def test_nearest(spark):
