@@ -4,11 +4,14 @@ Vectors get one more coordinate, sqrt(M^2 - |x|^2) with M the largest norm (0 fo
 inner product is the smallest Euclidean distance. ``PROJECTIONS`` Gaussian (2-stable) projections, cut into
 slabs of a width, make the buckets of a table; ``TABLES`` tables have their own. A query visits its own bucket
 and perturbed ones in the order of their estimated success (the squared distances from the query's
-projections to the buckets' slabs), until the visited ones hold ``COVERAGE`` of a table's distinct vectors, and more
+projections to the buckets' slabs), until the visited ones hold a share of a table's distinct vectors, and more
 than k of them (or all). Copies share a bucket and count once, so many copies don't use up a query's share. All visited
 rows of all tables are candidates, and are ranked by their exact inner products in double precision.
 
-A bucket of many rows is dealt out in parts of about ``PART`` rows; each part returns at most k rows a query.
+The share is fitted: for ``TRIED`` queries (those with the smallest hashes) the true neighbours among all rows are found by
+brute force, and the share is the smallest that reaches ``RECALL`` of them. So it follows the data and their
+number; structured vectors need less. Buckets are dealt into parts of about ``PART`` rows (a larger bucket takes several); a
+query comes to a part once, with the list of the buckets that it visits there, and takes at most k rows from it.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, neither do
 vectors of another length than most; rows without vec_id take no part; repeated rows are candidates each; fewer
@@ -30,10 +33,11 @@ from tessera.llm.arrays import one_array
 from tessera.llm.tables import in_arrow, stored
 
 TABLES = 2
-PROJECTIONS = 5
+PROJECTIONS = 8
 WIDTH = 2.5  #: of a slab, where the largest norm is 1 and projections have a deviation of 1
-COVERAGE = 0.62  #: share of a table's rows that are visited; unstructured vectors need so much for a recall of 0.9
-PART = 4096
+RECALL = 0.94  #: of the tried queries' neighbours
+TRIED = 64  #: queries that the share of visited vectors is fitted on
+PART = 8192
 QUERIES_AT_ONCE = 256
 
 
@@ -69,14 +73,42 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", v.alias("v")).where("vec_id is not null and v is not null").where(finite).where(F.exists("v", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, coverage: float = COVERAGE) -> DataFrame:
+def visiting_order(projected: np.ndarray, slab: np.ndarray, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each query (projections on a table) the buckets in the order of visits, and the distinct vectors before each."""
+    cost = np.zeros((len(projected), len(slab)))
+    for j in range(projected.shape[1]):
+        low = slab[:, j][None] - projected[:, j][:, None]
+        cost += np.maximum(0, np.maximum(low, -low - 1)) ** 2
+    order = np.argsort(cost, axis=1, kind="stable")
+    return order, np.cumsum(distinct[order], axis=1) - distinct[order]
+
+
+def in_parts(buckets: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, int]:
+    """For buckets (table, rows), in order: the first part of each, how many parts it has, and the number of parts.
+
+    A part holds buckets of one table, so a row at most once.
+    """
+    first, n, part, held, last = [], [], 0, 0, None
+    for table, size in buckets:
+        if held and (table != last or held + size > PART):
+            part, held = part + 1, 0
+        own = max(1, math.ceil(size / PART))
+        first.append(part)
+        n.append(own)
+        part, held = (part + own, 0) if own > 1 else (part, held + size)
+        last = table
+    return np.array(first), np.array(n), part + (held > 0)
+
+
+def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row where ``is_query`` holds, among all other rows."""
     spark = vectors.sparkSession
     rows = usable(vectors)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(norm).alias("m")).orderBy(F.desc("n"), "d").limit(1).collect()
+    none = rows.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     if not lengths:
-        return rows.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+        return none
     dimensions, largest = lengths[0]["d"], lengths[0]["m"]
     rows = rows.where(F.size("v") == dimensions)
     index = Index(dimensions, largest)
@@ -87,70 +119,123 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, coverage: float = COVERAG
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(slabs) + 1) * PROJECTIONS, pa.int32()), pa.array(slabs[:, t].ravel())) for t in range(TABLES)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=["vec_id", "v", *(f"slab_{t}" for t in range(TABLES))])
 
-    kinds = "vec_id long, v array<double>, " + ", ".join(f"slab_{t} array<int>" for t in range(TABLES))
-    filed = stored(in_arrow(rows, hashed, kinds), "hashed")
+    slab_kinds = ", ".join(f"slab_{t} array<int>" for t in range(TABLES))
+    filed = stored(in_arrow(rows, hashed, f"vec_id long, v array<double>, {slab_kinds}"), "hashed")
     buckets = None
     for t in range(TABLES):
         copies = filed.groupBy(F.col(f"slab_{t}").alias("slab"), F.xxhash64("v")).agg(F.count("*").alias("n"))
         one = copies.groupBy(F.lit(t).alias("table"), "slab").agg(F.sum("n").alias("n"), F.count("*").alias("distinct"))
         buckets = one if buckets is None else buckets.unionByName(one)
-    # occupied buckets: slabs of a few widths in each of PROJECTIONS directions, at most some thousands a table
+    # occupied buckets: about four slabs in each of PROJECTIONS directions, some thousands a table
     known = [(r["table"], tuple(r["slab"]), r["n"], r["distinct"]) for r in buckets.orderBy("table", "slab").collect()]
-    number = {(t, slab): k for k, (t, slab, _, _) in enumerate(known)}
+    number = {(t, slab): j for j, (t, slab, _, _) in enumerate(known)}
+    first, n_parts, parts_in_all = in_parts([(t, n) for t, _, n, _ in known])
     tables = []
     for t in range(TABLES):
         own = [(slab, distinct, number[t, slab]) for table, slab, _, distinct in known if table == t]
         tables.append(tuple(np.array(x) for x in zip(*own)))
 
+    tried = rows.where(is_query).orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRIED).collect()
+    if not tried:
+        return none
+    asked_ids, asked_vectors = np.array([r["vec_id"] for r in tried]), np.array([r["v"] for r in tried])
+
+    def true_neighbours(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's best k rows for each tried query."""
+        best = pa.table({})
+        for batch in (b for b in it if b.num_rows):
+            score = asked_vectors @ matrix(batch.column(1), dimensions).T
+            score[asked_ids[:, None] == batch.column(0).to_numpy()[None]] = -np.inf
+            n = min(k, score.shape[1])
+            col = np.argpartition(-score, n - 1, axis=1)[:, :n].ravel()
+            query = np.repeat(np.arange(len(asked_ids)), n)
+            fine = np.isfinite(score[query, col])
+            own = batch.take(pa.array(col[fine]))
+            some = pa.table([pa.array(query[fine]), pa.array(score[query, col][fine]), *own.columns[2:]], names=["query", "score", *(f"slab_{t}" for t in range(TABLES))])
+            best = pa.concat_tables([best, some]) if len(best) else some
+            query, score = best.column("query").to_numpy(), best.column("score").to_numpy()
+            order = np.lexsort((-score, query))
+            nth = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+            best = best.take(pa.array(order[nth < k]))
+        yield from best.combine_chunks().to_batches()
+
+    found = in_arrow(filed, true_neighbours, f"query long, score double, {slab_kinds}")
+    top = Window.partitionBy("query").orderBy(F.desc("score"))
+    pairs = found.withColumn("nth", F.row_number().over(top)).where(F.col("nth") <= k).collect()  # TRIED * k rows
+    needed = np.full(len(pairs), np.inf)
+    projected = index.project(asked_vectors, True)
+    for t, (slab, distinct, ident) in enumerate(tables):
+        order, before = visiting_order(projected[:, t], slab, distinct)
+        place = {tuple(x): j for j, x in enumerate(slab.tolist())}
+        at = np.empty_like(order)
+        np.put_along_axis(at, order, np.broadcast_to(np.arange(len(slab)), order.shape), 1)
+        own = [before[r["query"], at[r["query"], place[tuple(r[f"slab_{t}"])]]] / distinct.sum() for r in pairs]
+        needed = np.minimum(needed, own)
+    share = float(np.quantile(needed, recall, method="higher")) + 1e-9 if len(pairs) else 1.0
+
     def probes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             projected = index.project(matrix(batch.column(1), dimensions), True)
-            for t, (slab, n, ident) in enumerate(tables):
-                for lo in range(0, len(projected), QUERIES_AT_ONCE):
-                    p = projected[lo : lo + QUERIES_AT_ONCE, t]
-                    cost = np.zeros((len(p), len(slab)))
-                    for j in range(PROJECTIONS):
-                        low = slab[:, j][None] - p[:, j][:, None]
-                        cost += np.maximum(0, np.maximum(low, -low - 1)) ** 2
-                    order = np.argsort(cost, axis=1, kind="stable")
-                    before = np.cumsum(n[order], axis=1) - n[order]
-                    q, at = np.nonzero(before < max(coverage * n.sum(), k + 1))
-                    take = pa.array(q + lo)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(ident[order[q, at]])], names=["vec_id", "v", "bucket"])
-
-    asked = in_arrow(rows.where(is_query), probes, "vec_id long, v array<double>, bucket long")
-    names = spark.createDataFrame([(t, list(slab), k, max(1, math.ceil(n / PART))) for k, (t, slab, n, _) in enumerate(known)], "table int, slab array<int>, bucket long, parts int")
+            for lo in range(0, len(projected), QUERIES_AT_ONCE):
+                query, bucket = [], []
+                for t, (slab, distinct, ident) in enumerate(tables):
+                    order, before = visiting_order(projected[lo : lo + QUERIES_AT_ONCE, t], slab, distinct)
+                    q, at = np.nonzero(before < max(share * distinct.sum(), k + 1))
+                    query.append(q)
+                    bucket.append(ident[order[q, at]])
+                query, bucket = np.concatenate(query), np.concatenate(bucket)
+                n = n_parts[bucket]
+                part = np.repeat(first[bucket], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                query, bucket = np.repeat(query, n), np.repeat(bucket, n)
+                order = np.lexsort((bucket, part, query))
+                query, bucket, part = query[order], bucket[order], part[order]
+                new = np.flatnonzero(np.append(True, (query[1:] != query[:-1]) | (part[1:] != part[:-1])))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(query)), pa.int32()), pa.array(bucket.astype(np.int32)))
+                take = pa.array(query[new] + lo)
+                yield pa.RecordBatch.from_arrays([pa.array(part[new]), batch.column(0).take(take), batch.column(1).take(take), lists], names=["part", "vec_id", "v", "buckets"])
+
+    asked = in_arrow(rows.where(is_query), probes, "part long, vec_id long, v array<double>, buckets array<int>")
+    names = spark.createDataFrame([(t, list(slab), j, int(first[j]), int(n_parts[j])) for j, (t, slab, _, _) in enumerate(known)], "table int, slab array<int>, bucket int, first long, parts int")
     placed = None
     for t in range(TABLES):
-        here = names.where(F.col("table") == t).select("slab", "bucket", "parts")
-        one = filed.select("vec_id", "v", F.col(f"slab_{t}").alias("slab")).join(F.broadcast(here), "slab").select("bucket", F.pmod(F.xxhash64("vec_id"), "parts").alias("part"), "vec_id", "v")
+        here = names.where(F.col("table") == t).select("slab", "bucket", "first", "parts")  # a row for each bucket
+        one = filed.select("vec_id", "v", F.col(f"slab_{t}").alias("slab")).join(F.broadcast(here), "slab")
+        one = one.select((F.col("first") + F.pmod(F.xxhash64("vec_id"), "parts")).alias("part"), "vec_id", "v", F.array("bucket").alias("buckets"))
         placed = one if placed is None else placed.unionByName(one)
-    asked = asked.join(F.broadcast(names.select("bucket", "parts")), "bucket").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), "vec_id", "v")
 
     def ranked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by bucket and part, first those of the index and then queries."""
-        here, ids, held, ready = None, [], [], None
+        """Rows come by part, first those of the index by bucket, then queries."""
+        here, ids, held, filed_under, ready = None, [], [], [], None
         for batch in it:
-            key = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)], 1)
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+            part, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            cuts = np.flatnonzero((part[1:] != part[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)]):
                 if lo == hi:
                     continue
-                part = batch.slice(lo, hi - lo)
-                x, vec = part.column(3).to_numpy(), matrix(part.column(4), dimensions)
-                if tuple(key[lo, :2]) != here:
-                    here, ids, held, ready = tuple(key[lo, :2]), [], [], None
-                if not key[lo, 2]:
+                some = batch.slice(lo, hi - lo)
+                x, vec = some.column(2).to_numpy(), matrix(some.column(3), dimensions)
+                if part[lo] != here:
+                    here, ids, held, filed_under, ready = part[lo], [], [], [], None
+                if not asks[lo]:
                     ids.append(x)
                     held.append(vec)
+                    filed_under.append(some.column(4).flatten().to_numpy())
                 elif ids:
                     if ready is None:
-                        ready = np.concatenate(ids), np.concatenate(held)
+                        ready = np.concatenate(ids), np.concatenate(held), np.concatenate(filed_under)
                     for start in range(0, len(x), QUERIES_AT_ONCE):
-                        yield best_of(x[start : start + QUERIES_AT_ONCE], vec[start : start + QUERIES_AT_ONCE], *ready)
+                        own = some.column(4).slice(start, QUERIES_AT_ONCE)
+                        sizes = own.value_lengths().to_numpy()
+                        yield best_of(x[start : start + QUERIES_AT_ONCE], vec[start : start + QUERIES_AT_ONCE], np.repeat(np.arange(len(sizes)), sizes), own.flatten().to_numpy(), *ready)
 
-    def best_of(query: np.ndarray, q: np.ndarray, ids: np.ndarray, held: np.ndarray) -> pa.RecordBatch:
-        rough = q @ held.T
+    def best_of(query: np.ndarray, q: np.ndarray, who: np.ndarray, visited: np.ndarray, ids: np.ndarray, held: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+        """``who`` visits bucket ``visited``; rows of the index are ordered by bucket."""
+        rough = np.full((len(query), len(ids)), -np.inf)
+        order = np.argsort(visited, kind="stable")
+        once, begin = np.unique(visited[order], return_index=True)
+        lo, hi = np.searchsorted(bucket, once), np.searchsorted(bucket, once, "right")
+        for a, b, own in zip(lo.tolist(), hi.tolist(), np.split(who[order], begin[1:])):
+            rough[own, a:b] = q[own] @ held[a:b].T
         rough[query[:, None] == ids[None]] = -np.inf
         n = min(k, len(ids))
         floor = -np.partition(-rough, n - 1, axis=1)[:, n - 1]
@@ -159,13 +244,13 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, coverage: float = COVERAG
         score = (q[row] * held[col]).sum(1)  # the same for equal vectors, wherever they stand
         order = np.lexsort((ids[col], -score, row))
         row, col, score = row[order], col[order], score[order]
-        first = np.searchsorted(row, np.arange(len(query)))
-        keep = np.arange(len(row)) - first[row] < k
+        nth = np.arange(len(row)) - np.searchsorted(row, np.arange(len(query)))[row]
+        keep = nth < k
         return pa.RecordBatch.from_arrays([pa.array(query[row[keep]]), pa.array(ids[col[keep]]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = placed.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True))).select("bucket", "part", "asks", "vec_id", "v")
-    found = in_arrow(both.repartition(parts, "bucket", "part").sortWithinPartitions("bucket", "part", "asks"), ranked, "query_id long, vec_id long, score double")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts_in_all)
+    both = placed.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True))).select("part", "asks", "vec_id", "v", "buckets")
+    found = in_arrow(both.repartition(parts, "part").sortWithinPartitions("part", "asks", F.when(~F.col("asks"), F.get("buckets", F.lit(0)))), ranked, "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
