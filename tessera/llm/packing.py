@@ -320,7 +320,12 @@ def pack_pieces(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
     """Every token of docs in exactly one piece, every piece in one sequence of at most ``window`` tokens.
 
-    Columns: doc_id, start, length, ids_crc32, doc_tokens, (ids), sequence_id, offset. Pieces are tokenized once, and
-    written to the shared folder before they are counted.
+    Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, (ids). Pieces are tokenized once, and
+    written to the shared folder before they are counted; ids don't go through the counting, but join its result.
     """
-    return pack_pieces(stored(token_pieces(docs, tokenizer_path, window, keep_ids), "pieces"), window)
+    made = token_pieces(docs, tokenizer_path, window, keep_ids)
+    if not keep_ids:
+        return pack_pieces(stored(made, "pieces"), window)
+    pieces = stored(made.withColumn("_piece", F.monotonically_increasing_id()), "pieces")
+    placed = pack_pieces(pieces.drop("ids"), window)
+    return placed.join(pieces.select("_piece", "ids"), "_piece").drop("_piece")

@@ -24,7 +24,7 @@ from pyspark.sql.types import NumericType
 
 from tessera.llm.arrays import SPACE, Texts, hash_runs, lower_ascii, mix, per_text, place_of_text, runs, text_slices, texts_of
 from tessera.llm.labelled import calibrate, labelled_sample, sigmoid
-from tessera.llm.tables import in_arrow
+from tessera.llm.tables import in_arrow, whole_row, with_row
 
 BITS, RANK = 15, 8
 UPPER, DIGIT, MARK, SYMBOL = (np.zeros(256, bool) for _ in range(4))
@@ -170,7 +170,7 @@ def score_classifier(docs: DataFrame, model: tuple[FactorModel | None, float], w
     fitted, share = model
     length = F.length(F.coalesce("text", F.lit("")))
     n_chars = (F.coalesce(F.nullif(F.col("n_chars").cast("double"), F.lit(float("nan"))), length) if has_length(docs) else length).cast("double").alias("n_chars")
-    sources = docs.select(F.struct("*").alias("row"), n_chars) if whole else docs.select("doc_id", "text", n_chars)
+    sources = docs.select(whole_row(docs), n_chars) if whole else docs.select("doc_id", "text", n_chars)
     inside = place_of_text(docs.columns) if whole else None
     carry = sources.columns[0]
 
@@ -186,7 +186,8 @@ def score_classifier(docs: DataFrame, model: tuple[FactorModel | None, float], w
                     score = sigmoid(fitted.scale[0] * raw_scores(doc, bucket, tf, stats, fitted) + fitted.scale[1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.lo, t.n), pa.array(score)], names=[carry, "score"])
 
-    return in_arrow(sources, batches, f"{carry} {sources.schema[0].dataType.simpleString()}, score double")
+    kinds = with_row(docs, "score double") if whole else f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double"
+    return in_arrow(sources, batches, kinds)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1000, threshold: float = 0.3) -> DataFrame:

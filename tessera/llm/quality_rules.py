@@ -18,11 +18,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.llm.arrays import SPACE, Texts, hash_runs, mix, per_text, place_of_text, runs, text_slices, texts_of, windows
 from tessera.llm.labelled import calibrate, labelled_sample, sigmoid
-from tessera.llm.tables import in_arrow
+from tessera.llm.tables import in_arrow, whole_row, with_row
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -154,14 +153,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1000, label
     return fit(texts, y, share)
 
 
-def score_quality(docs: DataFrame, model: QualityModel | None, reject_below: float = 0.2, inside: int | None = None) -> DataFrame:
-    """One row per row of docs: its doc_id (or the struct ``row``, which has the text at ``inside``), the counts, ``quality`` and ``kept``.
+def score_quality(docs: DataFrame, model: QualityModel | None, reject_below: float = 0.2, whole: bool = False) -> DataFrame:
+    """One row per row of docs: its doc_id (or all its columns, as the struct ``row``), the counts, ``quality`` and ``kept``.
 
     ``quality`` is the calibrated probability of label 1 (null without a model); a row is kept unless the
     counting rules fail or quality is under ``reject_below``.
     """
-
-    carry = ["doc_id", "text"] if inside is None else ["row"]
+    inside = place_of_text(docs.columns) if whole else None
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -175,10 +173,11 @@ def score_quality(docs: DataFrame, model: QualityModel | None, reject_below: flo
                     got["quality"] = p
                     fine &= p >= reject_below
                 got["kept"] = fine
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.lo, t.n), *(pa.array(x) for x in got.values())], names=[carry[0], *got])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.lo, t.n), *(pa.array(x) for x in got.values())], names=["row" if whole else "doc_id", *got])
 
-    sources = docs.select(*carry)
-    return in_arrow(sources, batches, f"{carry[0]} {sources.schema[0].dataType.simpleString()}, {COLUMNS}")
+    if whole:
+        return in_arrow(docs.select(whole_row(docs)), batches, with_row(docs, COLUMNS))
+    return in_arrow(docs.select("doc_id", "text"), batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {COLUMNS}")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, per_class: int = 1000, reject_below: float = 0.2) -> DataFrame:
@@ -188,5 +187,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, per_class: int = 1000, rej
 
 def reject_low_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1000, reject_below: float = 0.2) -> DataFrame:
     """The rows of docs that the rules keep, with their own columns, whatever their names."""
-    whole = docs.select(F.struct("*").alias("row"))
-    return score_quality(whole, fit_quality(docs, labels, per_class), reject_below, place_of_text(docs.columns)).where("kept").select("row.*")
+    return score_quality(docs, fit_quality(docs, labels, per_class), reject_below, True).where("kept").select("row.*")

@@ -8,7 +8,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
 
 SHARED = "spark.checkpoint.dir"
 #: Arrow batches end at this many bytes (Spark's own bound, 64 MiB, is too much for several Python workers beside an executor's heap).
@@ -56,7 +58,7 @@ def give_back() -> None:
         pass
 
 
-def in_arrow(df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kinds: str) -> DataFrame:
+def in_arrow(df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kinds: str | StructType) -> DataFrame:
     """df.mapInArrow with batches of at most ``BATCH_BYTES`` (a longer row is a batch of its own), in workers that give memory back."""
     df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
@@ -71,3 +73,24 @@ def in_arrow(df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iterat
         give_back()
 
     return df.mapInArrow(tidy, kinds)
+
+
+def nullable(kind: DataType) -> DataType:
+    """The type with nulls allowed everywhere inside, as Arrow batches come back from Python."""
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name, nullable(f.dataType)) for f in kind])
+    if isinstance(kind, ArrayType):
+        return ArrayType(nullable(kind.elementType))
+    if isinstance(kind, MapType):
+        return MapType(nullable(kind.keyType), nullable(kind.valueType))
+    return kind
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, ``row``; so their names clash with nothing."""
+    return F.struct("*").cast(nullable(docs.schema)).alias("row")
+
+
+def with_row(docs: DataFrame, more: str) -> StructType:
+    """The type of rows that hold ``row`` and further columns."""
+    return StructType([StructField("row", nullable(docs.schema)), *StructType.fromDDL(more)])

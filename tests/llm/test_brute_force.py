@@ -277,8 +277,10 @@ def test_license_suppression_equals_brute_force(spark):
         assert sorted(got[k]) == sorted((a, b, r.number) for a, b, r in kept), text
 
 
-def test_near_duplicates_in_several_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("large", [1 << 16, 20])
+def test_near_duplicates_in_several_blocks(spark, monkeypatch, large):
     monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
+    monkeypatch.setattr(minhash_dedup, "LARGE", large)
     monkeypatch.setattr(minhash_dedup, "PARTNERS", 5)
     rng = random.Random(12)
     base = [str(rng.random()) for _ in range(120)]
