@@ -34,8 +34,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the texts, and their places in sequences."""
-    return pack(docs, tokenizer_path("word_bpe_49k.json"))
+    """Token pieces of the texts with their ids, and their places in sequences."""
+    return pack(docs, tokenizer_path("word_bpe_49k.json"), keep_ids=True)
 
 
 STAGES = [
