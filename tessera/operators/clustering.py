@@ -50,7 +50,7 @@ def online_clusters(faces: DataFrame, scope: str, threshold: float = 0.45, roste
                 centroid, number = held[len(v)][best], own[best]
                 mean = ((centroid.astype(np.float64) * sizes[number] + v) / (sizes[number] + 1)).astype(np.float32)
                 length = float(np.sqrt((mean.astype(np.float64) ** 2).sum()))
-                held[len(v)][best] = mean / length if length else mean
+                held[len(v)][best] = mean.astype(np.float64) / length if length else mean
                 sizes[number] += 1
                 out.append((key[0], row.vec_id, number, sizes[number], float(scores[best])))
             else:

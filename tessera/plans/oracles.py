@@ -66,7 +66,31 @@ DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: CAST(p[1] AS DOUBLE
 TENTHS = "CAST(CAST(round(CAST({} AS DECIMAL(30,12)), 1) AS DECIMAL(30,1)) AS VARCHAR)"
 TILE = "id, parent_id, effective_date, width, height"
 
+
+
+def clusters(threshold: float) -> str:
+    """The online clusters of each image, one face at a time, as a common table expression ``clustered``."""
+    return f""", o AS (SELECT img AS scope, vec_id, embedding AS v, row_number() OVER (PARTITION BY img ORDER BY record_id, face_index, vec_id) AS k FROM faces WHERE embedding IS NOT NULL),
+ clustered AS (
+  SELECT scope, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS vec_id, CAST([] AS FLOAT[][]) AS cs, CAST([] AS BIGINT[]) AS ns, CAST(NULL AS BIGINT) AS cluster, CAST(NULL AS BIGINT) AS size, CAST(NULL AS DOUBLE) AS score FROM (SELECT DISTINCT scope FROM o)
+  UNION ALL
+  SELECT scope, k, vec_id, CASE WHEN joined THEN list_transform(cs, lambda c, i: CASE WHEN i = b THEN updated ELSE c END) ELSE list_append(cs, v) END,
+    CASE WHEN joined THEN list_transform(ns, lambda n, i: CASE WHEN i = b THEN n + 1 ELSE n END) ELSE list_append(ns, 1) END,
+    CASE WHEN joined THEN b - 1 ELSE len(cs) END, CASE WHEN joined THEN ns[b] + 1 ELSE 1 END, CASE WHEN joined THEN best END
+  FROM (SELECT *, list_transform(mean, lambda x: CAST(CAST(x AS DOUBLE) / sqrt({DOT.format('mean', 'mean')}) AS FLOAT)) AS updated
+   FROM (SELECT *, coalesce(best >= {threshold}, false) AS joined, list_transform(list_zip(cs[b], v), lambda p: CAST((CAST(p[1] AS DOUBLE) * ns[b] + CAST(p[2] AS DOUBLE)) / (ns[b] + 1) AS FLOAT)) AS mean
+    FROM (SELECT *, list_max(ss) AS best, len(ss) - list_position(list_reverse(ss), list_max(ss)) + 1 AS b
+     FROM (SELECT r.scope, o.k, o.vec_id, o.v, r.cs, r.ns, list_transform(r.cs, lambda c: {DOT.format('c', 'o.v')}) AS ss FROM clustered r JOIN o ON o.scope = r.scope AND o.k = r.k + 1)))))"""
+
+
 ORACLE_SQL = {
+    "online_clusters": sql("faces", clusters(0.3) + " SELECT scope, vec_id, cluster, size, round(score, 5) AS score FROM clustered WHERE k > 0"),
+    "recluster_all": sql("faces", clusters(0.2) + " SELECT scope, count(*) AS n, count(DISTINCT cluster) AS clusters FROM clustered WHERE k > 0 GROUP BY 1"),
+    "warped_crops": """WITH g AS (SELECT n_nationkey AS k, y, x, c, (0.5 * (x + 0.5 - 0.3) - 0.1 * (y + 0.5 - 0.2)) / 0.26 - 0.5 AS sx, (0.1 * (x + 0.5 - 0.3) + 0.5 * (y + 0.5 - 0.2)) / 0.26 - 0.5 AS sy
+  FROM nation, (SELECT unnest(range(4)) AS y), (SELECT unnest(range(4)) AS x), (SELECT unnest(range(3)) AS c)),
+ n AS (SELECT *, CAST(floor(sx) + dx AS BIGINT) AS px, CAST(floor(sy) + dy AS BIGINT) AS py, abs(1 - dx - (sx - floor(sx))) * abs(1 - dy - (sy - floor(sy))) AS weight FROM g, (SELECT unnest([0, 1]) AS dx), (SELECT unnest([0, 1]) AS dy)),
+ p AS (SELECT k, y, x, c, sum(weight * (((least(greatest(py, 0), 5) * 24 + least(greatest(px, 0), 7) * 3 + c) * 37 + least(greatest(py, 0), 5) * 11 + k * 5) % 256)) AS v FROM n GROUP BY 1, 2, 3, 4)
+SELECT k AS id, string_agg(printf('%02X', CAST(floor(v + 0.5) AS BIGINT)), '' ORDER BY y, x, c) AS crop FROM p GROUP BY 1""",
     "display_list": sql("shown", f"SELECT {TILE} FROM shown"),
     "display_list_typed": sql(
         "images kinds",

@@ -454,6 +454,15 @@ def split_people(spark, d):
     return spelt(people, "person_id", "face_count")
 
 
+@query
+def warped_crops(spark, d):
+    k, i = F.col("n_nationkey"), F.sequence(F.lit(0), F.lit(8 * 6 * 3 - 1))
+    pixel = F.transform(i, lambda j: F.lpad(F.hex((j * 37 + F.floor(j / 24) * 11 + k * 5) % 256), 2, "0"))
+    t = F.struct(*[F.lit(v).alias(n) for n, v in (("a", 0.5), ("b", 0.1), ("c", -0.1), ("d", 0.5), ("tx", 0.3), ("ty", 0.2))])
+    images = src.table(spark, d, "nation").select(k.alias("id"), F.lit(8).alias("width"), F.lit(6).alias("height"), F.unhex(F.array_join(pixel, "")).alias("rgb"), t.alias("t"))
+    return detection.warped(images, 4).select("id", F.hex("crop").alias("crop"))
+
+
 @query
 def split_faces(spark, d):
     gone = src.faces(spark, d).where("vec_id % 4 = 0").select("record_id", "face_index")

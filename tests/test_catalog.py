@@ -41,7 +41,7 @@ def brute_clusters(rows, threshold):
         else:
             c, n = held[best]
             mean = ((c.astype(float) * n + v) / (n + 1)).astype(np.float32)
-            held[best] = ((mean / float(np.sqrt((mean.astype(float) ** 2).sum()))).astype(np.float32), n + 1)
+            held[best] = ((mean.astype(float) / float(np.sqrt((mean.astype(float) ** 2).sum()))).astype(np.float32), n + 1)
             out[key] = (best, n + 1)
     return out
 
