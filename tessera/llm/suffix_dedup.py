@@ -52,7 +52,6 @@ LAST_ID = (1 << 63) - 1
 COPIES, SEEN, FIRST, SPANS, STREAM = range(5)  #: kinds of rows that go between blocks and ranges
 ROW = "range int, block int, kind int, place int, data binary"
 _U = np.uint64
-IN_COVER = np.isin(np.arange(MODULUS), COVER)
 
 
 class Rolling:
@@ -114,6 +113,7 @@ class Block:
         self.size = pc.binary_length(self.text).to_numpy(zero_copy_only=False).astype(np.int64)[self.row]
         kinds, places, data = (side.column(c).to_pylist() for c in ("kind", "place", "data"))
         self.flags = {k: b"".join(zlib.decompress(x) for _, x in sorted((p, x) for p, kind, x in zip(places, kinds, data) if kind == k)) for k in (SEEN, FIRST)}
+        self.marked: np.ndarray | None = None
         self.spans = [x for kind, x in zip(kinds, data) if kind == SPANS]
         self.copies = b"".join(x for kind, x in zip(kinds, data) if kind == COPIES)
         known = {(a, b): first for a, b, first in np.frombuffer(self.copies, ">i8").reshape(-1, 3).tolist()}
@@ -136,15 +136,16 @@ class Block:
             yield self.samples(parts)
 
     def samples(self, parts: list[tuple]) -> tuple[np.ndarray, ...]:
-        data = np.concatenate([p[3] for p in parts])
         sizes = np.array([len(p[3]) for p in parts])
         first = np.cumsum(sizes) - sizes
         doc, core, lo, whole = (np.array([p[c] for p in parts]) for c in (0, 1, 2, 4))
-        part = np.repeat(np.arange(len(parts)), sizes)
-        at = np.arange(len(data)) - np.repeat(first - lo, sizes)  # in the document
-        on = np.flatnonzero(IN_COVER[at % MODULUS] & (at >= core[part]) & (at < core[part] + STRETCH) & (at + NAME <= whole[part]))
-        own = part[on]
-        return data, on, first[own], (first + sizes)[own], doc[own], (lo - first)[own]
+        stop = np.minimum(core + STRETCH, whole - NAME + 1)
+        n = -(-np.maximum(stop - core, 0) // MODULUS)
+        own = np.repeat(np.repeat(np.arange(len(parts)), n), len(COVER))
+        at = (spread(np.zeros(len(n), np.int64), n)[:, None] * MODULUS + np.array(COVER)).ravel() + core[own]  # in the document
+        on = np.flatnonzero(at < stop[own])
+        own = own[on]
+        return np.concatenate([p[3] for p in parts]), at[on] + (first - lo)[own], first[own], (first + sizes)[own], doc[own], (lo - first)[own]
 
     def names(self, bits: int) -> np.ndarray:
         """The names of all samples, in the order of ``slices``, cut to some bits."""
@@ -153,15 +154,23 @@ class Block:
             out.append(Rolling(data)(at, at + NAME) >> _U(64 - bits))
         return np.concatenate(out)
 
+    def marks(self, bits: int) -> np.ndarray:
+        """What is known about the names of all samples: 0 if a name occurs once, 2 if it is frequent, else 1."""
+        if self.marked is None:
+            names = self.names(bits)
+            order = np.argsort(names)
+            ordered = names[order]
+            number = np.cumsum(np.append(0, ordered[1:] != ordered[:-1])) if len(names) else order
+            self.marked = np.empty(len(names), np.uint8)
+            self.marked[order] = np.frombuffer(self.flags[SEEN], np.uint8)[number]
+        return self.marked
+
     def neighbourhoods(self, bits: int) -> Iterator[tuple[np.ndarray, Rolling, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For each slice the samples of repeated names: bytes, hashes, and of each its place, first and end place of its
         neighbourhood, document, what to add to places, and 2 for a frequent name, else 1."""
-        names = self.names(bits)
-        once = np.unique(names)
-        seen = np.frombuffer(self.flags[SEEN], np.uint8)
-        done = 0
+        marks, done = self.marks(bits), 0
         for data, at, first, end, doc, add in self.slices():
-            mark = seen[np.searchsorted(once, names[done : done + len(at)])]
+            mark = marks[done : done + len(at)]
             done += len(at)
             on = np.flatnonzero(mark)
             if len(on):
@@ -218,8 +227,9 @@ def passed_on(number: int, block: Block, ranges: int, *kinds: int) -> list[tuple
 
 
 def sends_names(number: int, block: Block, bits: int, ranges: int) -> list[tuple]:
-    once, times = np.unique(block.names(bits), return_counts=True)
-    times = np.minimum(times, 0xFFFF).astype(np.uint16)
+    names = np.sort(block.names(bits))
+    first = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else np.zeros(0, np.int64)
+    once, times = names[first], np.minimum(np.diff(np.append(first, len(names))), 0xFFFF).astype(np.uint16)
     return in_ranges(number, once, bits, ranges, lambda s: pack(steps(once[s]), times[s])) + passed_on(number, block, ranges)
 
 
