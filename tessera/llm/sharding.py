@@ -5,8 +5,8 @@ number. For that equal rows are counted first (with a map-side combine), and giv
 copies is dealt out in portions of ``COPIES``. So neither the rows' order nor their partitioning has a part in the
 result, and no key, source or group of copies fills a bucket. Pass two brings each bucket together, sorts it, and
 shuffles it by Spark's seeded ``shuffle`` (a Fisher-Yates permutation). Buckets follow one another; row p of all N goes
-to shard floor(p * shards / N), so that shards' counts differ by at most one (law ``rows``). Neighbouring buckets lie
-in one task, so that it writes to few shards.
+to shard floor(p * shards / N), so that shards' counts differ by at most one (law ``rows``). Neighbouring buckets are one
+partition, ``PART_BUCKETS`` each, so that a task writes to few shards.
 
 Defined cases: null texts have size 16; null ids and repeated rows are rows like any other; with fewer rows than
 shards some shards stay empty; an empty table gives an empty result; extra columns are carried (maps aren't, as
@@ -72,8 +72,8 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 40, seed: int = 17, bucke
     # a bucket's start comes with its rows, so that rows are brought together once
     kind = scattered.schema["_row"].dataType
     both = scattered.withColumn("_at", F.lit(None).cast("long")).unionByName(starts.withColumn("_row", F.lit(None).cast(kind)))
-    full = both.withColumn("_part", part).repartition(tasks, "_part").groupBy("_part", "_bucket").agg(F.array_sort(F.collect_list("_row")).alias("_rows"), F.max("_at").alias("_at"))
-    # Spark's shuffle draws from one generator for each partition, so buckets have to come in one order
+    full = both.withColumn("_part", part).repartitionById(parts, F.col("_part")).groupBy("_part", "_bucket").agg(F.array_sort(F.collect_list("_row")).alias("_rows"), F.max("_at").alias("_at"))
+    # Spark's shuffle draws from a generator for each partition, so buckets have to lie in one partition and come in one order
     out = full.sortWithinPartitions("_bucket").select("_at", F.posexplode(F.shuffle("_rows", seed)).alias("_k", "_row")).select("_row.row", (F.col("_at") + F.col("_k")).alias("_at"))
     shard = F.expr(f"cast(cast(_at as decimal(38,0)) * {shards} div {max(total, 1)} as int)")
     first = F.expr(f"cast((cast(shard as decimal(38,0)) * {total} + {shards - 1}) div {shards} as bigint)")
