@@ -44,6 +44,7 @@ COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 NAME = LENGTH - MODULUS + 1  #: bytes that surely follow a common sample of two equal strings
 BEFORE = MODULUS - 1  #: bytes before a sample at which a string that holds its name may start
 BLOCK_BYTES = 8 << 20
+TASK_BLOCKS = 4  #: blocks of a task, on average, where the session's shuffle partitions are fewer
 STRETCH = MODULUS << 14  #: bytes of a text that are looked at together
 SLICE_BYTES = 1 << 20
 FREQUENT = 1 << 15  #: places of a name beyond which its strings are named one by one
@@ -406,22 +407,24 @@ def cut_docs(docs: DataFrame, frequent: int = FREQUENT, block_bytes: int = BLOCK
     text = F.coalesce("text", F.lit(""))
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(n_bytes / block_bytes), min(parts, n_bytes >> 20))
+    tasks = max(parts, math.ceil(blocks / TASK_BLOCKS))
     # a stream of names from a block to a range should hold some names at least
     ranges = max(1, min(max(parts, blocks), block_bytes * len(COVER) // MODULUS // 16))
     bits = min(60, math.ceil(math.log2(max(2, n_bytes * len(COVER) // MODULUS))) + SPARE_BITS)
     inside = place_of_text(docs.columns)
-    keyed = docs.select(
+    apart = docs.select(
         F.coalesce(F.col("doc_id").try_cast("long"), F.lit(LAST_ID)).alias("ord"),
         F.xxhash64(text).alias("tag"),
         F.xxhash64(F.lit(1), text).alias("more"),
         whole_row(docs),
     ).withColumn("block", F.pmod(F.xxhash64("ord", "tag"), F.lit(blocks)).cast("int"))
+    keyed = apart.repartition(tasks, "block")
 
     def word(column: str) -> Column:
         return F.unhex(F.lpad(F.hex(column), 16, "0"))
 
     # whole texts that stand earlier: a row for each such text and block, whatever the number of copies
-    slim = keyed.where(F.octet_length("row.text") >= LENGTH).groupBy("tag", "more", "block").agg(F.min("ord").alias("least"), F.max("ord").alias("most"))
+    slim = apart.where(F.octet_length("row.text") >= LENGTH).groupBy("tag", "more", "block").agg(F.min("ord").alias("least"), F.max("ord").alias("most"))
     known = slim.groupBy("tag", "more").agg(F.min("least").alias("first"), F.max("most").alias("last")).where("first < last").select("tag", "more", "first")
     side = slim.join(known, ["tag", "more"]).where("most > first").select(F.lit(0).alias("range"), "block", F.lit(COPIES).alias("kind"), F.lit(0).alias("place"), F.concat(word("tag"), word("more"), word("first")).alias("data"))
     side = stored(side, "copies")
@@ -454,8 +457,8 @@ def cut_docs(docs: DataFrame, frequent: int = FREQUENT, block_bytes: int = BLOCK
             if held:
                 yield from rows_of(gathers(held)).to_batches()
 
-        rows = keyed.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(sent, ROW)
-        return in_arrow(rows.repartition(parts, "range").sortWithinPartitions("range", "block"), gathered, ROW)
+        rows = keyed.groupBy("block").cogroup(side.repartition(tasks, "block").groupBy("block")).applyInArrow(sent, ROW)
+        return in_arrow(rows.repartition(tasks, "range").sortWithinPartitions("range", "block"), gathered, ROW)
 
     side = step(side, sends_names, lambda rows: counted_names(rows, frequent))
     side = step(side, sends_entries, first_entries)
@@ -468,7 +471,7 @@ def cut_docs(docs: DataFrame, frequent: int = FREQUENT, block_bytes: int = BLOCK
             give_back()
 
     kinds = with_row(docs, "kept binary, n_bytes long, spans array<struct<start:bigint,end:bigint>>")
-    return keyed.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(cut, kinds)
+    return keyed.groupBy("block").cogroup(side.repartition(tasks, "block").groupBy("block")).applyInArrow(cut, kinds)
 
 
 def remove_repeats(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
