@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.ann import nearest
+from tessera.llm.centroids import cluster_digest
 from tessera.llm.chat_format import CONT, CONTROL, END, SEP, START, chat_digest
+from tessera.llm.hard_negatives import negatives_digest
 from tessera.llm.license_scan import license_digest
 from tessera.llm.minhash_dedup import near_duplicates
+from tessera.llm.mixing import mix_digest
 from tessera.llm.packing import pack
 from tessera.llm.quality_classifier import classify_quality
 from tessera.llm.quality_rules import quality_rules
@@ -76,6 +79,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives_digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_packing": op2_packing,
@@ -87,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op11_mixing": op11_mixing,
+    "op12_centroids": op12_centroids,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: Queries that SQL can express over whole tables.
@@ -94,7 +112,47 @@ _ESCAPED = "coalesce({}, '')"
 for _raw, _safe in (("&", "&amp;"), *CONTROL):
     _ESCAPED = f"replace({_ESCAPED}, '{_raw}', '{_safe}')"
 
+#: Vectors without null or non-finite components, as integers.
+_INTEGERS = "list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))"
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_PRODUCT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1] * p[2]))"
+
+
+def _clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd's rounds, unrolled: ``at`` assigns, ``means`` moves, and centroids without vectors stay."""
+    parts = [
+        f"kept AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, {_INTEGERS} AS v FROM embeddings WHERE {_FINITE} AND len(embedding) = 64)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS k, v AS c FROM kept WHERE vec_id IS NOT NULL QUALIFY k < {k})",
+    ]
+    for r in range(rounds + 1):
+        gap = f"list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+        parts.append(f"at{r} AS MATERIALIZED (SELECT n, vec_id, v, k, CAST({gap} AS BIGINT) AS d FROM kept, c{r} QUALIFY row_number() OVER (PARTITION BY n ORDER BY d, k) = 1)")
+        if r < rounds:
+            parts.append(f"means{r} AS (SELECT k, pos, CAST(sum(x) - (CASE WHEN sum(x) % count(*) < 0 THEN sum(x) % count(*) + count(*) ELSE sum(x) % count(*) END) AS HUGEINT) // count(*) AS x FROM (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM at{r}) GROUP BY k, pos)")
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.c, c.c) AS c FROM c{r} c LEFT JOIN (SELECT k, list(CAST(x AS BIGINT) ORDER BY pos) AS c FROM means{r} GROUP BY k) m USING (k))")
+    last = rounds
+    return (
+        f"WITH {', '.join(parts)} SELECT vec_id, CAST(a.k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, "
+        f"CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM at{last} a JOIN c{last} c USING (k)"
+    )
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_centroids": _clusters_sql(),
+    "op13_hard_negatives": f"""
+WITH kept AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_INTEGERS} AS v
+  FROM embeddings WHERE {_FINITE} AND label IS NOT NULL AND vec_id IS NOT NULL),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST({_PRODUCT.format("a.v", "r.v")} AS BIGINT) AS score
+  FROM kept a JOIN kept r ON len(a.v) = len(r.v) WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT * FROM scored WHERE same AND vec_id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.vec_id AS negative_id,
+       p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) QUALIFY rank <= 5""",
     "op6_chat_format": f"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
