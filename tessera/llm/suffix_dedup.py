@@ -6,20 +6,21 @@ once, and of two equal 100-byte strings at least 44 equal bytes follow there.
 
 (1) Sampled strings of 44 bytes (``NAME``) are named by their hashes, and the names are sorted and counted; those that occur
 once drop out. (2) The names that are left go on with their neighbourhoods (up to 56 bytes before and 100 bytes after
-the start): these are named and sorted in turn, and of equal ones only the first goes on; all 100-byte strings in the others are
-repeats. (3) What is left, different neighbourhoods of one name, is merged: all suffixes that start in them are sorted by
+the start): these are named by 96 bits (of two independent hashes) and sorted in turn, and of equal ones only the first goes on; all 100-byte strings in
+the others are repeats. Of 10**12 such strings, two different ones share a name with a probability of 1e-5. (3) What is left, different neighbourhoods of one name, is merged: all suffixes that start in them are sorted by
 their prefixes of 100 bytes, and equal ones stand next to each other; all but the first are repeats. Neighbours are
 compared byte by byte. A name of over ``FREQUENT`` places (a line between bytes of each text's own) isn't
-merged in one place: its 100-byte strings are named one by one in step 2.
+merged in one place: its 100-byte strings are named one by one in step 2, by 96 bits too.
 
 Texts are dealt into blocks of about ``BLOCK_BYTES``, by one shuffle that all steps read. A block sends its sorted names to
 their ranges, packed, one row a range, and gets back bits in the same order; no names and no texts go
 through the driver. Texts that are equal as a whole are found by 128 bits of hash first; of them the first is looked at alone.
 
-Texts are UTF-8 bytes; matches don't cross texts; order is that of doc_id, then of a hash of the text, then of the
-start. Defined cases: a null text is empty; texts under 100 bytes stay; null ids come last; rows of equal
-id and text are one document and get equal results; an empty table gives an empty result; extra columns stay, whatever
-their names. A long text is looked at in overlapping stretches, so that memory follows the block and not the text's arrays.
+Texts are UTF-8 bytes; matches don't cross texts; order is that of doc_id, then of a hash of id and text (``place``, 64 bits), then of
+the start; blocks are ranges of that hash, so a text's block and number in it tell its place among texts of one id. Defined
+cases: a null text is empty; texts under 100 bytes stay; null ids come last, their texts in the order of the hash, as texts that share an
+id; rows of equal id and text are one document, looked at once, and get equal results; ids have to be integers (others raise
+ValueError); an empty table gives an empty result; extra columns stay, whatever their names. A long text is looked at in overlapping stretches, so that memory follows the block and not the text's arrays.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tessera.llm.arrays import BYTE_VALUE, mix, one_array, place_of_text, powers, spread
 from tessera.llm.tables import give_back, in_arrow, stored, whole_row, with_row
@@ -51,24 +53,38 @@ FREQUENT = 1 << 15  #: places of a name beyond which its strings are named one b
 SPARE_BITS = 7  #: by which names are longer than their number needs; one in 2**7 unique names goes on for nothing
 LAST_ID = (1 << 63) - 1
 COPIES, SEEN, FIRST, SPANS, STREAM = range(5)  #: kinds of rows that go between blocks and ranges
+SALTS = 32  #: parts that the rows of one id and text are dealt into
+CUT = "kept binary, n_bytes long, spans array<struct<start:bigint,end:bigint>>"
+CUT_COLUMNS = ("kept", "n_bytes", "spans")
 ROW = "range int, block int, kind int, place int, data binary"
 _U = np.uint64
 
 
 class Rolling:
-    """Hashes of stretches of some bytes."""
+    """Hashes of stretches of some bytes; ``more`` gives further bits, independent of the first."""
 
-    forth = powers(1 << 10)
-    back = powers(1 << 10, pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+    bases = (0xD6E8FEB86659FD93, 0xA24BAED4963EE407)
+    values = (BYTE_VALUE, mix(BYTE_VALUE))
+    forth = [powers(1 << 10, b) for b in bases]
+    back = [powers(1 << 10, pow(b, -1, 1 << 64)) for b in bases]
 
     def __init__(self, data: np.ndarray) -> None:
-        if len(data) >= len(Rolling.forth):
-            Rolling.forth = powers(2 * len(data))
-            Rolling.back = powers(2 * len(data), pow(0xD6E8FEB86659FD93, -1, 1 << 64))
-        self.sums = np.concatenate([[_U(0)], np.cumsum(BYTE_VALUE[data] * Rolling.forth[: len(data)], dtype=_U)])
+        self.data, self.sums = data, [None, None]
+
+    def hashed(self, k: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        n = len(self.data)
+        if n >= len(Rolling.forth[k]):
+            Rolling.forth[k] = powers(2 * n, self.bases[k])
+            Rolling.back[k] = powers(2 * n, pow(self.bases[k], -1, 1 << 64))
+        if self.sums[k] is None:
+            self.sums[k] = np.concatenate([[_U(0)], np.cumsum(self.values[k][self.data] * Rolling.forth[k][:n], dtype=_U)])
+        return mix((self.sums[k][end] - self.sums[k][start]) * Rolling.back[k][start] + (end - start).astype(_U))
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * Rolling.back[start] + (end - start).astype(_U))
+        return self.hashed(0, start, end)
+
+    def more(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.hashed(1, start, end) >> _U(32)).astype(np.uint32)
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -102,15 +118,15 @@ class Block:
     """The texts of a block, and what is known about them from the steps before."""
 
     def __init__(self, docs: pa.Table, side: pa.Table, inside: int) -> None:
-        """docs: ord, tag, more, row; ``inside``: the text's place in row. side: rows that came back to this block."""
-        ord_, tag = (docs.column(c).to_numpy() for c in ("ord", "tag"))
+        """docs: ord, place, tag, more, row; ``inside``: the text's place in row. side: rows that came back to this block."""
+        ord_, place, tag, more = (docs.column(c).to_numpy() for c in ("ord", "place", "tag", "more"))
         self.text = pc.fill_null(pc.struct_field(one_array(docs.column("row")), [inside]), "").cast(pa.large_binary())
-        order = np.lexsort((tag, ord_))
-        new = np.append(True, (ord_[order][1:] != ord_[order][:-1]) | (tag[order][1:] != tag[order][:-1])) if len(order) else np.zeros(0, bool)
+        order = np.lexsort((more, tag, place.view(_U), ord_))
+        new = np.append(True, np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in (ord_, tag, more)])) if len(order) else np.zeros(0, bool)
         self.of = np.empty(len(order), np.int64)  # each row's document
         self.of[order] = np.cumsum(new) - 1
         self.row = order[new]  # a row of each document
-        self.ord, self.tag = ord_[self.row], tag[self.row]
+        self.ord = ord_[self.row]
         self.size = pc.binary_length(self.text).to_numpy(zero_copy_only=False).astype(np.int64)[self.row]
         kinds, places, data = (side.column(c).to_pylist() for c in ("kind", "place", "data"))
         self.flags = {k: b"".join(zlib.decompress(x) for _, x in sorted((p, x) for p, kind, x in zip(places, kinds, data) if kind == k)) for k in (SEEN, FIRST)}
@@ -118,8 +134,7 @@ class Block:
         self.spans = [x for kind, x in zip(kinds, data) if kind == SPANS]
         self.copies = b"".join(x for kind, x in zip(kinds, data) if kind == COPIES)
         known = {(a, b): first for a, b, first in np.frombuffer(self.copies, ">i8").reshape(-1, 3).tolist()}
-        more = docs.column("more").to_numpy()[self.row].tolist()
-        self.copy = np.array([o > known.get((t, m), LAST_ID) for o, t, m in zip(self.ord.tolist(), self.tag.tolist(), more)], bool)
+        self.copy = np.array([o > known.get((t, m), LAST_ID) for o, t, m in zip(*(c[self.row].tolist() for c in (ord_, tag, more)))], bool)
 
     def slices(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Some bytes, and of each sample in them its place, its stretch's first and end place, its document, and what to add to a place to have it in the document."""
@@ -181,24 +196,24 @@ class Block:
 
     def entries(self, bits: int) -> "Entries":
         """Neighbourhoods, and the single strings of frequent names."""
-        parts = [[np.zeros(0, _U)] + [np.zeros(0, np.int64)] * 3]
+        parts = [[np.zeros(0, _U), np.zeros(0, np.uint32)] + [np.zeros(0, np.int64)] * 3]
         for _, roll, _, start, stop, doc, add, mark in self.neighbourhoods(bits):
             single = mark == 2
             n = np.where(single, stop - start - LENGTH + 1, 1)
             own = np.repeat(np.arange(len(n)), n)
             lo = spread(start, n)
             hi = np.where(single[own], lo + LENGTH, stop[own])
-            parts.append([roll(lo, hi), doc[own], lo + add[own], hi + add[own]])
+            parts.append([roll(lo, hi), roll.more(lo, hi), doc[own], lo + add[own], hi + add[own]])
         return Entries(*(np.concatenate(x) for x in zip(*parts)))
 
 
 class Entries:
     """Hashed strings of a block with their documents and places, in the order of ``neighbourhoods``; ``once``: of equal ones the first."""
 
-    def __init__(self, name: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        self.name, self.doc, self.start, self.end = name, doc, start, end
-        order = np.lexsort((start, doc, name))
-        new = np.append(True, name[order][1:] != name[order][:-1]) if len(order) else np.zeros(0, bool)
+    def __init__(self, name: np.ndarray, more: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        self.name, self.more, self.doc, self.start, self.end = name, more, doc, start, end
+        order = np.lexsort((start, doc, more, name))
+        new = np.append(True, (name[order][1:] != name[order][:-1]) | (more[order][1:] != more[order][:-1])) if len(order) else np.zeros(0, bool)
         self.once = order[new]
         self.of = np.empty(len(order), np.int64)
         self.of[order] = np.cumsum(new) - 1
@@ -236,9 +251,8 @@ def sends_names(number: int, block: Block, bits: int, ranges: int) -> list[tuple
 
 def sends_entries(number: int, block: Block, bits: int, ranges: int) -> list[tuple]:
     e = block.entries(bits)
-    name, doc, start = e.name[e.once], e.doc[e.once], e.start[e.once].astype(np.uint32)
-    tag = (block.tag[doc].view(_U) >> _U(32)).astype(np.uint32)
-    return in_ranges(number, name, 64, ranges, lambda s: pack(steps(name[s]), block.ord[doc[s]], tag[s], start[s])) + passed_on(number, block, ranges, SEEN)
+    name, more, doc, start = e.name[e.once], e.more[e.once], e.doc[e.once], e.start[e.once].astype(np.uint32)
+    return in_ranges(number, name, 64, ranges, lambda s: pack(steps(name[s]), more[s], block.ord[doc[s]], doc[s].astype(np.uint32), start[s])) + passed_on(number, block, ranges, SEEN)
 
 
 def sends_units(number: int, block: Block, bits: int, ranges: int) -> list[tuple]:
@@ -260,11 +274,10 @@ def sends_units(number: int, block: Block, bits: int, ranges: int) -> list[tuple
     order = np.lexsort((start, doc, name))
     name, doc, start = name[order], doc[order], start[order]
     texts = [texts[k] for k in order.tolist()]
-    tag = (block.tag[doc].view(_U) >> _U(32)).astype(np.uint32)
     size = np.array([len(x) for x in texts], np.uint8)
 
     def packed(s: slice) -> bytes:
-        numbers = pack(steps(name[s]), block.ord[doc[s]], tag[s], doc[s].astype(np.uint32), start[s].astype(np.uint32), size[s])
+        numbers = pack(steps(name[s]), block.ord[doc[s]], doc[s].astype(np.uint32), start[s].astype(np.uint32), size[s])
         return len(numbers).to_bytes(4, "little") + numbers + zlib.compress(b"".join(texts[s]), 1)
 
     return in_ranges(number, name, 64, ranges, packed) + passed_on(number, block, ranges, SEEN, FIRST)
@@ -282,13 +295,14 @@ def counted_names(rows: list[tuple[int, int, bytes]], frequent: int) -> list[tup
 
 def first_entries(rows: list[tuple[int, int, bytes]]) -> list[tuple]:
     """For each block's strings of a range: 1 if an equal one stands earlier, else 0."""
-    got = [unpack(data, _U, np.int64, np.uint32, np.uint32) for _, _, data in rows]
+    got = [unpack(data, _U, np.uint32, np.int64, np.uint32, np.uint32) for _, _, data in rows]
     sizes = np.cumsum([len(g[0]) for g in got])[:-1]
     name = np.concatenate([np.cumsum(g[0], dtype=_U) for g in got])
-    ord_, tag, start = (np.concatenate([g[k] for g in got]) for k in (1, 2, 3))
-    order = np.lexsort((start, tag, ord_, name))
+    more, ord_, doc, start = (np.concatenate([g[k] for g in got]) for k in (1, 2, 3, 4))
+    own = np.repeat(np.array([block for block, _, _ in rows], np.int32), [len(g[0]) for g in got])
+    order = np.lexsort((start, doc, own, ord_, more, name))
     flag = np.zeros(len(order), np.uint8)
-    flag[order[1:]] = name[order][1:] == name[order][:-1]
+    flag[order[1:]] = (name[order][1:] == name[order][:-1]) & (more[order][1:] == more[order][:-1])
     return [(0, block, FIRST, place, zlib.compress(own.tobytes(), 1)) for (block, place, _), own in zip(rows, np.split(flag, sizes))]
 
 
@@ -300,14 +314,14 @@ def merged_units(rows: list[tuple[int, int, bytes]]) -> list[tuple]:
     columns, texts = [], []
     for block, _, data in rows:
         n = int.from_bytes(data[:4], "little")
-        step, *more = unpack(data[4 : 4 + n], _U, np.int64, np.uint32, np.uint32, np.uint32, np.uint8)
+        step, *more = unpack(data[4 : 4 + n], _U, np.int64, np.uint32, np.uint32, np.uint8)
         columns.append([np.cumsum(step, dtype=_U), *more, np.full(len(step), block, np.int64)])
         texts.append(zlib.decompress(data[4 + n :]))
-    name, ord_, tag, doc, start, size, block = (np.concatenate(x) for x in zip(*columns))
+    name, ord_, doc, start, size, block = (np.concatenate(x) for x in zip(*columns))
     size, start = size.astype(np.int64), start.astype(np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     begin = np.cumsum(size) - size
-    order = np.lexsort((start, tag, ord_, name))
+    order = np.lexsort((start, doc, block, ord_, name))
     found = []
     lo = 0
     while lo < len(order):
@@ -317,7 +331,7 @@ def merged_units(rows: list[tuple[int, int, bytes]]) -> list[tuple]:
         lo = hi
         if len(own) > 1:
             some = data[spread(begin[own], size[own])]
-            _, rank = np.unique(np.stack([ord_[own], tag[own].astype(np.int64)], 1), axis=0, return_inverse=True)
+            _, rank = np.unique(np.stack([ord_[own], block[own], doc[own].astype(np.int64)], 1), axis=0, return_inverse=True)
             row, first, last = repeated_windows(name[own], some, size[own], (rank.ravel() << 32) + start[own])
             found.append([block[own[row]], doc[own[row]].astype(np.uint32), (start[own[row]] + first).astype(np.uint32), (start[own[row]] + last + LENGTH).astype(np.uint32)])
     if not found:
@@ -412,19 +426,30 @@ def cut_docs(docs: DataFrame, frequent: int = FREQUENT, block_bytes: int = BLOCK
     ranges = max(1, min(max(parts, blocks), block_bytes * len(COVER) // MODULUS // 16))
     bits = min(60, math.ceil(math.log2(max(2, n_bytes * len(COVER) // MODULUS))) + SPARE_BITS)
     inside = place_of_text(docs.columns)
-    apart = docs.select(
-        F.coalesce(F.col("doc_id").try_cast("long"), F.lit(LAST_ID)).alias("ord"),
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise ValueError("doc_id has to be an integer, as it orders the texts")
+    given = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("ord"),
         F.xxhash64(text).alias("tag"),
         F.xxhash64(F.lit(1), text).alias("more"),
         whole_row(docs),
-    ).withColumn("block", F.pmod(F.xxhash64("ord", "tag"), F.lit(blocks)).cast("int"))
-    keyed = apart.repartition(tasks, "block")
+    )
+    # rows of one id and text come into a block once; what is found there is joined to all of them
+    key = ["ord", "tag", "more"]
+    counts = stored(given.groupBy(*key).agg(F.count("*").alias("n"), F.max(F.octet_length("row.text")).alias("size")), "texts")
+    several = counts.where("n > 1").select(*key)
+    all_alone = several.isEmpty()
+    once = given if all_alone else given.join(several, key, "left_anti").unionByName(given.join(several, key).groupBy(*key).agg(F.first("row").alias("row")))
+    place = F.xxhash64("ord", "tag")
+    high = F.shiftrightunsigned("place", 32)  # blocks are ranges of unsigned places
+    apart = once.withColumn("place", place).withColumn("block", F.shiftright(high * blocks, 32).cast("int"))
+    keyed = apart.select("ord", "place", "tag", "more", "row", "block").repartition(tasks, "block")
 
     def word(column: str) -> Column:
         return F.unhex(F.lpad(F.hex(column), 16, "0"))
 
     # whole texts that stand earlier: a row for each such text and block, whatever the number of copies
-    slim = apart.where(F.octet_length("row.text") >= LENGTH).groupBy("tag", "more", "block").agg(F.min("ord").alias("least"), F.max("ord").alias("most"))
+    slim = counts.where(F.col("size") >= LENGTH).withColumn("place", place).withColumn("block", F.shiftright(high * blocks, 32).cast("int")).groupBy("tag", "more", "block").agg(F.min("ord").alias("least"), F.max("ord").alias("most"))
     known = slim.groupBy("tag", "more").agg(F.min("least").alias("first"), F.max("most").alias("last")).where("first < last").select("tag", "more", "first")
     side = slim.join(known, ["tag", "more"]).where("most > first").select(F.lit(0).alias("range"), "block", F.lit(COPIES).alias("kind"), F.lit(0).alias("place"), F.concat(word("tag"), word("more"), word("first")).alias("data"))
     side = stored(side, "copies")
@@ -470,8 +495,16 @@ def cut_docs(docs: DataFrame, frequent: int = FREQUENT, block_bytes: int = BLOCK
         finally:
             give_back()
 
-    kinds = with_row(docs, "kept binary, n_bytes long, spans array<struct<start:bigint,end:bigint>>")
-    return keyed.groupBy("block").cogroup(side.repartition(tasks, "block").groupBy("block")).applyInArrow(cut, kinds)
+    kinds = with_row(docs, CUT)
+    done = keyed.groupBy("block").cogroup(side.repartition(tasks, "block").groupBy("block")).applyInArrow(cut, kinds)
+    if all_alone:
+        return done
+    # the rows of a text may be very many: they are dealt out by salts, and its result comes to each of them
+    done = stored(done.withColumns({"ord": F.coalesce(F.col("row.doc_id").cast("long"), F.lit(LAST_ID)), "tag": F.xxhash64(F.coalesce("row.text", F.lit(""))), "more": F.xxhash64(F.lit(1), F.coalesce("row.text", F.lit("")))}), "cut")
+    alone = done.join(several, key, "left_anti").select("row", *CUT_COLUMNS)
+    results = done.join(several, key).select(*key, *CUT_COLUMNS, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    rows = given.join(several, key, "left_semi").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    return alone.unionByName(rows.join(results, [*key, "salt"]).select("row", *CUT_COLUMNS))
 
 
 def remove_repeats(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
