@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -277,6 +278,25 @@ NAMES = (
     ("boost-1.0", "boost", "boost software license|licence version|v? 1? 0?"),
     ("zlib", "zlib", "zlib libpng? license|licence"),
     ("unlicense", "unlicense", "the unlicense"),
+    ("unlicense", "unlicense", "unlicense license|licence"),
+    ("unlicense", "unlicense", "license|licence unlicense"),
+    ("unlicense", "unlicense", "under unlicense"),
+    ("mit", "mit  licensed", "mit licensed"),
+    ("apache-2.0", "apache", "apache 2 0? licensed"),
+    ("bsd", "bsd  licensed", "bsd licensed"),
+    ("gpl", "gpl  licensed", "gpl licensed"),
+    ("agpl-3.0", "agplv3", "agplv3"),
+    ("agpl-3.0-or-later", "agplv3", "agplv3 or later"),
+    ("lgpl-2.1", "lgplv2", "lgplv2 1"),
+    ("lgpl-2.1-or-later", "lgplv2", "lgplv2 1 or later"),
+    ("lgpl-2.0", "lgplv2", "lgplv2"),
+    ("epl-2.0", "epl", "epl 2 0"),
+    ("epl-1.0", "epl", "epl 1 0"),
+    ("mit", "or  mit", "0|1|clause|later|only or mit"),
+    ("mit", "mit  or", "mit or apache|bsd|gpl|lgpl|agpl|mpl|isc|zlib"),
+    ("apache-2.0", "or  apache", "or apache 2 0"),
+    ("gpl-2.0", "or  gpl", "or gpl 2 0 only?"),
+    ("gpl-3.0", "or  gpl", "or gpl 3 0 only?"),
     ("wtfpl", "wtfpl", "wtfpl"),
     ("eupl-1.2", "eupl", "eupl version|v? 1 2"),
     ("eupl-1.1", "eupl", "eupl version|v? 1 1"),
@@ -302,8 +322,48 @@ NAMES = (
     ("python-2.0", "python", "python software foundation license|licence version|v? 2?"),
     ("openssl", "openssl", "openssl license|licence"),
 )
+#: Addresses of licence texts.
+LINKS = (
+    ("mit", "opensource", "opensource org licenses|license mit"),
+    ("isc", "opensource", "opensource org licenses|license isc"),
+    ("bsd-2-clause", "opensource", "opensource org licenses|license bsd 2 clause"),
+    ("bsd-3-clause", "opensource", "opensource org licenses|license bsd 3 clause"),
+    ("apache-2.0", "opensource", "opensource org licenses|license apache 2 0"),
+    ("gpl-2.0", "opensource", "opensource org licenses|license gpl 2 0"),
+    ("gpl-3.0", "opensource", "opensource org licenses|license gpl 3 0"),
+    ("mpl-2.0", "opensource", "opensource org licenses|license mpl 2 0"),
+    ("apache-2.0", "apache  org", "apache org licenses license 2 0"),
+    ("apache", "apache  org", "apache org licenses"),
+    ("gpl", "gnu  org", "gnu org licenses gpl"),
+    ("gpl-2.0", "gnu  org", "gnu org licenses old? gpl 2 0"),
+    ("gpl-3.0", "gnu  org", "gnu org licenses gpl 3 0"),
+    ("lgpl", "gnu  org", "gnu org licenses lgpl"),
+    ("agpl-3.0", "gnu  org", "gnu org licenses agpl 3 0"),
+    ("mpl-2.0", "mozilla  org", "mozilla org mpl 2 0"),
+    ("unlicense", "unlicense  org", "unlicense org"),
+    ("cc0-1.0", "creativecommons", "creativecommons org publicdomain zero"),
+    ("cc-by", "creativecommons", "creativecommons org licenses by"),
+    ("cc-by-4.0", "creativecommons", "creativecommons org licenses by 4 0"),
+    ("cc-by-sa", "creativecommons", "creativecommons org licenses by sa 1|2|3|4? 0|5?"),
+    ("cc-by-nc", "creativecommons", "creativecommons org licenses by nc 1|2|3|4? 0|5?"),
+    ("cc-by-nd", "creativecommons", "creativecommons org licenses by nd 1|2|3|4? 0|5?"),
+    ("cc-by-nc-sa", "creativecommons", "creativecommons org licenses by nc sa 1|2|3|4? 0|5?"),
+    ("cc-by-nc-nd", "creativecommons", "creativecommons org licenses by nc nd 1|2|3|4? 0|5?"),
+)
+#: Sentences that deny a licence; what they name isn't granted, so their label stands for it.
+DENIALS = (
+    ("not-granted", "not  licensed", "not licensed under *6 license|licence"),
+    ("not-granted", "not  licensed", "not licensed under the? gpl|lgpl|agpl|mit|bsd|apache|mpl version|v? 1|2|3|v2|v3? 0|1?"),
+    ("not-granted", "not  released", "not released under *6 license|licence"),
+    ("not-granted", "not  covered", "not covered by *6 license|licence"),
+    ("not-granted", "not  under", "not under *6 license|licence"),
+    ("not-granted", "is  granted", "no license|licence is granted"),
+)
 #: Lines that claim rights.
 CLAIMS = (
+    ("copyright", "c", "c (?:19|20)[0-9][0-9] [^ ]+"),
+    ("no-warranty", "warranty", "provided as is without warranty of any kind"),
+    ("no-warranty", "warranties", "provided as is without warranties"),
     ("copyright", "copyright", "copyright c? (?:19|20)[0-9][0-9]"),
     ("copyright", "copyrighted", "copyrighted material"),
     ("no-derivatives", "derivative", "no derivative works"),
@@ -312,7 +372,7 @@ CLAIMS = (
     ("evaluation", "evaluation", "for evaluation purpose|purposes only"),
 )
 #: Kinds of signatures: priority (1 is best) and confidence.
-KINDS = ((SPDX, 1, 1.0), (TEXTS, 2, 0.98), (NOTICES, 3, 0.9), (NAMES, 4, 0.7), (CLAIMS, 5, 0.4))
+KINDS = ((DENIALS, 1, 0.9), (SPDX, 1, 1.0), (TEXTS, 2, 0.98), (LINKS, 3, 0.9), (NOTICES, 3, 0.9), (NAMES, 4, 0.7), (CLAIMS, 5, 0.4))
 
 
 @dataclass(frozen=True)
@@ -365,9 +425,10 @@ def n_words(spaced: Column) -> Column:
     return ((F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.lit(" "), F.lit("")))) / 2).cast("long")
 
 
-FOUND = "array<struct<start:bigint,end:bigint,rule:int,label:string,priority:int,confidence:double,base:boolean>>"
 KEPT = "array<struct<rule:int,label:string,start:bigint,end:bigint,priority:int,confidence:double,base:boolean>>"
-HITS = "array<struct<rule:int,between:array<string>,hits:array<string>>>"
+HITS = "array<struct<rule:int,parts:array<string>>>"
+OPEN, CLOSE = "\x01", "\x02"  #: around a match; spaced words hold neither
+GROUP = 256  #: steps of an array that is grown by one
 
 
 def rules_literal(rules: list[Rule]) -> Column:
@@ -377,7 +438,7 @@ def rules_literal(rules: list[Rule]) -> Column:
 
 
 def hits_of(spaced: Column, rules: list[Rule]) -> Column:
-    """For each rule that matches: its number, the stretches between its matches, and the matches.
+    """For each rule that matches: its number, and the parts of the text: what stands before the first match, then each match with what follows.
 
     Expressions are constants, so that each is compiled once; those of one keyword run only on texts that hold it.
     """
@@ -386,42 +447,64 @@ def hits_of(spaced: Column, rules: list[Rule]) -> Column:
         groups.setdefault(r.keyword, []).append(r)
 
     def one(r: Rule) -> Column:
-        regex = F.lit(r.regex)
-        return F.when(F.rlike(spaced, regex), F.struct(F.lit(r.number).alias("rule"), F.split(spaced, regex, -1).alias("between"), F.regexp_extract_all(spaced, regex, F.lit(0)).alias("hits")))
+        return F.struct(F.lit(r.number).alias("rule"), F.split(F.regexp_replace(spaced, F.lit(r.regex), F.lit(f"{OPEN}$0{CLOSE}")), OPEN, -1).alias("parts"))
 
     none = F.array().cast(HITS)
     tried = [F.when(F.contains(spaced, F.lit(k)), F.array(*map(one, some))).otherwise(none) for k, some in groups.items()]
-    return F.filter(F.flatten(F.array(*tried)), lambda h: h.isNotNull())
+    return F.filter(F.flatten(F.array(*tried)), lambda h: F.size(h["parts"]) > 1)
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def before(values: Column, join: Callable[[Column, Column], Column], start: int) -> Column:
+    """For each number of an array all those before it, joined (a sum, a maximum); in groups, so that no long array is grown by one."""
+
+    def running(some: Column, first: Column) -> Column:
+        state = F.struct(first.cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(some, state, lambda acc, x: F.struct(join(acc["at"], x).cast("long").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def grouped(v: Column) -> Column:
+        groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / GROUP).cast("int")), lambda g: F.slice(v, g * GROUP + 1, F.lit(GROUP)))
+        return let(groups, lambda gs: F.flatten(F.zip_with(gs, running(F.transform(gs, lambda g: F.aggregate(g, F.lit(start).cast("long"), lambda s, x: join(s, x).cast("long"))), F.lit(start)), running)))
+
+    return let(values, grouped)
 
 
 def intervals(hit: Column, rules: Column) -> Column:
     """The intervals of words that a rule matches; end is after the last word."""
-    rule = F.get(rules, hit["rule"])
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(FOUND).alias("found"))
 
-    def add(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + n_words(pair["gap"])
-        end = start + n_words(pair["hit"])
-        one = F.struct(start.alias("start"), end.alias("end"), rule["number"].alias("rule"), rule["label"].alias("label"), rule["priority"].alias("priority"), rule["confidence"].alias("confidence"), rule["base"].alias("base"))
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
+    def placed(sizes: Column) -> Column:
+        at = before(F.transform(sizes, lambda s: s["hit"] + s["rest"]), lambda a, b: a + b, 0)
+        return F.zip_with(sizes, at, lambda s, n: F.struct((n + s["lead"]).alias("start"), (-(n + s["lead"] + s["hit"])).alias("back"), s["r"]["priority"].alias("priority"), s["r"]["number"].alias("rule"), s["r"]["label"].alias("label"), s["r"]["confidence"].alias("confidence"), s["r"]["base"].alias("base")))
 
-    pairs = F.arrays_zip(F.slice(hit["between"], F.lit(1), F.size(hit["hits"])).alias("gap"), hit["hits"].alias("hit"))
-    return F.aggregate(pairs, empty, add, lambda acc: acc["found"])
+    lead, rule = n_words(F.get(hit["parts"], F.lit(0))), F.get(rules, hit["rule"])
+    parts = F.slice(hit["parts"], F.lit(2), F.size(hit["parts"]) - 1)
+    sizes = F.transform(parts, lambda p: F.struct(n_words(F.substring_index(p, CLOSE, 1)).alias("hit"), n_words(F.substring_index(p, CLOSE, -1)).alias("rest"), lead.alias("lead"), rule.alias("r")))
+    return let(sizes, placed)
 
 
 def unsuppressed(found: Column, levels: int) -> Column:
-    """Detections that stay: base ones, and those not inside another of a priority as good."""
-    kind = "array<struct<start:bigint,back:bigint,priority:int,rule:int,label:string,confidence:double,base:boolean>>"
-    ordered = F.array_sort(F.transform(found, lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("back"), d["priority"].alias("priority"), d["rule"].alias("rule"), d["label"].alias("label"), d["confidence"].alias("confidence"), d["base"].alias("base"))))
-    start = F.struct(F.array_repeat(F.lit(-1).cast("long"), levels).alias("reach"), F.array().cast(kind).alias("kept"))
-
-    def step(acc: Column, d: Column) -> Column:
-        inside = ~d["base"] & (F.array_max(F.slice(acc["reach"], F.lit(1), d["priority"] + 1)) >= -d["back"])
-        reach = F.transform(acc["reach"], lambda x, k: F.when((k == d["priority"]) & ~d["base"], F.greatest(x, -d["back"])).otherwise(x))
-        return F.when(inside, acc).otherwise(F.struct(reach.alias("reach"), F.concat(acc["kept"], F.array(d)).alias("kept")))
-
-    kept = F.aggregate(ordered, start, step, lambda acc: acc["kept"])
-    return F.transform(kept, lambda d: F.struct(d["rule"].alias("rule"), d["label"].alias("label"), d["start"].alias("start"), (-d["back"]).alias("end"), d["priority"].alias("priority"), d["confidence"].alias("confidence"), d["base"].alias("base")))
+    """Detections (start, back: minus the end, priority and others) that stay: base ones, and those not inside another of a priority as good.
+
+    In the order of starts, longer ones first, a detection is inside another if one before it ends as late; for each priority
+    the latest end before each detection is kept as an array.
+    """
+
+    def kept(ordered: Column) -> Column:
+        def reach(level: int) -> Column:
+            ends = F.transform(ordered, lambda d: F.when((d["priority"] <= level) & ~d["base"], -d["back"]).otherwise(F.lit(-1).cast("long")))
+            return before(ends, lambda a, b: F.greatest(a, b), -1)
+
+        def stays(reaches: Column) -> Column:
+            return F.filter(ordered, lambda d, k: d["base"] | (F.get(F.get(reaches, d["priority"]), k) < -d["back"]))
+
+        return let(F.array(*map(reach, range(levels))), stays)
+
+    stay = let(F.array_sort(found), kept)
+    return F.transform(stay, lambda d: F.struct(d["rule"].alias("rule"), d["label"].alias("label"), d["start"].alias("start"), (-d["back"]).alias("end"), d["priority"].alias("priority"), d["confidence"].alias("confidence"), d["base"].alias("base")))
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None) -> DataFrame:

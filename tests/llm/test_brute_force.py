@@ -244,6 +244,24 @@ LICENSE_TEXTS = {
     "Do What The Fuck You Want To Public License": {"wtfpl"},
     "all rights reserved, cc by": {"reserved", "cc-by"},
     "a license to kill; the general public": set(),
+    "MIT Licensed": {"mit"},
+    "AGPLv3": {"agpl-3.0"},
+    "LGPLv2.1 or later": {"lgpl-2.1-or-later"},
+    "EPL-2.0": {"epl-2.0"},
+    "License: Unlicense": {"unlicense"},
+    "(c) 2020 Bob": {"copyright"},
+    "https://opensource.org/licenses/MIT": {"mit"},
+    "http://www.apache.org/licenses/LICENSE-2.0": {"apache-2.0"},
+    "https://creativecommons.org/licenses/by-sa/4.0/": {"cc-by-sa"},
+    "https://creativecommons.org/publicdomain/zero/1.0/": {"cc0-1.0"},
+    "provided as is, without warranty of any kind": {"no-warranty"},
+    "Apache-2.0 OR MIT": {"apache-2.0", "mit"},
+    "MIT OR Apache-2.0": {"mit", "apache-2.0"},
+    "not licensed under the MIT license": {"not-granted"},
+    "This is not licensed under the GPL version 2": {"not-granted"},
+    "vitamin c 2020": set(),
+    "a licensed plumber; the unlicensed driver": set(),
+    "apache helicopters, mit seiner Frau": set(),
 }
 
 
@@ -253,6 +271,13 @@ def test_license_texts(spark):
     assert {t: got[k] for k, t in rows} == LICENSE_TEXTS
 
 
+def test_very_many_detections_in_one_text(spark):
+    n = 100_000
+    docs = spark.createDataFrame([(1, "mit license and x " * n)], "doc_id long, text string")
+    r = license_scan.scan_licenses(docs).select(F.size("licenses").alias("n"), F.get("licenses", F.lit(n - 1))["start"].alias("last")).first()
+    assert (r.n, r.last) == (n, 4 * (n - 1))
+
+
 def test_license_rules_need_their_keywords():
     rules = license_scan.signature_rules()
     assert len(rules) > 250 and [r.number for r in rules] == list(range(len(rules)))
