@@ -14,7 +14,9 @@ number; structured vectors need less. Buckets are dealt into parts of about ``PA
 query comes to a part once, with the list of the buckets that it visits there, and takes at most k rows from it.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, neither do
-vectors of another length than most; rows without vec_id take no part; repeated rows are candidates each; fewer
+vectors of another length than most; rows without vec_id take no part; ids have to be integers (others raise ValueError); hashing scales
+vectors by the largest component, so that no norm leaves the range of doubles; an inner product that does is infinite, as doubles have it,
+and one that is no number (infinities of both signs) counts as the smallest; repeated rows are candidates each; fewer
 candidates than k are all returned; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -28,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tessera.llm.arrays import one_array
 from tessera.llm.tables import in_arrow, stored
@@ -39,23 +42,25 @@ RECALL = 0.94  #: of the tried queries' neighbours
 TRIED = 64  #: queries that the share of visited vectors is fitted on
 PART = 8192
 QUERIES_AT_ONCE = 256
+COSTS_AT_ONCE = 1 << 21  #: costs of buckets that a worker holds
 
 
 class Index:
-    """Projections and slabs, from a seed, the dimension and the largest norm."""
+    """Projections and slabs, from a seed, the dimension, the largest component and the largest norm in units of it."""
 
-    def __init__(self, dimensions: int, largest: float, tables: int = TABLES, projections: int = PROJECTIONS, seed: int = 11) -> None:
+    def __init__(self, dimensions: int, scale: float, largest: float, tables: int = TABLES, projections: int = PROJECTIONS, seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
         self.shape = (tables, projections)
         self.a = rng.normal(size=(dimensions + 1, tables * projections))
         self.b = rng.uniform(0, WIDTH, tables * projections)
-        self.largest = largest
+        self.scale, self.largest = scale, largest
 
     def project(self, x: np.ndarray, query: bool) -> np.ndarray:
         """Projections of rows of x, in units of slabs: (rows, tables, projections)."""
-        unit = x / self.largest
+        unit = x / self.scale / self.largest
         if query:  # the direction alone decides which inner products are largest
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+            unit = x / np.abs(x).max(1, keepdims=True)
+            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
             rest = np.zeros(len(x))
         else:
             rest = np.sqrt(np.maximum(0, 1 - (unit**2).sum(1)))
@@ -73,6 +78,13 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", v.alias("v")).where("vec_id is not null and v is not null").where(finite).where(F.exists("v", lambda x: x != 0))
 
 
+def inner_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """In doubles; what is no number counts as the smallest."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        score = q @ x.T
+    return np.where(np.isnan(score), -np.inf, score)
+
+
 def visiting_order(projected: np.ndarray, slab: np.ndarray, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each query (projections on a table) the buckets in the order of visits, and the distinct vectors before each."""
     cost = np.zeros((len(projected), len(slab)))
@@ -103,15 +115,18 @@ def in_parts(buckets: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, in
 def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row where ``is_query`` holds, among all other rows."""
     spark = vectors.sparkSession
+    if not isinstance(vectors.schema["vec_id"].dataType, IntegralType):
+        raise ValueError("vec_id has to be an integer")
     rows = usable(vectors)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(norm).alias("m")).orderBy(F.desc("n"), "d").limit(1).collect()
+    largest_part = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(largest_part).alias("m")).orderBy(F.desc("n"), "d").limit(1).collect()
     none = rows.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     if not lengths:
         return none
-    dimensions, largest = lengths[0]["d"], lengths[0]["m"]
+    dimensions, scale = lengths[0]["d"], lengths[0]["m"]
     rows = rows.where(F.size("v") == dimensions)
-    index = Index(dimensions, largest)
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / scale) * (x / scale)))
+    index = Index(dimensions, scale, rows.agg(F.max(norm)).first()[0])
 
     def hashed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -144,12 +159,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL) -
         """A task's best k rows for each tried query."""
         best = pa.table({})
         for batch in (b for b in it if b.num_rows):
-            score = asked_vectors @ matrix(batch.column(1), dimensions).T
-            score[asked_ids[:, None] == batch.column(0).to_numpy()[None]] = -np.inf
+            own = asked_ids[:, None] == batch.column(0).to_numpy()[None]
+            score = np.where(own, -np.inf, inner_products(asked_vectors, matrix(batch.column(1), dimensions)))
             n = min(k, score.shape[1])
             col = np.argpartition(-score, n - 1, axis=1)[:, :n].ravel()
             query = np.repeat(np.arange(len(asked_ids)), n)
-            fine = np.isfinite(score[query, col])
+            fine = ~own[query, col]
             own = batch.take(pa.array(col[fine]))
             some = pa.table([pa.array(query[fine]), pa.array(score[query, col][fine]), *own.columns[2:]], names=["query", "score", *(f"slab_{t}" for t in range(TABLES))])
             best = pa.concat_tables([best, some]) if len(best) else some
@@ -176,10 +191,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL) -
     def probes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             projected = index.project(matrix(batch.column(1), dimensions), True)
-            for lo in range(0, len(projected), QUERIES_AT_ONCE):
+            at_once = max(1, min(QUERIES_AT_ONCE, COSTS_AT_ONCE // max(len(slab) for slab, _, _ in tables)))
+            for lo in range(0, len(projected), at_once):
                 query, bucket = [], []
                 for t, (slab, distinct, ident) in enumerate(tables):
-                    order, before = visiting_order(projected[lo : lo + QUERIES_AT_ONCE, t], slab, distinct)
+                    order, before = visiting_order(projected[lo : lo + at_once, t], slab, distinct)
                     q, at = np.nonzero(before < max(share * distinct.sum(), k + 1))
                     query.append(q)
                     bucket.append(ident[order[q, at]])
@@ -230,18 +246,21 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL) -
 
     def best_of(query: np.ndarray, q: np.ndarray, who: np.ndarray, visited: np.ndarray, ids: np.ndarray, held: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
         """``who`` visits bucket ``visited``; rows of the index are ordered by bucket."""
-        rough = np.full((len(query), len(ids)), -np.inf)
+        rough, seen = np.full((len(query), len(ids)), -np.inf), np.zeros((len(query), len(ids)), bool)
         order = np.argsort(visited, kind="stable")
         once, begin = np.unique(visited[order], return_index=True)
         lo, hi = np.searchsorted(bucket, once), np.searchsorted(bucket, once, "right")
         for a, b, own in zip(lo.tolist(), hi.tolist(), np.split(who[order], begin[1:])):
-            rough[own, a:b] = q[own] @ held[a:b].T
-        rough[query[:, None] == ids[None]] = -np.inf
+            rough[own, a:b], seen[own, a:b] = inner_products(q[own], held[a:b]), True
+        same = query[:, None] == ids[None]
+        rough[same], seen[same] = -np.inf, False
         n = min(k, len(ids))
         floor = -np.partition(-rough, n - 1, axis=1)[:, n - 1]
         slack = 1e-9 * np.maximum(1, np.abs(np.where(np.isfinite(floor), floor, 0)))
-        row, col = np.nonzero((rough >= (floor - slack)[:, None]) & np.isfinite(rough))
-        score = (q[row] * held[col]).sum(1)  # the same for equal vectors, wherever they stand
+        row, col = np.nonzero((rough >= (floor - slack)[:, None]) & seen)
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = (q[row] * held[col]).sum(1)  # the same for equal vectors, wherever they stand
+        score = np.where(np.isnan(score), -np.inf, score)
         order = np.lexsort((ids[col], -score, row))
         row, col, score = row[order], col[order], score[order]
         nth = np.arange(len(row)) - np.searchsorted(row, np.arange(len(query)))[row]

@@ -8,8 +8,10 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import centroids, hard_negatives, queries
+from tessera.llm.ann import nearest
 from tessera.llm.centroids import Tree, centroid_clusters, cluster_digest
 from tessera.llm.hard_negatives import negatives_digest
 from tessera.llm.vector_blocks import products
@@ -139,3 +141,20 @@ def test_whole_tables_equal_sql(spark, name):
     result = con.execute(queries.ORACLE_SQL[name])
     names = [c[0] for c in result.description]
     assert Counter(tuple(r) for r in got.select(*names).collect()) == Counter(result.fetchall())
+
+
+@pytest.mark.parametrize("scale", [1e200, 1e-200, 1.0])
+def test_neighbours_of_extreme_norms(spark, scale):
+    """Fewer candidates than k are all returned, however large or small their products are."""
+    rng = random.Random(4)
+    rows = [(k, [scale * rng.gauss(0, 1) for _ in range(4)]) for k in range(12)] + [(20, [0.0] * 4)]
+    got = {(r.query_id, r.vec_id): r.score for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()}
+    assert set(got) == {(0, k) for k in range(1, 12)}
+    with np.errstate(over="ignore", invalid="ignore"):
+        want = {k: float((np.array(rows[0][1]) * np.array(rows[k][1])).sum()) for k in range(1, 12)}
+    assert all(got[0, k] == (-math.inf if math.isnan(x) else x) or abs(got[0, k] - x) <= 1e-12 * abs(x) for k, x in want.items())
+
+
+def test_neighbours_need_integer_ids(spark):
+    with pytest.raises(ValueError, match="integer"):
+        nearest(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>"), F.lit(True))
