@@ -12,8 +12,11 @@ node's best partner in a bucket, its best six, then all that remain; between the
 components, and pairs inside a component aren't looked at any more. The last round leaves no surviving pair
 between two components unverified. Buckets of over ``BLOCK`` nodes are dealt out in blocks, and in the last round
 in pairs of blocks, so no bucket is brought to one task. In that round the nodes of a bucket of over ``LARGE`` nodes are
-dealt by a second band as well, one bucket for each other band, so that copies grow with the bands and not with
-the bucket's size; a threshold pair shares no second band with a probability of ``miss_bands`` about.
+dealt by a second band as well, one bucket for each other band and for each further one that the stored low bytes hold, so that
+copies grow with the bands and not with the bucket's size. There are so many of these that a threshold pair shares one band
+alone, or none, with a probability under ``miss_bands`` in all (``loss_of_two_bands``), so this switch keeps the bound.
+
+Rows of a node that holds over a ``HOT``-th of all rows (there are fewer than ``HOT`` of these) meet their component by a broadcast.
 
 Defined cases: null or empty texts have an empty set and are linked with nothing; null ids are linked like
 others, and count in component_id only if a group has no other id; repeated rows are equal sets; an empty table
@@ -38,10 +41,11 @@ from tessera.llm.tables import in_arrow, stored, whole_row
 
 SHINGLE = 5
 BAND_ROWS = 5
-HASHES = 192
+HASHES = 224
 BATCH = 32  #: signature values compared at a time
 BLOCK = 2048
 LARGE = 32 * BLOCK  #: nodes of a bucket beyond which its pairs are sought in buckets of two bands
+HOT = 1000
 PAIRS_AT_ONCE = 1 << 19
 BITMAP = 1 << 22
 PARTNERS = 512  #: nodes of a block whose sets a task holds, on average
@@ -53,6 +57,17 @@ def bands_for(threshold: float, miss: float, rows: int = BAND_ROWS) -> int:
     return math.ceil(math.log(miss) / math.log(1 - threshold**rows))
 
 
+def further_bands(bands: int, rows: int = BAND_ROWS) -> int:
+    """Bands of low bytes that no band uses."""
+    return max(0, HASHES - bands * rows) // rows
+
+
+def loss_of_two_bands(threshold: float, bands: int, further: int, rows: int = BAND_ROWS) -> float:
+    """The probability that a pair at the threshold shares no band, or just one and none of the further ones."""
+    p = threshold**rows
+    return (1 - p) ** bands + bands * p * (1 - p) ** (bands - 1 + further)
+
+
 def hash_family(n: int) -> tuple[np.ndarray, np.ndarray]:
     values = mix(np.arange(1, 2 * n + 1, dtype=np.uint64))
     return (values[:n] >> np.uint64(32)).astype(_U32), (values[n:] >> np.uint64(32)).astype(_U32) | _U32(1)
@@ -310,30 +325,42 @@ def near_duplicates(docs: DataFrame, share: tuple[int, int] = (85, 100), miss: f
     rows, nodes, labels = linked(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")), share, miss, miss_bands, shingle)
     grouped = labels.join(nodes.select("node", "least_id"), "node")
     smallest = grouped.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    final = nodes.select("node", "least_id").join(grouped.join(smallest, "component").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "least_id").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "node").join(final, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    final = nodes.select("node", "least_id", "n").join(grouped.join(smallest, "component").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "least_id").alias("component_id"), "n")
+    out = by_node(rows.select("doc_id", "n_shingles", "node"), stored(final, "final")).withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
+def by_node(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows left-joined to what is known of their node (node, n: its rows, and others); those of the largest nodes by a broadcast."""
+    total = rows.count()
+    hot = F.col("n") * HOT > total  # fewer than HOT nodes
+    large = F.broadcast(known.where(hot).drop("n"))
+    some = rows.join(large, "node")
+    rest = rows.join(F.broadcast(known.where(hot).select("node")), "node", "left_anti").join(known.where(~hot).drop("n"), "node", "left")
+    return some.unionByName(rest)
+
+
 def linked(docs: DataFrame, share: tuple[int, int], miss: float = 1e-5, miss_bands: float = 1e-6, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Signatures of the rows (doc_id, text, hash: of the text), the nodes, and the component of each node that may have links."""
     threshold = share[0] / share[1]
     bands = bands_for(threshold, miss_bands)
+    while loss_of_two_bands(threshold, bands, further_bands(bands)) > miss_bands:
+        bands += 1
     rows = stored(signatures(docs, bands, shingle), "signatures")
     row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")  # whose text stands for the node's
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min(row).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("low").alias("low"), F.first("bands").alias("bands"))
-    nodes = stored(nodes.select("node", F.col("row.doc_id").alias("least_id"), "row.hash", "n_shingles", "low", "bands"), "nodes")
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min(row).alias("row"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("low").alias("low"), F.first("bands").alias("bands"))
+    nodes = stored(nodes.select("node", F.col("row.doc_id").alias("least_id"), "row.hash", "n", "n_shingles", "low", "bands"), "nodes")
     in_bands = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = in_bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(in_bands.join(shared, "bucket"), "members")
-    candidates = nodes.drop("bands").join(members.select("node").distinct(), "node", "left_semi")
+    candidates = nodes.drop("bands", "n").join(members.select("node").distinct(), "node", "left_semi")
     candidates = stored(candidates, "candidates")
     sets = stored(node_sets(docs, candidates, shingle), "sets")
     labels = candidates.select("node", F.col("node").alias("component"))
     tested = None
     for turn, best in enumerate((1, 6, None)):
         # only buckets that hold two components or more
-        labelled = (members if best is not None else by_two_bands(members, in_bands)).join(labels, "node")
+        labelled = (members if best is not None else by_two_bands(members, in_bands, candidates, bands)).join(labels, "node")
         split = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
         known = labelled.join(split, "bucket").join(candidates, "node").withColumn("block", F.pmod(F.xxhash64("node", F.lit(turn)), blocks).cast("int"))
@@ -352,12 +379,15 @@ def linked(docs: DataFrame, share: tuple[int, int], miss: float = 1e-5, miss_ban
     return rows, nodes, labels
 
 
-def by_two_bands(members: DataFrame, in_bands: DataFrame) -> DataFrame:
+def by_two_bands(members: DataFrame, in_bands: DataFrame, candidates: DataFrame, bands: int) -> DataFrame:
     """members (bucket, node, n) with those of buckets of over ``LARGE`` nodes in buckets of two bands in their place."""
     large = members.where(F.col("n") > LARGE)
     if large.isEmpty():
         return members
-    second = large.select("node", F.col("bucket").alias("first")).join(in_bands, "node").where("bucket <> first").select("node", F.xxhash64("first", "bucket").alias("bucket"))
+    first = large.select("node", F.col("bucket").alias("first"))
+    further = F.array(*[F.xxhash64(F.lit(k), F.substring("low", bands * BAND_ROWS + k * BAND_ROWS + 1, BAND_ROWS)) for k in range(further_bands(bands))])
+    others = in_bands.unionByName(candidates.select("node", F.explode(further.cast("array<bigint>")).alias("bucket")))
+    second = first.join(others, "node").where("bucket <> first").select("node", F.xxhash64("first", "bucket").alias("bucket"))
     shared = second.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     return members.where(F.col("n") <= LARGE).unionByName(stored(second.join(shared, "bucket").select(*members.columns), "members-of-two"))
 
@@ -401,7 +431,8 @@ def drop_near_duplicates(docs: DataFrame, share: tuple[int, int] = (80, 100)) ->
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), whole_row(docs))
     rows, nodes, labels = linked(keyed.select("doc_id", "text", "hash"), share)
     component = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    placed = rows.select(F.col("doc_id").alias("id"), F.col("hash").alias("of"), "node").join(component, "node")
+    component = stored(component.join(nodes.select("node", "n"), "node"), "components")
+    placed = by_node(rows.select(F.col("doc_id").alias("id"), F.col("hash").alias("of"), "node").where("node is not null"), component)
     first = placed.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "of")).alias("first"))
     chosen = F.col("id").eqNullSafe(F.col("first")["id"]) & (F.col("of") == F.col("first")["of"])
     keys = placed.join(first, "component").groupBy("id", "of").agg(F.bool_or(chosen).alias("chosen"), F.count("*").alias("n"))

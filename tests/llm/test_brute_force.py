@@ -333,6 +333,16 @@ def test_near_duplicates_in_several_blocks(spark, monkeypatch, large):
     assert got == {k: root(k) for k in range(90)}
 
 
+@pytest.mark.parametrize("threshold, bands", [(0.85, 24), (0.8, 37)])
+def test_buckets_of_two_bands_keep_the_bound(threshold, bands):
+    """Simulated: how often a pair at the threshold shares one band alone and none of the further ones, against the formula at fewer bands."""
+    further = minhash_dedup.further_bands(bands)
+    assert minhash_dedup.loss_of_two_bands(threshold, bands, further) <= 1e-6
+    shared = np.random.default_rng(3).random((200_000, 9)) < threshold**minhash_dedup.BAND_ROWS
+    lost = (shared[:, :6].sum(1) == 0) | ((shared[:, :6].sum(1) == 1) & ~shared[:, 6:].any(1))
+    assert abs(lost.mean() - minhash_dedup.loss_of_two_bands(threshold, 6, 3)) < 2e-3
+
+
 def test_posterior_limits():
     limits = minhash_dedup.least_matches(0.85, 1e-5, 192, 32)
     rng = np.random.default_rng(1)
