@@ -29,7 +29,7 @@ from tessera.llm.tables import stored
 
 MADE = ("size", "source_size", "target", "taken")
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKET = 1 << 16  #: documents of a bucket, on average
+BUCKET = 1 << 12  #: documents of a bucket, on average
 FEW_SOURCES = 100_000  #: whose cuts, of some 100 bytes each, are broadcast
 SALTS = 64
 LEAST_WEIGHT = 0.1
