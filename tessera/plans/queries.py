@@ -194,11 +194,15 @@ def upsert_merge(spark, d):
     return upsert.upserted(old, upsert.latest(feed.where("event_id % 2 = 1"), "id", order), "id").select("id", "event_id", "event_type")
 
 
+def patches(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of enrichment, some of them too long or to the empty text."""
+    k = F.col("doc_id")
+    return src.table(spark, d, "documents").where(k % 7 == 0).select(src.rid("doc_id").alias("record_id"), F.when(k % 11 == 0, F.repeat(F.lit("x"), (F.lit(2000) + k % 2).cast("int"))).when(k % 2 == 0, F.concat(F.lit("new "), k.cast("string"))).otherwise("").alias("caption"), (k % 3 != 0).alias("has_caption"), F.lit(None).cast("string").alias("date_taken_override"), (k % 5 == 0).alias("has_date_taken_override"))
+
+
 @query
 def partial_upsert(spark, d):
-    k = F.col("doc_id")
-    patches = src.table(spark, d, "documents").where(k % 7 == 0).select(src.rid("doc_id").alias("record_id"), F.when(k % 11 == 0, F.repeat(F.lit("x"), (F.lit(2000) + k % 2).cast("int"))).when(k % 2 == 0, F.concat(F.lit("new "), k.cast("string"))).otherwise("").alias("caption"), (k % 3 != 0).alias("has_caption"), F.lit(None).cast("string").alias("date_taken_override"), (k % 5 == 0).alias("has_date_taken_override"))
-    return upsert.patched(src.enriched(spark, d), patches, "record_id", ["caption", "date_taken_override"])
+    return upsert.patched(src.enriched(spark, d), patches(spark, d), "record_id", ["caption", "date_taken_override"])
 
 
 @query

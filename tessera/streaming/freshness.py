@@ -2,26 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.upsert import latest
-
-BUCKETS = 64  #: of a snapshot, by the hash of the id
-
-
-def folder(spark: SparkSession, what: str) -> str:
-    """A new place in the folder that the cluster shares (spark.checkpoint.dir); a local master may do without one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        shared = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-    return f"{shared.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+from tessera.sources.places import folder  # noqa: F401  (callers find it here too)
+from tessera.streaming.versioned import BUCKET_ROWS, VersionedTable, buckets_for
 
 
 def change_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -34,46 +20,52 @@ def newest(changes: DataFrame) -> DataFrame:
     return latest(changes, "id", [F.desc("ts"), F.desc("event_id")])
 
 
-def fresh_snapshot(changes: DataFrame, place: str, buckets: int = BUCKETS) -> DataFrame:
+def fresh_snapshot(changes: DataFrame, place: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Run the stream over what is there; each micro-batch is merged into the buckets of the snapshot that it touches.
 
-    A batch writes its buckets under its own number, and a list of them. A bucket's last batch holds its rows. So a batch that
-    is run again writes the same, and buckets that it doesn't touch aren't read or written.
+    The snapshot is a versioned table, and the batch's number is committed with its rows; so a batch that is run again is left
+    out, and a reader sees whole batches. The first batch tells how many buckets there are.
     """
-    spark = changes.sparkSession
-    kind = changes.schema
-    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
-
-    def held(below: int = 1 << 31) -> dict[int, int]:
-        try:
-            lists = spark.read.parquet(f"{place}/lists")
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return {}
-        return {r["bucket"]: r["batch"] for r in lists.where(F.col("batch") < below).groupBy("bucket").agg(F.max("batch").alias("batch")).collect()}
-
-    def read(which: dict[int, int]) -> DataFrame:
-        if not which:
-            return spark.createDataFrame([], kind)
-        return spark.read.schema(kind).parquet(*[f"{place}/batch-{b}/bucket={k}" for k, b in sorted(which.items())])
+    table = VersionedTable(changes.sparkSession, f"{place}/snapshot")
 
     def merge(batch: DataFrame, number: int) -> None:
-        own = batch.withColumn("bucket", bucket).persist()
-        touched = [r["bucket"] for r in own.select("bucket").distinct().collect()]  # ``buckets`` at most
-        old = read({k: b for k, b in held(number).items() if k in touched}).withColumn("bucket", bucket)
-        newest(old.unionByName(own)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{place}/batch-{number}")
-        spark.createDataFrame([(k, number) for k in touched], "bucket int, batch int").coalesce(1).write.mode("overwrite").parquet(f"{place}/lists/number={number}")
+        now = table.version()
+        if now is not None and int(now.marks["batch"]) >= number:
+            return
+        own = batch.persist()
+        marks = {"batch": str(number)}
+        if now is None:
+            table.create(newest(own), "id", buckets_for(own.count(), bucket_rows), marks)
+        else:
+            table.rewrite(own, lambda old, new: newest(old.unionByName(new)), marks)
+            table.vacuum()
         own.unpersist()
 
     query = changes.writeStream.foreachBatch(merge).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return read(held())
+    return changes.sparkSession.createDataFrame([], changes.schema) if table.version() is None else table.read()
 
 
-def since(changes: DataFrame, cursor) -> DataFrame:
+def since(changes: DataFrame, cursor: str | None, time: str = "ts") -> DataFrame:
     """Changes after a cursor (exclusive); all for none."""
-    return changes if cursor is None else changes.where(F.col("ts") > F.lit(cursor))
+    return changes if not cursor else changes.where(F.col(time) > F.lit(cursor).cast(changes.schema[time].dataType))
+
+
+def synced(table: VersionedTable, changes: DataFrame, time: str = "ts", buckets: int | None = None) -> int:
+    """Bring a table (by id) up to a feed of changes: those after the cursor that its version holds, all if it has none yet.
+
+    However many changes there are, they are one version with their rows and their cursor, so a failure before the commit leaves both as they
+    were. The cursor only ever rises; without later changes nothing is written. Gives how many changes were read.
+    """
+    now = table.version()
+    fresh = since(changes, now.marks.get("cursor") if now else None, time).persist()
+    n, last = fresh.agg(F.count("*"), F.max(time).cast("string")).first()
+    if n and now is None:
+        table.create(newest(fresh), "id", buckets, {"cursor": last})
+    elif n and last is not None:
+        table.rewrite(fresh, lambda old, new: newest(old.unionByName(new)), {"cursor": last})
+    fresh.unpersist()
+    return n
 
 
 def windowed_counts(changes: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -236,11 +236,11 @@ def test_snapshot_over_two_runs(spark, tmp_path):
 
     def run(rows):
         spark.createDataFrame(rows, kind).write.mode("append").parquet(feed)
-        return {r.id: r.event_id for r in freshness.fresh_snapshot(freshness.change_stream(spark, feed), place, buckets=4).collect()}
+        return {r.id: r.event_id for r in freshness.fresh_snapshot(freshness.change_stream(spark, feed), place, bucket_rows=5).collect()}
 
     from datetime import datetime
 
     at = lambda n: datetime(2024, 1, 1, 0, n)
     assert run([(k, k, at(1), "a") for k in range(20)]) == {k: k for k in range(20)}
     assert run([(3, 100, at(2), "b"), (4, 101, at(0), "b")]) == {k: 100 if k == 3 else k for k in range(20)}
-    assert {r.id for r in freshness.fresh_snapshot(freshness.change_stream(spark, feed), place, buckets=4).collect()} == set(range(20))
+    assert {r.id for r in freshness.fresh_snapshot(freshness.change_stream(spark, feed), place, bucket_rows=5).collect()} == set(range(20))
