@@ -8,10 +8,17 @@ from urllib.parse import urlencode
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import requests
-from tessera.plans.oracles import ORACLE_SQL, sql
-from tessera.plans.queries import APP, query
+from tessera.functions import exif
+from tessera.operators import publish, requests, similar, store, writes
+from tessera.plans.oracles import DOT, MORE, ORACLE_SQL, sql
+from tessera.plans.queries import APP, patches, query
 from tessera.sources import adapters as src
+from tessera.sources import downloads
+from tessera.sources import sidecars as files
+from tessera.sources.adapters import SQL
+from tessera.sources.file_store import read_files, write_files
+from tessera.streaming import freshness
+from tessera.streaming.versioned import VersionedTable
 
 #: Requests as limit, cursor, include, updated_after, label, labelValue; their query strings are made from these.
 ASKED = (
@@ -53,3 +60,155 @@ FROM (SELECT id, row_number() OVER (ORDER BY id) AS n, lead(id) OVER (ORDER BY i
 
 
 ORACLE_SQL["catalog_requests"] = sql("records rlabels metadata", "\nUNION ALL ".join(page_sql(k, *asked) for k, asked in enumerate(ASKED)))
+
+
+def standing_labels(spark, d) -> DataFrame:
+    """Values that stand before anything is published: record_id, key, value."""
+    faces = src.faces(spark, d)
+    count = faces.where("vec_id % 3 = 0").select("record_id", F.lit("faceCount").alias("key"), F.lit("2").alias("value"))
+    return count.unionByName(faces.where("vec_id % 5 = 0").select("record_id", F.lit("faces").alias("key"), F.lit("Old").alias("value"))).distinct()
+
+
+@query
+def labels_applied(spark, d):
+    """The labels that stand after publishing, after a person is renamed, and after all is retracted: three versions of one table."""
+    table = VersionedTable(spark, freshness.folder(spark, "labels"))
+    table.create(standing_labels(spark, d), "record_id", 8)
+    faces, people = store.current(src.faces(spark, d)), src.people(spark, d)
+    renamed = people.withColumn("name", F.when(F.col("person_id") == "4", "Zoe").otherwise(F.col("name")))
+    states = []
+    for step, desired in enumerate((publish.publish_plan(faces, people), publish.publish_plan(faces, renamed), publish.retract_plan(faces))):
+        writes.set_values(table, desired)
+        states.append(table.read().withColumn("step", F.lit(step)))
+    return reduce(DataFrame.unionByName, states)
+
+
+_OLD = "old AS (SELECT DISTINCT * FROM (SELECT record_id, 'faceCount' AS key, '2' AS value FROM faces WHERE vec_id % 3 = 0 UNION ALL SELECT record_id, 'faces', 'Old' FROM faces WHERE vec_id % 5 = 0))"
+_ZOE = "people2 AS (SELECT * REPLACE (CASE WHEN person_id = '4' THEN 'Zoe' ELSE name END AS name) FROM people), " + MORE["names"].replace("names AS", "names2 AS").replace("FROM people", "FROM people2") + ", " + MORE["plan"].replace("plan AS", "plan2 AS").replace("JOIN names", "JOIN names2")
+ORACLE_SQL["labels_applied"] = sql(
+    "plan",
+    f""", {_OLD}, {_ZOE}, rest AS (SELECT * FROM old WHERE record_id NOT IN (SELECT record_id FROM plan))
+SELECT 0 AS step, * FROM rest UNION ALL SELECT 0, record_id, key, unnest(vals) FROM plan
+UNION ALL SELECT 1, * FROM rest UNION ALL SELECT 1, record_id, key, unnest(vals) FROM plan2 UNION ALL SELECT 2, * FROM rest""",
+).replace("\n,", ",", 1)
+
+
+@query
+def enrichment_applied(spark, d):
+    """The app's own rows after partial upserts and after the deletion of all videos."""
+    table = VersionedTable(spark, freshness.folder(spark, "enriched"))
+    table.create(src.enriched(spark, d), "record_id", 4)
+    writes.apply_patches(table, patches(spark, d), ["caption", "date_taken_override"])
+    first = table.read().withColumn("step", F.lit(0))
+    writes.apply_deletes(table, src.records(spark, d).where("type = 'video/mp4'").select(F.col("id").alias("record_id")))
+    return first.unionByName(table.read().withColumn("step", F.lit(1)))
+
+
+_PATCHED = ORACLE_SQL["partial_upsert"].rsplit("SELECT record_id, CASE", 1)
+ORACLE_SQL["enrichment_applied"] = f"WITH RECURSIVE {SQL['records']}, {_PATCHED[0].removeprefix('WITH RECURSIVE ').rstrip()}, done AS (SELECT record_id, CASE{_PATCHED[1]}) SELECT 0 AS step, * FROM done UNION ALL SELECT 1, * FROM done WHERE record_id NOT IN (SELECT id FROM records WHERE type = 'video/mp4')"
+
+
+@query
+def cursor_synced(spark, d):
+    """A snapshot that follows the feed in three runs, each from the cursor that the one before has stored."""
+    feed = src.changes(spark, d)
+    table = VersionedTable(spark, freshness.folder(spark, "synced"))
+    low, high = feed.agg(F.min("ts"), F.max("ts")).first()
+    for part in (low + (high - low) / 3, low + (high - low) * 2 / 3, high):
+        freshness.synced(table, feed.where(F.col("ts") <= F.lit(part)))
+    return table.read().select("id", "event_id", "event_type", F.lit(table.version().marks["cursor"]).cast("timestamp_ntz").alias("cursor"))
+
+
+ORACLE_SQL["cursor_synced"] = sql("latest", "SELECT id, event_id, event_type, (SELECT max(ts) FROM changes) AS cursor FROM latest")
+
+
+@query
+def sidecar_files(spark, d):
+    """Side files written one for each record of the detections, some again, and read back through the data source."""
+    faces = src.faces(spark, d)
+    face = F.struct("score", F.col("person_id").alias("personId"), F.array("x", "y", "w", "h").alias("bbox"))
+    found = faces.groupBy("record_id", "v").agg(F.array_sort(F.collect_list(F.struct("face_index", face.alias("face")))).alias("f"))
+    body = F.to_json(F.struct(F.col("v"), F.lit(store.MODEL).alias("model"), F.transform("f", lambda x: x["face"]).alias("faces")))
+    place = freshness.folder(spark, "sidecars")
+    write_files(found.select("record_id", body.alias("body")), place)
+    stale = found.where("v = 0").select("record_id", F.lit("half a fi").alias("body"))
+    write_files(stale.unionByName(found.where("size(f) = 1").select("record_id", F.lit('{"v":2,"model":"next","faces":[]}').alias("body"))), place)
+    read = files.parsed(read_files(spark, place, files=64))
+    return read.select("record_id", "v", "model", F.size("faces").cast("long").alias("n_faces"), F.array_join(F.transform("faces", lambda f: f["personId"]), ",").alias("people"), F.get("faces", F.lit(0))["bbox"][2].alias("width"))
+
+
+ORACLE_SQL["sidecar_files"] = sql(
+    "faces",
+    f""", f AS (SELECT record_id, v, count(*) AS n, string_agg(person_id, ',' ORDER BY face_index, score, person_id) AS people, min_by(w, (face_index, score, person_id)) AS width FROM faces GROUP BY 1, 2)
+SELECT record_id, CAST(CASE WHEN n = 1 THEN 2 ELSE v END AS INTEGER) AS v, CASE WHEN n = 1 THEN 'next' ELSE '{store.MODEL}' END AS model, CASE WHEN n = 1 THEN 0 ELSE n END AS n_faces,
+ CASE WHEN n = 1 THEN '' ELSE people END AS people, CASE WHEN n > 1 THEN width END AS width FROM f WHERE v = 1 OR n = 1""",
+).replace("\n,", ",", 1)
+
+
+@query
+def checked_files(spark, d):
+    """Files on disk (one is written for each part, some cut, changed, missing or unexpected) held against their sizes and digests."""
+    k, body = F.col("p_partkey"), F.repeat(F.concat("p_name", F.lit(" "), "p_type"), 7)
+    parts = src.table(spark, d, "part").select("p_partkey", F.concat(F.lit("model "), k.cast("string"), F.lit(".bin")).alias("name"), body.alias("text"))
+    on_disk = F.when(k % 10 == 0, F.substring("text", 1, 20)).when(k % 7 == 0, F.reverse("text")).otherwise(F.col("text"))
+    place = freshness.folder(spark, "files")
+    found = parts.where(k % 15 != 0).select(F.regexp_replace("name", r"\.bin$", "").alias("record_id"), on_disk.alias("body"))
+    write_files(found, place, suffix=".bin")
+    expected = parts.where(k % 21 != 0).select(F.replace("name", F.lit(" "), F.lit("%20")).alias("name"), F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("sha256"))
+    downloads.checked(spark, place, expected, most=400).write.parquet(place + "-status")
+    status = spark.read.parquet(place + "-status")
+    downloads.quarantined(status.where("status in ('size', 'digest')"), place, place + "-aside")
+    left = spark.read.format("binaryFile").load(place).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.lit(True).alias("left"))
+    return status.join(left, "name", "left").select("name", "status", F.coalesce("left", F.lit(False)).alias("left"))
+
+
+ORACLE_SQL["checked_files"] = """
+WITH parts AS (SELECT p_partkey AS k, 'model%20' || p_partkey || '.bin' AS name, repeat(p_name || ' ' || p_type, 7) AS text FROM part),
+disk AS (SELECT name, CASE WHEN k % 10 = 0 THEN substr(text, 1, 20) WHEN k % 7 = 0 THEN reverse(text) ELSE text END AS body FROM parts WHERE k % 15 <> 0),
+known AS (SELECT name, strlen(text) AS size, sha256(text) AS digest FROM parts WHERE k % 21 <> 0)
+SELECT name, status, status IN ('ok', 'too large', 'unexpected') AS left FROM (SELECT name, CASE WHEN size IS NULL THEN 'unexpected' WHEN body IS NULL THEN 'missing'
+ WHEN strlen(body) <> size THEN 'size' WHEN size > 400 THEN 'too large' WHEN sha256(body) = digest THEN 'ok' ELSE 'digest' END AS status FROM known FULL JOIN disk USING (name))"""
+
+
+@query
+def exif_bytes(spark, d):
+    """EXIF fields read from the bytes of files: TIFF or JPEG, in both byte orders, some cut short and some without any."""
+    k = F.col("doc_id")
+    date = F.concat(F.translate(F.substring("created_at", 1, 10), "-", ":"), F.lit(" "), F.substring("created_at", 12, 8))
+    tiff = exif.tiff_bytes(
+        k % 2 == 0, F.concat(F.lit("Maker "), (k % 3).cast("string")), F.concat(F.lit("Model "), (k % 1000).cast("string")), F.concat(F.lit("Lens "), "filename"), date, k % 8 + 1, (F.lit(1), k % 500 + 1), (k % 80 + 10, F.when(k % 17 == 0, 0).otherwise(10)),
+        k % 64 * 50, [k % 90, k % 60, k % 59], F.when(k % 3 == 0, "S").otherwise("N"), [k % 180, k % 58, k % 57], F.when(k % 5 == 0, "W").otherwise("E"),
+    )
+    whole = F.when(k % 4 < 2, exif.in_jpeg(tiff)).otherwise(tiff)
+    content = F.when(k % 13 == 0, F.encode("filename", "UTF-8")).when(k % 11 == 0, F.substring(whole, 1, 200)).otherwise(whole)
+    return src.records(spark, d).select("id", exif.exif_fields(content).alias("raw")).select("id", *[(F.round(c, 6) if n.startswith("gps") else c).alias(n) for n, c in exif.exif_columns(F.col("raw")).items()])
+
+
+_SEEN = "CASE WHEN doc_id % 13 <> 0 AND doc_id % 11 <> 0 THEN {0} END AS {1}"
+ORACLE_SQL["exif_bytes"] = sql(
+    "records",
+    "SELECT id, "
+    + ", ".join(
+        _SEEN.format(body, name)
+        for name, body in {
+            "captured_at": "substr(created_at, 1, 19)", "camera_make": "'Maker ' || (doc_id % 3)", "camera_model": "'Model ' || (doc_id % 1000)", "f_number": "CASE WHEN doc_id % 17 <> 0 THEN (doc_id % 80 + 10) / 10.0::DOUBLE END",
+            "exposure_time": "CASE WHEN doc_id % 500 = 0 THEN '1s' ELSE '1/' || (doc_id % 500 + 1) || 's' END", "iso": "CAST(doc_id % 64 * 50 AS DOUBLE)", "lens_model": "'Lens ' || filename",
+            "gps_lat": "round((doc_id % 90 + (doc_id % 60) / 60.0::DOUBLE + (doc_id % 59) / 3600.0::DOUBLE) * CASE WHEN doc_id % 3 = 0 THEN -1 ELSE 1 END, 6)",
+            "gps_lon": "round((doc_id % 180 + (doc_id % 58) / 60.0::DOUBLE + (doc_id % 57) / 3600.0::DOUBLE) * CASE WHEN doc_id % 5 = 0 THEN -1 ELSE 1 END, 6)", "orientation": "CAST(doc_id % 8 + 1 AS DOUBLE)",
+        }.items()
+    )
+    + " FROM records",
+)
+
+
+@query
+def similar_pairs(spark, d):
+    """All pairs of the table with a similarity of 0.4 or more, between the smallest ids of equal vectors."""
+    found, _ = similar.similar_pairs(src.table(spark, d, "embeddings"), 0.4)
+    return found.withColumn("score", F.round("score", 6))
+
+
+ORACLE_SQL["similar_pairs"] = f"""
+WITH reps AS (SELECT min(vec_id) AS id, embedding AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL GROUP BY embedding),
+pairs AS (SELECT p.id AS a, q.id AS b, {DOT.format('p.v', 'q.v')} AS score FROM reps p JOIN reps q ON p.id < q.id AND len(p.v) = len(q.v))
+SELECT a, b, round(score, 6) AS score FROM pairs WHERE score >= 0.4"""
