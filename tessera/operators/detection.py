@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.places import written
+
 SIDE, STRIDES, ANCHORS = 640, (8, 16, 32), 2
 #: Where the five landmarks of an upright face stand in a square of 112 pixels.
 TEMPLATE = ((38.2946, 51.6963), (73.5318, 51.5014), (56.0252, 71.7366), (41.5493, 92.3655), (70.7299, 92.2041))
@@ -90,25 +92,56 @@ def corners(boxes: DataFrame) -> DataFrame:
     return boxes.withColumns({"x1": F.col("x"), "y1": F.col("y"), "x2": F.col("x") + F.col("w"), "y2": F.col("y") + F.col("h")})
 
 
-def overlapping_pairs(boxes: DataFrame, least: float, cell: int = 64) -> DataFrame:
-    """img, a, b (vec_id, a < b), iou: pairs of an image whose overlap is over ``least`` (0 or more).
+def met_boxes(boxes: DataFrame, cell: int, *carried: str) -> DataFrame:
+    """img, p and q (structs of vec_id, x1, y1, x2, y2 and what is carried; p's id is the smaller): boxes of an image that overlap, once each.
 
     Boxes meet only where they cover the same cell of a grid; a pair counts in the cell of its common corner.
     """
-    if least < 0:
-        raise ValueError("boxes that don't touch aren't looked at")
 
     def cells(lo: str, hi: str) -> Column:
         return F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
 
-    box = F.struct("x1", "y1", "x2", "y2")
-    filed = corners(boxes).where("w > 0 and h > 0").select("img", "vec_id", box.alias("box"), F.col("x1"), F.col("x2"), F.col("y1"), F.col("y2")).withColumn("gx", cells("x1", "x2")).withColumn("gy", cells("y1", "y2"))
-    left = filed.select("img", "gx", "gy", F.col("vec_id").alias("a"), F.col("box").alias("p"))
-    right = filed.select("img", "gx", "gy", F.col("vec_id").alias("b"), F.col("box").alias("q"))
+    box = F.struct("vec_id", "x1", "y1", "x2", "y2", *carried)
+    filed = boxes.where("x2 > x1 and y2 > y1").select("img", box.alias("box"), "x1", "x2", "y1", "y2").withColumn("gx", cells("x1", "x2")).withColumn("gy", cells("y1", "y2"))
+    left, right = (filed.select("img", "gx", "gy", F.col("box").alias(n)) for n in "pq")
     here = (F.col("gx") == F.floor(F.greatest("p.x1", "q.x1") / cell)) & (F.col("gy") == F.floor(F.greatest("p.y1", "q.y1") / cell))
     touch = (F.col("p.x1") < F.col("q.x2")) & (F.col("q.x1") < F.col("p.x2")) & (F.col("p.y1") < F.col("q.y2")) & (F.col("q.y1") < F.col("p.y2"))
-    met = left.join(right, ["img", "gx", "gy"]).where((F.col("a") < F.col("b")) & here & touch)
-    return met.select("img", "a", "b", intersection_over_union(F.col("p"), F.col("q")).alias("iou")).where(F.col("iou") > least)
+    return left.join(right, ["img", "gx", "gy"]).where((F.col("p.vec_id") < F.col("q.vec_id")) & here & touch).select("img", "p", "q")
+
+
+def overlapping_pairs(boxes: DataFrame, least: float, cell: int = 64) -> DataFrame:
+    """img, a, b (vec_id, a < b), iou: pairs of an image whose overlap is over ``least`` (0 or more)."""
+    if least < 0:
+        raise ValueError("boxes that don't touch aren't looked at")
+    met = met_boxes(corners(boxes), cell)
+    return met.select("img", F.col("p.vec_id").alias("a"), F.col("q.vec_id").alias("b"), intersection_over_union(F.col("p"), F.col("q")).alias("iou")).where(F.col("iou") > least)
+
+
+def suppressed_in_rounds(boxes: DataFrame, threshold: float = 0.4, cell: int = 64) -> DataFrame:
+    """``suppressed_boxes`` (boxes: img, vec_id, score, x1, y1, x2, y2) without one fold an image: img, vec_id, place.
+
+    Pairs that overlap by over the threshold are edges from the better box to the worse one (score, then the smaller vec_id).
+    A box that no edge leads to stays, and the boxes that its edges lead to go, with all edges of these. That is repeated until no
+    edge is left, so each round settles all images at once; a round takes the best of what is left in every chain of overlaps. Ids are
+    distinct in an image; a score that is null or no number counts as the lowest.
+    """
+    if threshold < 0:
+        raise ValueError("boxes that don't touch aren't looked at")
+    ranked = boxes.withColumn("_score", F.coalesce(F.nanvl(F.col("score").cast("double"), F.lit(float("-inf"))), F.lit(float("-inf"))))
+    met = met_boxes(ranked, cell, "_score").where(intersection_over_union(F.col("p"), F.col("q")) > threshold)
+    first = F.col("p._score") >= F.col("q._score")  # p has the smaller id
+    better, worse = (F.when(first, F.col(f"{m}.vec_id")).otherwise(F.col(f"{n}.vec_id")) for m, n in ("pq", "qp"))
+    edges = written(met.select("img", better.alias("better"), worse.alias("worse")), "overlaps")
+    gone = None
+    while edges.limit(1).count():
+        tops = edges.select("img", "better").join(edges.select("img", F.col("worse").alias("better")), ["img", "better"], "left_anti").distinct()
+        out = written(edges.join(tops, ["img", "better"], "left_semi").select("img", "worse").distinct(), "suppressed")
+        gone = out if gone is None else gone.unionByName(out)
+        left = edges.join(out, ["img", "worse"], "left_anti").join(out.withColumnRenamed("worse", "better"), ["img", "better"], "left_anti")
+        edges = written(left.select("img", "better", "worse"), "overlaps")
+    kept = ranked if gone is None else ranked.join(gone.withColumnRenamed("worse", "vec_id"), ["img", "vec_id"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("img").orderBy(F.desc("_score"), "vec_id")) - 1
+    return kept.select("img", "vec_id", place.alias("place"))
 
 
 def suppressed(boxes: DataFrame, threshold: float = 0.4) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import exif
-from tessera.operators import publish, requests, similar, store, writes
+from tessera.operators import detection, publish, requests, similar, store, writes
 from tessera.plans.oracles import DOT, MORE, ORACLE_SQL, sql
 from tessera.plans.queries import APP, patches, query
 from tessera.sources import adapters as src
@@ -212,3 +212,12 @@ ORACLE_SQL["similar_pairs"] = f"""
 WITH reps AS (SELECT min(vec_id) AS id, embedding AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL GROUP BY embedding),
 pairs AS (SELECT p.id AS a, q.id AS b, {DOT.format('p.v', 'q.v')} AS score FROM reps p JOIN reps q ON p.id < q.id AND len(p.v) = len(q.v))
 SELECT a, b, round(score, 6) AS score FROM pairs WHERE score >= 0.4"""
+
+
+@query
+def nms_rounds(spark, d):
+    """Suppression of all images at once, in rounds over the overlaps."""
+    return detection.suppressed_in_rounds(detection.corners(src.faces(spark, d)), 0.1)
+
+
+ORACLE_SQL["nms_rounds"] = ORACLE_SQL["nms_keep"]
