@@ -17,7 +17,7 @@ from tessera.sources import downloads
 from tessera.sources import sidecars as files
 from tessera.sources.adapters import SQL
 from tessera.sources.file_store import read_files, write_files
-from tessera.streaming import freshness
+from tessera.streaming import freshness, keyed
 from tessera.streaming.versioned import VersionedTable
 
 #: Requests as limit, cursor, include, updated_after, label, labelValue; their query strings are made from these.
@@ -221,3 +221,35 @@ def nms_rounds(spark, d):
 
 
 ORACLE_SQL["nms_rounds"] = ORACLE_SQL["nms_keep"]
+
+
+def fed(spark, d, name: str, more: dict) -> DataFrame:
+    """A stream over the changes, written in three parts by time, one micro-batch each."""
+    changes = src.changes(spark, d).withColumns(more)
+    low, high = changes.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [low + (high - low) * k / 3 for k in (1, 2)]
+    part = reduce(lambda n, c: n + (F.col("ts") > F.lit(c)).cast("int"), cuts, F.lit(0))
+    place = freshness.folder(spark, name)
+    for k in range(3):
+        changes.where(part == k).coalesce(1).write.mode("append").parquet(place)
+    return spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(place)
+
+
+@query
+def toggle_edges_streamed(spark, d):
+    """Toggle edges by keyed state, over three micro-batches."""
+    log = fed(spark, d, "flags", {"flag": F.coalesce(F.col("event_id") % 3 > 0, F.lit(False))}).select("id", "event_id", "ts", "flag")
+    return keyed.toggle_edges(log, freshness.folder(spark, "edges"), spark.sparkContext.defaultParallelism)
+
+
+ORACLE_SQL["toggle_edges_streamed"] = ORACLE_SQL["toggle_edges"]
+
+
+@query
+def arrival_snapshot(spark, d):
+    """The newest change of each id, in the order in which ids first arrived, by keyed state over three micro-batches."""
+    found = keyed.arrival_snapshot(fed(spark, d, "arrivals", {}), freshness.folder(spark, "arrived"), spark.sparkContext.defaultParallelism)
+    return found.select("id", "event_id", "event_type", "arrived_event")
+
+
+ORACLE_SQL["arrival_snapshot"] = sql("latest", "SELECT id, event_id, event_type, (SELECT min_by(c.event_id, (c.ts, c.event_id)) FROM changes c WHERE c.id = latest.id) AS arrived_event FROM latest")
