@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import trimmed
 from tessera.operators.ranges import ranged
+from tessera.sources.places import written
 
 MOST_BYTES, MOST_VALUES, MOST_ROWS = 128, 32, 2000
+RANGE_ROWS = 100_000  #: writes that one task follows
 
 
 def publish_plan(faces: DataFrame, people: DataFrame, processed: DataFrame | None = None) -> DataFrame:
@@ -53,12 +55,14 @@ def next_fit(costs: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def batched(plan: DataFrame, budget: int = MOST_ROWS, ranges: int | None = None) -> DataFrame:
-    """plan with ``batch`` (from 0): next-fit by record_id and key; a write costs its values, at least 1.
+    """plan with ``batch`` (from 0): next-fit by record_id and key; a write costs its values, at least 1. The plan is computed once, and written.
 
     A batch closes when the next write doesn't fit; a write over the budget has a batch of its own. Ranges of record ids
-    of nearly equal counts are followed for every filling they may start with. What such a range does to a filling
+    of about ``RANGE_ROWS`` writes are followed for every filling they may start with. What such a range does to a filling
     is constant over runs of fillings, of which few are left after some writes; these runs are chained, range by range.
     """
+    plan = written(plan, "plan")
+    ranges = ranges or max(1, -(-plan.count() // RANGE_ROWS))
     slim = ranged(plan.select("record_id", "key", F.greatest(F.lit(1), F.size("values")).alias("cost")), "record_id", ranges)
 
     def followed(frame: pd.DataFrame) -> pd.DataFrame:
@@ -77,7 +81,7 @@ def batched(plan: DataFrame, budget: int = MOST_ROWS, ranges: int | None = None)
             fill += c
         return pd.DataFrame({"record_id": frame["record_id"], "key": frame["key"], "batch": out})
 
-    # a few runs for each range, and as many ranges as a shuffle has partitions: bounded, whatever the plan's size
+    # a few runs for each range
     runs = sorted(slim.groupBy("range").applyInPandas(followed, "range int, from int, closed long, fill long").collect())
     starts, done, held = [], 0, 0
     for number, own in groupby(runs, key=lambda r: r["range"]):

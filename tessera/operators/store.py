@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import trimmed
+from tessera.operators.observed import counted
 
 VERSION = 1
 #: Fixed value: the pair of models that current detections come from.
@@ -58,11 +59,30 @@ def files_status(sidecars: DataFrame) -> DataFrame:
     return sidecars.agg(F.count("*").alias("on_disk"), F.count_if(own).alias("processed"), F.count_if(own & (n > 0)).alias("images_with_faces"), F.coalesce(F.sum(F.when(own, n)), F.lit(0)).alias("faces"))
 
 
-def pass_counts(scan_set: DataFrame, faces: DataFrame) -> DataFrame:
-    """outcome and n: records of the scan set that are skipped (current), stale or new."""
+OUTCOMES = ("skipped", "stale", "new")
+
+
+def with_outcome(scan_set: DataFrame, faces: DataFrame) -> DataFrame:
+    """id and outcome of the scan set's records: skipped (current), stale or new."""
     stored = faces.groupBy(F.col("record_id").alias("id")).agg(F.max("v").alias("v"))
     outcome = F.when(F.col("v") == VERSION, "skipped").when(F.col("v").isNotNull(), "stale").otherwise("new")
-    return scan_set.select("id").join(stored, "id", "left").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+    return scan_set.select("id").join(stored, "id", "left").select("id", outcome.alias("outcome"))
+
+
+def pass_counts(scan_set: DataFrame, faces: DataFrame) -> DataFrame:
+    """outcome and n: records of the scan set by outcome."""
+    return with_outcome(scan_set, faces).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+def planned_pass(scan_set: DataFrame, faces: DataFrame, place: str) -> dict[str, int]:
+    """Write the records that a pass has to work on (id, outcome: stale or new) to a place, and count all outcomes on the way.
+
+    The counters are observed while the rows pass by to be written, so nothing is read again for them.
+    """
+    seen, counts = Observation("pass"), [F.count("*").alias("eligible"), *[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES]]
+    rows = with_outcome(scan_set, faces)
+    rows.observe(seen, *counts).where("outcome <> 'skipped'").write.parquet(place)
+    return counted(seen, rows, counts)
 
 
 def missing_files(expected: DataFrame, found: DataFrame) -> DataFrame:

@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from tessera.operators.observed import counted
 from tessera.operators.publish import set_difference
 from tessera.operators.upsert import patched
+from tessera.sources.places import written
 from tessera.streaming.versioned import VersionedTable
 
 OPS = ("insert", "keep", "tombstone")
 
 
-def counted(observation: Observation, rows: DataFrame, counts: list[Column]) -> dict[str, int]:
-    """What was observed; where nothing was left to write, Spark drops the plan with its counters, and rows are counted for themselves."""
-    try:
-        return observation.get
-    except Py4JJavaError:
-        return rows.agg(*counts).first().asDict()
-
-
 def set_values(labels: VersionedTable, desired: DataFrame) -> dict[str, int]:
     """Let exactly the desired values (record_id, key, values) stand for the keys that are desired; other keys aren't touched.
 
@@ -28,6 +21,7 @@ def set_values(labels: VersionedTable, desired: DataFrame) -> dict[str, int]:
     counted while the rows are written, so nothing is read for it again.
     """
     seen, counts = Observation("values"), [F.count_if(F.col("op") == o).alias(o) for o in OPS]
+    desired = written(desired.select("record_id", "key", "values"), "desired")  # a plan is computed once
     if not desired.limit(1).count():
         return dict.fromkeys(OPS, 0)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import exif
-from tessera.operators import detection, publish, requests, similar, store, writes
+from tessera.operators import catalog, detection, publish, requests, similar, store, writes
 from tessera.plans.oracles import DOT, MORE, ORACLE_SQL, sql
 from tessera.plans.queries import APP, patches, query
 from tessera.sources import adapters as src
@@ -253,3 +253,20 @@ def arrival_snapshot(spark, d):
 
 
 ORACLE_SQL["arrival_snapshot"] = sql("latest", "SELECT id, event_id, event_type, (SELECT min_by(c.event_id, (c.ts, c.event_id)) FROM changes c WHERE c.id = latest.id) AS arrived_event FROM latest")
+
+
+@query
+def pass_observed(spark, d):
+    """The counters of a pass, observed while its work list is written; the list is read back."""
+    place = freshness.folder(spark, "pass")
+    counts = store.planned_pass(catalog.originals(src.records(spark, d), src.labels(spark, d), APP), src.faces(spark, d), place)
+    due = spark.read.parquet(place).groupBy("outcome").agg(F.count("*").alias("written"))
+    found = spark.createDataFrame([(o, n) for o, n in counts.items()], "outcome string, n long")
+    return found.join(due, "outcome", "left").select("outcome", "n", F.coalesce("written", F.lit(0).cast("long")).alias("written"))
+
+
+ORACLE_SQL["pass_observed"] = sql(
+    "originals faces",
+    """, o AS (SELECT CASE WHEN v = 1 THEN 'skipped' WHEN v IS NOT NULL THEN 'stale' ELSE 'new' END AS outcome FROM originals LEFT JOIN (SELECT record_id AS id, max(v) AS v FROM faces GROUP BY 1) USING (id))
+SELECT name AS outcome, (SELECT count(*) FROM o WHERE outcome = name OR name = 'eligible') AS n, (SELECT count(*) FROM o WHERE outcome = name AND name <> 'skipped') AS written FROM (SELECT unnest(['eligible', 'skipped', 'stale', 'new']) AS name)""",
+).replace("\n,", ",", 1)

@@ -146,7 +146,7 @@ SELECT {TILE} FROM t2 UNION ALL SELECT {TILE} FROM typed WHERE parent_id IS NULL
     "split_people": sql("means", ", lost AS (SELECT person_id, count(*) AS lost FROM faces WHERE vec_id % 4 = 0 GROUP BY 1), m AS (SELECT pos, avg(x) AS x FROM comps WHERE vec_id % 4 = 0 GROUP BY 1) SELECT person_id, n - coalesce(lost, 0) AS face_count, CAST(pos - 1 AS INTEGER) AS pos, round(x, 5) + 0 AS x FROM means LEFT JOIN lost USING (person_id) WHERE lost IS NULL OR n > lost UNION ALL SELECT 'new', (SELECT CAST(sum(lost) AS BIGINT) FROM lost), CAST(pos - 1 AS INTEGER), round(x / sqrt((SELECT sum(x * x) FROM m)), 5) + 0 FROM m"),
     "reconcile_people": sql("comps people", ", k AS (SELECT person_id, pos, avg(x) AS m, count(*) AS n FROM comps WHERE v = 1 AND person_id <> '3' GROUP BY 1, 2) SELECT person_id, n AS face_count, CAST(pos - 1 AS INTEGER) AS pos, round(x, 5) + 0 AS x FROM (SELECT person_id, n, pos, m / sqrt(sum(m * m) OVER (PARTITION BY person_id)) AS x FROM k) JOIN people USING (person_id)"),
     "rename_person": sql("people", "SELECT person_id, CASE WHEN person_id = '3' THEN 'Ann' ELSE name END AS name FROM people"),
-    "anchor_grid": sql("anchors", "SELECT stride, anchor, cx, cy FROM anchors"),
+    "anchor_grid": sql("anchors raw", "SELECT stride, anchor, cx, cy, count(vec_id) AS n FROM anchors LEFT JOIN raw USING (stride, anchor) GROUP BY ALL"),
     "decode_boxes": sql("decoded", "SELECT img, stride, anchor, score, x1, y1, x2, y2, landmarks FROM decoded"),
     "iou_pairs": sql("pairs", "SELECT img, a, b, round(iou, 6) AS iou FROM pairs WHERE a < b AND iou > 0.1"),
     "nms_keep": sql("nms", "SELECT img, vec_id, CAST(place - 1 AS INTEGER) AS place FROM (SELECT img, unnest(kept) AS vec_id, generate_subscripts(kept, 1) AS place FROM (SELECT img, kept FROM nms QUALIFY row_number() OVER (PARTITION BY img ORDER BY k DESC) = 1))"),
@@ -162,7 +162,7 @@ SELECT img, n, round(a, 5) AS a, round(-c, 5) AS b, round(c, 5) AS c, round(a, 5
     "exposure_text": sql("records", f"SELECT id, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 5 > 0 THEN (doc_id % 5) || 's' END ELSE '1/' || {HALF.format('1 / (1.0::DOUBLE / (doc_id % 500 + 2))')} || 's' END AS exposure FROM records"),
     "file_types": sql("records", f", b AS (SELECT *, split_part(filename, '/', -1) AS base FROM records), x AS (SELECT *, {EXTENSION} AS extension FROM b) SELECT id, extension, {case('extension', TYPE_BY_EXTENSION, chr(39) + 'image/jpeg' + chr(39))} AS by_name, {case(chr(108) + 'ower(split_part(filename, ' + chr(39) + '.' + chr(39) + ', -1))', UPLOAD_TYPES, 'CASE WHEN doc_id % 2 = 0 THEN ' + chr(39) + 'text/x' + chr(39) + ' ELSE ' + chr(39) + 'application/octet-stream' + chr(39) + ' END')} AS upload FROM x"),
     "info_texts": sql("images", f"SELECT id, CASE WHEN size_bytes * 1000 < 1024 THEN size_bytes * 1000 || ' B' WHEN size_bytes * 1000 < 1048576 THEN {TENTHS.format('size_bytes * 1000 / 1024')} || ' KB' ELSE {TENTHS.format('size_bytes * 1000 / 1048576')} || ' MB' END AS size, CASE WHEN width > 0 AND height > 0 THEN {TENTHS.format('width::DOUBLE * height / 1000000')} || ' MP' END AS pixels, CASE WHEN orientation IS NOT NULL THEN {case('orientation', ORIENTATIONS, chr(39) + 'Unknown (' + chr(39) + ' || orientation || ' + chr(39) + ')' + chr(39))} END AS orientation FROM images"),
-    "retry_envelope": "SELECT id, least(4000.0::DOUBLE, 300.0::DOUBLE * pow(2, id)) AS most_ms, 427 + id IN (429, 503) AS again, CASE WHEN id > 0 THEN least(100, CAST(floor(id * 13 / (id * 20) * 100 + 0.5) AS BIGINT)) ELSE 0 END AS percent FROM range(8) t(id)",
+    "retry_envelope": sql("changes", ", n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts, event_id) - 1 AS attempt, floor(max(value) OVER (PARTITION BY id)) AS total FROM changes) SELECT event_id, least(4000.0::DOUBLE, 300.0::DOUBLE * pow(2, attempt)) AS most_ms, 427 + event_id % 8 IN (429, 503) AS again, CASE WHEN total > 0 THEN least(100, CAST(floor(floor(value) / total * 100 + 0.5) AS BIGINT)) ELSE 0 END AS percent FROM n"),
     "threshold_clamp": sql("changes", "SELECT event_id, CASE WHEN value IS NULL OR isnan(value) THEN 0.45::DOUBLE ELSE greatest(0.1::DOUBLE, least(0.95::DOUBLE, value / 100)) END AS threshold FROM changes"),
     "freshness_snapshot": sql("latest", "SELECT id, event_id, event_type FROM latest"),
     "events_by_hour": sql("changes", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM changes GROUP BY 1, 2"),

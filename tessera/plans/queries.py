@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as fn
@@ -497,11 +497,6 @@ def rename_person(spark, d):
     return clustering.renamed(src.people(spark, d), "3", "  Ann ").select("person_id", "name")
 
 
-@query
-def anchor_grid(spark, d):
-    return detection.anchor_grid(spark)
-
-
 def raw_boxes(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("vec_id")
     stride = F.element_at(F.array(*map(F.lit, detection.STRIDES)), (k % 3 + 1).cast("int"))
@@ -510,6 +505,13 @@ def raw_boxes(spark: SparkSession, d: str) -> DataFrame:
     return src.faces(spark, d).select("img", "vec_id", stride.alias("stride"), (k * 7 % 800).alias("anchor"), "score", *distances, kps.alias("kps"))
 
 
+@query
+def anchor_grid(spark, d):
+    """Every anchor of the detector, with the number of raw boxes that are at it."""
+    at = raw_boxes(spark, d).where("score >= 0.6").groupBy("stride", "anchor").agg(F.count("*").alias("n"))
+    return detection.anchor_grid(spark).join(at, ["stride", "anchor"], "left").select("stride", "anchor", "cx", "cy", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
 @query
 def decode_boxes(spark, d):
     found = detection.decode_boxes(raw_boxes(spark, d), detection.anchor_grid(spark), 0.6)
@@ -633,8 +635,10 @@ def info_texts(spark, d):
 
 @query
 def retry_envelope(spark, d):
-    n = F.col("id").cast("int")
-    return spark.range(8).select("id", fn.retry_ceiling_ms(n).alias("most_ms"), fn.retryable(F.lit(427) + n).alias("again"), fn.progress_percent(F.col("id") * 13, F.col("id") * 20).alias("percent"))
+    """The changes of a user as attempts, one after another: the longest wait, whether a code is tried again, the progress to the largest value."""
+    attempt = F.row_number().over(Window.partitionBy("id").orderBy("ts", "event_id")) - 1
+    most = F.max("value").over(Window.partitionBy("id"))
+    return src.changes(spark, d).select("event_id", fn.retry_ceiling_ms(attempt).alias("most_ms"), fn.retryable(F.lit(427) + F.col("event_id") % 8).alias("again"), fn.progress_percent(F.floor("value"), F.floor(most)).alias("percent"))
 
 
 @query

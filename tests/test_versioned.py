@@ -161,3 +161,14 @@ def test_an_empty_feed_makes_no_table(spark, place):
     table = VersionedTable(spark, place)
     assert freshness.synced(table, spark.createDataFrame([], FEED)) == 0 and table.version() is None
     shutil.rmtree(place.removeprefix("file://"), ignore_errors=True)
+
+
+def test_a_pass_is_counted_as_it_is_written(spark, tmp_path):
+    from tessera.operators import store
+
+    scan = spark.createDataFrame([(f"r{k}",) for k in range(9)], "id string")
+    faces = spark.createDataFrame([(f"r{k}", 1 if k < 4 else 0) for k in range(6)], "record_id string, v int")
+    assert store.planned_pass(scan, faces, f"{tmp_path}/a") == {"eligible": 9, "skipped": 4, "stale": 2, "new": 3}
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/a").collect()} == {("r4", "stale"), ("r5", "stale"), ("r6", "new"), ("r7", "new"), ("r8", "new")}
+    done = spark.createDataFrame([(f"r{k}", 1) for k in range(9)], "record_id string, v int")
+    assert store.planned_pass(scan, done, f"{tmp_path}/b") == {"eligible": 9, "skipped": 9, "stale": 0, "new": 0}
