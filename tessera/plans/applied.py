@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import exif
 from tessera.operators import catalog, detection, publish, requests, similar, store, writes
-from tessera.plans.oracles import DOT, MORE, ORACLE_SQL, sql
+from tessera.operators import library_clusters as clusters_of_all
+from tessera.plans.oracles import DOT, MORE, ORACLE_SQL, clusters, sql
 from tessera.plans.queries import APP, patches, query
 from tessera.sources import adapters as src
 from tessera.sources import downloads
@@ -270,3 +271,13 @@ ORACLE_SQL["pass_observed"] = sql(
     """, o AS (SELECT CASE WHEN v = 1 THEN 'skipped' WHEN v IS NOT NULL THEN 'stale' ELSE 'new' END AS outcome FROM originals LEFT JOIN (SELECT record_id AS id, max(v) AS v FROM faces GROUP BY 1) USING (id))
 SELECT name AS outcome, (SELECT count(*) FROM o WHERE outcome = name OR name = 'eligible') AS n, (SELECT count(*) FROM o WHERE outcome = name AND name <> 'skipped') AS written FROM (SELECT unnest(['eligible', 'skipped', 'stale', 'new']) AS name)""",
 ).replace("\n,", ",", 1)
+
+
+@query
+def library_clusters(spark, d):
+    """The clusters of all faces, in one order, as one library."""
+    found, _ = clusters_of_all.library_clusters(src.faces(spark, d).drop("person_id"), freshness.folder(spark, "library"), 0.3)
+    return found.withColumn("score", F.round("score", 5))
+
+
+ORACLE_SQL["library_clusters"] = sql("faces", clusters(0.3).replace("img AS scope", "0 AS scope").replace("PARTITION BY img", "PARTITION BY 0") + " SELECT vec_id, cluster, size, round(score, 5) AS score FROM clustered WHERE vec_id IS NOT NULL").replace("\n,", ",", 1)
