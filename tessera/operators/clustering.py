@@ -1,7 +1,7 @@
 """Identity clusters: online assignment within scopes, merge, split, reconcile, rename.
 
-Assignment of a whole library in one order is sequential, so here it runs within scopes (an owner, an album, an
-image group): each scope is a group of its own, in the order of record and face index.
+Assignment in one order is sequential, so here it runs within scopes (an owner, an album, an image group): each scope is a
+group of its own, in the order of record and face index. ``library_clusters`` takes a whole library, in blocks.
 """
 
 from __future__ import annotations
@@ -15,17 +15,22 @@ from tessera.functions.scalars import trimmed
 from tessera.operators.vectors import mean_vectors, normalized
 
 
-def online_clusters(faces: DataFrame, scope: str, threshold: float = 0.45, roster: DataFrame | None = None) -> DataFrame:
+MOST_FACES = 200_000
+
+
+def online_clusters(faces: DataFrame, scope: str, threshold: float = 0.45, roster: DataFrame | None = None, most: int = MOST_FACES) -> DataFrame:
     """scope, vec_id, cluster, size and score at assignment (null for a founder) of the faces that have no person yet.
 
     A face joins the centroid of largest inner product if that is at least ``threshold``, of equals the newest;
     the centroid becomes the normalised running mean in 32-bit floats. Centroids of another length don't count. ``roster``
     (the scope's column, person_id, face_count, centroid) is where a scope starts from: its people are clusters
     0, 1, ... in the order of person_id; new clusters follow by creation. Faces whose ``person_id`` isn't null, null
-    vectors and null ids take no part. A scope is folded in one task, so it has to be bounded.
+    vectors and null ids take no part. A scope is folded in one task, so one of over ``MOST_FACES`` faces is an error.
     """
 
     def assign(key: tuple, frame: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if len(frame) > most:
+            raise ValueError(f"scope {key[0]!r} has {len(frame)} faces, over {most}: take library_clusters")
         held: dict[int, np.ndarray] = {}  # by length: the centroids, in the order of their numbers
         numbers: dict[int, list[int]] = {}
         sizes: list[int] = []
@@ -104,9 +109,10 @@ def repointed(faces: DataFrame, target: str, sources: list[str]) -> DataFrame:
 
 def merged_with_faces(people: DataFrame, faces: DataFrame, target: str, sources: list[str]) -> tuple[DataFrame, DataFrame]:
     """People and faces after sources went into the target; both as they were if the target is unknown."""
-    if people.where(F.col("person_id") == target).isEmpty():
-        return people.select("person_id", "name", "face_count", "centroid"), faces
-    return merged(people, target, sources), repointed(faces, target, sources)
+    known = people.where(F.col("person_id") == target).select(F.lit(True).alias("_known"))  # one row at most
+    moved = F.col("_known").isNotNull() & F.col("person_id").isin(sources)
+    after = faces.join(F.broadcast(known), F.lit(True), "left").withColumn("person_id", F.when(moved, target).otherwise(F.col("person_id"))).drop("_known")
+    return merged(people, target, sources), after
 
 
 def split_off(people: DataFrame, faces: DataFrame, moved: DataFrame, new_id: str) -> tuple[DataFrame, DataFrame]:

@@ -244,3 +244,19 @@ def test_snapshot_over_two_runs(spark, tmp_path):
     assert run([(k, k, at(1), "a") for k in range(20)]) == {k: k for k in range(20)}
     assert run([(3, 100, at(2), "b"), (4, 101, at(0), "b")]) == {k: 100 if k == 3 else k for k in range(20)}
     assert {r.id for r in freshness.fresh_snapshot(freshness.change_stream(spark, feed), place, bucket_rows=5).collect()} == set(range(20))
+
+
+def test_a_scope_is_bounded(spark):
+    rows = [(k, "r", k, 0, [1.0, 0.0]) for k in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, record_id string, face_index int, scope int, embedding array<float>")
+    assert clustering.online_clusters(df, "scope", 0.5, most=5).count() == 5
+    with pytest.raises(PySparkException, match="library_clusters"):
+        clustering.online_clusters(df, "scope", 0.5, most=4).collect()
+
+
+def test_an_unknown_target_moves_no_face(spark):
+    people = spark.createDataFrame([("1", "a", 1, [1.0, 0.0]), ("2", "b", 1, [0.0, 1.0])], "person_id string, name string, face_count long, centroid array<double>")
+    faces = spark.createDataFrame([(1, "1"), (2, "2"), (3, None)], "vec_id long, person_id string")
+    for target, want in (("1", {(1, "1"), (2, "1"), (3, None)}), ("none", {(1, "1"), (2, "2"), (3, None)})):
+        _, after = clustering.merged_with_faces(people, faces, target, ["2"])
+        assert {tuple(r) for r in after.select("vec_id", "person_id").collect()} == want
