@@ -354,3 +354,21 @@ def test_posterior_limits():
     assert lost <= 1e-3  # pairs at the threshold itself; the bound is on the posterior
     far = np.cumsum(rng.random((n, 192)) < 0.4, 1)[:, 31::32]
     assert (far < np.array(limits)).any(1).mean() > 0.999
+
+
+def test_shards_are_a_uniform_shuffle(spark):
+    """Within one bucket: where rows come to lie depends neither on where they were nor on their neighbours."""
+    n, parts = 6000, 6
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    place = {}
+    for seed in (1, 2):
+        rows = shuffle_into_shards(docs, shards=1, seed=seed, bucket_bytes=1 << 30).select("doc_id", "slot").collect()
+        place[seed] = np.array([s for _, s in sorted((r.doc_id, r.slot) for r in rows)])
+        assert sorted(place[seed].tolist()) == list(range(n))
+        table = np.zeros((parts, parts))
+        np.add.at(table, (np.arange(n) * parts // n, place[seed] * parts // n), 1)
+        mean = n / parts**2
+        assert ((table - mean) ** 2 / mean).sum() < 60  # 25 degrees of freedom: beyond 60 in one of 10,000
+        rises = (np.diff(place[seed]) > 0).mean()
+        assert abs(rises - 0.5) < 0.03 and abs(np.corrcoef(place[seed][:-1], place[seed][1:])[0, 1]) < 0.06
+    assert abs(np.corrcoef(place[1], place[2])[0, 1]) < 0.06
