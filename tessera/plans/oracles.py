@@ -32,7 +32,7 @@ MORE = {
     "dordered": "dordered AS (SELECT *, row_number() OVER (PARTITION BY img ORDER BY score DESC, vec_id) AS k FROM decoded)",
     "dover": "dover AS (SELECT o.img, o.vec_id, o.k, coalesce(list(p.b) FILTER (WHERE p.iou > 0.1), []) AS others FROM dordered o LEFT JOIN dpairs p ON p.img = o.img AND p.a = o.vec_id GROUP BY 1, 2, 3)",
     "dnms": "dnms AS (SELECT DISTINCT img, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM decoded UNION ALL SELECT n.img, o.k, CASE WHEN list_has_any(n.kept, o.others) THEN n.kept ELSE list_append(n.kept, o.vec_id) END FROM dnms n JOIN dover o ON o.img = n.img AND o.k = n.k + 1)",
-    "tensors": "tensors AS (SELECT n_nationkey AS img, CAST(s AS INTEGER) AS stride, 2 * (640 // s) * (640 // s) AS rows, w AS wide FROM nation, (SELECT unnest([8, 16, 32]) AS s), (SELECT unnest([1, 4, 10]) AS w))",
+    "tensors": "tensors AS (SELECT doc_id AS img, CAST(s AS INTEGER) AS stride, 2 * (640 // s) * (640 // s) AS rows, w AS wide FROM documents, (SELECT unnest([8, 16, 32]) AS s), (SELECT unnest([1, 4, 10]) AS w))",
     "rects": f"rects AS (SELECT *, greatest(1, least(640 - l, {HALF.format('(w + pad * 2)')})) AS width, greatest(1, least(420 - t, {HALF.format('(h + pad * 2)')})) AS height FROM (SELECT *, greatest(0, {HALF.format('(x - pad)')}) AS l, greatest(0, {HALF.format('(y - pad)')}) AS t FROM (SELECT *, greatest(w, h) * 0.35::DOUBLE AS pad FROM faces)))",
     "app": "app AS (SELECT l.id, coalesce(l.mime_type, 'image/jpeg') AS mime_type, 'shared/' || type || '/' || substr(content_hash, 1, 2) || '/' || content_hash AS object_key, size_bytes, created_at, l.parent_id, k.kind AS derived_kind, coalesce(width, 0) AS width, coalesce(height, 0) AS height, coalesce(original_filename, l.id) AS original_filename, coalesce(date_taken_override, captured_at, created_at) AS effective_date, caption, date_taken_override, captured_at, camera_make, camera_model, f_number, exposure_time, iso, lens_model, gps_lat, gps_lon, orientation FROM listed l JOIN kinds k USING (id) LEFT JOIN metadata m ON m.record_id = l.id LEFT JOIN camera c ON c.record_id = l.id LEFT JOIN enriched e ON e.record_id = l.id AND l.parent_id IS NULL)",
     "anchors": "anchors AS (SELECT s AS stride, i AS anchor, CAST(((i // 2) % (640 // s)) * s AS DOUBLE) AS cx, CAST(((i // 2) // (640 // s)) * s AS DOUBLE) AS cy FROM (SELECT CAST(unnest([8, 16, 32]) AS INTEGER) AS s), range(12800) t(i) WHERE i < 2 * (640 // s) * (640 // s))",
@@ -64,6 +64,7 @@ def case(key: str, known: dict, other: str) -> str:
 EXTENSION = "CASE WHEN position('.' IN base) > 0 AND length(base) - length(split_part(base, '.', -1)) > 1 AND split_part(base, '.', -1) <> '' THEN lower(split_part(base, '.', -1)) END"
 DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
 TENTHS = "CAST(CAST(round(CAST({} AS DECIMAL(30,12)), 1) AS DECIMAL(30,1)) AS VARCHAR)"
+BYTES = "list_transform(embedding, lambda e: (CAST(floor(CAST(e AS DOUBLE) * 1000) AS BIGINT) % 256 + 256) % 256)"
 TILE = "id, parent_id, effective_date, width, height"
 
 
@@ -86,10 +87,10 @@ def clusters(threshold: float) -> str:
 ORACLE_SQL = {
     "online_clusters": sql("faces", clusters(0.3) + " SELECT scope, vec_id, cluster, size, round(score, 5) AS score FROM clustered WHERE k > 0"),
     "recluster_all": sql("faces", clusters(0.2) + " SELECT scope, count(*) AS n, count(DISTINCT cluster) AS clusters FROM clustered WHERE k > 0 GROUP BY 1"),
-    "warped_crops": """WITH g AS (SELECT n_nationkey AS k, y, x, c, (0.5 * (x + 0.5 - 0.3) - 0.1 * (y + 0.5 - 0.2)) / 0.26 - 0.5 AS sx, (0.1 * (x + 0.5 - 0.3) + 0.5 * (y + 0.5 - 0.2)) / 0.26 - 0.5 AS sy
-  FROM nation, (SELECT unnest(range(4)) AS y), (SELECT unnest(range(4)) AS x), (SELECT unnest(range(3)) AS c)),
+    "warped_crops": f"""WITH g AS (SELECT vec_id AS k, {BYTES} AS bytes, y, x, c, (0.5 * (x + 0.5 - 0.3) - 0.1 * (y + 0.5 - 0.2)) / 0.26 - 0.5 AS sx, (0.1 * (x + 0.5 - 0.3) + 0.5 * (y + 0.5 - 0.2)) / 0.26 - 0.5 AS sy
+  FROM embeddings, (SELECT unnest(range(4)) AS y), (SELECT unnest(range(4)) AS x), (SELECT unnest(range(3)) AS c)),
  n AS (SELECT *, CAST(floor(sx) + dx AS BIGINT) AS px, CAST(floor(sy) + dy AS BIGINT) AS py, abs(1 - dx - (sx - floor(sx))) * abs(1 - dy - (sy - floor(sy))) AS weight FROM g, (SELECT unnest([0, 1]) AS dx), (SELECT unnest([0, 1]) AS dy)),
- p AS (SELECT k, y, x, c, sum(weight * (((least(greatest(py, 0), 5) * 24 + least(greatest(px, 0), 7) * 3 + c) * 37 + least(greatest(py, 0), 5) * 11 + k * 5) % 256)) AS v FROM n GROUP BY 1, 2, 3, 4)
+ p AS (SELECT k, y, x, c, sum(weight * bytes[least(greatest(py, 0), 3) * 15 + least(greatest(px, 0), 4) * 3 + c + 1]) AS v FROM n GROUP BY 1, 2, 3, 4)
 SELECT k AS id, string_agg(printf('%02X', CAST(floor(v + 0.5) AS BIGINT)), '' ORDER BY y, x, c) AS crop FROM p GROUP BY 1""",
     "display_list": sql("shown", f"SELECT {TILE} FROM shown"),
     "display_list_typed": sql(
@@ -168,11 +169,11 @@ SELECT img, n, round(a, 5) AS a, round(-c, 5) AS b, round(c, 5) AS c, round(a, 5
     "events_by_hour": sql("changes", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM changes GROUP BY 1, 2"),
     "toggle_edges": sql("changes", ", f AS (SELECT *, event_id % 3 > 0 AS flag, lag(event_id % 3 > 0, 1, false) OVER (PARTITION BY id ORDER BY ts, event_id) AS b FROM changes) SELECT id, event_id, CASE WHEN flag THEN 'publish' ELSE 'retract' END AS action FROM f WHERE flag <> b"),
     "detect_faces": sql("dnms", "SELECT img, CAST(place - 1 AS INTEGER) AS place, vec_id FROM (SELECT img, unnest(kept) AS vec_id, generate_subscripts(kept, 1) AS place FROM (SELECT img, kept FROM dnms QUALIFY row_number() OVER (PARTITION BY img ORDER BY k DESC) = 1))"),
-    "tensor_kinds": sql("tensors", "SELECT img, CAST(rows * 100 + wide AS BIGINT) AS tensor_id, CASE wide WHEN 1 THEN 'score' WHEN 4 THEN 'box' ELSE 'landmarks' END AS kind, stride FROM tensors UNION ALL SELECT r_regionkey, 0, NULL, NULL FROM region"),
+    "tensor_kinds": sql("tensors", "SELECT img, CAST(rows * 100 + wide AS BIGINT) AS tensor_id, CASE wide WHEN 1 THEN 'score' WHEN 4 THEN 'box' ELSE 'landmarks' END AS kind, stride FROM tensors UNION ALL SELECT doc_id, 0, NULL, NULL FROM documents"),
     "grouped_heads": sql("tensors", "SELECT img, stride, CAST(rows * 100 + 1 AS BIGINT) AS score, CAST(rows * 100 + 4 AS BIGINT) AS box, CAST(rows * 100 + 10 AS BIGINT) AS landmarks FROM tensors WHERE wide = 1"),
     "unletterboxed": sql("decoded", "SELECT vec_id, round(x1 / s, 6) + 0 AS x, round(y1 / s, 6) + 0 AS y, round(x2 / s - x1 / s, 6) + 0 AS w, round(y2 / s - y1 / s, 6) + 0 AS h FROM (SELECT *, least(640.0::DOUBLE / (vec_id % 5 * 100 + 640), 640.0::DOUBLE / 480) AS s FROM decoded)"),
     "template_fit": sql("faces", "SELECT vec_id, CAST(5 AS BIGINT) AS n, round(1.0::DOUBLE / (vec_id % 3 + 1), 5) AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c, round(1.0::DOUBLE / (vec_id % 3 + 1), 5) AS d, round(-(vec_id % 7)::DOUBLE / (vec_id % 3 + 1), 5) + 0 AS tx, round(-(vec_id % 5)::DOUBLE / (vec_id % 3 + 1), 5) + 0 AS ty FROM faces"),
-    "pixel_planes": "SELECT n_nationkey, CAST((i % 3) * 4 + i // 3 AS INTEGER) AS pos, ((n_nationkey * 31 + i * 17) % 256 - 127.5::DOUBLE) / 128 AS x FROM nation, range(12) t(i)",
+    "pixel_planes": f"SELECT vec_id, CAST((i % 3) * 4 + i // 3 AS INTEGER) AS pos, ({BYTES}[i + 1] - 127.5::DOUBLE) / 128 AS x FROM embeddings, range(12) t(i)",
     "split_faces": sql("faces", "SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 'new' ELSE person_id END AS person_id FROM faces"),
     "merge_people_faces": sql("faces", "SELECT vec_id, CASE WHEN person_id IN ('2', '5') THEN '1' ELSE person_id END AS person_id FROM faces"),
     "app_row": sql("enriched", "SELECT * FROM enriched WHERE record_id = 'rec-00000056'"),
@@ -187,11 +188,11 @@ SELECT img, n, round(a, 5) AS a, round(-c, 5) AS b, round(c, 5) AS c, round(a, 5
     "sidecar_publish_plan": sql("sidecars names", f", own AS (SELECT s.*, n.name FROM sidecars s LEFT JOIN names n USING (person_id) WHERE v = 1 AND model = '{MODEL}') SELECT record_id, 'faceCount' AS key, CASE WHEN n_faces > 0 THEN CAST(n_faces AS VARCHAR) ELSE '' END AS shown, CAST(CASE WHEN n_faces > 0 THEN 1 ELSE 0 END AS BIGINT) AS n_values FROM own UNION ALL SELECT record_id, 'faces', CASE WHEN n_faces > 0 THEN coalesce(name, '') ELSE '' END, CAST(CASE WHEN n_faces > 0 AND name IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) FROM own"),
     "missing_models": "SELECT 'model-' || p_partkey AS name, CAST(p_size AS BIGINT) AS size FROM part WHERE p_partkey % 15 = 0 OR p_partkey % 10 = 0",
     "model_totals": "SELECT CAST(sum(p_size) AS BIGINT) AS total_bytes, CAST(coalesce(sum(p_size) FILTER (WHERE gone), 0) AS BIGINT) AS missing_bytes, count(*) FILTER (WHERE gone) AS n_missing, count(*) FILTER (WHERE gone) = 0 AS installed FROM (SELECT *, p_partkey % 15 = 0 OR p_partkey % 10 = 0 AS gone FROM part)",
-    "verified_files": "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND text IS NOT NULL",
+    "verified_files": "SELECT doc_id FROM documents WHERE sha256(text) = sha256(CASE WHEN doc_id % 3 = 0 THEN text || '.' ELSE text END)",
     "enabled_tasks": "SELECT r_name AS task, r_regionkey FROM region WHERE r_regionkey % 2 = 0",
     "manifest_keys": sql("records", "SELECT id AS key, CASE WHEN doc_id % 3 > 0 THEN 'manifest' ELSE 'code' END AS only_in FROM records WHERE (doc_id % 3 > 0) <> (doc_id % 5 > 0)"),
-    "isolated_failures": sql("records", "SELECT id, CASE WHEN doc_id % 8 <> 0 THEN CAST(substr(created_at, 1, 10) AS DATE) END AS day, doc_id % 8 = 0 AS failed FROM records"),
-    "exif_coercion": sql("changes", "SELECT event_id, CASE WHEN event_id % 4 = 1 THEN event_type END AS make, CASE WHEN event_id % 5 > 2 THEN value END AS iso FROM changes"),
+    "isolated_failures": sql("records", ", t AS (SELECT id, CASE WHEN doc_id % 8 = 0 THEN 'bad ' || created_at ELSE substr(created_at, 1, 10) END AS text FROM records) SELECT id, TRY_CAST(text AS DATE) AS day, TRY_CAST(text AS DATE) IS NULL AS failed FROM t"),
+    "exif_coercion": sql("changes", ", g AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN event_type END AS text, CASE WHEN event_id % 5 = 0 THEN 'nan'::DOUBLE WHEN event_id % 5 = 1 THEN '-inf'::DOUBLE WHEN event_id % 5 > 2 THEN value END AS number FROM changes) SELECT event_id, nullif(text, '') AS make, CASE WHEN isfinite(number) THEN number END AS iso FROM g"),
     "version_checks": "SELECT p_partkey, floor, (p_partkey % 3, p_partkey % 13, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE p_partkey % 5 END) < CASE p_partkey % 5 WHEN 0 THEN (1, 2, 3) WHEN 1 THEN (1, 10, 0) WHEN 2 THEN (1, 2, 2) WHEN 4 THEN (2, 0, 1) END AS older FROM (SELECT p_partkey, (['1.2.3', '1.10.0', '1.2.2', NULL, '2.0.1'])[p_partkey % 5 + 1] AS floor FROM part)",
     "merged_config": sql("changes", "SELECT event_id, event_id % 7 <> 0 AS enabled, CASE event_id % 7 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.95::DOUBLE WHEN 6 THEN 0.1::DOUBLE ELSE 0.45::DOUBLE END AS threshold, event_id % 7 = 1 AS publish FROM changes"),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as fn
@@ -458,12 +458,17 @@ def split_people(spark, d):
     return spelt(people, "person_id", "face_count")
 
 
+def pixel(x: Column) -> Column:
+    """A component of a vector as a byte."""
+    return F.pmod(F.floor(x.cast("double") * 1000), F.lit(256))
+
+
 @query
 def warped_crops(spark, d):
-    k, i = F.col("n_nationkey"), F.sequence(F.lit(0), F.lit(8 * 6 * 3 - 1))
-    pixel = F.transform(i, lambda j: F.lpad(F.hex((j * 37 + F.floor(j / 24) * 11 + k * 5) % 256), 2, "0"))
+    """Every vector's first 60 components as an image of 5 by 4 pixels, warped."""
+    digits = F.transform(F.slice("embedding", 1, 60), lambda x: F.lpad(F.hex(pixel(x)), 2, "0"))
     t = F.struct(*[F.lit(v).alias(n) for n, v in (("a", 0.5), ("b", 0.1), ("c", -0.1), ("d", 0.5), ("tx", 0.3), ("ty", 0.2))])
-    images = src.table(spark, d, "nation").select(k.alias("id"), F.lit(8).alias("width"), F.lit(6).alias("height"), F.unhex(F.array_join(pixel, "")).alias("rgb"), t.alias("t"))
+    images = src.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit(5).alias("width"), F.lit(4).alias("height"), F.unhex(F.array_join(digits, "")).alias("rgb"), t.alias("t"))
     return detection.warped(images, 4).select("id", F.hex("crop").alias("crop"))
 
 
@@ -524,16 +529,16 @@ def detect_faces(spark, d):
 
 
 def tensors(spark: SparkSession, d: str) -> DataFrame:
-    """Outputs of a detector for each nation: three kinds at three strides, some with a leading 1."""
-    k, shape = F.col("n_nationkey"), F.explode(F.array(*[F.struct(F.lit(2 * (640 // s) ** 2).alias("rows"), F.lit(w).alias("wide")) for s in (32, 8, 16) for w in (10, 1, 4)]))
-    made = src.table(spark, d, "nation").select(k.alias("img"), shape.alias("s"))
+    """Outputs of a detector for each document: three kinds at three strides, some with a leading 1."""
+    k, shape = F.col("doc_id"), F.explode(F.array(*[F.struct(F.lit(2 * (640 // s) ** 2).alias("rows"), F.lit(w).alias("wide")) for s in (32, 8, 16) for w in (10, 1, 4)]))
+    made = src.table(spark, d, "documents").select(k.alias("img"), shape.alias("s"))
     dims = F.when(F.col("img") % 2 == 0, F.array("s.rows", "s.wide")).otherwise(F.array(F.lit(1), F.col("s.rows"), F.col("s.wide")))
     return made.select("img", (F.col("s.rows") * 100 + F.col("s.wide")).cast("long").alias("tensor_id"), dims.alias("dims"))
 
 
 @query
 def tensor_kinds(spark, d):
-    odd = src.table(spark, d, "region").select(F.col("r_regionkey").alias("img"), F.lit(0).cast("long").alias("tensor_id"), F.array(F.lit(77), F.lit(3)).alias("dims"))
+    odd = src.table(spark, d, "documents").select(F.col("doc_id").alias("img"), F.lit(0).cast("long").alias("tensor_id"), F.array(F.lit(77), F.lit(3)).alias("dims"))
     known = detection.tensor_kind(F.col("dims"))
     return tensors(spark, d).unionByName(odd).select("img", "tensor_id", known["kind"].alias("kind"), known["stride"].alias("stride"))
 
@@ -561,8 +566,8 @@ def template_fit(spark, d):
 
 @query
 def pixel_planes(spark, d):
-    pixels = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: ((F.col("n_nationkey") * 31 + i * 17) % 256).cast("double"))
-    return src.table(spark, d, "nation").select("n_nationkey", F.posexplode(detection.planes(pixels, 127.5, 128.0)).alias("pos", "x"))
+    pixels = F.transform(F.slice("embedding", 1, 12), lambda x: pixel(x).cast("double"))
+    return src.table(spark, d, "embeddings").select("vec_id", F.posexplode(detection.planes(pixels, 127.5, 128.0)).alias("pos", "x"))
 
 
 @query
