@@ -86,8 +86,9 @@ def answered(request: Request | str, records: DataFrame, labels: DataFrame, meta
     seen = records if granted is None else records.where(F.col("type").isin(granted))
     some = matching(request, seen, labels, updated).orderBy("id").limit(request.limit + 1)
     # limit + 1 rows at most: their order may be one task's
-    numbered = some.withColumn("_n", F.row_number().over(Window.orderBy("id"))).withColumn("_next", F.lead("id").over(Window.orderBy("id")))
-    at_end = F.max(F.when((F.col("_n") == request.limit) & F.col("_next").isNotNull(), F.col("id"))).over(Window.partitionBy())
+    numbered = some.withColumn("_n", F.row_number().over(Window.orderBy("id")))
+    whole = Window.partitionBy()
+    at_end = F.when(F.max("_n").over(whole) > request.limit, F.max(F.when(F.col("_n") == request.limit, F.col("id"))).over(whole))
     page = numbered.withColumn("next_cursor", at_end).where(F.col("_n") <= request.limit).select(*records.columns, "next_cursor")
     return with_labels(with_metadata(page, metadata, "metadata" in request.include), labels, "labels" in request.include)
 

@@ -18,6 +18,7 @@ from tessera.sources import downloads
 from tessera.sources import sidecars as files
 from tessera.sources.adapters import SQL
 from tessera.sources.file_store import read_files, write_files
+from tessera.sources.places import written
 from tessera.streaming import freshness, keyed
 from tessera.streaming.versioned import VersionedTable
 
@@ -35,9 +36,9 @@ NAMES = ("limit", "cursor", "include", "updated_after", "label", "labelValue")
 
 @query
 def catalog_requests(spark, d):
-    """A page for each request, from its query string."""
-    records = src.records(spark, d).select("id", "created_at", "type")
-    labels, metadata = src.labels(spark, d), src.metadata(spark, d)
+    """A page for each request, from its query string, over a catalog that is written once, so that predicates reach its files."""
+    records = written(src.records(spark, d).select("id", "created_at", "type"), "records")
+    labels, metadata = written(src.labels(spark, d), "labels"), written(src.metadata(spark, d), "metadata")
 
     def page(k: int, asked: tuple) -> DataFrame:
         text = "/data/records?" + urlencode({n: v for n, v in zip(NAMES, asked) if v is not None})
