@@ -437,7 +437,7 @@ def rules_literal(rules: list[Rule]) -> Column:
     return F.from_json(F.lit(json.dumps([{k: v for k, v in asdict(r).items() if k not in ("keyword", "regex")} for r in rules])), kind)
 
 
-def hits_of(spaced: Column, rules: list[Rule]) -> Column:
+def hits_of(spaced: str, rules: list[Rule]) -> Column:
     """For each rule that matches: its number, and the parts of the text: what stands before the first match, then each match with what follows.
 
     Expressions are constants, so that each is compiled once; those of one keyword run only on texts that hold it.
@@ -446,12 +446,15 @@ def hits_of(spaced: Column, rules: list[Rule]) -> Column:
     for r in rules:
         groups.setdefault(r.keyword, []).append(r)
 
-    def one(r: Rule) -> Column:
-        return F.struct(F.lit(r.number).alias("rule"), F.split(F.regexp_replace(spaced, F.lit(r.regex), F.lit(f"{OPEN}$0{CLOSE}")), OPEN, -1).alias("parts"))
+    def text(x: str) -> str:
+        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    none = F.array().cast(HITS)
-    tried = [F.when(F.contains(spaced, F.lit(k)), F.array(*map(one, some))).otherwise(none) for k, some in groups.items()]
-    return F.filter(F.flatten(F.array(*tried)), lambda h: F.size(h["parts"]) > 1)
+    def one(r: Rule) -> str:
+        return f"named_struct('rule', {r.number}, 'parts', split(regexp_replace({spaced}, {text(r.regex)}, {text(f'{OPEN}$0{CLOSE}')}), {text(OPEN)}, -1))"
+
+    # one text that Spark parses: some thousand expressions one by one take seconds to build
+    tried = [f"CASE WHEN contains({spaced}, {text(k)}) THEN array({', '.join(map(one, some))}) ELSE cast(array() AS {HITS}) END" for k, some in groups.items()]
+    return F.expr(f"filter(flatten(array({', '.join(tried)})), h -> size(h.parts) > 1)")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -525,7 +528,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", rules: list[Rule] | None
     levels = max(r.priority for r in rules) + 1
     return (
         docs.withColumn("_spaced", spaced_words(F.col(text)))
-        .withColumn("_hits", F.when(some, hits_of(F.col("_spaced"), rules)).otherwise(F.array().cast(HITS)))
+        .withColumn("_hits", F.when(some, hits_of("_spaced", rules)).otherwise(F.array().cast(HITS)))
         .withColumn("license_words", n_words(F.col("_spaced")))
         .withColumn("licenses", F.when(F.size("_hits") > 0, unsuppressed(found, levels)).otherwise(F.array().cast(KEPT)))
         .drop("_spaced", "_hits")
