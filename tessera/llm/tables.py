@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
 
-SHARED = "spark.checkpoint.dir"
+from tessera.sources.places import folder as new_place  # noqa: F401  (operators find both here)
+from tessera.sources.places import written as stored  # noqa: F401
+
 #: Arrow batches end at this many bytes (Spark's own bound, 64 MiB, is too much for several Python workers beside an executor's heap).
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 TRIM_BATCHES = 32
@@ -22,33 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
-
-    Where it is unset, a local master gets a folder of its own; on a cluster that would be lost with a machine.
-    """
-    folder = spark.conf.get(SHARED, None) or spark.sparkContext.getConf().get(SHARED)
-    if not folder:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError(f"{SHARED} has to name a folder that the driver and all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set(SHARED, folder)
-    return folder
-
-
-def new_place(spark: SparkSession, what: str) -> str:
-    """A new place in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_place(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def give_back() -> None:
     """Memory that a worker doesn't use any more goes back to the machine, so that idle workers don't hold it."""
     pa.default_memory_pool().release_unused()
@@ -59,7 +32,10 @@ def give_back() -> None:
 
 
 def in_arrow(df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kinds: str | StructType) -> DataFrame:
-    """df.mapInArrow with batches of at most ``BATCH_BYTES`` (a longer row is a batch of its own), in workers that give memory back."""
+    """df.mapInArrow with batches of at most ``BATCH_BYTES`` (a longer row is a batch of its own), in workers that give memory back.
+
+    The size is a setting of the session, read when the plan runs; ``places.scope`` puts it back.
+    """
     df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
     def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
