@@ -10,7 +10,8 @@ from tessera.llm.quality_classifier import keep_predicted_good
 from tessera.llm.quality_rules import reject_low_quality
 from tessera.llm.queries import tokenizer_path
 from tessera.llm.suffix_dedup import cut_repeats
-from tessera.llm.tables import stored, table
+from tessera.llm.tables import new_place, table
+from tessera.sources.places import scope
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,13 +49,18 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each reads what the one before it wrote."""
+    """Apply the stages to documents; each reads what the one before it wrote.
+
+    What a stage stores on its way goes when its documents are written; the last stage's goes with the caller's scope.
+    """
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stored(docs, f"pipeline-{k}-{name.replace(' ', '-')}")
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        kept = new_place(spark, f"pipeline-{k}-{name.replace(' ', '-')}")
+        with scope(spark):
+            found = stage(spark, docs, sf_dir)
+            found.write.option("compression", "zstd").parquet(kept)
+        docs = spark.read.schema(found.schema).parquet(kept)
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: The stages rest on fitted models and token ids, which SQL can't express; tests hold them against brute force.
