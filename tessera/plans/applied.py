@@ -155,13 +155,13 @@ def checked_files(spark, d):
     on_disk = F.when(k % 10 == 0, F.substring("text", 1, 20)).when(k % 7 == 0, F.reverse("text")).otherwise(F.col("text"))
     place = freshness.folder(spark, "files")
     found = parts.where(k % 15 != 0).select(F.regexp_replace("name", r"\.bin$", "").alias("record_id"), on_disk.alias("body"))
-    write_files(found, place, suffix=".bin")
+    write_files(found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "record_id"), place, suffix=".bin")
     expected = parts.where(k % 21 != 0).select(F.replace("name", F.lit(" "), F.lit("%20")).alias("name"), F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("sha256"))
     downloads.checked(spark, place, expected, most=400).write.parquet(place + "-status")
     status = spark.read.parquet(place + "-status")
     downloads.quarantined(status.where("status in ('size', 'digest')"), place, place + "-aside")
-    left = spark.read.format("binaryFile").load(place).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.lit(True).alias("left"))
-    return status.join(left, "name", "left").select("name", "status", F.coalesce("left", F.lit(False)).alias("left"))
+    left = downloads.listed(spark, place).select("name", F.lit(True).alias("left"))
+    return status.join(left.hint("merge"), "name", "left").select("name", "status", F.coalesce("left", F.lit(False)).alias("left"))
 
 
 ORACLE_SQL["checked_files"] = """

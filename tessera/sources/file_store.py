@@ -1,9 +1,12 @@
 """A folder of one small file for each record, as a data source that Spark reads and writes.
 
-Reading: the files, by name, are dealt into ranges of ``files`` (an option), one partition each. Writing: a task writes its files
-to a folder of its own inside a staging folder; when all tasks are done, each file is renamed into its place, so that a reader
-never sees half a file, nor any of a job that failed; a task that is tried again has another folder. mode("append") replaces
-files of the same record, mode("overwrite") also removes all others.
+Reading: the files are dealt by a hash of their name into shares of about ``files`` (an option), one partition each and ``SHARES`` at
+most. Writing: a task writes its files to a folder of its own inside a staging folder; when all tasks are done, each file is renamed into
+its place, so that a reader never sees half a file, nor any of a job that failed; a task that is tried again has another folder.
+mode("append") replaces files of the same record, mode("overwrite") also removes all others.
+
+Names are nowhere held as a whole: a task goes through the folder and takes those of its share, and the driver, which renames,
+goes through the tasks' folders one name at a time.
 
 The folder has to be one that the driver and all executors see as a path of their own (``file://`` or plain). Names are
 percent-encoded record ids.
@@ -14,8 +17,10 @@ from __future__ import annotations
 import os
 import shutil
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 from urllib.parse import quote, unquote, urlparse
 
 import pyarrow as pa
@@ -25,6 +30,7 @@ from pyspark.sql.types import StructType
 
 SCHEMA = "record_id string, body string"
 FILES, FILES_AT_ONCE = 256, 64
+SHARES = 64  #: a folder is gone through once for each
 STAGING = ".staging-"
 
 
@@ -42,15 +48,39 @@ def file_name(record_id: str, suffix: str) -> str:
     return (f"%2E{name[1:]}" if name.startswith(".") else name) + suffix
 
 
+def names_in(folder: str) -> Iterator[str]:
+    """Names in a folder, as they come; none if it isn't there."""
+    try:
+        with os.scandir(folder) as found:
+            for e in found:
+                yield e.name
+    except FileNotFoundError:
+        return
+
+
+def in_share(name: str, share: int, shares: int) -> bool:
+    return zlib.crc32(os.fsencode(name)) % shares == share
+
+
+def moved(source: str, target: str) -> None:
+    """Rename all files of a folder into another; it is gone through until it is empty."""
+    some = True
+    while some:
+        some = False
+        for name in names_in(source):
+            os.replace(os.path.join(source, name), os.path.join(target, name))
+            some = True
+
+
 @dataclass
-class Range(InputPartition):
-    names: list[str]
+class Share(InputPartition):
+    share: int
+    shares: int
 
 
 @dataclass
 class Written(WriterCommitMessage):
     folder: str
-    names: list[str]
 
 
 class RecordFiles(DataSource):
@@ -74,17 +104,12 @@ class Reader(DataSourceReader):
     def __init__(self, folder: str, suffix: str, files: int) -> None:
         self.folder, self.suffix, self.files = folder, suffix, files
 
-    def names(self) -> list[str]:
-        """Names of the files, in order; none if the folder isn't there."""
-        try:
-            with os.scandir(self.folder) as found:
-                return sorted(e.name for e in found if e.name.endswith(self.suffix) and not e.name.startswith("."))
-        except FileNotFoundError:
-            return []
+    def names(self) -> Iterator[str]:
+        return (n for n in names_in(self.folder) if n.endswith(self.suffix) and not n.startswith("."))
 
-    def partitions(self) -> list[Range]:
-        names = self.names()
-        return [Range(names[k : k + self.files]) for k in range(0, len(names), self.files)] or [Range([])]
+    def partitions(self) -> list[Share]:
+        shares = min(SHARES, max(1, -(-sum(1 for _ in self.names()) // self.files)))
+        return [Share(k, shares) for k in range(shares)]
 
     def body(self, name: str) -> str | None:
         try:
@@ -93,9 +118,9 @@ class Reader(DataSourceReader):
         except (OSError, UnicodeDecodeError):  # gone meanwhile, or no text
             return None
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        for k in range(0, len(partition.names), FILES_AT_ONCE):
-            some = partition.names[k : k + FILES_AT_ONCE]
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
+        own = (n for n in self.names() if in_share(n, partition.share, partition.shares))
+        while some := list(islice(own, FILES_AT_ONCE)):
             ids = [unquote(n.removesuffix(self.suffix)) for n in some]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(map(self.body, some), pa.string())], names=["record_id", "body"])
 
@@ -106,27 +131,42 @@ class Writer(DataSourceWriter):
         self.staging = os.path.join(folder, STAGING + uuid.uuid4().hex)
 
     def write(self, rows: Iterator) -> Written:
-        own, names = os.path.join(self.staging, uuid.uuid4().hex), []
+        own = os.path.join(self.staging, uuid.uuid4().hex)
         os.makedirs(own)
         for row in rows:
-            name = file_name(row.record_id, self.suffix)
-            with open(os.path.join(own, name), "w", encoding="utf-8", newline="") as f:
+            with open(os.path.join(own, file_name(row.record_id, self.suffix)), "w", encoding="utf-8", newline="") as f:
                 f.write(row.body or "")
-            names.append(name)
-        return Written(own, names)
+        return Written(own)
 
     def commit(self, messages: list[Written | None]) -> None:
-        done = set()
-        for m in filter(None, messages):
-            for name in m.names:
-                os.replace(os.path.join(m.folder, name), os.path.join(self.folder, name))
-            done.update(m.names)
+        done = [m.folder for m in messages if m]
         if self.overwrite:
-            for name in Reader(self.folder, self.suffix, FILES).names():
-                if name not in done:
-                    os.unlink(os.path.join(self.folder, name))
+            done = [self.whole(done)]
+            gone = self.others(done[0])
+        for own in done:
+            moved(own, self.folder)
+        if self.overwrite:
+            for name in names_in(gone):
+                os.unlink(os.path.join(self.folder, name))
         self.abort(messages)
 
+    def whole(self, done: list[str]) -> str:
+        """One folder of all that tasks have written."""
+        place = os.path.join(self.staging, "whole")
+        os.makedirs(place)
+        for own in done:
+            moved(own, place)
+        return place
+
+    def others(self, place: str) -> str:
+        """A folder of empty files, named like those that stand in the folder and not at the place."""
+        gone = os.path.join(self.staging, "gone")
+        os.makedirs(gone)
+        for name in Reader(self.folder, self.suffix, FILES).names():
+            if not os.path.lexists(os.path.join(place, name)):
+                open(os.path.join(gone, name), "w").close()
+        return gone
+
     def abort(self, messages: list[Written | None]) -> None:
         """What is staged goes; whatever stood in the folder stays."""
         shutil.rmtree(self.staging, ignore_errors=True)

@@ -157,3 +157,36 @@ def test_columns_of_bytes(spark):
     rows = {r.k: r for r in got.select("k", *[c.alias(n) for n, c in exif.exif_columns(F.col("r")).items()]).collect()}
     assert (rows[1].captured_at, rows[1].exposure_time, rows[2].captured_at, rows[2].exposure_time) == ("2020-02-03T04:05:06", "1/60s", "2021-01-01T00:00:00", "2s")
     assert all(v is None for k in (3, 4) for n, v in rows[k].asDict().items() if n != "k")
+
+
+def test_names_pass_neither_through_partitions_nor_messages(tmp_path):
+    """What a task is given or gives back doesn't grow with its files, and there are a bounded number of tasks."""
+    import pickle
+
+    from pyspark.sql import Row
+
+    from tessera.sources.file_store import SHARES
+
+    place = f"{tmp_path}/s"
+    os.makedirs(place)
+    names = {f"r{k}" for k in range(SHARES * 3)}
+    writer = Writer(place, ".json", False)
+    messages = [writer.write(iter([Row(record_id=n, body=n) for n in some])) for some in (["r0"], sorted(names))]
+    assert len(pickle.dumps(messages[1])) == len(pickle.dumps(messages[0]))
+    writer.commit(messages)
+    reader = Reader(place, ".json", 1)
+    parts = reader.partitions()
+    assert len(parts) == SHARES and max(len(pickle.dumps(p)) for p in parts) < 200
+    got = [r for p in parts for batch in reader.read(p) for r in batch.to_pylist()]
+    assert len(got) == len(names) and {r["record_id"] for r in got} == names == {r["body"] for r in got}
+
+
+def test_files_are_listed_in_tasks(spark, tmp_path):
+    os.makedirs(f"{tmp_path}/f/in/_not")
+    for name in ("a", "in/b", ".c", "_d", "in/_not/e", "k=1"):
+        (tmp_path / "f" / name).write_text(name)
+    got = downloads.listed(spark, f"file://{tmp_path}/f")
+    assert {(r.name, bytes(r.path), r.length) for r in got.collect()} == {(n.split("/")[-1], f"{tmp_path}/f/{n}".encode(), len(n)) for n in ("a", "in/b", "k=1")}
+    assert got.rdd.getNumPartitions() > 1
+    with pytest.raises(FileNotFoundError):
+        downloads.listed(spark, f"{tmp_path}/none")
