@@ -56,3 +56,27 @@ def test_nothing_to_compare(spark):
     assert similar_pairs(spark.createDataFrame([(1, [1.0]), (2, None)], ROWS), 0.5)[0].count() == 0
     with pytest.raises(ValueError):
         similar_pairs(spark.createDataFrame([(1, [1.0])], ROWS), 0.0)
+
+
+def test_copies_of_a_vector_grow_with_groups_and_not_with_cells(spark, monkeypatch):
+    """Vectors without structure, which may match in every cell: each is sent to a part of the groups, not to each cell."""
+    frame, sent = type(spark.range(0)), []
+    repartition = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: (sent.append(self), repartition(self, *a))[1])
+    x = np.random.default_rng(3).normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], ROWS)
+    got, _ = similar_pairs(rows, 0.5)
+    assert got.count() == np.triu(x @ x.T >= 0.5, 1).sum()
+    assert sent[0].count() < 40 * len(x)
+
+
+def test_each_pair_of_groups_meets_once_and_evenly():
+    from tessera.operators.similar import grouped, turn
+
+    n = np.arange(9)
+    goes = turn(n[:, None], n[None])
+    assert (goes ^ goes.T | np.eye(9, dtype=bool)).all() and goes.diagonal().all() and set(goes.sum(0)) == {5}
+    size = np.array([3, 4, 5, 20, 1, 9, 9, 2])
+    group = grouped(size, 10)
+    assert group.tolist() == [0, 0, 1, 2, 3, 3, 4, 5]
