@@ -80,3 +80,29 @@ def test_each_pair_of_groups_meets_once_and_evenly():
     size = np.array([3, 4, 5, 20, 1, 9, 9, 2])
     group = grouped(size, 10)
     assert group.tolist() == [0, 0, 1, 2, 3, 3, 4, 5]
+
+
+@pytest.mark.parametrize("block", [3, 8192])
+def test_matches_equal_plain_loops(spark, block):
+    """Odd vectors as ``dot`` has them; blocks of queries; no product of two arrays is left to the plan."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators.vectors import matches_over
+
+    inf, nan = float("inf"), float("nan")
+    x = clustered(60, 4, 0.5, d=8)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(10, x[11].tolist()), (None, x[0].tolist()), (100, None), (101, []), (110, []), (120, [1.0, None]), (130, [1.0, 1.0]), (131, [0.3, 0.2]), (132, [0.1, 0.1])]
+    rows += [(140, [nan, 1.0]), (150, [inf, 1.0]), (151, [-inf, 1.0]), (160, [1e200] * 8), (161, [-1e200] * 8), (170, [1e-200] * 8)]
+
+    def dot(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a + b:
+            return None
+        s = 0.0
+        for p, q in zip(a, b):
+            s += p * q
+        return s
+
+    want = sorted((i, k, repr(s)) for i, q in rows if i is not None and i % 10 == 0 for k, v in rows if k is not None and k != i and (s := dot(q, v)) is not None and not s < 0.5)
+    found = matches_over(spark.createDataFrame(rows, ROWS).repartition(3), F.col("vec_id") % 10 == 0, 0.5, block=block)
+    assert sorted((r.query_id, r.vec_id, repr(r.score)) for r in found.collect()) == want and len(want) > 50
+    assert "zip_with" not in found._jdf.queryExecution().toString()
