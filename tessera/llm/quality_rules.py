@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.arrays import SPACE, Texts, hash_runs, mix, per_text, place_of_text, runs, text_slices, texts_of, windows
 from tessera.llm.labelled import calibrate, labelled_sample, sigmoid
-from tessera.llm.tables import in_arrow, whole_row, with_row
+from tessera.llm.tables import give_back, in_arrow, whole_row, with_row
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 BITS = 16  #: of the hashed features of each kind
 WORD_NGRAMS, CHAR_NGRAMS = (1, 2), (3, 4)
+FITTED_AT_ONCE = 128  #: texts
 KINDS = len(WORD_NGRAMS) + len(CHAR_NGRAMS)
 
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality double, kept boolean"
@@ -115,31 +116,47 @@ def logits(t: Texts, parts: dict, weights: np.ndarray, bias: float) -> np.ndarra
     return out
 
 
+def features(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For a few texts and a kind at a time: number of the first, the kind, and by pair of text and bucket: the text's number from there, the bucket, and its share.
+
+    Kept in 16 bytes a pair and never brought together, as this is held on the driver.
+    """
+    for at in range(0, len(texts), FITTED_AT_ONCE):
+        for t in text_slices(pa.array(texts[at : at + FITTED_AT_ONCE])):
+            parts = counts(t)[1]
+            for kind, bucket, before in feature_sums(t, parts):
+                doc = np.repeat(np.arange(t.n), np.diff(before))
+                pair, n = np.unique((doc << BITS) | bucket, return_counts=True)
+                row = pair >> BITS
+                yield at + t.lo, kind, row.astype(np.int32), (pair & ((1 << BITS) - 1)).astype(np.int32), n / np.maximum(np.diff(before), 1)[row]
+
+
 def fit(texts: list[str], y: np.ndarray, share: float, rounds: int = 80, rate: float = 1.0, l2: float = 1e-6) -> QualityModel | None:
     """Logistic regression on the mean of the n-grams' weights, by Adam on whole gradients. None without both classes."""
     if not 0 < y.sum() < len(y):
         return None
-    rows, cols, values = [], [], []
-    for t in text_slices(pa.array(texts)):
-        parts = counts(t)[1]
-        for kind, bucket, before in feature_sums(t, parts):
-            doc = np.repeat(np.arange(t.n), np.diff(before))
-            pair, n = np.unique((doc << BITS) | bucket, return_counts=True)
-            rows.append((pair >> BITS) + t.lo)
-            cols.append((pair & ((1 << BITS) - 1)) | (kind << BITS))
-            values.append(n / np.maximum(np.diff(before), 1)[pair >> BITS])
-    rows, cols, values = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
+    found = list(features(texts))
     unseen = np.arange(len(y)) % 4 == 3
     seen = ~unseen if 0 < y[~unseen].sum() < (~unseen).sum() and unseen.any() else np.ones(len(y), bool)
     w, bias = np.zeros(KINDS << BITS), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
 
     def z() -> np.ndarray:
-        return np.bincount(rows, w[cols] * values, len(y)) + bias
+        out = np.full(len(y), bias)
+        for lo, kind, rows, cols, values in found:
+            some = np.bincount(rows, w[kind << BITS : (kind + 1) << BITS][cols] * values)
+            out[lo : lo + len(some)] += some
+        return out
+
+    def gradient(error: np.ndarray) -> np.ndarray:
+        out = l2 * w
+        for lo, kind, rows, cols, values in found:
+            out[kind << BITS : (kind + 1) << BITS] += np.bincount(cols, values * error[lo + rows], 1 << BITS)
+        return out
 
     for step in range(1, rounds + 1):
         error = np.where(seen, sigmoid(z()) - y, 0) / seen.sum()
-        grad = np.append(np.bincount(cols, values * error[rows], len(w)) + l2 * w, error.sum())
+        grad = np.append(gradient(error), error.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-4)
         w, bias = w - move[:-1], bias - move[-1] * 0.1
@@ -150,7 +167,9 @@ def fit(texts: list[str], y: np.ndarray, share: float, rounds: int = 80, rate: f
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1000, label: str = "quality") -> QualityModel | None:
     """Fit on at most ``per_class`` labelled rows of each class."""
     texts, _, y, share = labelled_sample(docs, labels, label, per_class)
-    return fit(texts, y, share)
+    model = fit(texts, y, share)
+    give_back()
+    return model
 
 
 def score_quality(docs: DataFrame, model: QualityModel | None, reject_below: float = 0.2, whole: bool = False) -> DataFrame:

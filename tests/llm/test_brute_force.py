@@ -372,3 +372,24 @@ def test_shards_are_a_uniform_shuffle(spark):
         rises = (np.diff(place[seed]) > 0).mean()
         assert abs(rises - 0.5) < 0.03 and abs(np.corrcoef(place[seed][:-1], place[seed][1:])[0, 1]) < 0.06
     assert abs(np.corrcoef(place[1], place[2])[0, 1]) < 0.06
+
+
+def test_the_fit_of_quality_rules_holds_its_pairs_once():
+    """It runs on the driver: pairs of text and bucket take 16 bytes each and are not copied as a whole."""
+    import random
+    import tracemalloc
+
+    import numpy as np
+
+    from tessera.llm import quality_rules
+
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(300)) for _ in range(600)]
+    tracemalloc.start()
+    try:
+        model = quality_rules.fit(texts, np.arange(600) % 3 == 0, 0.3, rounds=3)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    pairs = sum(sum(min(len(t.encode()) - n + 1, len({t[k : k + n] for k in range(len(t) - n + 1)})) for n in quality_rules.CHAR_NGRAMS) + len(t.split()) * 2 for t in texts)
+    assert model is not None and peak < 48 * pairs
