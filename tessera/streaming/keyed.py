@@ -10,9 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -45,19 +44,27 @@ class InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("held", f"micros long, event_id long, {self.state}")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        found = pd.concat(list(rows)).sort_values(["micros", "event_id"], kind="stable")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        found = sorted(rows, key=lambda r: (r["micros"], r["event_id"]))
         micros, event, *rest = self.held.get() if self.held.exists() else (None, None, *[None] * len(self.state.split(",")))
-        out = []
-        for row in found.to_dict("records"):
+        out, last = [], (micros, event)
+        for row in found:
             if micros is None or (row["micros"], row["event_id"]) > (micros, event):
                 rest, given = self.step(key[0], row, rest)
                 out += given
-                micros, event = int(row["micros"]), int(row["event_id"])
-        self.held.update((micros, event, *rest))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in self.out.split(", ")])
+                micros, event = row["micros"], row["event_id"]
+        if (micros, event) != last:
+            self.held.update((micros, event, *rest))
+        return self.given(out)
 
-    def step(self, key, row: dict, rest: list) -> tuple[list, list]:
+    def given(self, out: list[tuple]) -> Iterator[Row]:
+        return (Row(**dict(zip(self.names, row))) for row in out)
+
+    @property
+    def names(self) -> list[str]:
+        return [c.split()[0] for c in self.out.split(", ")]
+
+    def step(self, key, row: Row, rest: list) -> tuple[list, list]:
         raise NotImplementedError
 
     def close(self) -> None:
@@ -83,15 +90,14 @@ class Arrivals(InOrder):
         first = [int(row["micros"]), int(row["event_id"])] if rest[0] is None else rest
         return first, [(key, row["event_id"], row["event_type"], row["value"], *first)]
 
-    def handleInputRows(self, key, rows, timerValues):
-        for frame in super().handleInputRows(key, rows, timerValues):
-            yield frame.tail(1)
+    def given(self, out):
+        return super().given(out[-1:])
 
 
 def kept_state(changes: DataFrame, processor: InOrder) -> DataFrame:
     """A stream of what a processor gives for changes (id, event_id, ts and others)."""
     at = changes.where("id is not null and event_id is not null and ts is not null").withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp"))).drop("ts")
-    return at.groupBy("id").transformWithStateInPandas(processor, processor.out, "Append", "None")
+    return at.groupBy("id").transformWithState(processor, processor.out, "Append", "None")
 
 
 def run(stream: DataFrame, each, place: str, partitions: int | None) -> None:

@@ -59,3 +59,19 @@ def test_settings_come_back(spark):
     with keyed.settings(spark, {"spark.sql.shuffle.partitions": "3", "spark.tessera.none": "x"}):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
     assert spark.conf.get("spark.sql.shuffle.partitions") == before and spark.conf.get("spark.tessera.none", None) is None
+
+
+def test_a_feed_in_several_files_gives_the_same_snapshot(spark, monkeypatch):
+    """No task writes a whole part of the feed; an id's changes of a part stay together."""
+    from tessera.plans import applied
+
+    sf, written = "/root/testdata/sf0.001", []
+    monkeypatch.setattr(applied, "FED_ROWS", 100, raising=False)
+    folder = freshness.folder
+    monkeypatch.setattr(freshness, "folder", lambda spark, what: (written.append(folder(spark, what)), written[-1])[1])
+    got = {tuple(r) for r in applied.arrival_snapshot(spark, sf).collect()}
+    assert len(spark.read.parquet(next(w for w in written if "/arrivals-" in w)).inputFiles()) > 6
+    by = {}
+    for r in applied.src.changes(spark, sf).collect():
+        by.setdefault(r.id, []).append((r.ts, r.event_id, r.event_type))
+    assert got == {(i, max(rows)[1], max(rows)[2], min(rows)[1]) for i, rows in by.items()}
