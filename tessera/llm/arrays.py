@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+SCORED_BYTES = 1 << 18  #: of texts that are scored together: each byte takes many times its size in n-grams
 KNOWN_BYTES = 8 << 20  #: of strings that a worker remembers (``Known``), each with 16 bytes besides
 LONGEST = 64  #: bytes of a string that is remembered for long
 _U = np.uint64

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from tessera.llm.arrays import SPACE, Texts, hash_runs, lower_ascii, mix, per_text, place_of_text, runs, text_slices, texts_of
+from tessera.llm.arrays import SCORED_BYTES, SPACE, Texts, hash_runs, lower_ascii, mix, per_text, place_of_text, runs, text_slices, texts_of
 from tessera.llm.labelled import calibrate, labelled_sample, sigmoid
 from tessera.llm.tables import in_arrow, whole_row, with_row
 
@@ -177,7 +177,7 @@ def score_classifier(docs: DataFrame, model: tuple[FactorModel | None, float], w
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             chars = batch.column(batch.num_columns - 1).to_numpy()
-            for t in text_slices(texts_of(batch, inside)):
+            for t in text_slices(texts_of(batch, inside), SCORED_BYTES):
                 if fitted is None:
                     score = np.full(t.n, share)
                 else:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.arrays import SPACE, Texts, hash_runs, mix, per_text, place_of_text, runs, text_slices, texts_of, windows
+from tessera.llm.arrays import SCORED_BYTES, SPACE, Texts, hash_runs, mix, per_text, place_of_text, runs, text_slices, texts_of, windows
 from tessera.llm.labelled import calibrate, labelled_sample, sigmoid
 from tessera.llm.tables import give_back, in_arrow, whole_row, with_row
 
@@ -182,7 +182,7 @@ def score_quality(docs: DataFrame, model: QualityModel | None, reject_below: flo
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for t in text_slices(texts_of(batch, inside)):
+            for t in text_slices(texts_of(batch, inside), SCORED_BYTES):
                 got, parts = counts(t)
                 fine = ~got["base_failed"]
                 if model is None:

@@ -47,8 +47,9 @@ NAME = LENGTH - MODULUS + 1  #: bytes that surely follow a common sample of two
 BEFORE = MODULUS - 1  #: bytes before a sample at which a string that holds its name may start
 BLOCK_BYTES = 8 << 20
 TASK_BLOCKS = 4  #: blocks of a task, on average, where the session's shuffle partitions are fewer
-STRETCH = MODULUS << 14  #: bytes of a text that are looked at together
-SLICE_BYTES = 1 << 20
+STRETCH = MODULUS << 12  #: bytes of a text that are looked at together
+SLICE_BYTES = 1 << 18
+POWERS_STEP = 1 << 16  #: tables of powers grow by whole multiples of this
 FREQUENT = 1 << 15  #: places of a name beyond which its strings are named one by one
 SPARE_BITS = 7  #: by which names are longer than their number needs; one in 2**7 unique names goes on for nothing
 LAST_ID = (1 << 63) - 1
@@ -74,8 +75,9 @@ class Rolling:
     def hashed(self, k: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         n = len(self.data)
         if n >= len(Rolling.forth[k]):
-            Rolling.forth[k] = powers(2 * n, self.bases[k])
-            Rolling.back[k] = powers(2 * n, pow(self.bases[k], -1, 1 << 64))
+            size = (n // POWERS_STEP + 1) * POWERS_STEP
+            Rolling.forth[k] = powers(size, self.bases[k])
+            Rolling.back[k] = powers(size, pow(self.bases[k], -1, 1 << 64))
         if self.sums[k] is None:
             self.sums[k] = np.concatenate([[_U(0)], np.cumsum(self.values[k][self.data] * Rolling.forth[k][:n], dtype=_U)])
         return mix((self.sums[k][end] - self.sums[k][start]) * Rolling.back[k][start] + (end - start).astype(_U))
@@ -306,7 +308,7 @@ def first_entries(rows: list[tuple[int, int, bytes]]) -> list[tuple]:
     return [(0, block, FIRST, place, zlib.compress(own.tobytes(), 1)) for (block, place, _), own in zip(rows, np.split(flag, sizes))]
 
 
-MERGED = 1 << 14  #: neighbourhoods that are merged at a time, in whole names
+MERGED = 1 << 12  #: neighbourhoods that are merged at a time, in whole names
 
 
 def merged_units(rows: list[tuple[int, int, bytes]]) -> list[tuple]:

@@ -15,7 +15,7 @@ from tessera.sources.places import written as stored  # noqa: F401
 
 #: Arrow batches end at this many bytes (Spark's own bound, 64 MiB, is too much for several Python workers beside an executor's heap).
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
-TRIM_BATCHES = 32
+TRIM_BYTES = BATCH_BYTES  #: of batches, after which a worker gives unused memory back
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,10 +39,14 @@ def in_arrow(df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iterat
     df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
     def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(it, 1):
+        seen = 0
+        for batch in it:
+            seen += batch.nbytes
             yield batch
-            if k % TRIM_BATCHES == 0:
+            del batch
+            if seen >= TRIM_BYTES:
                 give_back()
+                seen = 0
 
     def tidy(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(counted(it))
